@@ -304,7 +304,7 @@ def _(t):
     return windows.lifecycle_edges(t.positions, 600, "event_id")
 
 
-@query("w9_new_flights", f"{_EDGE} SELECT flight_id, icao24, "at" AS takeoff_ts, 'departed' AS status, true AS is_live FROM edges WHERE kind = 'takeoff'", "positions")
+@query("w9_new_flights", f"{_EDGE} SELECT flight_id, icao24, \"at\" AS takeoff_ts, 'departed' AS status, true AS is_live FROM edges WHERE kind = 'takeoff'", "positions")
 def _(t):
     return windows.new_flights(windows.lifecycle_edges(t.positions, None, "event_id")).select("flight_id", "icao24", "takeoff_ts", "status", "is_live")
 
