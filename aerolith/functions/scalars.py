@@ -194,7 +194,7 @@ def region_code(title) -> Column:
 
 def split_refs(text) -> Column:
     """Comma list to trimmed entries without blanks."""
-    return F.filter(F.transform(F.split(F.coalesce(col(text), F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(col(text), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def join_refs(refs) -> Column:
@@ -236,7 +236,7 @@ def case_violations(cases: DataFrame) -> DataFrame:
 
 def manual_steps(text) -> Column:
     """Non-blank lines without the automatic ones."""
-    return F.filter(F.transform(F.split(F.coalesce(col(text), F.lit("")), "\n"), F.trim), lambda x: (x != "") & ~x.contains("[Auto]"))
+    return F.filter(F.transform(F.split(F.coalesce(col(text), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.contains("[Auto]"))
 
 
 def scalar_facts(facts) -> Column:
