@@ -91,7 +91,8 @@ def hold_windows(positions: DataFrame, watermark: str = "10 minutes") -> DataFra
 def stream_dedup(anomalies: DataFrame, rule: rules.Rule, ts: str = "detected_at") -> DataFrame:
     """Findings of one rule, each key once within the rule's window.
 
-    A stream can't see that a case was resolved meanwhile; ``stream_rules`` compares with open cases.
+    A key is free again one batch after the watermark has passed its window.  A stream can't see
+    that a case was resolved meanwhile; ``stream_rules`` compares with open cases.
     """
     own = anomalies.filter(F.col("rule") == rule.case_type)
     return own.withWatermark(ts, f"{rule.window_minutes} minutes").dropDuplicatesWithinWatermark(["dedup_key"])

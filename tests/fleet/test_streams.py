@@ -64,7 +64,7 @@ def test_ingest(spark, tmp_path):
 def test_dedup_within_the_window(spark, tmp_path):
     schema = "rule string, dedup_key string, detected_at timestamp"
     at = lambda m: T0 + dt.timedelta(minutes=m)
-    batches = [[("go_around", "k1", at(0)), ("go_around", "k1", at(1)), ("delay", "k1", at(0))], [("go_around", "k1", at(20)), ("go_around", "k2", at(21))], [("go_around", "k1", at(200))], [("go_around", "k1", at(400))]]
+    batches = [[("go_around", "k1", at(0)), ("go_around", "k1", at(1)), ("delay", "k1", at(0))], [("go_around", "k1", at(20)), ("go_around", "k2", at(21))], [("go_around", "k3", at(200))], [("go_around", "k3", at(300))], [("go_around", "k1", at(400))]]
     stream = files(spark, str(tmp_path / "in"), schema, batches)
     end(jobs.stream_dedup(stream, rules.GoAround()).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint")))
     got = sorted((r["dedup_key"], r["detected_at"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
