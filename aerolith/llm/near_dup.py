@@ -7,14 +7,15 @@ register with about their Jaccard similarity.
 
 1. One pass over the texts gives set size, a 128-bit name of the set, sketch.
 2. Documents with the same set are one class; only classes go on.
-3. Bands of ``ROWS`` registers are bucket keys.  In each bucket every member meets
-   one pivot (the smallest id), never all others.
-4. The pair's similarity is estimated from both sketches by maximum likelihood;
-   what is surely far is dropped, the rest is compared on full sets.
-5. 1 - Jaccard is a metric, so a member at less than ``NEAR`` from the pivot
-   cannot reach what is linked to the pivot.  The others that are not linked get
-   further pivots, until no bucket has two of them, and at the end meet the linked
-   members where that could still join two groups.
+3. Bands of ``ROWS`` registers are bucket keys.  Inside a bucket a pair's similarity
+   is estimated jointly from both sketches and set sizes by maximum likelihood; of the
+   pairs that may be linked a spanning forest goes on, at most one pair a member.
+4. Connected pairs make clusters.  Texts are shuffled once, by cluster, and links are
+   confirmed on full sets there, again only until the members hang together.
+5. A bucket of more than ``BUCKET`` or a cluster of more than ``CLUSTER`` members does
+   not meet in one task: all members of a bucket meet one pivot, pair by pair, and the
+   bucket gets another pivot outside its main group as long as there is one that has
+   not been a pivot.  One round does for a group of copies of any size.
 6. Smallest ids spread over the links until nothing changes.
 
 Null or wordless texts have the empty set and link with nothing; a null doc_id
@@ -24,7 +25,6 @@ takes no part (component null, kept).  Rows that share a doc_id count as one nod
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,12 +34,13 @@ from pyspark.sql import functions as F
 
 from .common import RangeHash, blocks, cut, mix, read, signed
 
-#: Registers, registers in a band, base of the register scale.
-M, ROWS, BASE = 128, 4, 1.02
-#: Below this similarity with the pivot a document cannot link with the pivot's own: 1 - 2 * (1 - 0.8).
-NEAR = 0.6
-#: Estimates below this are not verified: over five standard errors under NEAR.
-SURELY_FAR = 0.38
+#: Registers, registers in a band, base of the register scale.  A pair at 0.8 misses all 42 bands
+#: with a chance under 3 in a million, one at 0.9 under 1 in 10**13.
+M, ROWS, BASE = 256, 6, 1.02
+#: Members of a bucket, and classes and bytes of a cluster, that meet in one task.
+BUCKET, CLUSTER, CLUSTER_BYTES = 2_000, 4_000, 32 << 20
+#: Estimate from which a pair may be linked: five standard errors under 0.8.
+MAY_LINK = 0.68
 
 _HASH = RangeHash(20240601)
 _LOG_BASE = np.log(BASE)
@@ -96,7 +97,7 @@ def sketches(h: np.ndarray, count: np.ndarray) -> np.ndarray:
     while True:
         live = live[value[live] <= reach[of[live]]]
         if len(live):
-            register = (mix(mix(state[live]) ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(57)).astype(np.int64)
+            register = (mix(mix(state[live]) ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(56)).astype(np.int64)
             np.minimum.at(flat, of[live] * M + register, value[live])
             draw(live)
             continue
@@ -136,12 +137,108 @@ def likelihood_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.nd
     return np.take_along_axis(grid, score.argmax(axis=1)[:, None], 1)[:, 0]
 
 
-def _estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``a, b, likeness`` of rows with both sketches."""
     for pdf in batches:
         if len(pdf):
             a, b = (np.frombuffer(b"".join(pdf[c]), np.int16).reshape(-1, M) for c in ("sketch_a", "sketch_b"))
-            near = likelihood_jaccard(a, b, pdf["n_a"].to_numpy(float), pdf["n_b"].to_numpy(float)) >= SURELY_FAR
-            yield pdf.loc[near, ["a", "b"]]
+            yield pdf[["a", "b"]].assign(likeness=likelihood_jaccard(a, b, pdf["n_a"].to_numpy(float), pdf["n_b"].to_numpy(float)))
+
+
+class Forest:
+    """Union of numbered members; the smallest number of a group is its root."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = sorted((self.root(x), self.root(y)))
+        self.up[y] = x
+        return x != y
+
+
+def span(registers: np.ndarray, test) -> tuple[Forest, list[tuple[int, int]]]:
+    """Groups of the members whose pairs pass ``test(x, y)`` (arrays in, booleans out), and the pairs that made them.
+
+    Pairs come most similar first, and those inside a group are not tested any more.
+    """
+    n = len(registers)
+    forest, made, found = Forest(n), [], []
+    for i in range(n - 1):
+        same = (registers[i] == registers[i + 1 :]).sum(axis=1)
+        j = np.flatnonzero(same >= (MAY_LINK - 0.05) * M)
+        if len(j):
+            found.append(np.stack([np.full(len(j), i), j + i + 1, same[j]]).astype(np.int32))
+    if not found:
+        return forest, made
+    x, y, same = np.concatenate(found, axis=1)
+    order = np.argsort(-same, kind="stable")
+    x, y = x[order], y[order]
+    for k in range(0, len(x), 256):
+        roots = np.array([forest.root(i) for i in range(n)]) if k % 4096 == 0 else roots
+        some = np.flatnonzero(roots[x[k : k + 256]] != roots[y[k : k + 256]]) + k
+        some = np.array([i for i in some if forest.root(int(x[i])) != forest.root(int(y[i]))], int)
+        if len(some):
+            for i in some[test(x[some], y[some])]:
+                if forest.join(int(x[i]), int(y[i])):
+                    made.append((int(x[i]), int(y[i])))
+    return forest, made
+
+
+def _grouped(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Whole groups of rows that come sorted by ``key``."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        keys = pdf[key].to_numpy()
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        for low, high in zip(np.append(0, cuts[:-1]), cuts):
+            yield pdf.iloc[low:high]
+        rest = pdf.iloc[cuts[-1] :] if len(cuts) else pdf
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A spanning forest of the pairs that may be linked, of every bucket; rows come sorted by bucket."""
+    out = []
+    for group in _grouped(batches, "bucket"):
+        if len(group) < 2:
+            continue
+        registers = np.frombuffer(b"".join(group["sketch"]), np.int16).reshape(-1, M)
+        reps, n = group["rep"].to_numpy(), group["n_shingles"].to_numpy(float)
+        _, made = span(registers, lambda x, y: likelihood_jaccard(registers[x], registers[y], n[x], n[y]) >= MAY_LINK)
+        out += [(reps[x], reps[y]) for x, y in made]
+        if len(out) > 10_000:
+            yield pd.DataFrame(out, columns=["a", "b"])
+            out = []
+    yield pd.DataFrame(out, columns=["a", "b"])
+
+
+def _clusters(width: int, percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Exact components of every cluster; rows come sorted by cluster."""
+        for group in _grouped(batches, "cluster"):
+            reps = group["rep"].to_numpy()
+            h, count = shingle_sets([t.encode("utf-8", "surrogatepass") for t in group["text"]], width)
+            sets = np.split(h, np.cumsum(count)[:-1])
+
+            def linked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(x, y)])
+                return 100 * both >= percent * (count[x] + count[y] - both)
+
+            forest, _ = span(sketches(h, count), linked)
+            roots = np.array([forest.root(i) for i in range(len(reps))])
+            low = np.full(len(reps), np.iinfo(np.int64).max)
+            np.minimum.at(low, roots, reps)
+            yield pd.DataFrame({"node": reps, "component": low[roots]})
+
+    return run
 
 
 def _verify(width: int):
@@ -160,12 +257,52 @@ def _verify(width: int):
     return run
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """``a, b, both, either`` (sizes of intersection and union) of the pairs that the sketches don't rule out."""
+def _with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``a, b, likeness`` of the pairs."""
     side = lambda c: classes.select(F.col("rep").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("n_shingles").alias(f"n_{c}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_estimate, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_pairs, "a long, b long, likeness double")
+
+
+def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``a, b`` of the pairs that are links on full sets; the sketches rule out most others."""
+    near = _with_sketches(pairs, classes).filter(F.col("likeness") >= MAY_LINK)
     text = lambda c: texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}"))
-    return cut(near.join(text("a"), "a").join(text("b"), "b").mapInPandas(_verify(width), "a long, b long, both long, either long"))
+    told = near.join(text("a"), "a").join(text("b"), "b").mapInPandas(_verify(width), "a long, b long, both long, either long")
+    return told.filter(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
+
+
+def _pivot_rounds(rows: DataFrame, tied) -> DataFrame:
+    """Pairs ``a, b`` that tie together the members of each bucket of ``rows(bucket, rep)``.
+
+    ``tied`` maps pairs to those that hold.  A pivot meets all of its bucket, so what is left apart
+    at the end has no tie to any member outside the bucket's main group.
+    """
+    rows = cut(rows)
+    pivots = rows.groupBy("bucket").agg(F.min("rep").alias("pivot"))
+    used = ties = None
+    while True:
+        pairs = rows.join(pivots, "bucket").filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+        new = tied(pairs)
+        ties = cut(new if ties is None else ties.union(new))
+        used = cut(pivots if used is None else used.union(pivots))
+        groups = connected(ties).withColumnRenamed("node", "rep")
+        placed = rows.join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        main = placed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+        apart = placed.join(main, "bucket").filter("component <> main").join(used.withColumnRenamed("pivot", "rep"), ["bucket", "rep"], "left_anti")
+        pivots = cut(apart.groupBy("bucket").agg(F.min("rep").alias("pivot")))
+        if pivots.isEmpty():
+            return ties
+
+
+def may_links(bands: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a, b`` that tie together all that may be linked, at most one a member and bucket, and the shared buckets."""
+    shared = cut(bands.join(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket"))
+    members = shared.filter(F.col("n") <= BUCKET).select("bucket", "rep").join(classes.select("rep", "n_shingles", "sketch"), "rep")
+    ties = members.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_forests, "a long, b long")
+    large = shared.filter(F.col("n") > BUCKET).select("bucket", "rep")
+    if not large.isEmpty():
+        ties = ties.union(_pivot_rounds(large, lambda pairs: _with_sketches(pairs, classes).filter(F.col("likeness") >= MAY_LINK).select("a", "b")))
+    return ties.distinct(), shared.select("bucket", "rep")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -194,48 +331,26 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     of ``width``-word shingles; a component's smallest doc_id is kept.
     """
     if percent < 80:
-        raise ValueError("bands and the pivot rule are laid out for similarities of 0.8 and more")
+        raise ValueError("bands and bounds are laid out for similarities of 0.8 and more")
     docs = documents.select("doc_id", "text")
     sets = cut(docs.mapInPandas(_sketch_batches(width), "doc_id long, n_shingles long, class_key binary, sketch binary"))
     classes = cut(sets.filter("n_shingles > 0 and doc_id is not null").groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
     n_bands, step = M // ROWS, 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * step + 1, F.lit(step))))
-    bands = classes.select("rep", F.explode(keys).alias("bucket"))
-    buckets = lambda rows: rows.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    open_ = cut(bands.join(buckets(bands), "bucket"))
-    texts = docs.join(classes.select(F.col("rep").alias("doc_id")).join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
-    compared, rounds = None, []
-    while True:
-        pairs = open_.filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        fresh = _similar(pairs, classes, texts, width)
-        compared = fresh if compared is None else cut(compared.union(fresh))
-        told = compared.withColumn("linked", F.col("both") * 100 >= F.col("either") * percent).withColumn("near", F.col("both") >= F.col("either") * NEAR).withColumnsRenamed({"a": "rep", "b": "pivot"})
-        seen = cut(open_.filter("rep <> pivot").join(told, ["rep", "pivot"], "left").select("bucket", "rep", "pivot", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("near", F.lit(False)).alias("near")))
-        rounds.append(seen.filter("linked or near"))
-        rest = seen.filter("not linked").select("bucket", "rep")
-        open_ = cut(rest.join(buckets(rest), "bucket"))
-        if open_.isEmpty():
-            break
-    is_link = F.col("both") * 100 >= F.col("either") * percent
-    links = compared.filter(is_link).select("a", "b")
-    groups = connected(links)
-    seen = reduce(DataFrame.union, rounds)
-    while True:
-        group = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"group_{c}"))
-        grouped = seen.join(group("rep"), "rep", "left").withColumn("group_rep", F.coalesce("group_rep", "rep"))
-        apart = grouped.filter("near and not linked").select("bucket", "pivot", F.col("rep").alias("a"), F.col("group_rep").alias("group_a"))
-        held = grouped.filter("linked").select("bucket", "pivot", F.col("rep").alias("b"), F.col("group_rep").alias("group_b"))
-        pairs = apart.join(held, ["bucket", "pivot"]).filter("group_a <> group_b").select("a", "b").distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = _similar(pairs, classes, texts, width)
-        more = cut(fresh.filter(is_link).select("a", "b"))
-        if more.isEmpty():
-            break
-        compared = cut(compared.union(fresh))
-        links = links.union(more)
-        groups = connected(links)
-    part = classes.select("class_key", F.col("rep").alias("class_id")).join(groups.withColumnRenamed("node", "class_id"), "class_id", "left")
+    pairs, shared = may_links(classes.select("rep", F.explode(keys).alias("bucket")), classes)
+    clusters = connected(pairs).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    clusters = clusters.unionByName(clusters.select(F.col("cluster").alias("rep"), "cluster").distinct()).distinct()
+    sized = cut(clusters.join(docs.select(F.col("doc_id").alias("rep"), F.octet_length("text").alias("size")), "rep").dropDuplicates(["rep"]))
+    whole = sized.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    fits = whole.select("cluster", ((F.col("n") <= CLUSTER) & (F.col("bytes") <= CLUSTER_BYTES)).alias("fits"))
+    sized = cut(sized.select("rep", "cluster").join(fits, "cluster"))
+    texts = sized.join(docs.withColumnRenamed("doc_id", "rep"), "rep").dropDuplicates(["rep"])
+    groups = texts.filter("fits").repartition("cluster").sortWithinPartitions("cluster").mapInPandas(_clusters(width, percent), "node long, component long")
+    large = sized.filter("not fits")
+    if not large.isEmpty():
+        rows, some = shared.join(large.select("rep"), "rep", "left_semi"), cut(texts.filter("not fits"))
+        groups = groups.unionByName(connected(_pivot_rounds(rows, lambda pairs: _linked(pairs, classes, some, width, percent))))
+    part = classes.select("class_key", F.col("rep").alias("class_id")).join(groups.withColumnRenamed("node", "class_id").groupBy("class_id").agg(F.min("component").alias("component")), "class_id", "left")
     out = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_key")).alias("class_key")).join(part, "class_key", "left")
     own = F.coalesce("class_id", "doc_id")
     component = F.coalesce("component", own)
