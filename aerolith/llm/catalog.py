@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from . import bpe, contamination, language, line_dup, near_dup, pii, quality, secrets, substring_dup, toxicity
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": near_dup.op1,
@@ -23,5 +26,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": pii.op10,
     "pipeline": corpus_pipeline.run,
 }
-
-ORACLES: dict[str, str] = {}

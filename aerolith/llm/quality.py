@@ -88,4 +88,4 @@ def quality(documents: DataFrame, bounds: dict[str, tuple[float | None, float |
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed", ",").alias("failed"))
