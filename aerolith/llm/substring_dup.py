@@ -13,8 +13,10 @@ start with the same ``GRAM`` bytes at the same distance.
    Spark's external sorter.  In a run of suffixes with equal spans (their common
    prefix covers the span) the first is kept and the others' windows go at once.
 2. From their order the rest is induced: only where suffixes share the first bytes
-   but not the span do the first ones of the runs give their single windows, which
-   are sorted the same way; equal neighbours share WIDTH bytes and all but the first go.
+   but not the span do the first ones of the runs still have windows in common.
+   Their spans meet by first bytes, and of equal windows all but the first go.  Where
+   more than ``GROUP`` different spans share the first bytes, single windows are
+   sorted by content instead, so no group is unbounded.
 
 Before each shuffle a block of texts settles what repeats inside it, so a passage
 that a third of all documents share sends one suffix a block, not one a copy.
@@ -36,7 +38,9 @@ from pyspark.sql import functions as F
 from .common import RangeHash, cut, mix, read, signed
 
 #: Bytes of a repeated string, bytes of the sampled strings, bytes that are hashed together.
-WIDTH, GRAM, PIECE = 100, 40, 1 << 22
+WIDTH, GRAM, PIECE = 100, 40, 1 << 20
+#: Different spans of one gram that meet in one task; bits of a packed run length.
+GROUP, RUN_BITS = 2_000, 20
 
 _GRAMS, _SPANS = RangeHash(50001), RangeHash(50002)
 _INDEX_BITS = np.uint64(24)
@@ -107,7 +111,17 @@ def _later_copies(doc: np.ndarray, place: np.ndarray, *keys: np.ndarray) -> np.n
     return out
 
 
-_ROW = "k1 long, k2 long, doc_id long, first long, last long, gone boolean"
+#: ``place`` packs first window, number of further windows and whether they are known to go: rows are sorted by it.
+_ROW = "k1 long, k2 long, doc_id long, place long"
+
+
+def _pack(first: np.ndarray, last: np.ndarray, gone: bool) -> np.ndarray:
+    return (first << (RUN_BITS + 1)) | ((last - first) << 1) | int(gone)
+
+
+def _unpack(place: str = "place"):
+    first = F.shiftright(place, RUN_BITS + 1)
+    return first, first + F.shiftright(place, 1).bitwiseAND(F.lit((1 << RUN_BITS) - 1)), F.col(place).bitwiseAND(F.lit(1)) == 1
 
 
 def _spread(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -116,15 +130,15 @@ def _spread(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def _frame(k1, k2, doc, first, last, gone) -> pd.DataFrame:
     """Rows of a block; what is decided already is merged and gets keys of its own."""
-    out = [pd.DataFrame({"k1": signed(k1[~gone]), "k2": signed(k2[~gone]), "doc_id": doc[~gone], "first": first[~gone], "last": last[~gone], "gone": False})]
+    out = [pd.DataFrame({"k1": signed(k1[~gone]), "k2": signed(k2[~gone]), "doc_id": doc[~gone], "place": _pack(first[~gone], last[~gone], False)})]
     if gone.any():
         d, s, e = doc[gone], first[gone], last[gone]
         order = np.lexsort((s, d))
         d, s, e = d[order], s[order], e[order]
-        # windows that follow one another without a gap are one row
-        new = np.append(True, (d[1:] != d[:-1]) | (s[1:] > e[:-1] + 1))
+        # windows that follow one another without a gap are one row, up to a quarter of what a run can pack
+        new = np.append(True, (d[1:] != d[:-1]) | (s[1:] > e[:-1] + 1) | (s[1:] >> (RUN_BITS - 2) != s[:-1] >> (RUN_BITS - 2)))
         to = np.append(np.flatnonzero(new)[1:] - 1, len(d) - 1)
-        out.append(pd.DataFrame({"k1": _spread(d[new], s[new]), "k2": 0, "doc_id": d[new], "first": s[new], "last": e[to], "gone": True}))
+        out.append(pd.DataFrame({"k1": _spread(d[new], s[new]), "k2": 0, "doc_id": d[new], "place": _pack(s[new], e[to], True)}))
     return pd.concat(out, ignore_index=True)
 
 
@@ -143,13 +157,51 @@ def _samples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield _frame(grams[owner], span, doc, start, last + move, _later_copies(doc, start, grams[owner], span))
 
 
+def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Bytes of the open spans of gathered groups."""
+    for pdf in batches:
+        out = []
+        for doc, text, ranges in zip(pdf["doc_id"], pdf["text"], pdf["open"]):
+            raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+            out += [(r["k1"], doc, r["first"], raw[r["first"] : r["last"] + WIDTH]) for r in ranges if not r["wide"] and r["last"] + WIDTH <= len(raw)]
+        if out:
+            yield pd.DataFrame(out, columns=["k1", "doc_id", "first", "span"])
+
+
+def _common(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Windows with an earlier equal one, of rows sorted by (k1, doc_id, first)."""
+    gram, seen, before = None, set(), None
+    for pdf in batches:
+        out = []
+        for k1, doc, first, span in zip(pdf["k1"], pdf["doc_id"], pdf["first"], pdf["span"]):
+            if k1 != gram:
+                gram, seen = k1, set()
+            elif (doc, first) == before:
+                continue  # a repeated row of the documents
+            before = doc, first
+            low = None
+            for i in range(len(span) - WIDTH + 1):
+                window = span[i : i + WIDTH]
+                if window in seen:
+                    low = i if low is None else low
+                else:
+                    seen.add(window)
+                    if low is not None:
+                        out.append((doc, first + low, first + i - 1))
+                        low = None
+            if low is not None:
+                out.append((doc, first + low, first + len(span) - WIDTH))
+        yield pd.DataFrame(out, columns=["doc_id", "first", "last"])
+
+
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Single windows of the open spans of groups that are too large to meet in a task."""
     for pdf in batches:
         k1, k2, docs, starts = [], [], [], []
         for doc, text, ranges in zip(pdf["doc_id"], pdf["text"], pdf["open"]):
-            raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+            raw = np.frombuffer(text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b"", np.uint8)
             for r in ranges:
-                if r["last"] + WIDTH > len(raw):
+                if not r["wide"] or r["last"] + WIDTH > len(raw):
                     continue
                 part = raw[r["first"] : r["last"] + WIDTH]
                 at = np.arange(len(part) - WIDTH + 1)
@@ -178,20 +230,31 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """Per row of ``documents(doc_id, text)``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes)."""
-    docs = documents.select("doc_id", "text")
-    suffixes = docs.filter("doc_id is not null and text is not null").mapInPandas(_samples, _ROW)
-    by_start = Window.partitionBy("k1", "k2").orderBy("doc_id", "first")
-    by_gram = Window.partitionBy("k1").orderBy("k2", "doc_id", "first").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # both windows share one exchange and one sort
-    ranked = suffixes.withColumn("kinds", F.first("k2").over(by_gram) != F.last("k2").over(by_gram)).withColumn("place", F.rank().over(by_start))
-    span = F.struct("first", "last")
-    told = ranked.filter("gone or place > 1 or kinds").groupBy("doc_id").agg(F.collect_list(F.when(F.col("gone") | (F.col("place") > 1), span)).alias("gone_a"), F.collect_list(F.when(~F.col("gone") & (F.col("place") == 1) & F.col("kinds"), span)).alias("open"))
+    docs = documents.filter("doc_id is not null").select("doc_id", "text")
+    suffixes = docs.mapInPandas(_samples, _ROW)
+    by_start = Window.partitionBy("k1", "k2").orderBy("doc_id", "place")
+    by_gram = Window.partitionBy("k1").orderBy("k2", "doc_id", "place")
+    whole = by_gram.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first, last, gone = _unpack()
+    # all windows share one exchange and one sort
+    ranked = suffixes.withColumn("kinds", F.first("k2").over(whole) != F.last("k2").over(whole)).withColumn("rows", F.count("*").over(whole)).withColumn("rank", F.rank().over(by_start))
+    later = gone | (F.col("rank") > 1)
+    span = F.struct(first.alias("first"), last.alias("last"))
+    open_span = F.struct("k1", first.alias("first"), last.alias("last"), (F.col("rows") > GROUP).alias("wide"))
+    told = ranked.filter(later | F.col("kinds")).groupBy("doc_id").agg(F.collect_list(F.when(later, span)).alias("gone_a"), F.collect_list(F.when(~later & F.col("kinds"), open_span)).alias("open"))
     told = cut(told)
     open_ = docs.join(told.filter(F.size("open") > 0).select("doc_id", "open"), "doc_id")
-    single = open_.mapInPandas(_windows, _ROW).withColumn("place", F.rank().over(by_start)).filter("gone or place > 1")
-    single = single.groupBy("doc_id").agg(F.collect_list(span).alias("gone_b"))
-    whole = docs.join(told.select("doc_id", "gone_a"), "doc_id", "left").join(single, "doc_id", "left")
-    return whole.mapInPandas(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    spans = open_.mapInPandas(_spans, "k1 long, doc_id long, first long, span binary")
+    found = spans.repartition("k1").sortWithinPartitions("k1", "doc_id", "first").mapInPandas(_common, "doc_id long, first long, last long")
+    if not told.filter(F.exists("open", lambda x: x["wide"])).isEmpty():
+        single = open_.mapInPandas(_windows, _ROW).withColumn("rank", F.rank().over(by_start)).filter(later)
+        found = found.unionByName(single.select("doc_id", first.alias("first"), last.alias("last")))
+    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("gone_b"))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    out = docs.join(told.select("doc_id", "gone_a"), "doc_id", "left").join(found, "doc_id", "left").mapInPandas(_cut_out, schema)
+    none = F.lit(None).cast("array<struct<first:long,last:long>>")
+    unnamed = documents.filter("doc_id is null").select("doc_id", "text", none.alias("gone_a"), none.alias("gone_b"))
+    return out.unionByName(unnamed.mapInPandas(_cut_out, schema))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
