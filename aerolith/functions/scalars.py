@@ -212,12 +212,15 @@ def case_url(base, case_ref) -> Column:
 def case_ids(df: DataFrame, start: int, year: int, *order: str) -> DataFrame:
     """``df`` with ``case_id`` CASE-year-number, numbered from ``start`` in a fixed order.
 
-    Numbers are a row's place among the new cases: ranges are sorted by ``order`` and counted,
-    so no task holds all rows and only one count a partition reaches the driver.
+    Numbers are a row's place among the new cases: ranges are sorted by ``order`` and counted, so
+    no task holds all rows.  The sorted ranges are materialised, since ranges come from a sample
+    and could differ where the plan is run twice.
     """
     from pyspark.sql import Window
 
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    from ..shared import cut
+
+    ordered = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
     sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy("_row"))

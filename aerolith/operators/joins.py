@@ -15,6 +15,8 @@ from ..functions import scalars as sc
 
 #: Sites up to which the nearest one is found by scanning a literal list for each row.
 MAX_SITES = 2_000
+#: Sites up to which the distances are written out one by one, which compiles; more are a loop over the list.
+UNROLLED = 64
 INFER_NM = 50.0
 
 
@@ -38,8 +40,10 @@ def nearest_site(positions: DataFrame, sites: DataFrame, extra: tuple[str, ...]
         return positions.withColumns({names[0]: F.lit(None).cast("string"), names[1]: F.lit(None).cast("double")})
     if len(rows) > MAX_SITES:
         return _nearest_by_cell(positions, sites, names)
+    ranked = F.array(*(F.struct(geo.haversine("lat", "lon", F.lit(float(r["lat"])), F.lit(float(r["lon"]))).alias("nm"), F.lit(r["icao"]).alias("icao")) for r in rows[:UNROLLED]))
     listed = F.array(*(F.struct(F.lit(r["icao"]).alias("icao"), F.lit(float(r["lat"])).alias("lat"), F.lit(float(r["lon"])).alias("lon")) for r in rows))
-    ranked = F.transform(listed, lambda s: F.struct(geo.haversine("lat", "lon", s["lat"], s["lon"]).alias("nm"), s["icao"].alias("icao")))
+    if len(rows) > UNROLLED:
+        ranked = F.transform(listed, lambda s: F.struct(geo.haversine("lat", "lon", s["lat"], s["lon"]).alias("nm"), s["icao"].alias("icao")))
     best = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.array_min(ranked))
     return positions.withColumn("_best", best).withColumns({names[0]: F.col("_best.icao"), names[1]: F.col("_best.nm")}).drop("_best")
 

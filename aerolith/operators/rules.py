@@ -6,7 +6,7 @@ feed_last_ts).  Thresholds are parameters whose defaults are the production valu
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..schemas import ENRICHED, require
+from ..shared import cut
 from . import joins
 
 
@@ -26,6 +27,7 @@ class Context:
     cells: DataFrame
     airports: DataFrame
     options: dict[str, dict] = field(default_factory=dict)
+    latest: DataFrame | None = None  # newest row of each aircraft, where it is materialised
 
 
 class Rule:
@@ -57,6 +59,8 @@ def fact(facts: Column, name: str) -> Column:
 
 def _latest(ctx: Context) -> DataFrame:
     """Newest fix of each aircraft, one pass with map-side combine."""
+    if ctx.latest is not None:
+        return ctx.latest
     df = require(ctx.positions, ENRICHED)
     values = [c for c in df.columns if c != "icao24"]
     ties = F.struct("ts_polled", *(["event_id"] if "event_id" in values else []))
@@ -181,6 +185,9 @@ REGISTRY: tuple[Rule, ...] = (LostSignal(), Diversion(), ExcessiveHold(), Weathe
 
 
 def run_rules(ctx: Context, rules: tuple[Rule, ...] = REGISTRY) -> DataFrame:
+    """Findings of all rules over one materialised enriched window."""
+    ctx = replace(ctx, positions=cut(ctx.positions))
+    ctx.latest = cut(_latest(ctx))
     return reduce(DataFrame.unionByName, (r.detect(ctx, **ctx.options.get(r.case_type, {})) for r in rules))
 
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from .queries_positions import _EDGE
 from .registry import CURRENT, Tables, query, sec
 from .sources import lake
@@ -17,10 +15,7 @@ from .streaming.tables import VersionedTable
 
 
 def scratch(t: Tables) -> str:
-    """A new folder in the shared checkpoint folder."""
-    held = t.spark.sparkContext._jsc.sc().getCheckpointDir()
-    root = held.get() if held.isDefined() else t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    return shared.scratch(t.spark)
 
 
 def _stream(t: Tables, df: DataFrame, folder: str) -> DataFrame:
