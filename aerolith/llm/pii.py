@@ -8,7 +8,7 @@ documents stay linked without a table of values.
 
 kind   | valid if                                     | what is permuted
 -------|----------------------------------------------|------------------------------------
-card   | 13 to 19 digits, Luhn sum is 0               | all but the check digit, set anew
+card   | 13 to 19 digits, also grouped, Luhn sum is 0 | all but the check digit, set anew
 ssn    | no part is 0, area is not 666 or 9xx         | serial and group (area kept)
 phone  | country code and ten digits, or grouped      | the last seven digits
 ip     | four octets of 0 to 255                      | all 32 bits
@@ -33,7 +33,7 @@ PATTERNS = {
     "date": r"(?<![A-Za-z0-9./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![A-Za-z0-9]|[./-]\d)",
     "ssn": r"(?<![A-Za-z0-9-])\d{3}-\d{2}-\d{4}(?![A-Za-z0-9]|-\d)",
     "phone": r"(?<![A-Za-z0-9])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![A-Za-z0-9]|[.-]\d)",
-    "card": r"(?<![A-Za-z0-9])\d(?:[ -]?\d){12,18}(?![A-Za-z0-9]|[ -]\d)",
+    "card": r"(?<![A-Za-z0-9])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![A-Za-z0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Rounds of the network; days of 400 Gregorian years and two factors of them.

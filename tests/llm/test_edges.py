@@ -168,6 +168,12 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert pseudonymise(docs, "other").filter("doc_id = 1").first()["text"] != new
 
 
+def test_two_cards_side_by_side(spark):
+    cards = "4539148803436467 4111111111111111"
+    new = pseudonymise(spark.createDataFrame([(1, cards)], "doc_id long, text string"), "k").first()["text"]
+    assert all(luhn(x) and x not in cards for x in new.split()) and len(new) == len(cards)
+
+
 def test_pseudonyms_are_a_permutation(spark):
     docs = spark.range(5_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("10.0."), F.floor(F.col("id") / 256).cast("string"), F.lit("."), (F.col("id") % 256).cast("string")).alias("text"))
     got = pseudonymise(docs, "k")
