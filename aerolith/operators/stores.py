@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..sources import lake
-from .joins import match_cases
+from .joins import match_cases, merge_site
 from .windows import latest_flight, material_changes
 
 
@@ -185,6 +185,11 @@ def mirror_aircraft(current: DataFrame, now: Column) -> DataFrame:
     return current.select(*cols, sc.staleness("last_seen_at", now).alias("staleness"))
 
 
+def mirror_sites(sites: DataFrame, sla: DataFrame) -> DataFrame:
+    """Every watched site's detail with its scorecard; a site without one stays, with nulls."""
+    return merge_site(sites.filter("is_watched"), sla)
+
+
 def enrich_flights(flights: DataFrame, detail: DataFrame, trails: DataFrame) -> DataFrame:
     """Each aircraft's latest flight with its detail and trail; aircraft without detail are skipped."""
     out = latest_flight(flights).join(detail, "icao24").join(trails, "icao24", "left")

@@ -390,3 +390,36 @@ def _(t):
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     raw = t.flights.filter("landed_at is not null").select(F.col("flight_id").alias("flightId"), "icao24", iso("takeoff_ts").alias("takeoffTs"), iso("landed_at").alias("landedAt"))
     return stores.to_archive_rows(raw, F.lit(START)).select("flight_id", "icao24", "takeoff_ts", "landed_at")
+
+
+@query("s21_upsert_flight_plans", f"SELECT icao24, fetch_status, {sec('refreshed_at')} AS refreshed_at FROM plans WHERE icao24 NOT IN (SELECT icao24 FROM registry WHERE aircraft_type IS NULL) UNION ALL SELECT icao24, 'not_found', NULL FROM registry WHERE aircraft_type IS NULL", "plans", "registry")
+def _(t):
+    stored = t.plans.select("icao24", "fetch_status", "refreshed_at")
+    fetched = t.registry.filter("aircraft_type is null").select("icao24", F.lit("not_found").alias("fetch_status"), F.lit(None).cast("timestamp").alias("refreshed_at"))
+    return upserts.upsert_flight_plans(stored, fetched)
+
+
+@query("w6_latest_leg", f"h AS (SELECT *, coalesce(landed_at, takeoff_ts) AS last_seen FROM flights) SELECT icao24, {sec('max(last_seen)')} AS last_seen FROM h GROUP BY icao24", "flights")
+def _(t):
+    from .operators.windows import latest_leg
+
+    none = F.lit(None).cast("string")
+    history = t.flights.select("icao24", F.col("takeoff_ts").alias("first_seen"), F.coalesce("landed_at", "takeoff_ts").alias("last_seen"), none.alias("callsign"), none.alias("origin_icao"), none.alias("destination_icao"))
+    return latest_leg(history).select("icao24", "last_seen")
+
+
+@query("p48_triage_eligible", "SELECT case_id FROM cases WHERE customer_region <> 'all' AND severity_justification IS NULL", "cases")
+def _(t):
+    marked = t.cases.withColumn("record_type", F.when(F.col("customer_region") != "all", "fleet").otherwise("other"))
+    return sc.triage_eligible(marked).select("case_id")
+
+
+@query("p26_ref_lists", "SELECT case_id, concat(case_type, ',', status) AS refs FROM cases", "cases")
+def _(t):
+    text = F.concat(F.lit(" "), "case_type", F.lit(", ,"), "status", F.lit(" ,"))
+    return t.cases.select("case_id", sc.split_refs(text).alias("refs"))
+
+
+@query("p24_crm_fields", "SELECT external_id, CASE crm_status WHEN 'Closed' THEN 'closed' WHEN 'Working' THEN 'in_progress' WHEN 'Escalated' THEN 'escalated' ELSE 'open' END AS status, CASE priority WHEN 'High' THEN 'high' WHEN 'Low' THEN 'low' END AS severity FROM crm", "crm")
+def _(t):
+    return t.crm.select("external_id", sc.from_crm_status("crm_status").alias("status"), sc.from_priority("priority").alias("severity"))

@@ -440,3 +440,9 @@ def _(t):
     vector = F.array(F.upper("icao24"), F.rpad(F.coalesce("callsign", F.lit("")), 8, " "), text("origin_country"), sc.epoch("ts_position").cast("string"), sc.epoch("ts_polled").cast("string"), text("lon"), text("lat"), text("altitude_ft"), text("on_ground"), text("speed_kt"), text("heading_deg"), text("vertical_rate_fpm"), none, none, none, F.lit("false"), none)
     snapshots = t.positions.groupBy("ts_polled").agg(F.collect_list(vector).alias("states")).select(F.to_json(F.struct(sc.epoch("ts_polled").alias("time"), "states")).alias("value"))
     return decode_state_vectors(snapshots).groupBy("icao24").agg(F.count("*").alias("n"), F.sum("altitude_m").cast("long").alias("altitude"))
+
+
+@query("x17_mirror_sites", f"{_DETAIL} SELECT d.icao, coalesce(flight_category, 'VFR') AS flight_category, i AS sla_inbound_count FROM detail d JOIN airports a USING (icao) WHERE is_watched", *_DV)
+def _(t):
+    detail = joins.site_detail(t.airports, weather(t), flows(t), t.cases)
+    return stores.mirror_sites(detail, kpi.site_sla(t.airports, weather(t), flows(t), t.cases)).select("icao", "flight_category", "sla_inbound_count")

@@ -38,6 +38,24 @@ def overwrite_by_key(target: DataFrame, batch: DataFrame, keys: list[str]) -> Da
     return target.join(batch.select(*keys).distinct(), keys, "left_anti").unionByName(batch)
 
 
+def upsert_conditions(target: DataFrame, batch: DataFrame) -> DataFrame:
+    """Site weather: the batch's row replaces the site's."""
+    return overwrite_by_key(target, batch, ["site_icao"])
+
+
+def upsert_flight_plans(target: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Flight plans by aircraft with their outcome: success, not_found or error; another status fails the query."""
+    known = F.col("fetch_status").isin("success", "not_found", "error")
+    bad = F.raise_error(F.concat(F.lit("unknown fetch status: "), F.coalesce("fetch_status", F.lit("null")))).cast("string")
+    return overwrite_by_key(target, fetched.withColumn("fetch_status", F.when(known, F.col("fetch_status")).otherwise(bad)), ["icao24"])
+
+
+def upsert_airports(target: DataFrame, batch: DataFrame, root: str) -> DataFrame:
+    """Airports by ICAO, written as a new version and counted there."""
+    new = overwrite_by_key(target, batch, ["icao"])
+    return check_count(new.sparkSession.read.parquet(swap(new, root)), new.count())
+
+
 def patch_rows(target: DataFrame, patch: DataFrame, keys: list[str]) -> DataFrame:
     """Only columns that the patch has, and only its non-null values, change."""
     renamed = patch.select(*keys, *(F.col(c).alias(f"_{c}") for c in patch.columns if c not in keys))
