@@ -14,9 +14,11 @@ start with the same ``GRAM`` bytes at the same distance.
    prefix covers the span) the first is kept and the others' windows go at once.
 2. From their order the rest is induced: only where suffixes share the first bytes
    but not the span do the first ones of the runs still have windows in common.
-   Their spans meet by first bytes, and of equal windows all but the first go.  Where
-   more than ``GROUP`` different spans share the first bytes, single windows are
-   sorted by content instead, so no group is unbounded.
+   Their spans meet by first bytes, and of equal windows all but the first go.
+3. First bytes that very many different spans share (the edges of a passage in a third
+   of all documents) never meet as a group: a bounded sample of documents tells them
+   beforehand, their suffixes are dealt by the whole span, and their single windows are
+   sorted by content.  Both ways are exact, so the sample only decides who takes which.
 
 Before each shuffle a block of texts settles what repeats inside it, so a passage
 that a third of all documents share sends one suffix a block, not one a copy.
@@ -41,6 +43,8 @@ from .common import RangeHash, cut, mix, read, signed
 WIDTH, GRAM, PIECE = 100, 40, 1 << 20
 #: Different spans of one gram that meet in one task; bits of a packed run length.
 GROUP, RUN_BITS = 2_000, 20
+#: Documents of the sample that tells hot grams, its documents that make one hot, grams that are told at most.
+SAMPLE, HOT, MOST_HOT = 20_000, 20, 20_000
 
 _GRAMS, _SPANS = RangeHash(50001), RangeHash(50002)
 _INDEX_BITS = np.uint64(24)
@@ -111,26 +115,29 @@ def _later_copies(doc: np.ndarray, place: np.ndarray, *keys: np.ndarray) -> np.n
     return out
 
 
-#: ``place`` packs first window, number of further windows and whether they are known to go: rows are sorted by it.
+#: ``place`` packs first window, number of further windows, whether the gram is hot, and whether the windows are known
+#: to go: rows are sorted by it.
 _ROW = "k1 long, k2 long, doc_id long, place long"
 
 
-def _pack(first: np.ndarray, last: np.ndarray, gone: bool) -> np.ndarray:
-    return (first << (RUN_BITS + 1)) | ((last - first) << 1) | int(gone)
+def _pack(first: np.ndarray, last: np.ndarray, hot: np.ndarray | bool, gone: bool) -> np.ndarray:
+    return (first << (RUN_BITS + 2)) | ((last - first) << 2) | (np.asarray(hot).astype(np.int64) << 1) | int(gone)
 
 
 def _unpack(place: str = "place"):
-    first = F.shiftright(place, RUN_BITS + 1)
-    return first, first + F.shiftright(place, 1).bitwiseAND(F.lit((1 << RUN_BITS) - 1)), F.col(place).bitwiseAND(F.lit(1)) == 1
+    """Columns first, last, hot, gone."""
+    first = F.shiftright(place, RUN_BITS + 2)
+    bit = lambda k: F.shiftright(place, k).bitwiseAND(F.lit(1).cast("long")) == 1
+    return first, first + F.shiftright(place, 2).bitwiseAND(F.lit((1 << RUN_BITS) - 1)), bit(1), bit(0)
 
 
 def _spread(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     return signed(mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)))
 
 
-def _frame(k1, k2, doc, first, last, gone) -> pd.DataFrame:
+def _frame(k1, k2, doc, first, last, gone, hot) -> pd.DataFrame:
     """Rows of a block; what is decided already is merged and gets keys of its own."""
-    out = [pd.DataFrame({"k1": signed(k1[~gone]), "k2": signed(k2[~gone]), "doc_id": doc[~gone], "place": _pack(first[~gone], last[~gone], False)})]
+    out = [pd.DataFrame({"k1": signed(k1[~gone]), "k2": signed(k2[~gone]), "doc_id": doc[~gone], "place": _pack(first[~gone], last[~gone], hot[~gone], False)})]
     if gone.any():
         d, s, e = doc[gone], first[gone], last[gone]
         order = np.lexsort((s, d))
@@ -138,23 +145,48 @@ def _frame(k1, k2, doc, first, last, gone) -> pd.DataFrame:
         # windows that follow one another without a gap are one row, up to a quarter of what a run can pack
         new = np.append(True, (d[1:] != d[:-1]) | (s[1:] > e[:-1] + 1) | (s[1:] >> (RUN_BITS - 2) != s[:-1] >> (RUN_BITS - 2)))
         to = np.append(np.flatnonzero(new)[1:] - 1, len(d) - 1)
-        out.append(pd.DataFrame({"k1": _spread(d[new], s[new]), "k2": 0, "doc_id": d[new], "place": _pack(s[new], e[to], True)}))
+        out.append(pd.DataFrame({"k1": _spread(d[new], s[new]), "k2": 0, "doc_id": d[new], "place": _pack(s[new], e[to], False, True)}))
     return pd.concat(out, ignore_index=True)
 
 
-def _samples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _suffixes(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, ...]]:
+    """``gram, span, doc, first, last`` of the sampled suffixes of each block."""
+    ids = pdf["doc_id"].to_numpy(np.int64)
+    for held, rows, shifts in _pieces(pdf):
+        buffer, sizes = np.frombuffer(b"".join(held), np.uint8), np.array([len(x) for x in held])
+        first, last, owner, text, grams = _owners(buffer, sizes)
+        # the span's hash holds the owner's distance too
+        span = mix(_SPANS.of(_SPANS.prefix(buffer), first, last + WIDTH) ^ (owner - first).astype(np.uint64))
+        move = (np.array(shifts) - np.cumsum(sizes) + sizes)[text]
+        yield grams[owner], span, ids[np.array(rows)[text]], first + move, last + move
+
+
+def _samples(hot):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for gram, span, doc, first, last in _suffixes(pdf):
+                gone = _later_copies(doc, first, gram, span)
+                wide = np.isin(signed(gram), hot.value)
+                yield _frame(np.where(wide, mix(gram ^ span), gram), span, doc, first, last, gone, wide)
+
+    return run
+
+
+def _gram_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every gram of a document once, with each of its spans once a block."""
     for pdf in batches:
-        ids = pdf["doc_id"].to_numpy(np.int64)
-        for held, rows, shifts in _pieces(pdf):
-            buffer, sizes = np.frombuffer(b"".join(held), np.uint8), np.array([len(x) for x in held])
-            first, last, owner, text, grams = _owners(buffer, sizes)
-            sums = _SPANS.prefix(buffer)
-            # the span's hash holds the owner's distance too
-            span = mix(_SPANS.of(sums, first, last + WIDTH) ^ (owner - first).astype(np.uint64))
-            base = np.cumsum(sizes) - sizes
-            move = (np.array(shifts) - base)[text]
-            doc, start = ids[np.array(rows)[text]], first + move
-            yield _frame(grams[owner], span, doc, start, last + move, _later_copies(doc, start, grams[owner], span))
+        for gram, span, _, _, _ in _suffixes(pdf):
+            pair = np.unique(np.stack([signed(gram), signed(span)]), axis=1)
+            k1, n = np.unique(pair[0], return_counts=True)
+            yield pd.DataFrame({"k1": k1, "n": n})
+
+
+def hot_grams(docs: DataFrame) -> np.ndarray:
+    """Grams that at least HOT different spans of about SAMPLE documents share."""
+    share = F.lit(SAMPLE / max(docs.count(), 1))
+    some = docs.filter(F.pmod(F.xxhash64(F.lit("hot"), "doc_id"), F.lit(1 << 30)) / (1 << 30) < share)
+    counts = some.mapInPandas(_gram_documents, "k1 long, n long").groupBy("k1").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT)
+    return np.sort(np.array([r["k1"] for r in counts.orderBy(F.desc("n"), "k1").limit(MOST_HOT).collect()], np.int64))
 
 
 def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,7 +243,7 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 starts.append(at + r["first"])
         if k1:
             k1, k2, doc, start = (np.concatenate(x) for x in (k1, k2, docs, starts))
-            yield _frame(k1, k2, doc, start, start, _later_copies(doc, start, k1, k2))
+            yield _frame(k1, k2, doc, start, start, _later_copies(doc, start, k1, k2), np.zeros(len(doc), bool))
 
 
 def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,16 +263,17 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """Per row of ``documents(doc_id, text)``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes)."""
     docs = documents.filter("doc_id is not null").select("doc_id", "text")
-    suffixes = docs.mapInPandas(_samples, _ROW)
+    held = docs.sparkSession.sparkContext.broadcast(hot_grams(docs))  # MOST_HOT longs at most
+    suffixes = docs.mapInPandas(_samples(held), _ROW)
     by_start = Window.partitionBy("k1", "k2").orderBy("doc_id", "place")
     by_gram = Window.partitionBy("k1").orderBy("k2", "doc_id", "place")
     whole = by_gram.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first, last, gone = _unpack()
+    first, last, hot, gone = _unpack()
     # all windows share one exchange and one sort
-    ranked = suffixes.withColumn("kinds", F.first("k2").over(whole) != F.last("k2").over(whole)).withColumn("rows", F.count("*").over(whole)).withColumn("rank", F.rank().over(by_start))
+    ranked = suffixes.withColumn("kinds", hot | (F.first("k2").over(whole) != F.last("k2").over(whole))).withColumn("rows", F.count("*").over(whole)).withColumn("rank", F.rank().over(by_start))
     later = gone | (F.col("rank") > 1)
     span = F.struct(first.alias("first"), last.alias("last"))
-    open_span = F.struct("k1", first.alias("first"), last.alias("last"), (F.col("rows") > GROUP).alias("wide"))
+    open_span = F.struct("k1", first.alias("first"), last.alias("last"), (hot | (F.col("rows") > GROUP)).alias("wide"))
     told = ranked.filter(later | F.col("kinds")).groupBy("doc_id").agg(F.collect_list(F.when(later, span)).alias("gone_a"), F.collect_list(F.when(~later & F.col("kinds"), open_span)).alias("open"))
     told = cut(told)
     open_ = docs.join(told.filter(F.size("open") > 0).select("doc_id", "open"), "doc_id")

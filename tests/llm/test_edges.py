@@ -120,9 +120,14 @@ def test_large_clusters_and_buckets_take_the_pairwise_way(spark, sf_small, monke
 def test_wide_gram_groups_take_the_window_way(spark, monkeypatch):
     shared = "the same passage of somewhat more than one hundred bytes that stands in the middle of all of these documents here"
     rows = [(i, f"{i * i * 977:09d} start {'x' * i} {shared} {'y' * (i % 7)} end {i * 31:05d}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    result = lambda: {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_dup.remove_repeats(docs).collect()}
+    want = brute.repeats(rows)
+    assert len(substring_dup.hot_grams(docs)) > 0 and result() == want
+    monkeypatch.setattr(substring_dup, "HOT", 10**9)
+    assert len(substring_dup.hot_grams(docs)) == 0 and result() == want
     monkeypatch.setattr(substring_dup, "GROUP", 5)
-    got = substring_dup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute.repeats(rows)
+    assert result() == want
 
 
 def test_benchmark_in_parts_gives_the_same(spark, odd):
