@@ -157,6 +157,7 @@ def case_subject(case_type, site, facts) -> Column:
     fact = lambda key, default: F.coalesce(opt_str(F.get_json_object(facts, f"$.{key}")), F.lit(default))
     callsign, site = fact("callsign", "unknown"), F.coalesce(opt_str(site), F.lit("unknown site"))
     say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    # The titles' wording.
     return (
         F.when(case_type == "lost_signal", say("Lost signal during cruise — ", callsign, " near ", site))
         .when(case_type == "diversion", say("Diversion — ", callsign, " ", fact("origin", "?"), "→", fact("alternate", "?"), " (was ", fact("expected_destination", "?"), ")"))
