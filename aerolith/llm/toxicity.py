@@ -1,6 +1,7 @@
 """Operator 2: counterfactual-regularised toxicity classifier.
 
-A logistic model over word presence.  Every labelled sentence that names a group
+A logistic model over words that occur, words that make up a share of a text, and
+such word stems (the first bytes of longer words).  Every labelled sentence that names a group
 has a twin in which the identity terms are swapped for those of another group;
 the loss adds ``penalty`` times the squared difference of both scores, so that
 naming a group is no evidence by itself.
@@ -13,6 +14,7 @@ no labelled rows every score is 0.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,15 +36,22 @@ IDENTITY_TERMS = (
     ("young", "old", "elderly", "disabled", "blind", "deaf"),
     ("immigrants", "refugees", "migrants", "foreigners", "natives", "citizens"),
 )
+#: One in so many words makes a word or stem dense; bytes of a stem.
+DENSE, STEM = 150, 6
 #: Bounds of the fit.
 MAX_ROWS, MAX_WORDS, MIN_DOCS = 20_000, 4_000, 4
 
 _FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
-def words(text: str | None) -> set[bytes]:
-    """Distinct words: runs of digits, letters and non-ASCII characters; A-Z lower-cased."""
-    return set(text.encode("utf-8", "surrogatepass").translate(_FOLD).split()) if isinstance(text, str) else set()
+def features(text: str | None) -> set[bytes]:
+    """Words (runs of digits, letters and non-ASCII characters, A-Z lower-cased), ``+word`` and ``^stem`` where dense."""
+    if not isinstance(text, str):
+        return set()
+    words = text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
+    counts, least = Counter(words), len(words) / DENSE
+    stems = Counter([w[:STEM] for w in words if len(w) > STEM])
+    return {*counts, *(b"+" + w for w, n in counts.items() if n >= least), *(b"^" + w for w, n in stems.items() if n >= least)}
 
 
 @dataclass
@@ -51,14 +60,17 @@ class Model:
     weights: dict[bytes, float] = field(default_factory=dict)
 
     def logit(self, text: str | None) -> float:
-        found = words(text)
+        found = features(text)
         return self.bias + sum(self.weights[w] for w in sorted(self.weights.keys() & found))
 
 
-def _word_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _feature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [words(t) for t in pdf["text"]]
-        yield pd.DataFrame({"row": pdf["row"].repeat([len(r) for r in rows]).to_numpy(), "toxic": pdf["toxic"].repeat([len(r) for r in rows]).to_numpy(), "word": [w for r in rows for w in r]})
+        for k in range(0, len(pdf), 256):  # a word of a text is a row: a batch at once would be large
+            part = pdf.iloc[k : k + 256]
+            found = [features(t) for t in part["text"]]
+            sizes = [len(f) for f in found]
+            yield pd.DataFrame({"row": part["row"].repeat(sizes).to_numpy(), "toxic": part["toxic"].repeat(sizes).to_numpy(), "word": [w for f in found for w in f]})
 
 
 def swapped(word: bytes, shift: int, groups=IDENTITY_TERMS) -> bytes:
@@ -69,22 +81,32 @@ def swapped(word: bytes, shift: int, groups=IDENTITY_TERMS) -> bytes:
     return word
 
 
-def fit(labelled: DataFrame, penalty: float = 5.0, ridge: float = 1e-3, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, min_docs: int = MIN_DOCS) -> Model:
-    """Fit on ``labelled(doc_id, text, toxic)``; rows with a null label are ignored."""
-    rows = labelled.filter("toxic in (0, 1)")
-    # a third more rows than the bound asks for by hash, then the bound itself: no sort of all labels
+def bounded(labels: DataFrame, max_rows: int) -> DataFrame:
+    """``doc_id, toxic, row`` of at most ``max_rows`` labels, those of the smallest hash ``row``.
+
+    Only hashes are sorted, and only about as many as the bound.
+    """
+    rows = labels.filter("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    rows = rows.withColumn("row", F.xxhash64(F.lit("fit"), F.col("doc_id")))
     n = rows.count()
-    if not n:
-        return Model()
-    share = min(1.0, 1.33 * max_rows / n)
-    rank = F.xxhash64(F.lit("fit"), F.col("doc_id"))
-    rows = rows.withColumn("row", rank).filter(F.pmod("row", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("row").limit(max_rows) if n > max_rows else rows.withColumn("row", rank)
-    rows = rows.select("row", "toxic", "text").persist()
+    if n <= max_rows:
+        return rows
+    share = F.lit(int(min(1.0, 1.33 * max_rows / n) * (1 << 20)) + 1)
+    # rows are taken by the top 20 bits of the hash first; the bound's own hash then cuts exactly
+    rows = rows.filter(F.shiftrightunsigned("row", 44) < share)
+    cut_at = rows.select("row").orderBy("row").limit(max_rows).agg(F.max("row")).first()[0]
+    return rows.filter(F.col("row") <= cut_at)
+
+
+def fit(documents: DataFrame, labels: DataFrame, penalty: float = 5.0, ridge: float = 1e-4, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, min_docs: int = MIN_DOCS) -> Model:
+    """Fit on ``documents(doc_id, text)`` and ``labels(doc_id, toxic)``; null and repeated labels are ignored."""
+    known = labels.join(documents.select("doc_id"), "doc_id", "left_semi")
+    rows = documents.select("doc_id", "text").join(bounded(known, max_rows), "doc_id").select("row", "toxic", "text").persist()
     try:
         sizes = {int(r["toxic"]): r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         if len(sizes) < 2:
             return Model(30.0 if 1 in sizes else -30.0)
-        found = rows.mapInPandas(_word_rows, "row long, toxic int, word binary").persist()
+        found = rows.mapInPandas(_feature_rows, "row long, toxic int, word binary").persist()
         counts = found.groupBy("word").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).filter(F.col("n") >= min_docs)
         # the words whose log odds are most surely not 0, by a z score with half a case added
         pos, neg = F.col("pos") + 0.5, F.col("n") - F.col("pos") + 0.5
@@ -153,8 +175,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
 def train_model(documents: DataFrame, labels: DataFrame, **options) -> Model:
     """Model from the labels of documents outside the held-out fifth (crc32 of the id modulo 5 is 0)."""
-    learn = labels.filter(crc_bucket("doc_id", 5) != 0).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    return fit(documents.select("doc_id", "text").join(learn, "doc_id"), **options)
+    return fit(documents, labels.filter(crc_bucket("doc_id", 5) != 0), **options)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
