@@ -16,7 +16,6 @@ count once an item_id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -105,39 +104,55 @@ class Postings:
         return np.searchsorted(self.first, at, "right") - 1
 
 
-def _search(held, span: int | None, first_part: bool, last_part: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_FOUND = "n_words long, n_hit long, items array<string>, near array<string>, hit binary"
+
+
+def _search(held, span: int | None):
+    """``texts`` (and what earlier parts found in them) to a frame of what this part finds as well."""
+
+    def answer(texts: pd.Series, before: pd.DataFrame | None = None) -> pd.DataFrame:
         query: Phrases = held.value
         lengths = np.diff(query.start)
         gap = max(int(lengths.max(initial=1)), span or 0) + 1
-        for pdf in batches:
-            for low, high, texts in blocks(pdf, limit=8 << 20):
-                index = Postings(texts, query, gap)
-                if first_part:
-                    marks = [np.zeros(n, bool) for n in index.sizes]
-                    items: list[set[str]] = [set() for _ in texts]
-                    near: list[set[str]] = [set() for _ in texts]
-                else:
-                    marks = [np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in zip(pdf["hit"].array[low:high], index.sizes)]
-                    items, near = ([set(x) for x in pdf[c].array[low:high]] for c in ("items", "near"))
-                rarest = np.minimum.reduceat(index.count[query.terms], query.start[:-1]) if len(lengths) else np.empty(0)
-                for p in np.flatnonzero(rarest):
-                    terms = query.terms[query.start[p] : query.start[p + 1]]
-                    at = index.phrase(terms)
-                    for t, x in zip(index.text_of(at), at):
-                        x -= index.first[t]
-                        marks[t][x : x + len(terms)] = True
-                        items[t].update(query.items[p])
-                    if span is not None:
-                        for t in np.unique(index.text_of(index.proximity(terms, span))):
-                            near[t].update(query.items[p])
-                out = {"doc_id": pdf["doc_id"].array[low:high], "n_words": index.sizes, "items": [sorted(x) for x in items], "near": [sorted(x) for x in near]}
-                if last_part:
-                    yield pd.DataFrame(out | {"n_hit": [int(m.sum()) for m in marks]})
-                else:
-                    yield pd.DataFrame(out | {"text": pdf["text"].array[low:high], "hit": [np.packbits(m).tobytes() for m in marks]})
-
-    return run
+        out = []
+        for low, high, raw in blocks(texts.to_frame("text"), limit=8 << 20):
+            index = Postings(raw, query, gap)
+            if before is None:
+                marks = [np.zeros(n, bool) for n in index.sizes]
+                items: list[set[str]] = [set() for _ in raw]
+                near: list[set[str]] = [set() for _ in raw]
+            else:
+                marks = [np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in zip(before["hit"].array[low:high], index.sizes)]
+                items, near = ([set(x) for x in before[c].array[low:high]] for c in ("items", "near"))
+            rarest = np.minimum.reduceat(index.count[query.terms], query.start[:-1]) if len(lengths) else np.empty(0)
+            for p in np.flatnonzero(rarest):
+                terms = query.terms[query.start[p] : query.start[p + 1]]
+                at = index.phrase(terms)
+                for t, x in zip(index.text_of(at), at):
+                    x -= index.first[t]
+                    marks[t][x : x + len(terms)] = True
+                    items[t].update(query.items[p])
+                if span is not None:
+                    for t in np.unique(index.text_of(index.proximity(terms, span))):
+                        near[t].update(query.items[p])
+            out += [(len(m), int(m.sum()), sorted(i), sorted(n), np.packbits(m).tobytes()) for m, i, n in zip(marks, items, near)]
+        return pd.DataFrame(out, columns=["n_words", "n_hit", "items", "near", "hit"])
+
+    return answer
+
+
+def _first(search):
+    def found(texts: pd.Series) -> pd.DataFrame:
+        return search(texts)
+
+    return found
+
+
+def _next(search):
+    def found(texts: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
+        return search(texts, before)
+
+    return found
 
 
 def _parts(benchmark: DataFrame, part_words: int):
@@ -154,22 +169,30 @@ def _parts(benchmark: DataFrame, part_words: int):
     yield part
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = 5, span: int | None = None, part_words: int = PART_WORDS) -> DataFrame:
-    """Per row of ``documents(doc_id, text)``: doc_id, n_words, n_hit, items, near, contaminated.
+def mark_contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = 5, span: int | None = None, part_words: int = PART_WORDS) -> DataFrame:
+    """``documents`` with ``contamination``: struct(n_words, n_hit, items, near, contaminated), without a shuffle.
 
     ``items`` holds the benchmark items with a window of ``width`` words (all words, if fewer) in
     the text, ``n_hit`` counts the words inside such windows, and a text with
     100 * n_hit >= percent * n_words > 0 hits is contaminated.  With ``span``, ``near`` holds the
     items of which all words of a window lie within span words.
     """
-    docs = documents.select("doc_id", "text")
-    parts, out = list(_parts(benchmark, part_words)), docs
-    for i, part in enumerate(parts):  # narrow steps one after another: no part's answer is shuffled
-        held = docs.sparkSession.sparkContext.broadcast(phrases(part, width))
-        last = i == len(parts) - 1
-        schema = "doc_id long, n_words long, items array<string>, near array<string>, " + ("n_hit long" if last else "text string, hit binary")
-        out = out.mapInPandas(_search(held, span, i == 0, last), schema)
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
+    out, context = documents, documents.sparkSession.sparkContext
+    for i, part in enumerate(_parts(benchmark, part_words)):  # parts one after another in the same task
+        search = _search(context.broadcast(phrases(part, width)), span)
+        if i == 0:
+            found = F.pandas_udf(_first(search), _FOUND)("text")
+        else:
+            found = F.pandas_udf(_next(search), _FOUND)("text", "contamination")
+        out = out.withColumn("contamination", found)
+    c = F.col("contamination")
+    hit = (c["n_hit"] > 0) & (100 * c["n_hit"] >= percent * c["n_words"])
+    return out.withColumn("contamination", F.struct(c["n_words"].alias("n_words"), c["n_hit"].alias("n_hit"), c["items"].alias("items"), c["near"].alias("near"), hit.alias("contaminated")))
+
+
+def find_contamination(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """Per row of ``documents``: doc_id, n_words, n_hit, items, near, contaminated (see ``mark_contamination``)."""
+    return mark_contamination(documents.select("doc_id", "text"), benchmark, **options).select("doc_id", "contamination.*")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

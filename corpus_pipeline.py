@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from aerolith.llm.bpe import encode_decode
 from aerolith.llm.common import read
-from aerolith.llm.contamination import find_contamination
+from aerolith.llm.contamination import mark_contamination
 from aerolith.llm.line_dup import remove_repeated_lines
 from aerolith.llm.near_dup import near_duplicates
 from aerolith.llm.toxicity import score, train_model
@@ -43,7 +43,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with benchmark passages go."""
-    return _without(docs, find_contamination(docs, read(spark, sf_dir, "benchmark")).filter("contaminated")).select(*docs.columns)
+    kept = mark_contamination(docs, read(spark, sf_dir, "benchmark")).filter("not contamination.contaminated")
+    return kept.select(*docs.columns)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
