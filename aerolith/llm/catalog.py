@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": language.op4,
     "op5_suffix_dedup": substring_dup.op5,
     "op6_line_dedup": line_dup.op6,
+    "op6_whole_runs": line_dup.op6_whole,
     "op7_decontamination": contamination.op7,
     "op8_secret_scan": secrets.op8,
     "op9_bpe": bpe.op9,

@@ -1,13 +1,22 @@
 """Operator 6: removal of repeated runs of lines by winnowing.
 
-A line goes if it lies in a run of whole lines, of ``MIN_WORDS`` words or more,
-that also starts earlier in the corpus (smaller doc_id, or same document and
-earlier line).  Lines are equal if they are after trimming white space.
-
-A window is the shortest run from a line on with MIN_WORDS words; the smallest line
-hash in it is its fingerprint, so every run that is long enough holds a
-fingerprint.  Windows meet by fingerprint and content; overlapping hits extend to
-both sides into the whole repeated run.
+A window is the shortest run of whole lines from a line on with ``MIN_WORDS`` words.
+A line goes if it lies in a window that also starts earlier in the corpus (smaller
+doc_id, or same document and earlier line); this is what the SQL of the operator
+says.  Lines are equal if they are after trimming white space.
+
+That rule leaves the tail of a repeated run: of lines of 60 and 20 words the second
+opens no window of its own.  With ``whole_runs`` every line of every repeated run of
+MIN_WORDS words or more goes, a run being one that starts and ends with a line that
+has words.  The shortest runs that *end* at a line are windows too then: a line of
+a repeated run either lies in the window that opens the run, or the shortest run
+that ends at it lies in the run, and is repeated with it.  (Blank lines between two
+lines that are windows alone get the run over both.)  So the union of the repeated
+windows is the union of all repeated runs, without extending a match line by line,
+and whichever earlier copy a part of the run agrees with.
+
+The smallest line hash of a window is its fingerprint; windows meet by fingerprint
+and content.
 
 Before the shuffle a block of texts settles what repeats inside it, so a passage in
 a third of all documents sends one row a block.  Null text has no lines; a null
@@ -31,8 +40,8 @@ from .substring_dup import _later_copies, _spread
 MIN_WORDS, BLOCK = 50, 8 << 20
 
 
-def windows(text: bytes, min_words: int) -> list[tuple[int, int, int, int]]:
-    """``fingerprint, content hash, first line, last line`` of each window."""
+def windows(text: bytes, min_words: int, whole_runs: bool = False) -> list[tuple[int, int, int, int]]:
+    """``fingerprint, content hash, first line, last line`` of each window; with ``whole_runs`` also of those that end at a line."""
     lines = [x.strip() for x in text.split(b"\n")]
     n = np.array([len(x.split()) for x in lines])
     total = np.concatenate([[0], np.cumsum(n)])
@@ -40,20 +49,25 @@ def windows(text: bytes, min_words: int) -> list[tuple[int, int, int, int]]:
         return []
     hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64)
     last = np.searchsorted(total, total[:-1] + min_words) - 1  # total[last + 1] is the first to reach it
+    spans = [(i, int(j)) for i, j in enumerate(last) if j < len(lines) and n[i]]  # a window starts and ends with a line that has words
+    if whole_runs:
+        first = np.searchsorted(total, total[1:] - min_words, "right") - 1  # total[first] is the last that leaves enough
+        worded = np.flatnonzero(n)
+        apart = zip(worded[:-1].tolist(), worded[1:].tolist())
+        spans = sorted({*spans, *((int(i), j) for j, i in enumerate(first) if i >= 0 and n[j]), *((i, j) for i, j in apart if j > i + 1 and n[i] >= min_words <= n[j])})
     out = []
-    for i, j in enumerate(last):
-        if j < len(lines) and n[i]:  # a window starts and ends with a line that has words
-            run = hashes[i : j + 1]
-            out.append((int(run.min()), xxhash.xxh3_64_intdigest(run.tobytes()), i, int(j)))
+    for i, j in spans:
+        run = hashes[i : j + 1]
+        out.append((int(run.min()), xxhash.xxh3_64_intdigest(run.tobytes()), i, j))
     return out
 
 
-def _rows(min_words: int):
+def _rows(min_words: int, whole_runs: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids = pdf["doc_id"].to_numpy(np.int64)
             for first, last, texts in blocks(pdf, limit=BLOCK):
-                found = [(doc, *w) for doc, text in zip(ids[first:last], texts) for w in windows(text, min_words)]
+                found = [(doc, *w) for doc, text in zip(ids[first:last], texts) for w in windows(text, min_words, whole_runs)]
                 if not found:
                     continue
                 doc, fp, content, i, j = (np.array(x, np.uint64 if k in (1, 2) else np.int64) for k, x in enumerate(zip(*found)))
@@ -63,18 +77,18 @@ def _rows(min_words: int):
     return run
 
 
-def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """``doc_id, runs`` of documents with repeated lines; a run is struct(first, last), from 0; runs may overlap."""
     docs = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    rows = docs.mapInPandas(_rows(min_words), "fingerprint long, content long, doc_id long, first long, last long, gone boolean")
+    rows = docs.mapInPandas(_rows(min_words, whole_runs), "fingerprint long, content long, doc_id long, first long, last long, gone boolean")
     order = Window.partitionBy("fingerprint", "content").orderBy("doc_id", "first")
     hits = rows.withColumn("place", F.rank().over(order)).filter("gone or place > 1")
     return hits.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("runs"))
 
 
-def remove_repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """``documents`` with ``text`` without repeated lines and ``n_lines``, ``n_removed``; n_chars follows the text if it exists."""
-    runs = repeated_lines(documents, min_words).withColumnRenamed("runs", "_runs").withColumnRenamed("doc_id", "_doc")
+    runs = repeated_lines(documents, min_words, whole_runs).withColumnRenamed("runs", "_runs").withColumnRenamed("doc_id", "_doc")
     df = documents.join(runs, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
     # each line asks only whether the last run that starts at or before it covers it: runs come sorted by start, and by end too
     lines = F.split("text", "\n")
@@ -88,6 +102,13 @@ def remove_repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> D
     return df.drop("_runs", "_gone")
 
 
-def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+def _digests(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_kept"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digests(remove_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op6_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digests(remove_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), whole_runs=True))
