@@ -1,8 +1,9 @@
 """Operator 2: counterfactual-regularised toxicity classifier.
 
 A logistic model over words that occur, words that make up a share of a text, and
-such word stems (the first bytes of longer words).  Every labelled sentence that names a group
-has a twin in which the identity terms are swapped for those of another group;
+such word stems (the first bytes of longer words).  Every labelled text that names a group
+has twins in which the identity terms are swapped for those of other groups, or masked,
+word by word, and all features are those of the new words;
 the loss adds ``penalty`` times the squared difference of both scores, so that
 naming a group is no evidence by itself.
 
@@ -38,17 +39,21 @@ IDENTITY_TERMS = (
 )
 #: One in so many words makes a word or stem dense; bytes of a stem.
 DENSE, STEM = 150, 6
+#: Places in its line by which a term moves in a text's twins; number of the twin without terms.
+SHIFTS, NAMELESS = (1, 3), 99
 #: Bounds of the fit.
 MAX_ROWS, MAX_WORDS, MIN_DOCS = 20_000, 4_000, 4
 
 _FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
-def features(text: str | None) -> set[bytes]:
-    """Words (runs of digits, letters and non-ASCII characters, A-Z lower-cased), ``+word`` and ``^stem`` where dense."""
-    if not isinstance(text, str):
-        return set()
-    words = text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
+def tokens(text: str | None) -> list[bytes]:
+    """Words: runs of digits, letters and non-ASCII characters, A-Z lower-cased."""
+    return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if isinstance(text, str) else []
+
+
+def features(words: list[bytes]) -> set[bytes]:
+    """Words, ``+word`` and ``^stem`` where dense."""
     counts, least = Counter(words), len(words) / DENSE
     stems = Counter([w[:STEM] for w in words if len(w) > STEM])
     return {*counts, *(b"+" + w for w, n in counts.items() if n >= least), *(b"^" + w for w, n in stems.items() if n >= least)}
@@ -60,7 +65,7 @@ class Model:
     weights: dict[bytes, float] = field(default_factory=dict)
 
     def logit(self, text: str | None) -> float:
-        found = features(text)
+        found = features(tokens(text))
         return self.bias + sum(self.weights[w] for w in sorted(self.weights.keys() & found))
 
 
@@ -68,17 +73,30 @@ def _feature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for k in range(0, len(pdf), 256):  # a word of a text is a row: a batch at once would be large
             part = pdf.iloc[k : k + 256]
-            found = [features(t) for t in part["text"]]
-            sizes = [len(f) for f in found]
-            yield pd.DataFrame({"row": part["row"].repeat(sizes).to_numpy(), "toxic": part["toxic"].repeat(sizes).to_numpy(), "word": [w for f in found for w in f]})
+            found = [(row, toxic, shift, features(words)) for row, toxic, text in zip(part["row"], part["toxic"], part["text"]) for shift, words in twins(tokens(text))]
+            sizes = [len(f[-1]) for f in found]
+            row, toxic, shift = (np.repeat(np.array([f[k] for f in found], np.int64), sizes) for k in range(3))
+            yield pd.DataFrame({"row": row, "toxic": toxic, "shift": shift, "word": [w for f in found for w in f[-1]]})
+
+
+def _swaps(shift: int) -> dict[bytes, bytes]:
+    return {t.encode(): group[(k + shift) % len(group)].encode() for group in IDENTITY_TERMS for k, t in enumerate(group)}
+
+
+#: The mask keeps the number of words, so no other word turns dense; it is no word of any text.
+_SWAPS = {**{shift: _swaps(shift) for shift in SHIFTS}, NAMELESS: dict.fromkeys(_swaps(0), b"")}
+
+
+def twins(words: list[bytes]) -> list[tuple[int, list[bytes]]]:
+    """``shift, words``: the text itself (shift 0) and, if it names a group, its twins."""
+    named = not _SWAPS[NAMELESS].keys().isdisjoint(words)
+    return [(0, words), *((shift, [swap.get(w, w) for w in words]) for shift, swap in _SWAPS.items() if named)]
 
 
-def swapped(word: bytes, shift: int, groups=IDENTITY_TERMS) -> bytes:
-    for group in groups:
-        terms = [t.encode() for t in group]
-        if word in terms:
-            return terms[(terms.index(word) + shift) % len(terms)]
-    return word
+def _term_features() -> set[bytes]:
+    """All features that a term can give."""
+    terms = {t.encode() for group in IDENTITY_TERMS for t in group}
+    return {*terms, *(b"+" + t for t in terms), *(b"^" + t[:STEM] for t in terms if len(t) > STEM)}
 
 
 def bounded(labels: DataFrame, max_rows: int) -> DataFrame:
@@ -106,19 +124,19 @@ def fit(documents: DataFrame, labels: DataFrame, penalty: float = 5.0, ridge: fl
         sizes = {int(r["toxic"]): r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         if len(sizes) < 2:
             return Model(30.0 if 1 in sizes else -30.0)
-        found = rows.mapInPandas(_feature_rows, "row long, toxic int, word binary").persist()
-        counts = found.groupBy("word").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).filter(F.col("n") >= min_docs)
+        found = rows.mapInPandas(_feature_rows, "row long, toxic int, shift int, word binary").persist()
+        counts = found.filter("shift = 0").groupBy("word").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).filter(F.col("n") >= min_docs)
         # the words whose log odds are most surely not 0, by a z score with half a case added
         pos, neg = F.col("pos") + 0.5, F.col("n") - F.col("pos") + 0.5
         odds = F.log(pos / (sizes[1] - F.col("pos") + 0.5)) - F.log(neg / (sizes[0] - F.col("n") + F.col("pos") + 0.5))
         spread = F.sqrt(1 / pos + 1 / neg)
         chosen = counts.withColumn("z", F.abs(odds) / spread).filter("z > 3").orderBy(F.desc("z"), "word").limit(max_words)
         vocabulary = [bytes(r["word"]) for r in chosen.collect()]
-        vocabulary = sorted({*vocabulary, *(t.encode() for g in IDENTITY_TERMS for t in g)})
+        vocabulary = sorted({*vocabulary, *_term_features()})
         index = {w: i for i, w in enumerate(vocabulary)}
         cells = found.join(F.broadcast(rows.sparkSession.createDataFrame([(w, i) for w, i in index.items()], "word binary, word_no int")), "word")
-        cells = cells.groupBy("row", "toxic").agg(F.sort_array(F.collect_list("word_no")).alias("cells"))
-        data = rows.select("row", "toxic").join(cells.select("row", "cells"), "row", "left").orderBy("row").toPandas()
+        cells = cells.groupBy("row", "shift").agg(F.sort_array(F.collect_list("word_no")).alias("cells"))
+        data = rows.select("row", "toxic").join(cells, "row", "left").orderBy("row", "shift").toPandas()
         found.unpersist()
     finally:
         rows.unpersist()
@@ -126,16 +144,15 @@ def fit(documents: DataFrame, labels: DataFrame, penalty: float = 5.0, ridge: fl
 
 
 def _descend(data: pd.DataFrame, vocabulary: list[bytes], penalty: float, ridge: float, steps: int = 400) -> Model:
-    lists = [np.asarray(c, int) if c is not None else np.empty(0, int) for c in data["cells"]]
-    index = {w: i for i, w in enumerate(vocabulary)}
-    identity = {i for w, i in index.items() if swapped(w, 1) != w}
-    twin_a, twin_b = [], []
-    for cells in lists:
-        if identity & set(cells):
-            for shift in (1, 3):
-                twin_a.append(cells)
-                twin_b.append(np.unique([index[swapped(vocabulary[c], shift)] for c in cells]))
-    y = data["toxic"].to_numpy(float)
+    held: dict[int, dict[int, np.ndarray]] = {}
+    for row, shift, cells in zip(data["row"], data["shift"].fillna(0).astype(int), data["cells"]):
+        held.setdefault(row, {})[shift] = np.asarray(cells, int) if cells is not None else np.empty(0, int)
+    none = np.empty(0, int)  # neither a wordless text nor a text of terms without them has cells
+    lists = [cells.get(0, none) for cells in held.values()]
+    named = [cells for cells in held.values() if any(cells.keys())]
+    twin_a = [cells[0] for cells in named for _ in _SWAPS]
+    twin_b = [cells.get(shift, none) for cells in named for shift in _SWAPS]
+    y = data.drop_duplicates("row")["toxic"].to_numpy(float)
 
     def flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
         return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.empty(0, int)]).astype(int), len(rows)
