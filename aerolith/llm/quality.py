@@ -4,7 +4,9 @@
 in.  ``quality`` compiles the measures and the table into column expressions; no
 user function runs.  Work and memory are bounded by the single text: repeated
 word windows are found by sorting packed longs (window hash above, position
-below), which is n log n for any text length.
+below), which is n log n for any text length.  A text of more than
+``LONG`` words leaves the hash too few bits of one long; its windows are sorted
+by a whole hash first and the packed long of a second hash after it.
 
 Null text has no words: all counts are 0 and the base rule fails it.
 """
@@ -29,6 +31,8 @@ BOUNDS: dict[str, tuple[float | None, float | None]] = {
     "dup_line_ratio": (None, 0.3),
     "repeat_word_ratio": (None, 0.5),
 }
+#: From so many words on a window's hash has more than 64 bits (at 5 million words 105).
+LONG = 20_000
 SPACE = " \t\n\x0b\f\r"
 
 
@@ -44,6 +48,15 @@ def _sorted_windows(hashes: Column, n: Column) -> tuple[Column, Column]:
     return F.sort_array(packed), keep
 
 
+def _long_windows(words: Column, n: Column) -> Column:
+    """Sorted ``h, p`` of a long text's 3-word windows: a hash, and a second one with the position below."""
+    bits = F.ceil(F.log2(n + 1)).cast("int")
+    keep = F.call_function("shiftleft", F.lit(-1).cast("long"), bits)
+    three = lambda i: [F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)]
+    rows = F.transform(F.sequence(F.lit(0), (n - 3).cast("int")), lambda i: F.struct(F.xxhash64(*three(i)).alias("h"), F.xxhash64(F.lit("second"), *three(i)).bitwiseAND(keep).bitwiseOR(i.cast("long")).alias("p")))
+    return F.sort_array(rows)
+
+
 def quality(documents: DataFrame, bounds: dict[str, tuple[float | None, float | None]] = BOUNDS) -> DataFrame:
     """``documents`` with the measures, ``base_failed``, ``failed`` (names of broken bounds) and ``kept``."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -57,10 +70,14 @@ def quality(documents: DataFrame, bounds: dict[str, tuple[float | None, float |
     df = df.withColumn("n_dup_lines", F.col("n_lines") - F.size(F.array_distinct("_lines")))
     df = df.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
     packed, keep = _sorted_windows(F.col("_h"), F.col("n_words"))
-    df = df.withColumn("_p", F.when(F.col("n_words") > 3, packed))
+    df = df.withColumn("_p", F.when((F.col("n_words") > 3) & (F.col("n_words") <= LONG), packed))
     df = df.withColumn("_keep", keep)
     same = lambda i, j: F.get("_p", i).bitwiseAND(F.col("_keep")) == F.get("_p", j).bitwiseAND(F.col("_keep"))
     hit = F.filter("_p", lambda x, i: same(i, i + 1) | ((i > 0) & same(i, F.greatest(i - 1, F.lit(0)))))
+    df = df.withColumn("_q", F.when(F.col("n_words") > LONG, _long_windows(F.col("_words"), F.col("n_words"))))
+    alike = lambda i, j: (F.get("_q", i)["h"] == F.get("_q", j)["h"]) & (F.get("_q", i)["p"].bitwiseAND(F.col("_keep")) == F.get("_q", j)["p"].bitwiseAND(F.col("_keep")))
+    long_hit = F.transform(F.filter("_q", lambda x, i: alike(i, i + 1) | ((i > 0) & alike(i, F.greatest(i - 1, F.lit(0))))), lambda x: x["p"])
+    hit = F.when(F.col("n_words") > LONG, long_hit).otherwise(hit)
     df = df.withColumn("_at", F.sort_array(F.transform(hit, lambda x: x.bitwiseAND(F.bitwise_not("_keep")))))
     covered = F.aggregate(F.transform("_at", lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("_at", i + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda s, x: s + x)
     df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
@@ -83,7 +100,7 @@ def quality(documents: DataFrame, bounds: dict[str, tuple[float | None, float |
     df = df.withColumn("failed", F.array_compact(F.array(*broken)))
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     df = df.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
-    return df.drop("_words", "_lines", "_h", "_p", "_keep", "_at")
+    return df.drop("_words", "_lines", "_h", "_p", "_q", "_keep", "_at")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
