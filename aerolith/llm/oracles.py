@@ -25,7 +25,7 @@ def _verdict() -> str:
     for name, (low, high) in BOUNDS.items():
         broken = " OR ".join([f"{name} < {low}"] * (low is not None) + [f"{name} > {high}"] * (high is not None))
         rules.append(f"CASE WHEN {broken} THEN '{name}' END")
-    return f"array_to_string([{', '.join(rules)}], ',')"
+    return f"coalesce(array_to_string([{', '.join(rules)}], ','), '')"
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -35,7 +35,7 @@ g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 2], chr(10))) AS x FROM (SEL
 h AS (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1)),
 r AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
 c AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
-  len(list_filter(w, lambda x: lower(x) IN ({_STOP}))) AS stop_word_count, len(list_filter(lines, lambda x: regexp_matches(x, '^\s*[-*•]\s'))) AS bullets, len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS dots FROM l LEFT JOIN r USING (doc_id)),
+  len(list_filter(w, lambda x: lower(x) IN ({_STOP}))) AS stop_word_count, len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•][\x20\x09-\x0D]'))) AS bullets, len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS dots FROM l LEFT JOIN r USING (doc_id)),
 m AS (SELECT *, coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word_length, coalesce(n_symbols / nullif(n_words, 0), 0) AS symbol_word_ratio, coalesce(bullets / nullif(n_lines, 0), 0) AS bullet_line_ratio, coalesce(dots / nullif(n_lines, 0), 0) AS ellipsis_line_ratio,
   coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_ratio, coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_word_ratio FROM c),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_verdict()} AS failed FROM m)

@@ -2,13 +2,17 @@
 
 ``BOUNDS`` lists, for each measured ratio, the range that a kept document stays
 in.  ``quality`` compiles the measures and the table into column expressions; no
-user function runs.  Work and memory are bounded by the single text: repeated
-word windows are found by sorting packed longs (window hash above, position
-below), which is n log n for any text length.  A text of more than
-``LONG`` words leaves the hash too few bits of one long; its windows are sorted
-by a whole hash first and the packed long of a second hash after it.
+user function runs.  Work and memory are bounded by the single text: 3-word
+windows are sorted as packed longs (window hash above, position below), which is
+n log n for any text length; a text of more than ``LONG`` words leaves the hash
+too few bits of one long, so its windows are sorted by a whole hash first and
+the packed long of a second hash after it.
 
-Null text has no words: all counts are 0 and the base rule fails it.
+Counts are exact: windows with equal hashes are compared word by word, and a text
+in which two different windows share a hash sorts the windows themselves.
+
+Null text has no words: all counts are 0 and the base rule fails it.  Columns of
+``documents`` that bear the name of a measure are replaced by it; no other changes.
 """
 
 from __future__ import annotations
@@ -36,31 +40,61 @@ LONG = 20_000
 SPACE = " \t\n\x0b\f\r"
 
 
-def _sorted_windows(hashes: Column, n: Column) -> tuple[Column, Column]:
-    """Sorted longs of the text's 3-word windows, hash above and position below, and the mask of the hash.
+def _three(words: Column, i: Column) -> list[Column]:
+    return [F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)]
+
+
+def _mask(n: Column) -> Column:
+    """Mask of a hash whose low bits hold a position below ``n``."""
+    return F.call_function("shiftleft", F.lit(-1).cast("long"), F.ceil(F.log2(n + 1)).cast("int"))
+
+
+def _starts(n: Column) -> Column:
+    return F.sequence(F.lit(0), (n - 3).cast("int"))
+
+
+def _states(windows: Column, words: Column, key, place) -> Column:
+    """Of sorted windows: 0 where the hash differs from the one before, 1 where the window is the same, 2 where only the hash is."""
+
+    def state(x: Column, i: Column) -> Column:
+        before = F.get(windows, i - 1)
+        p, q = place(x), place(before)
+        equal = (F.get(words, p) == F.get(words, q)) & (F.get(words, p + 1) == F.get(words, q + 1)) & (F.get(words, p + 2) == F.get(words, q + 2))
+        return F.when((i == 0) | (key(x) != key(before)), 0).when(equal, 1).otherwise(2)
+
+    return F.transform(windows, state)
+
 
-    The position takes as many low bits as this text needs.
-    """
-    windows = n - 2
-    bits = F.ceil(F.log2(n + 1)).cast("int")
-    keep = F.call_function("shiftleft", F.lit(-1).cast("long"), bits)
-    packed = F.transform(F.sequence(F.lit(0), (windows - 1).cast("int")), lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)).bitwiseAND(keep).bitwiseOR(i.cast("long")))
-    return F.sort_array(packed), keep
+def _places(windows: Column, states: Column, place) -> Column:
+    """Positions of windows that stand beside an equal one; null where hashes mislead."""
+    hit = F.filter(windows, lambda x, i: (F.get(states, i) == 1) | F.coalesce(F.get(states, i + 1) == 1, F.lit(False)))
+    return F.when(~F.array_contains(states, 2), F.transform(hit, place))
 
 
-def _long_windows(words: Column, n: Column) -> Column:
-    """Sorted ``h, p`` of a long text's 3-word windows: a hash, and a second one with the position below."""
-    bits = F.ceil(F.log2(n + 1)).cast("int")
-    keep = F.call_function("shiftleft", F.lit(-1).cast("long"), bits)
-    three = lambda i: [F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)]
-    rows = F.transform(F.sequence(F.lit(0), (n - 3).cast("int")), lambda i: F.struct(F.xxhash64(*three(i)).alias("h"), F.xxhash64(F.lit("second"), *three(i)).bitwiseAND(keep).bitwiseOR(i.cast("long")).alias("p")))
-    return F.sort_array(rows)
+def _with_repeats(df: DataFrame) -> DataFrame:
+    """``_at``: sorted positions of the 3-word windows of ``_words`` that occur more than once."""
+    n, words, keep = F.col("n_words"), F.col("_words"), F.col("_keep")
+    df = df.withColumn("_keep", _mask(n)).withColumn("_h", F.when(n <= LONG, F.transform("_words", lambda w: F.xxhash64(w))))
+    low = lambda x: x.bitwiseAND(F.bitwise_not(keep)).cast("int")
+    packed = F.transform(_starts(n), lambda i: F.xxhash64(*_three(F.col("_h"), i)).bitwiseAND(keep).bitwiseOR(i.cast("long")))
+    df = df.withColumn("_p", F.when((n > 3) & (n <= LONG), F.sort_array(packed)))
+    df = df.withColumn("_s", _states(F.col("_p"), words, lambda x: x.bitwiseAND(keep), low))
+    df = df.withColumn("_at", _places(F.col("_p"), F.col("_s"), low))
+    two = F.transform(_starts(n), lambda i: F.struct(F.xxhash64(*_three(words, i)).alias("h"), F.xxhash64(F.lit("second"), *_three(words, i)).bitwiseAND(keep).bitwiseOR(i.cast("long")).alias("p")))
+    df = df.withColumn("_p", F.when(n > LONG, F.sort_array(two)))
+    df = df.withColumn("_s", _states(F.col("_p"), words, lambda x: F.struct(x["h"], x["p"].bitwiseAND(keep)), lambda x: low(x["p"])))
+    df = df.withColumn("_at", F.coalesce("_at", _places(F.col("_p"), F.col("_s"), lambda x: low(x["p"]))))
+    # words hold no line feed, so joined words are equal only if the words are
+    whole = F.transform(_starts(n), lambda i: F.struct(F.concat_ws("\n", *_three(words, i)).alias("w"), i.alias("p")))
+    df = df.withColumn("_p", F.when(F.col("_at").isNull() & (n > 3), F.sort_array(whole)))
+    df = df.withColumn("_s", _states(F.col("_p"), words, lambda x: x["w"], lambda x: x["p"]))
+    return df.withColumn("_at", F.sort_array(F.coalesce("_at", _places(F.col("_p"), F.col("_s"), lambda x: x["p"]))))
 
 
 def quality(documents: DataFrame, bounds: dict[str, tuple[float | None, float | None]] = BOUNDS) -> DataFrame:
     """``documents`` with the measures, ``base_failed``, ``failed`` (names of broken bounds) and ``kept``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = documents.withColumn("_words", F.split(F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", ""), f"[{SPACE}]+"))
+    df = documents.withColumn("_words", F.split(F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", ""), f"[{SPACE}]+"))
     df = df.withColumn("_words", F.when(F.get("_words", F.lit(0)) == "", F.array().cast("array<string>")).otherwise(F.col("_words")))
     df = df.withColumn("n_words", F.size("_words").cast("long"))
     df = df.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
@@ -68,18 +102,8 @@ def quality(documents: DataFrame, bounds: dict[str, tuple[float | None, float |
     df = df.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
     df = df.withColumn("n_lines", F.size("_lines").cast("long"))
     df = df.withColumn("n_dup_lines", F.col("n_lines") - F.size(F.array_distinct("_lines")))
-    df = df.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
-    packed, keep = _sorted_windows(F.col("_h"), F.col("n_words"))
-    df = df.withColumn("_p", F.when((F.col("n_words") > 3) & (F.col("n_words") <= LONG), packed))
-    df = df.withColumn("_keep", keep)
-    same = lambda i, j: F.get("_p", i).bitwiseAND(F.col("_keep")) == F.get("_p", j).bitwiseAND(F.col("_keep"))
-    hit = F.filter("_p", lambda x, i: same(i, i + 1) | ((i > 0) & same(i, F.greatest(i - 1, F.lit(0)))))
-    df = df.withColumn("_q", F.when(F.col("n_words") > LONG, _long_windows(F.col("_words"), F.col("n_words"))))
-    alike = lambda i, j: (F.get("_q", i)["h"] == F.get("_q", j)["h"]) & (F.get("_q", i)["p"].bitwiseAND(F.col("_keep")) == F.get("_q", j)["p"].bitwiseAND(F.col("_keep")))
-    long_hit = F.transform(F.filter("_q", lambda x, i: alike(i, i + 1) | ((i > 0) & alike(i, F.greatest(i - 1, F.lit(0))))), lambda x: x["p"])
-    hit = F.when(F.col("n_words") > LONG, long_hit).otherwise(hit)
-    df = df.withColumn("_at", F.sort_array(F.transform(hit, lambda x: x.bitwiseAND(F.bitwise_not("_keep")))))
-    covered = F.aggregate(F.transform("_at", lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("_at", i + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda s, x: s + x)
+    df = _with_repeats(df)
+    covered = F.aggregate(F.transform("_at", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("_at", i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda s, x: s + x)
     df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     lines = lambda pattern: F.size(F.filter("_lines", lambda x: x.rlike(pattern)))
@@ -88,8 +112,8 @@ def quality(documents: DataFrame, bounds: dict[str, tuple[float | None, float |
         "mean_word_length": share(F.col("word_chars"), F.col("n_words")),
         "symbol_word_ratio": share(F.col("n_symbols"), F.col("n_words")),
         "stop_word_count": F.size(F.filter("_words", lambda w: F.lower(w).isin(*STOP_WORDS))),
-        "bullet_line_ratio": share(lines(r"^\s*[-*•]\s"), F.col("n_lines")),
-        "ellipsis_line_ratio": share(lines(r"(\.\.\.|…)\s*$"), F.col("n_lines")),
+        "bullet_line_ratio": share(lines(rf"^[{SPACE}]*[-*•][{SPACE}]"), F.col("n_lines")),
+        "ellipsis_line_ratio": share(lines(rf"(\.\.\.|…)[{SPACE}]*\z"), F.col("n_lines")),
         "dup_line_ratio": share(F.col("n_dup_lines"), F.col("n_lines")),
         "repeat_word_ratio": share(F.col("n_repeat_words"), F.col("n_words")),
     }
@@ -100,7 +124,7 @@ def quality(documents: DataFrame, bounds: dict[str, tuple[float | None, float |
     df = df.withColumn("failed", F.array_compact(F.array(*broken)))
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     df = df.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
-    return df.drop("_words", "_lines", "_h", "_p", "_q", "_keep", "_at")
+    return df.drop("_words", "_lines", "_h", "_p", "_s", "_keep", "_at")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
