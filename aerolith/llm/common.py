@@ -7,7 +7,6 @@ a Python call per word.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +14,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut
+
+__all__ = ["BLOCK_BYTES", "RangeHash", "Seen", "blocks", "crc_bucket", "cut", "fresh", "join_hot", "mix", "read", "signed"]
+
 #: Bytes of text that one numpy pass lays out together.
 BLOCK_BYTES = 1 << 20
+#: Rows from which a key's join is salted, and over how many tasks.
+HOT_ROWS, SALTS = 100_000, 64
 
 _U64 = np.uint64
 
@@ -25,16 +30,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have: ``name`` with underscores before it."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
 
-    The folder is the session's ``spark.checkpoint.dir``; only where the session
-    names none (tests, a laptop) a temporary folder is set.
+def join_hot(rows: DataFrame, told: DataFrame, key: str, count: str, spread: str) -> DataFrame:
+    """``rows`` with the columns of ``told``, one row a ``key``, whose ``count`` says how many rows a key has.
+
+    Keys of more than HOT_ROWS rows meet salted by ``spread``, so the rows of one key are dealt to
+    SALTS tasks; told's rows of those keys, few by their count, are repeated as often.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint()
+    salt, is_hot = fresh(rows, "_salt"), fresh(rows, "_is_hot")
+    hot = told.filter(F.col(count) > HOT_ROWS).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn(is_hot, F.lit(True))
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    met = dealt.join(hot, [key, salt], "left")
+    rest = met.filter(F.col(is_hot).isNull()).select(*rows.columns).join(told.filter(F.col(count) <= HOT_ROWS), key)
+    return met.filter(is_hot).drop(salt, is_hot).unionByName(rest)
 
 
 def crc_bucket(doc_id: str | Column, modulus: int) -> Column:
@@ -98,3 +113,44 @@ class RangeHash:
 def signed(x: np.ndarray) -> np.ndarray:
     """uint64 as Spark's long."""
     return x.view(np.int64)
+
+
+class Seen:
+    """Places at which repeated keys of two longs were first met in a task, at most ``most`` of them.
+
+    ``later`` tells the rows of a block that have an earlier (doc, place) with the same keys, in the
+    block or among the keys that an earlier block of the task held twice or more.  A key that a large
+    share of all documents hold so leaves a task about once, not once a block.  What is not
+    remembered is told after the shuffle.
+    """
+
+    def __init__(self, most: int = 1 << 18):
+        self.most = most
+        self.keys: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def later(self, doc: np.ndarray, place: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+        n = len(doc)
+        order = np.lexsort((place, doc, k2, k1))
+        same = (k1[order][1:] == k1[order][:-1]) & (k2[order][1:] == k2[order][:-1])
+        start = np.flatnonzero(np.append(True, ~same)[:n])
+        lead = np.repeat(order[start], np.diff(np.append(start, n)))
+        gone = np.zeros(n, bool)
+        gone[order] = (doc[lead] != doc[order]) | (place[lead] != place[order])
+        found = self.keys.get
+        leads = order[start]
+        size = np.diff(np.append(start, n))
+        names = list(zip(k1[leads].tolist(), k2[leads].tolist()))
+        if self.keys:
+            for i, name, row in zip(range(len(names)), names, leads.tolist()):
+                held = found(name)
+                if held is not None:
+                    if held < (int(doc[row]), int(place[row])):
+                        some = order[start[i] : start[i] + size[i]]
+                        gone[some] = (doc[some] != held[0]) | (place[some] != held[1])
+                    else:
+                        self.keys[name] = int(doc[row]), int(place[row])
+        for i in np.flatnonzero(size > 1).tolist():
+            if len(self.keys) >= self.most:
+                break
+            self.keys.setdefault(names[i], (int(doc[leads[i]]), int(place[leads[i]])))
+        return gone

@@ -1,14 +1,17 @@
 """Operator 8: secret scan with corpus-wide ownership frequency.
 
 Patterns give candidates; each candidate value's hash is counted over the whole
-corpus by distinct documents and by distinct owners (the ``owner`` column).  A value
-that many owners carry is a copied example; one that a single owner carries looks
-live.  Besides the base kinds (assign, access, hex) long mixed tokens are
-candidates, and those of one owner are reported as kind ``owned``.
-
-Values are counted per (hash, owner) before they meet per hash, so a value that a
-third of all documents carry does not gather in one task.  Only hashes of values
-are shuffled.  Null text is empty; a null owner counts as one owner.
+corpus by distinct documents (the repositories) and by distinct owners (the
+``owner`` column).  A value that many owners or many documents carry is a copied
+example; one that a single owner carries in few documents looks live; the rest is
+unclear.  Besides the base kinds (assign, access, hex) long mixed tokens are
+candidates, and those that look live are reported as kind ``owned``.
+
+Values are counted per (hash, owner, document), then per (hash, owner), then per
+hash, so a value that a third of all documents carry does not gather in one task,
+and the verdicts of such values are joined back salted.  Only hashes of values are
+shuffled.  Null text is empty; a null owner counts as one owner, and the documents
+of one owner without an id as one document.  Repeated rows count as one document.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, join_hot, read
 
 # Base kinds in their order, words that name an assigned secret.
 KINDS = ("assign", "access", "hex", "owned")
@@ -33,8 +36,8 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}")
 _NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
-#: Owners up to which a value looks live, and from which it is a copied example.
-LIVE_OWNERS, EXAMPLE_OWNERS, MIN_ENTROPY = 1, 3, 3.5
+#: Owners and documents up to which a value looks live, and from which it is a copied example.
+LIVE_OWNERS, EXAMPLE_OWNERS, LIVE_DOCS, EXAMPLE_DOCS, MIN_ENTROPY = 1, 3, 5, 20, 3.5
 
 
 def entropy(value: str) -> float:
@@ -69,22 +72,27 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def ownership(scanned: DataFrame) -> DataFrame:
     """``hash, n_docs, n_owners`` of every candidate value of ``scanned(doc_id, owner, found)``."""
-    one = scanned.select("owner", F.explode(F.array_distinct("found.hash")).alias("hash"))
+    one = scanned.select("doc_id", "owner", F.explode("found.hash").alias("hash")).distinct()
     by_owner = one.groupBy("hash", "owner").agg(F.count("*").alias("n"))
     return by_owner.groupBy("hash").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_owners"))
 
 
-def scan_secrets(documents: DataFrame, owner: str = "source", live_owners: int = LIVE_OWNERS, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def verdict(n_docs: Column, n_owners: Column, live_owners: int, example_owners: int, live_docs: int, example_docs: int) -> Column:
+    copied = (n_owners >= example_owners) | (n_docs >= example_docs)
+    return F.when(copied, "example").when((n_owners <= live_owners) & (n_docs <= live_docs), "live").otherwise("unclear")
+
+
+def scan_secrets(documents: DataFrame, owner: str = "source", live_owners: int = LIVE_OWNERS, example_owners: int = EXAMPLE_OWNERS, live_docs: int = LIVE_DOCS, example_docs: int = EXAMPLE_DOCS) -> DataFrame:
     """Per row of ``documents(doc_id, text, <owner>)``: doc_id, spans (start, end, kind, verdict).
 
-    The verdict is ``live``, ``example`` or ``unclear`` by the value's number of owners; spans of kind
-    ``owned`` are there only if they look live.
+    The verdict is ``live``, ``example`` or ``unclear`` by the value's numbers of documents and owners;
+    spans of kind ``owned`` are there only if they look live.
     """
     docs = documents.select("doc_id", "text", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"))
     scanned = cut(docs.mapInPandas(_scan, "doc_id long, owner string, found array<struct<start:int,end:int,kind:string,hash:string>>"))
-    verdict = F.when(F.col("n_owners") <= live_owners, "live").when(F.col("n_owners") >= example_owners, "example").otherwise("unclear")
-    told = ownership(scanned).select("hash", verdict.alias("verdict"))
-    of_doc = scanned.select("doc_id", F.explode(F.array_distinct("found.hash")).alias("hash")).join(told, "hash")
+    counts = cut(ownership(scanned))
+    told = counts.select("hash", "n_docs", verdict(F.col("n_docs"), F.col("n_owners"), live_owners, example_owners, live_docs, example_docs).alias("verdict"))
+    of_doc = join_hot(scanned.select("doc_id", F.explode(F.array_distinct("found.hash")).alias("hash")), told.filter("verdict <> 'unclear'"), "hash", "n_docs", "doc_id")
     of_doc = of_doc.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.when(F.col("verdict") == "live", F.col("hash"))).alias("_live"), F.collect_set(F.when(F.col("verdict") == "example", F.col("hash"))).alias("_example"))
     out = scanned.join(of_doc, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.size("found") > 0), "left")
     which = lambda x: F.when(F.array_contains("_live", x["hash"]), "live").when(F.array_contains("_example", x["hash"]), "example").otherwise("unclear")

@@ -112,3 +112,38 @@ def secrets(text):
     found.sort(key=lambda x: (x[0], ("assign", "access", "hex").index(x[2])))
     count = Counter(x[2] for x in found)
     return count["assign"], count["access"], count["hex"], sha(",".join(f"{k}:{s}:{e}" for s, e, k in found).encode())
+
+
+def secret_spans(docs, live_owners=1, example_owners=3, live_docs=5, example_docs=20):
+    """``spans, n_live, n_example`` of each (doc_id, text, owner), from values counted over all of them."""
+    from math import log2
+
+    def found(text):
+        out = [(m.start(), m.end(), "assign", m[2]) for m in re.finditer(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.I | re.A) if len(m[2]) >= 8]
+        out += [(m.start(), m.end(), "access", m[0]) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        out += [(m.start(), m.end(), "hex", m[0]) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+        taken = {i for s, e, _, _ in out for i in range(s, e)}
+        for m in re.finditer(r"[A-Za-z0-9+/_-]+", text):
+            t, n = m[0], len(m[0])
+            # a token is 20 to any number of characters with a digit and a letter, and of some variety
+            if n >= 20 and any(c.isdigit() for c in t) and any(c.isalpha() for c in t) and -sum(t.count(c) / n * log2(t.count(c) / n) for c in set(t)) >= 3.5 and taken.isdisjoint(range(m.start(), m.end())):
+                out.append((m.start(), m.end(), "owned", t))
+        return sorted(out, key=lambda x: (x[0], ("assign", "access", "hex", "owned").index(x[2])))
+
+    holders, spans = defaultdict(set), [(d, found(t or "")) for d, t, _ in docs]
+    for (d, _, owner), (_, some) in zip(docs, spans):
+        for *_, value in some:
+            holders[value].add((owner or "", d))
+
+    def verdict(value):
+        n_docs, n_owners = len(holders[value]), len({o for o, _ in holders[value]})
+        if n_owners >= example_owners or n_docs >= example_docs:
+            return "example"
+        return "live" if n_owners <= live_owners and n_docs <= live_docs else "unclear"
+
+    out = {}
+    for d, some in spans:
+        told = [(s, e, k, verdict(v)) for s, e, k, v in some]
+        told = [x for x in told if x[2] != "owned" or x[3] == "live"]
+        out[d] = ",".join(f"{k}:{s}:{e}" for s, e, k, _ in told), sum(x[3] == "live" for x in told), sum(x[3] == "example" for x in told)
+    return out

@@ -195,6 +195,17 @@ def test_secret_ownership(spark):
     assert [(s["kind"], s["verdict"]) for s in got[3]] == [("assign", "example")]
 
 
+def test_secrets_of_one_owner_in_many_documents_are_examples(spark, monkeypatch):
+    rows = [(i, "token = abcdefgh1234", "a") for i in range(30)] + [(i, "token = zyxwvuts9876", "a") for i in range(100, 104)] + [(104, "token = zyxwvuts9876", "a")] * 9
+    rows += [(i, "token = qponmlkj5555", "a") for i in range(200, 210)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    told = lambda: {r["doc_id"]: r["spans"][0]["verdict"] for r in scan_secrets(docs).collect()}
+    want = {**dict.fromkeys(range(30), "example"), **dict.fromkeys(range(100, 105), "live"), **dict.fromkeys(range(200, 210), "unclear")}
+    assert told() == want
+    monkeypatch.setattr("aerolith.llm.common.HOT_ROWS", 3)  # the salted way
+    assert told() == want
+
+
 def test_quality_measures_keep_other_columns(spark):
     docs = spark.createDataFrame([(1, "a b a b a b", "x")], "doc_id long, text string, mine string")
     row = quality(docs).first()

@@ -56,6 +56,10 @@ def test_secrets(spark, sf, docs):
     got, n = rows(spark, sf, "op8_secret_scan")
     assert n == len(docs)
     assert {d: (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for d, r in got.items()} == {d: brute.secrets(t) for d, t in docs}
+    owners = [(r["doc_id"], r["text"], r["source"]) for r in read(spark, sf, "documents").select("doc_id", "text", "source").collect()]
+    want = brute.secret_spans(owners)
+    assert {d: (r["spans"], r["n_live"], r["n_example"]) for d, r in got.items()} == want
+    assert any(x[1] for x in want.values())  # no value of this table is in many documents; tests/llm/test_edges.py has such
 
 
 def test_bpe(spark, sf, docs):
