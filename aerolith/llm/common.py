@@ -11,12 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shared import cut
 
-__all__ = ["BLOCK_BYTES", "RangeHash", "Seen", "blocks", "crc_bucket", "cut", "fresh", "join_hot", "mix", "read", "signed"]
+__all__ = ["BLOCK_BYTES", "RangeHash", "Seen", "blocks", "crc_bucket", "cut", "fresh", "join_hot", "mix", "numbered", "read", "signed"]
 
 #: Bytes of text that one numpy pass lays out together.
 BLOCK_BYTES = 1 << 20
@@ -38,7 +38,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def join_hot(rows: DataFrame, told: DataFrame, key: str, count: str, spread: str) -> DataFrame:
+def join_hot(rows: DataFrame, told: DataFrame, key: list[str], count: str, spread: str) -> DataFrame:
     """``rows`` with the columns of ``told``, one row a ``key``, whose ``count`` says how many rows a key has.
 
     Keys of more than HOT_ROWS rows meet salted by ``spread``, so the rows of one key are dealt to
@@ -47,11 +47,27 @@ def join_hot(rows: DataFrame, told: DataFrame, key: str, count: str, spread: str
     salt, is_hot = fresh(rows, "_salt"), fresh(rows, "_is_hot")
     hot = told.filter(F.col(count) > HOT_ROWS).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn(is_hot, F.lit(True))
     dealt = rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    met = dealt.join(hot, [key, salt], "left")
+    met = dealt.join(hot, [*key, salt], "left")
     rest = met.filter(F.col(is_hot).isNull()).select(*rows.columns).join(told.filter(F.col(count) <= HOT_ROWS), key)
     return met.filter(is_hot).drop(salt, is_hot).unionByName(rest)
 
 
+def numbered(documents: DataFrame, column: str) -> DataFrame:
+    """``documents`` with ``column``: 0, or the place of the row's text among the different texts of its doc_id, by hash.
+
+    One small aggregate tells whether any doc_id has several texts; only those rows are looked at again.
+    """
+    th = F.xxhash64("text")
+    spread = documents.filter("doc_id is not null").groupBy("doc_id").agg(F.min(th).alias("a"), F.max(th).alias("b")).filter("a <> b").select("doc_id")
+    several = cut(documents.select("doc_id", th.alias("th")).join(spread, "doc_id", "left_semi").distinct())
+    if several.isEmpty():
+        return documents.withColumn(column, F.lit(0))
+    doc, hashed = fresh(documents, "_id"), fresh(documents, "_th")
+    place = several.withColumn(column, F.row_number().over(Window.partitionBy("doc_id").orderBy("th")) - 1).select(F.col("doc_id").alias(doc), F.col("th").alias(hashed), column)
+    out = documents.join(place, (F.col("doc_id") == F.col(doc)) & (th == F.col(hashed)), "left").drop(doc, hashed)
+    return out.withColumn(column, F.coalesce(column, F.lit(0)))
+
+
 def crc_bucket(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null ids fall in bucket 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % modulus
@@ -118,39 +134,40 @@ def signed(x: np.ndarray) -> np.ndarray:
 class Seen:
     """Places at which repeated keys of two longs were first met in a task, at most ``most`` of them.
 
-    ``later`` tells the rows of a block that have an earlier (doc, place) with the same keys, in the
-    block or among the keys that an earlier block of the task held twice or more.  A key that a large
-    share of all documents hold so leaves a task about once, not once a block.  What is not
-    remembered is told after the shuffle.
+    ``later`` tells the rows of a block whose keys also have an earlier place (columns, compared in
+    order), in the block or among the keys that an earlier block of the task held twice or more.  A key
+    that a large share of all documents hold so leaves a task about once, not once a block.  What is
+    not remembered is told after the shuffle.
     """
 
     def __init__(self, most: int = 1 << 18):
         self.most = most
-        self.keys: dict[tuple[int, int], tuple[int, int]] = {}
+        self.keys: dict[tuple[int, int], tuple[int, ...]] = {}
 
-    def later(self, doc: np.ndarray, place: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
-        n = len(doc)
-        order = np.lexsort((place, doc, k2, k1))
+    def later(self, place: list[np.ndarray], k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+        n = len(k1)
+        order = np.lexsort((*reversed(place), k2, k1))
         same = (k1[order][1:] == k1[order][:-1]) & (k2[order][1:] == k2[order][:-1])
         start = np.flatnonzero(np.append(True, ~same)[:n])
-        lead = np.repeat(order[start], np.diff(np.append(start, n)))
-        gone = np.zeros(n, bool)
-        gone[order] = (doc[lead] != doc[order]) | (place[lead] != place[order])
-        found = self.keys.get
-        leads = order[start]
         size = np.diff(np.append(start, n))
-        names = list(zip(k1[leads].tolist(), k2[leads].tolist()))
+        leads = order[start]
+        lead = np.repeat(leads, size)
+        gone = np.zeros(n, bool)
+        for p in place:
+            gone[order] |= p[lead] != p[order]
+        twice = np.flatnonzero(size > 1)
+        names = zip(k1[leads].tolist(), k2[leads].tolist())
         if self.keys:
-            for i, name, row in zip(range(len(names)), names, leads.tolist()):
-                held = found(name)
-                if held is not None:
-                    if held < (int(doc[row]), int(place[row])):
-                        some = order[start[i] : start[i] + size[i]]
-                        gone[some] = (doc[some] != held[0]) | (place[some] != held[1])
-                    else:
-                        self.keys[name] = int(doc[row]), int(place[row])
-        for i in np.flatnonzero(size > 1).tolist():
-            if len(self.keys) >= self.most:
-                break
-            self.keys.setdefault(names[i], (int(doc[leads[i]]), int(place[leads[i]])))
+            for i, name in enumerate(names):
+                held = self.keys.get(name)
+                if held is None:
+                    continue
+                row = tuple(int(p[leads[i]]) for p in place)
+                if held > row:
+                    self.keys[name] = row
+                else:
+                    for k in order[start[i] : start[i] + size[i]]:
+                        gone[k] = tuple(int(p[k]) for p in place) != held
+        for i in twice[: max(self.most - len(self.keys), 0)].tolist():
+            self.keys.setdefault((int(k1[leads[i]]), int(k2[leads[i]])), tuple(int(p[leads[i]]) for p in place))
         return gone

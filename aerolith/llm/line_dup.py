@@ -1,27 +1,35 @@
-"""Operator 6: removal of repeated runs of lines by winnowing.
-
-A window is the shortest run of whole lines from a line on with ``MIN_WORDS`` words.
-A line goes if it lies in a window that also starts earlier in the corpus (smaller
-doc_id, or same document and earlier line); this is what the SQL of the operator
-says.  Lines are equal if they are after trimming white space.
-
-That rule leaves the tail of a repeated run: of lines of 60 and 20 words the second
-opens no window of its own.  With ``whole_runs`` every line of every repeated run of
-MIN_WORDS words or more goes, a run being one that starts and ends with a line that
-has words.  The shortest runs that *end* at a line are windows too then: a line of
-a repeated run either lies in the window that opens the run, or the shortest run
-that ends at it lies in the run, and is repeated with it.  (Blank lines between two
-lines that are windows alone get the run over both.)  So the union of the repeated
-windows is the union of all repeated runs, without extending a match line by line,
-and whichever earlier copy a part of the run agrees with.
-
-The smallest line hash of a window is its fingerprint; windows meet by fingerprint
-and content.
-
-Before the shuffle a block of texts settles what repeats inside it, so a passage in
-a third of all documents sends one row a block.  Null text has no lines; a null
-doc_id takes no part and stays as it is.  A text that loses all lines is empty, its
-row stays.
+"""Operator 6: removal of repeated runs of lines by winnowing over line hashes.
+
+A run is a sequence of whole lines that starts and ends with a line that has words
+and holds ``MIN_WORDS`` words or more.  Every line goes that lies in a run which also
+starts earlier in the corpus (smaller doc_id, or same document and earlier line).
+Lines are equal if they are after trimming white space.
+
+1. Index.  One pass over the texts keeps the 128-bit hash and the number of words of
+   each line; from here on no text is read until lines are cut out.
+2. Winnow.  A window is the shortest run from a line on.  Of each window the smallest
+   line hash (the last of equal ones) is selected; equal windows select alike, so two
+   equal runs are sure to share a selected position.  Positions that several windows
+   select are one row.
+3. Join.  A selected hash that stands at a single position of the corpus is no match.
+   The positions of the others go back to the line index of their document.
+4. Extend.  From each window with a matched position the match grows both ways: on to
+   the shortest run from its start, back from every line at which a run that opens
+   there is first long enough, and over blank lines between two lines that are long
+   enough alone.  A line of a repeated run of any length lies in one of these, and
+   they are repeated with the run, so their union is the union of all repeated runs,
+   whichever earlier copy each part of a run agrees with.  (Growing against the
+   earliest copy only would lose what a third copy shares with the second alone;
+   growing against all copies would be all pairs of a group.)
+5. Delete.  Grown runs meet by content, each against the earliest place of its content;
+   lines of later ones go.
+
+What repeats inside a task is settled there, so a passage in a third of all documents
+sends about one row a task to step 5; earliest places are combined before the shuffle
+and joined back salted.  Null text has no lines; a null doc_id takes no part and stays
+as it is.  Rows that share doc_id and text are one document, rows that share only the
+doc_id are several, in the order of a hash of their texts.  A text that loses all lines
+is empty, its row stays.
 """
 
 from __future__ import annotations
@@ -31,84 +39,135 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, read, signed
-from .substring_dup import _later_copies, _spread
+from .common import Seen, blocks, cut, fresh, join_hot, numbered, read
 
 MIN_WORDS, BLOCK = 50, 8 << 20
+_INDEX = "doc_id long, copy int, hashes binary, words binary"
+_RUN = "c1 long, c2 long, doc_id long, copy int, first int, last int, gone boolean"
 
 
-def windows(text: bytes, min_words: int, whole_runs: bool = False) -> list[tuple[int, int, int, int]]:
-    """``fingerprint, content hash, first line, last line`` of each window; with ``whole_runs`` also of those that end at a line."""
+def line_index(text: bytes) -> tuple[bytes, np.ndarray]:
+    """128-bit hashes of the trimmed lines, one after another, and their numbers of words."""
     lines = [x.strip() for x in text.split(b"\n")]
-    n = np.array([len(x.split()) for x in lines])
-    total = np.concatenate([[0], np.cumsum(n)])
-    if total[-1] < min_words:
-        return []
-    hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64)
-    last = np.searchsorted(total, total[:-1] + min_words) - 1  # total[last + 1] is the first to reach it
-    spans = [(i, int(j)) for i, j in enumerate(last) if j < len(lines) and n[i]]  # a window starts and ends with a line that has words
-    if whole_runs:
-        first = np.searchsorted(total, total[1:] - min_words, "right") - 1  # total[first] is the last that leaves enough
-        worded = np.flatnonzero(n)
-        apart = zip(worded[:-1].tolist(), worded[1:].tolist())
-        spans = sorted({*spans, *((int(i), j) for j, i in enumerate(first) if i >= 0 and n[j]), *((i, j) for i, j in apart if j > i + 1 and n[i] >= min_words <= n[j])})
-    out = []
-    for i, j in spans:
-        run = hashes[i : j + 1]
-        out.append((int(run.min()), xxhash.xxh3_64_intdigest(run.tobytes()), i, j))
-    return out
-
-
-def _rows(min_words: int, whole_runs: bool):
+    return b"".join(map(xxhash.xxh3_128_digest, lines)), np.fromiter((len(x.split()) for x in lines), np.uint32, len(lines))
+
+
+def _index(min_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids = pdf["doc_id"].to_numpy(np.int64)
             for first, last, texts in blocks(pdf, limit=BLOCK):
-                found = [(doc, *w) for doc, text in zip(ids[first:last], texts) for w in windows(text, min_words, whole_runs)]
-                if not found:
-                    continue
-                doc, fp, content, i, j = (np.array(x, np.uint64 if k in (1, 2) else np.int64) for k, x in enumerate(zip(*found)))
-                gone = _later_copies(doc, i, fp, content)
-                yield pd.DataFrame({"fingerprint": np.where(gone, _spread(doc, i), signed(fp)), "content": signed(content), "doc_id": doc, "first": i, "last": j, "gone": gone})
+                found = [line_index(t) for t in texts]
+                held = [i for i, (_, n) in enumerate(found) if n.sum() >= min_words]
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].array[first:last][held], "copy": pdf["copy"].array[first:last][held], "hashes": [found[i][0] for i in held], "words": [found[i][1].tobytes() for i in held]})
 
     return run
 
 
-def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
-    """``doc_id, runs`` of documents with repeated lines; a run is struct(first, last), from 0; runs may overlap."""
-    docs = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    rows = docs.mapInPandas(_rows(min_words, whole_runs), "fingerprint long, content long, doc_id long, first long, last long, gone boolean")
-    order = Window.partitionBy("fingerprint", "content").orderBy("doc_id", "first")
-    hits = rows.withColumn("place", F.rank().over(order)).filter("gone or place > 1")
-    return hits.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("runs"))
+def _windows(hashes: bytes, words: bytes, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words a line and before it, last line of the window that opens at each line (-1: none), line that it selects."""
+    n = np.frombuffer(words, np.uint32).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(n)])
+    last = np.searchsorted(total, total[:-1] + min_words) - 1  # total[last + 1] is the first to reach it
+    last[(last >= len(n)) | (n == 0)] = -1
+    key = np.frombuffer(hashes, ">u8")[::2]
+    chosen = np.full(len(n), -1)
+    for i in np.flatnonzero(last >= 0):
+        j = last[i]
+        chosen[i] = j - key[i : j + 1][::-1].argmin()
+    return n, total, last, chosen
 
 
-def remove_repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
-    """``documents`` with ``text`` without repeated lines and ``n_lines``, ``n_removed``; n_chars follows the text if it exists."""
-    runs = repeated_lines(documents, min_words, whole_runs).withColumnRenamed("runs", "_runs").withColumnRenamed("doc_id", "_doc")
-    df = documents.join(runs, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
-    # each line asks only whether the last run that starts at or before it covers it: runs come sorted by start, and by end too
-    lines = F.split("text", "\n")
-    gone = F.flatten(F.transform("_runs", lambda r: F.sequence(r["first"], r["last"])))
-    df = df.withColumn("_gone", F.when(F.col("_runs").isNotNull(), F.array_distinct(gone)))
-    df = df.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    kept = F.array_join(F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0).cast("long"), F.col("n_lines") - 1), F.col("_gone"))), lambda i: F.get(lines, i.cast("int"))), "\n")
-    df = df.withColumn("text", F.when(F.col("n_removed") > 0, kept).otherwise(F.col("text")))
-    if "n_chars" in documents.columns:
-        df = df.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return df.drop("_runs", "_gone")
+def _winnow(min_words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            docs, copies, at, prints = [], [], [], []
+            for doc, copy, hashes, words in zip(pdf["doc_id"], pdf["copy"], pdf["hashes"], pdf["words"]):
+                chosen = np.unique(_windows(hashes, words, min_words)[3])
+                chosen = chosen[chosen >= 0]
+                docs.append(np.full(len(chosen), doc))
+                copies.append(np.full(len(chosen), copy))
+                at.append(chosen)
+                prints.append(np.frombuffer(hashes, ">i8")[::2][chosen])
+            if docs:
+                doc, copy, line, fp = (np.concatenate(x).astype(np.int64) for x in (docs, copies, at, prints))
+                yield pd.DataFrame({"fingerprint": fp, "doc_id": doc, "copy": copy, "line": line})
+
+    return run
 
 
-def _digests(out: DataFrame) -> DataFrame:
-    return out.select("doc_id", "n_lines", "n_removed", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_kept"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+def grown_runs(hashes: bytes, words: bytes, marks: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """Runs ``first, last`` that the windows with a matched position in ``marks`` grow to."""
+    n, total, last, chosen = _windows(hashes, words, min_words)
+    matched = np.isin(chosen, marks) & (chosen >= 0)
+    back = np.searchsorted(total, total[1:] - min_words, "right") - 1  # total[back] is the last that leaves enough
+    spans = {(int(i), int(last[i])) for i in np.flatnonzero(matched)}
+    spans |= {(int(i), j) for j, i in enumerate(back) if i >= 0 and n[j] and matched[i]}
+    worded = np.flatnonzero(n)
+    spans |= {(i, j) for i, j in zip(worded[:-1].tolist(), worded[1:].tolist()) if j > i + 1 and n[i] >= min_words <= n[j] and matched[i]}
+    return sorted(spans)
 
 
-def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digests(remove_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text")))
+def _grow(min_words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = Seen()
+        for pdf in batches:
+            rows, names = [], []
+            for doc, copy, hashes, words, marks in zip(pdf["doc_id"], pdf["copy"], pdf["hashes"], pdf["words"], pdf["marks"]):
+                for i, j in grown_runs(hashes, words, np.asarray(marks), min_words):
+                    rows.append((doc, copy, i, j))
+                    names.append(xxhash.xxh3_128_digest(hashes[16 * i : 16 * j + 16]))
+            if rows:
+                doc, copy, first, last = np.array(rows, np.int64).T
+                c1, c2 = np.frombuffer(b"".join(names), ">i8").astype(np.int64).reshape(-1, 2).T
+                yield pd.DataFrame({"c1": c1, "c2": c2, "doc_id": doc, "copy": copy, "first": first, "last": last, "gone": seen.later([doc, copy, first], c1, c2)})
+
+    return run
 
 
-def op6_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digests(remove_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), whole_runs=True))
+def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``doc_id, copy, runs`` of ``documents(doc_id, copy, text)`` with repeated lines; a run is struct(first, last), from 0; runs may overlap."""
+    docs = documents.select("doc_id", "copy", "text").filter("doc_id is not null and text is not null")
+    index = cut(docs.mapInPandas(_index(min_words), _INDEX))
+    positions = index.mapInPandas(_winnow(min_words), "fingerprint long, doc_id long, copy int, line int")
+    # repeated rows of a document are one position
+    positions = cut(positions.distinct())
+    matched = positions.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1")
+    marks = join_hot(positions, matched, ["fingerprint"], "n", "doc_id").groupBy("doc_id", "copy").agg(F.collect_list("line").alias("marks"))
+    runs = cut(index.join(marks, ["doc_id", "copy"]).mapInPandas(_grow(min_words), _RUN))
+    open_ = runs.filter("not gone").drop("gone")
+    place = F.struct("doc_id", "copy", "first")
+    lead = open_.groupBy("c1", "c2").agg(F.min(place).alias("lead"), F.count("*").alias("n")).filter("n > 1")
+    later = join_hot(open_, lead, ["c1", "c2"], "n", "doc_id").filter(place > F.col("lead"))
+    gone = later.select("doc_id", "copy", "first", "last").unionByName(runs.filter("gone").select("doc_id", "copy", "first", "last"))
+    return gone.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("runs"))
+
+
+def remove_repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS, counts: bool = True) -> DataFrame:
+    """``documents`` with ``text`` without repeated lines; n_chars follows the text if it exists.
+
+    With ``counts`` the columns ``n_lines`` and ``n_removed`` are set; no other column changes.
+    """
+    copy, doc, same, runs, gone = (fresh(documents, x) for x in ("_copy", "_doc", "_same", "_runs", "_gone"))
+    docs = numbered(documents, copy)
+    found = repeated_lines(docs.select("doc_id", F.col(copy).alias("copy"), "text"), min_words)
+    found = found.select(F.col("doc_id").alias(doc), F.col("copy").alias(same), F.col("runs").alias(runs))
+    df = docs.join(found, (F.col("doc_id") == F.col(doc)) & (F.col(copy) == F.col(same)), "left").drop(doc, copy, same)
+    lines = F.split("text", "\n")
+    removed = F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(r["first"], r["last"]))))
+    df = df.withColumn(gone, F.when(F.col(runs).isNotNull(), removed))
+    kept = F.array_join(F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))), lambda i: F.get(lines, i)), "\n")
+    if counts:
+        df = df.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size(gone), F.lit(0)).cast("long"))
+    df = df.withColumn("text", F.when(F.col(gone).isNotNull(), kept).otherwise(F.col("text")))
+    if "n_chars" in documents.columns:
+        df = df.withColumn("n_chars", F.when(F.col(gone).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return df.drop(runs, gone)
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "n_lines", "n_removed", F.length(text).cast("long").alias("n_chars_kept"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))

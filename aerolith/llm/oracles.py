@@ -56,7 +56,9 @@ OP6 = rf"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FRO
 l AS (SELECT doc_id, unnest(range(0, len(ls))) AS i, unnest(ls) AS raw FROM d),
 n AS (SELECT *, trim(raw, {_WHITE}) AS line, len(regexp_extract_all(raw, '{_WORD}')) AS w FROM l),
 c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM n),
-win AS (SELECT a.doc_id, a.i, min(b.i) AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.w >= 50 WHERE a.w > 0 GROUP BY a.doc_id, a.i),
+fit AS (SELECT a.doc_id, a.i, b.i AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.w >= 50 WHERE a.w > 0 AND b.w > 0),
+worded AS (SELECT doc_id, i, w, lead(i) OVER v AS j, lead(w) OVER v AS next_w FROM c WHERE w > 0 WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+win AS (SELECT doc_id, i, min(j) AS j FROM fit GROUP BY doc_id, i UNION SELECT doc_id, max(i), j FROM fit GROUP BY doc_id, j UNION SELECT doc_id, i, j FROM worded WHERE j > i + 1 AND w >= 50 AND next_w >= 50),
 key AS (SELECT win.doc_id, win.i, win.j, md5(string_agg(n.line, chr(10) ORDER BY n.i)) AS x FROM win JOIN n ON n.doc_id = win.doc_id AND n.i BETWEEN win.i AND win.j GROUP BY win.doc_id, win.i, win.j),
 hit AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS r FROM key),
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM hit WHERE r > 1),
@@ -80,5 +82,6 @@ ORACLES = {
     "op3_quality_rules": OP3,
     "op5_suffix_dedup": OP5,
     "op6_line_dedup": OP6,
+    "op6_whole_runs": OP6,
     "op7_decontamination": OP7,
 }

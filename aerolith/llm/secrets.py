@@ -92,7 +92,7 @@ def scan_secrets(documents: DataFrame, owner: str = "source", live_owners: int =
     scanned = cut(docs.mapInPandas(_scan, "doc_id long, owner string, found array<struct<start:int,end:int,kind:string,hash:string>>"))
     counts = cut(ownership(scanned))
     told = counts.select("hash", "n_docs", verdict(F.col("n_docs"), F.col("n_owners"), live_owners, example_owners, live_docs, example_docs).alias("verdict"))
-    of_doc = join_hot(scanned.select("doc_id", F.explode(F.array_distinct("found.hash")).alias("hash")), told.filter("verdict <> 'unclear'"), "hash", "n_docs", "doc_id")
+    of_doc = join_hot(scanned.select("doc_id", F.explode(F.array_distinct("found.hash")).alias("hash")), told.filter("verdict <> 'unclear'"), ["hash"], "n_docs", "doc_id")
     of_doc = of_doc.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.when(F.col("verdict") == "live", F.col("hash"))).alias("_live"), F.collect_set(F.when(F.col("verdict") == "example", F.col("hash"))).alias("_example"))
     out = scanned.join(of_doc, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.size("found") > 0), "left")
     which = lambda x: F.when(F.array_contains("_live", x["hash"]), "live").when(F.array_contains("_example", x["hash"]), "example").otherwise("unclear")

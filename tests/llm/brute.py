@@ -65,19 +65,18 @@ def repeats(docs, width=100):
 
 
 def line_repeats(docs, min_words=50):
+    """n_lines, number of removed lines and digest of the rest: all lines of every run, of any length, that starts earlier too."""
     first, held, out = {}, {}, {}
     for d, t in sorted(docs):
         lines = [x.strip() for x in raw(t).split(b"\n")]
         n = [len(x.split()) for x in lines]
-        runs = []
+        held[d] = []
         for i in range(len(lines)):
             for j in range(i, len(lines)):
-                if n[i] and sum(n[i : j + 1]) >= min_words:
-                    key = tuple(lines[i : j + 1])
+                if n[i] and n[j] and sum(n[i : j + 1]) >= min_words:
+                    key = hash(tuple(lines[i : j + 1]))
                     first.setdefault(key, (d, i))
-                    runs.append((key, i, j))
-                    break
-        held[d] = runs
+                    held[d].append((key, i, j))
     for d, t in docs:
         gone = {k for key, i, j in held[d] if first[key] != (d, i) for k in range(i, j + 1)}
         lines = (t or "").split("\n")
@@ -104,6 +103,30 @@ def contamination(docs, items, width=13):
     return out
 
 
+def proximity(docs, items, width=13, span=26):
+    """Items of which all words of a window stand within ``span`` consecutive words of a text."""
+    words = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", raw(t).lower())
+    by = defaultdict(set)
+    for i, t in items:
+        w = words(t)
+        for k in range(max(1, len(w) - width + 1) if w else 0):
+            by[frozenset(w[k : k + width])].add(str(i))
+    holders = defaultdict(list)
+    for p in by:
+        for w in p:
+            holders[w].append(p)
+    out = {}
+    for d, t in docs:
+        w, found = words(t), set()
+        for k in range(len(w)):
+            near = set(w[k : k + span])
+            for p in holders.get(w[k], ()):
+                if p <= near:
+                    found |= by[p]
+        out[d] = ",".join(sorted(found))
+    return out
+
+
 def secrets(text):
     text = text or ""
     found = [(m.start(), m.end(), "assign") for m in re.finditer(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.I | re.A) if len(m[2]) >= 8]
