@@ -1,200 +1,250 @@
-"""Operator 7: benchmark decontamination with a positional inverted index.
-
-The index is split by document: every block of training texts stores the postings
-(token positions) of the terms that the benchmark uses, and answers the whole query
-set by itself, so no posting is shuffled.  A phrase is looked up from its rarest
-term in the block; the other terms' posting lists, adjusted by their offset, are
-intersected with what is left.  Proximity matches ask for all terms within a span.
-
-The query set goes to the tasks in parts of at most ``PART_WORDS`` words, so what is
-broadcast is bounded however large the benchmark is.
-
-A word is a run of digits, ASCII letters and non-ASCII characters, A-Z lower-cased.
-Null texts have no words.  Items without words match nothing; repeated item rows
-count once an item_id.
+"""Operator 7: benchmark decontamination with a distributed positional inverted index.
+
+1. Index.  One pass over the texts writes the postings as a Parquet table in the
+   shared folder: a row holds a term, a block of documents and the term's positions in
+   that block, and a row a document its place in the block and its number of words.
+   Terms that the benchmark doesn't use are left out, unless it has more than
+   ``MAX_TERMS`` of them; then all are indexed.
+2. Look up.  The index tells how often each term occurs.  Every benchmark phrase starts
+   from its rarest term: a join on the term gives the blocks that may hold it.  Phrases
+   with a term that no text has are dropped here.
+3. Intersect.  Blocks meet their candidate phrases, and each phrase intersects the
+   posting lists of its terms, adjusted by their offsets, from the block's rarest on.
+   Proximity matches ask for all terms within ``span`` consecutive words.
+4. Matches come back as one row a document, and items are joined to their phrases,
+   salted where one phrase is in very many documents.
+
+Blocks have about one size, so no join or group of the index has a hot key, and of the
+benchmark only its distinct terms, at most MAX_TERMS longs, pass through the driver.
+
+A word is a run of digits, ASCII letters and non-ASCII characters, A-Z lower-cased; a
+term is a word's 64-bit hash.  Null texts have no words.  Items without words match
+nothing; repeated item rows count once an item_id; items without an id are ignored.
+Repeated rows of the documents get the same result each, rows that share only their
+doc_id each their own.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, read
+from ..shared import scratch
+from .common import RangeHash, blocks, cut, fresh, join_hot, read, signed
 
-WIDTH, PART_WORDS = 13, 400_000
+WIDTH, SPAN = 13, 26
+#: Bytes of text in a block; distinct benchmark terms that are sent to the tasks (8 bytes each).
+BLOCK, MAX_TERMS = 4 << 20, 4_000_000
 
+_TERMS = RangeHash(70007)
 _FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-
-
-def words(text: bytes) -> list[bytes]:
-    return text.translate(_FOLD).split()
-
-
-@dataclass
-class Phrases:
-    """Query phrases of one part: ``terms[start[i] : start[i + 1]]`` are the term numbers of phrase i."""
-
-    number: dict[bytes, int]
-    terms: np.ndarray
-    start: np.ndarray
-    items: list[list[str]]  # of each phrase, the items that hold it
-
-
-def phrases(items: list[tuple[str, str]], width: int) -> Phrases:
-    number: dict[bytes, int] = {}
-    held: dict[tuple[int, ...], set[str]] = {}
-    for item, text in items:
-        ids = [number.setdefault(w, len(number)) for w in words((text or "").encode("utf-8", "surrogatepass"))]
-        for i in range(max(1, len(ids) - width + 1) if ids else 0):
-            held.setdefault(tuple(ids[i : i + width]), set()).add(item)
-    sizes = [len(p) for p in held]
-    return Phrases(number, np.array([t for p in held for t in p], np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), [sorted(x) for x in held.values()])
+_INDEX = "kind int, block long, term long, n int, first int, at binary, doc_id string, th long"
+
+
+def terms_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of all texts, one text after another, and each text's number of words."""
+    buffer = np.frombuffer(b" ".join(texts).translate(_FOLD), np.uint8)
+    edge = np.diff(np.concatenate([[False], buffer != 32, [False]]).astype(np.int8))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    sizes = np.array([len(t) + 1 for t in texts])
+    count = np.bincount(np.searchsorted(np.cumsum(sizes), start, "right"), minlength=len(texts))
+    return signed(_TERMS.of(_TERMS.prefix(buffer), start, end)), count[: len(texts)]
+
+
+def _phrases(width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for item, text in zip(pdf["item_id"], pdf["text"]):
+                terms = terms_of([text.encode("utf-8", "surrogatepass")])[0]
+                for i in range(max(1, len(terms) - width + 1) if len(terms) else 0):
+                    phrase = terms[i : i + width]
+                    p1, p2 = np.frombuffer(xxhash.xxh3_128_digest(phrase.tobytes()), np.int64).tolist()
+                    out.append((item, p1, p2, phrase.tolist()))
+            yield pd.DataFrame(out, columns=["item", "p1", "p2", "terms"])
+
+    return run
+
+
+def _index(wanted, gap: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        for pdf in batches:
+            for low, high, texts in blocks(pdf, limit=BLOCK):
+                block += 1
+                terms, sizes = terms_of(texts)
+                first = np.cumsum(sizes + gap) - sizes - gap
+                at = np.arange(len(terms)) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+                if wanted is not None:
+                    place = np.searchsorted(wanted.value, terms)
+                    held = wanted.value[np.minimum(place, len(wanted.value) - 1)] == terms if len(wanted.value) else np.zeros(len(terms), bool)
+                    terms, at = terms[held], at[held]
+                order = np.argsort(terms, kind="stable")
+                terms, at = terms[order], at[order].astype("<i4")
+                begin = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])[: len(terms)])
+                end = np.append(begin[1:], len(terms))
+                yield pd.DataFrame({"kind": 0, "block": block, "term": 0, "n": sizes, "first": first, "at": b"", "doc_id": pdf["doc_id"].array[low:high], "th": pdf["th"].array[low:high]})
+                if len(begin):
+                    lists = [at[i:j].tobytes() for i, j in zip(begin.tolist(), end.tolist())]
+                    yield pd.DataFrame({"kind": 1, "block": block, "term": terms[begin], "n": end - begin, "first": 0, "at": lists, "doc_id": None, "th": 0})
+
+    return run
 
 
 class Postings:
-    """Positions of the query's terms in a block of texts; texts are a gap of ``gap`` positions apart."""
-
-    def __init__(self, texts: list[bytes], query: Phrases, gap: int):
-        find, ids, sizes = query.number.get, [], []
-        for t in texts:
-            w = words(t)
-            sizes.append(len(w))
-            ids.append(np.fromiter(map(find, w, [-1] * len(w)), np.int64, len(w)))
-        self.sizes = np.array(sizes, np.int64)
-        self.first = np.cumsum(self.sizes + gap) - self.sizes - gap
-        at = np.concatenate([np.arange(n) + f for n, f in zip(sizes, self.first)] or [np.empty(0, np.int64)])
-        term = np.concatenate(ids) if ids else np.empty(0, np.int64)
-        at, term = at[term >= 0], term[term >= 0]
-        order = np.argsort(term, kind="stable")
-        self.at = at[order]
-        self.count = np.bincount(term, minlength=len(query.number))
-        self.begin = np.concatenate([[0], np.cumsum(self.count)])
+    """Posting lists of a block: sorted positions of each term; texts are a gap of positions apart."""
+
+    def __init__(self, terms: np.ndarray, lists: list[bytes]):
+        order = np.argsort(terms)
+        self.terms = terms[order]
+        self.lists = [np.frombuffer(lists[i], "<i4") for i in order]
 
     def of(self, term: int) -> np.ndarray:
-        return self.at[self.begin[term] : self.begin[term + 1]]
+        i = np.searchsorted(self.terms, term)
+        return self.lists[i] if i < len(self.terms) and self.terms[i] == term else np.empty(0, "<i4")
 
     def phrase(self, terms: np.ndarray) -> np.ndarray:
-        """Positions where the phrase starts."""
-        order = np.argsort(self.count[terms], kind="stable")
-        found = self.of(terms[order[0]]) - order[0]
+        """Positions where the phrase starts: lists adjusted by offset, intersected from the shortest on."""
+        lists = [self.of(t) for t in terms]
+        order = sorted(range(len(terms)), key=lambda k: len(lists[k]))
+        found = lists[order[0]].astype(np.int64) - order[0]
         for k in order[1:]:
             if not len(found):
                 break
-            other = self.of(terms[k])
+            other = lists[k]
             at = np.minimum(np.searchsorted(other, found + k), len(other) - 1)
             found = found[other[at] == found + k]
         return found
 
     def proximity(self, terms: np.ndarray, span: int) -> np.ndarray:
-        """Positions of the rarest term that have every other term at most ``span`` words away."""
-        terms = np.unique(terms)
-        order = np.argsort(self.count[terms], kind="stable")
-        found = self.of(terms[order[0]])
-        for k in order[1:]:
-            other = np.concatenate([[-(1 << 40)], self.of(terms[k]), [1 << 40]])
-            at = np.searchsorted(other, found)
-            found = found[np.minimum(other[at] - found, found - other[at - 1]) <= span]
-        return found
-
-    def text_of(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.first, at, "right") - 1
+        """Positions from which ``span`` consecutive words hold all terms, in any order; such that a term stands there."""
+        lists = sorted((self.of(t) for t in np.unique(terms)), key=len)
+        if not len(lists[0]):
+            return np.empty(0, np.int64)
+        start = np.unique(np.concatenate(lists)).astype(np.int64)
+        for other in lists:
+            if not len(start):
+                break
+            at = np.searchsorted(other, start)
+            start = start[(at < len(other)) & (other[np.minimum(at, len(other) - 1)] - start < span)]
+        return start
+
+
+def _answer(span: int | None):
+    def run(key, candidates: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+        columns = ["block", "no", "n_hit", "phrases", "near"]
+        if not len(candidates) or not len(index):
+            return pd.DataFrame([], columns=columns)
+        docs = index[index["kind"] == 0].sort_values("first", kind="stable")
+        lists = index[index["kind"] == 1]
+        postings = Postings(lists["term"].to_numpy(np.int64), lists["at"].tolist())
+        first = docs["first"].to_numpy(np.int64)
+        hits: dict[int, list[tuple[int, int]]] = {}
+        found: dict[int, list[tuple[int, int]]] = {}
+        close: dict[int, list[tuple[int, int]]] = {}
+        text_of = lambda at: np.searchsorted(first, at, "right") - 1
+        for p1, p2, terms in zip(candidates["p1"].tolist(), candidates["p2"].tolist(), candidates["terms"]):
+            terms = np.asarray(terms, np.int64)
+            at = postings.phrase(terms)
+            texts = text_of(at)
+            for t, x in zip(texts.tolist(), at.tolist()):
+                hits.setdefault(t, []).append((x, x + len(terms)))
+            for t in np.unique(texts).tolist():
+                found.setdefault(t, []).append((p1, p2))
+            if span is not None:
+                for t in np.unique(text_of(postings.proximity(terms, span))).tolist():
+                    close.setdefault(t, []).append((p1, p2))
+        out = []
+        for t in sorted(hits.keys() | close.keys()):
+            reach = covered = 0
+            for a, b in sorted(hits.get(t, [])):
+                covered += max(0, b - max(a, reach))
+                reach = max(reach, b)
+            out.append((key[0], int(first[t]), covered, [{"p1": a, "p2": b} for a, b in found.get(t, [])], [{"p1": a, "p2": b} for a, b in close.get(t, [])]))
+        return pd.DataFrame(out, columns=columns)
 
+    return run
 
-_FOUND = "n_words long, n_hit long, items array<string>, near array<string>, hit binary"
 
+def _items(hits: DataFrame, column: str, owners: DataFrame) -> DataFrame:
+    """``block, no, <column>``: sorted items of the phrases in ``column``."""
+    of_doc = hits.select("block", "no", F.explode(column).alias("p")).select("block", "no", "p.p1", "p.p2")
+    counted = owners.join(of_doc.groupBy("p1", "p2").agg(F.count("*").alias("n")), ["p1", "p2"])
+    told = join_hot(of_doc, counted, ["p1", "p2"], "n", "block")
+    return told.groupBy("block", "no").agg(F.sort_array(F.collect_set("item")).alias(column))
 
-def _search(held, span: int | None):
-    """``texts`` (and what earlier parts found in them) to a frame of what this part finds as well."""
 
-    def answer(texts: pd.Series, before: pd.DataFrame | None = None) -> pd.DataFrame:
-        query: Phrases = held.value
-        lengths = np.diff(query.start)
-        gap = max(int(lengths.max(initial=1)), span or 0) + 1
-        out = []
-        for low, high, raw in blocks(texts.to_frame("text"), limit=8 << 20):
-            index = Postings(raw, query, gap)
-            if before is None:
-                marks = [np.zeros(n, bool) for n in index.sizes]
-                items: list[set[str]] = [set() for _ in raw]
-                near: list[set[str]] = [set() for _ in raw]
-            else:
-                marks = [np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in zip(before["hit"].array[low:high], index.sizes)]
-                items, near = ([set(x) for x in before[c].array[low:high]] for c in ("items", "near"))
-            rarest = np.minimum.reduceat(index.count[query.terms], query.start[:-1]) if len(lengths) else np.empty(0)
-            for p in np.flatnonzero(rarest):
-                terms = query.terms[query.start[p] : query.start[p + 1]]
-                at = index.phrase(terms)
-                for t, x in zip(index.text_of(at), at):
-                    x -= index.first[t]
-                    marks[t][x : x + len(terms)] = True
-                    items[t].update(query.items[p])
-                if span is not None:
-                    for t in np.unique(index.text_of(index.proximity(terms, span))):
-                        near[t].update(query.items[p])
-            out += [(len(m), int(m.sum()), sorted(i), sorted(n), np.packbits(m).tobytes()) for m, i, n in zip(marks, items, near)]
-        return pd.DataFrame(out, columns=["n_words", "n_hit", "items", "near", "hit"])
-
-    return answer
-
-
-def _first(search):
-    def found(texts: pd.Series) -> pd.DataFrame:
-        return search(texts)
-
-    return found
-
-
-def _next(search):
-    def found(texts: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
-        return search(texts, before)
-
-    return found
-
-
-def _parts(benchmark: DataFrame, part_words: int):
-    """The query set in parts that fit a broadcast, streamed from Spark by item."""
-    rows = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    part, size = [], 0
-    for r in rows.toLocalIterator():
-        n = len(words(r["text"].encode("utf-8", "surrogatepass")))
-        if part and size + n > part_words:
-            yield part
-            part, size = [], 0
-        part.append((r["item_id"], r["text"]))
-        size += n
-    yield part
-
-
-def mark_contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = 5, span: int | None = None, part_words: int = PART_WORDS) -> DataFrame:
-    """``documents`` with ``contamination``: struct(n_words, n_hit, items, near, contaminated), without a shuffle.
+def find_contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = 5, span: int | None = None) -> DataFrame:
+    """Per row of ``documents(doc_id, text)``: doc_id, th (hash of the text), n_words, n_hit, items, near, contaminated.
 
     ``items`` holds the benchmark items with a window of ``width`` words (all words, if fewer) in
     the text, ``n_hit`` counts the words inside such windows, and a text with
     100 * n_hit >= percent * n_words > 0 hits is contaminated.  With ``span``, ``near`` holds the
-    items of which all words of a window lie within span words.
+    items of which all words of a window lie within ``span`` consecutive words; null without.
     """
-    out, context = documents, documents.sparkSession.sparkContext
-    for i, part in enumerate(_parts(benchmark, part_words)):  # parts one after another in the same task
-        search = _search(context.broadcast(phrases(part, width)), span)
-        if i == 0:
-            found = F.pandas_udf(_first(search), _FOUND)("text")
-        else:
-            found = F.pandas_udf(_next(search), _FOUND)("text", "contamination")
-        out = out.withColumn("contamination", found)
-    c = F.col("contamination")
-    hit = (c["n_hit"] > 0) & (100 * c["n_hit"] >= percent * c["n_words"])
-    return out.withColumn("contamination", F.struct(c["n_words"].alias("n_words"), c["n_hit"].alias("n_hit"), c["items"].alias("items"), c["near"].alias("near"), hit.alias("contaminated")))
-
-
-def find_contamination(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Per row of ``documents``: doc_id, n_words, n_hit, items, near, contaminated (see ``mark_contamination``)."""
-    return mark_contamination(documents.select("doc_id", "text"), benchmark, **options).select("doc_id", "contamination.*")
+    spark = documents.sparkSession
+    known = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    phrases = cut(known.mapInPandas(_phrases(width), "item string, p1 long, p2 long, terms array<long>").dropDuplicates(["item", "p1", "p2"]))
+    shapes = cut(phrases.select("p1", "p2", "terms").dropDuplicates(["p1", "p2"]))
+    words = shapes.select("p1", "p2", F.posexplode("terms").alias("k", "term"))
+    terms = cut(words.select("term").distinct())
+    wanted = None
+    if terms.count() <= MAX_TERMS:
+        wanted = spark.sparkContext.broadcast(np.sort(terms.toPandas()["term"].to_numpy(np.int64)))
+    path, gap = scratch(spark), max(width, span or 0) + 1
+    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    rows.mapInPandas(_index(wanted, gap), _INDEX).write.partitionBy("kind").parquet(path)
+    index, lists = spark.read.schema(_INDEX).parquet(path), spark.read.schema(_INDEX).parquet(path).filter("kind = 1")
+    often = cut(lists.groupBy("term").agg(F.sum("n").alias("n")))
+    rarest = join_hot(words, often, ["term"], "n", "p1").groupBy("p1", "p2").agg(F.count("*").alias("found"), F.min(F.struct("n", "term")).alias("rarest"))
+    lookup = shapes.join(rarest, ["p1", "p2"]).filter(F.col("found") == F.size("terms")).select("p1", "p2", "terms", F.col("rarest.term").alias("term"))
+    candidates = lookup.join(lists.select("term", "block"), "term").drop("term")
+    pair = "array<struct<p1:long,p2:long>>"
+    hits = candidates.groupBy("block").cogroup(index.select("block", "kind", "term", "n", "first", "at").groupBy("block")).applyInPandas(_answer(span), f"block long, no int, n_hit long, phrases {pair}, near {pair}")
+    hits = cut(hits)
+    owners = phrases.select("item", "p1", "p2")
+    found = hits.select("block", "no", "n_hit").join(_items(hits, "phrases", owners).withColumnRenamed("phrases", "items"), ["block", "no"], "left")
+    if span is not None:
+        found = found.join(_items(hits, "near", owners), ["block", "no"], "left")
+    none = F.array().cast("array<string>")
+    docs = index.filter("kind = 0").select("block", F.col("first").alias("no"), F.col("doc_id").cast("long").alias("doc_id"), "th", F.col("n").cast("long").alias("n_words"))
+    out = docs.join(found, ["block", "no"], "left")
+    n_hit = F.coalesce("n_hit", F.lit(0))
+    near = F.coalesce("near", none) if span is not None else F.lit(None).cast("array<string>")
+    hit = (n_hit > 0) & (100 * n_hit >= percent * F.col("n_words"))
+    return out.select("doc_id", "th", "n_words", n_hit.alias("n_hit"), F.coalesce("items", none).alias("items"), near.alias("near"), hit.alias("contaminated"))
+
+
+def mark_contamination(documents: DataFrame, benchmark: DataFrame, column: str = "contamination", **options) -> DataFrame:
+    """``documents`` with ``column``: struct(n_words, n_hit, items, near, contaminated); a column of that name is replaced."""
+    found = find_contamination(documents, benchmark, **options).dropDuplicates(["doc_id", "th"])
+    doc, th, told = fresh(documents, "_doc"), fresh(documents, "_th"), fresh(documents, "_told")
+    found = found.select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.struct("n_words", "n_hit", "items", "near", "contaminated").alias(told))
+    out = documents.join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(th)), "left").drop(doc, th)
+    return out.withColumn(column, F.col(told)).drop(told)
+
+
+def remove_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``documents`` that are not contaminated (see ``find_contamination``), as they are."""
+    bad = find_contamination(documents, benchmark, **options).filter("contaminated").select("doc_id", "th").distinct()
+    doc, th = fresh(documents, "_doc"), fresh(documents, "_th")
+    bad = bad.select(F.col("doc_id").alias(doc), F.col("th").alias(th))
+    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(th)), "left_anti")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proximity matches: items of which all words of a window lie within SPAN consecutive words of a text."""
+    out = find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), span=SPAN)
+    return out.select("doc_id", "n_words", F.size("items").cast("long").alias("n_items"), F.size("near").cast("long").alias("n_near"), F.array_join("near", ",").alias("near_items"))

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from aerolith.llm import catalog, near_dup, substring_dup
-from aerolith.llm.contamination import find_contamination
+from aerolith.llm import catalog, contamination, near_dup, substring_dup
+from aerolith.llm.contamination import find_contamination, mark_contamination, remove_contaminated
 from aerolith.llm.line_dup import remove_repeated_lines
 from aerolith.llm.near_dup import near_duplicates
 from aerolith.llm.pii import pseudonymise
@@ -130,12 +130,31 @@ def test_wide_gram_groups_take_the_window_way(spark, monkeypatch):
     assert result() == want
 
 
-def test_benchmark_in_parts_gives_the_same(spark, odd):
+def test_index_of_all_terms_gives_the_same(spark, odd, monkeypatch):
     docs, items = (spark.read.parquet(f"{odd}/{t}.parquet") for t in ("documents", "benchmark"))
-    rows = lambda **k: sorted(map(str, find_contamination(docs, items, span=20, **k).collect()))
-    assert rows(part_words=50) == rows()
-    near = find_contamination(spark.createDataFrame([(1, "alpha gap beta")], "doc_id long, text string"), spark.createDataFrame([(7, "beta alpha")], "item_id long, text string"), span=3).first()
-    assert near["items"] == [] and near["near"] == ["7"]
+    rows = lambda: sorted(map(str, find_contamination(docs, items, span=20).collect()))
+    want = rows()
+    monkeypatch.setattr(contamination, "MAX_TERMS", 0)
+    monkeypatch.setattr(contamination, "BLOCK", 5_000)
+    monkeypatch.setattr("aerolith.llm.common.HOT_ROWS", 1)
+    assert rows() == want and len(want) == len(TEXTS)
+
+
+def test_proximity_in_any_order(spark):
+    docs = [(1, "alpha gap beta"), (2, "alpha gap gap gap beta"), (3, "beta beta gap alpha"), (4, "alpha"), (5, "beta alpha"), (6, None)]
+    found = find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, "beta alpha")], "item_id long, text string"), span=3)
+    assert {r["doc_id"]: (r["items"], r["near"]) for r in found.collect()} == {1: ([], ["7"]), 2: ([], []), 3: ([], ["7"]), 4: ([], []), 5: (["7"], ["7"]), 6: ([], [])}
+
+
+def test_contamination_of_texts_that_share_a_doc_id(spark):
+    rows = [(1, "one two", "x"), (1, "three four", "x"), (None, "one two", "x"), (None, "five", "x"), (2**60 + 1, "one two", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, contamination string")
+    items = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    kept = [tuple(r) for r in remove_contaminated(docs, items).collect()]
+    assert sorted(kept, key=str) == sorted([rows[1], rows[3]], key=str)
+    marked = mark_contamination(docs, items)
+    assert marked.columns == docs.columns
+    assert sorted((r["text"], r["contamination"]["n_hit"]) for r in marked.collect()) == [("five", 0), ("one two", 2), ("one two", 2), ("one two", 2), ("three four", 0)]
 
 
 def test_lines_keep_columns_and_text(spark):

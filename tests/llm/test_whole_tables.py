@@ -52,6 +52,15 @@ def test_contamination(spark, sf, docs):
     assert {d: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for d, r in got.items()} == brute.contamination(docs, items)
 
 
+def test_proximity(spark, sf_small):
+    docs = [(r["doc_id"], r["text"]) for r in read(spark, sf_small, "documents").collect()]
+    items = [tuple(r) for r in read(spark, sf_small, "benchmark").collect()]
+    got, n = rows(spark, sf_small, "op7_proximity")
+    want = brute.proximity(docs, items)
+    assert n == len(docs) and {d: r["near_items"] for d, r in got.items()} == want
+    assert any(want.values()) and all(r["n_near"] >= r["n_items"] for r in got.values())
+
+
 def test_secrets(spark, sf, docs):
     got, n = rows(spark, sf, "op8_secret_scan")
     assert n == len(docs)
