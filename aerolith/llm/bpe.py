@@ -6,8 +6,12 @@ short arrays: scan for the smallest rank, write the merged part, delete the boun
 by moving the tail up, refresh the two neighbouring ranks, until no rank is left.
 The new words of a block are worked on together, one array row a word.
 
+A word of more than 100 bytes keeps its candidate ranks in a heap instead, since an
+array scan would be quadratic in its length; the merges are the same, in the same order.
+
 Words repeat, so a worker keeps the last words it has seen, up to ``CACHE`` of them.
-Null text is empty and has no tokens.
+Null text is empty and has no tokens; a null doc_id stays null, and every row comes back,
+repeated ones too.  Only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -210,14 +214,20 @@ def _coded(path: str, with_text: bool):
     return run
 
 
+def _with_ids(documents: DataFrame, coded, columns: str) -> DataFrame:
+    # ids go through pandas as text: beside a null, longs would turn into doubles
+    out = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(coded, f"doc_id string, {columns}")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def encode(documents: DataFrame, vocabulary: str) -> DataFrame:
     """Per row of ``documents(doc_id, text)``: doc_id, n_tokens, ids (little-endian unsigned 32-bit)."""
-    return documents.select("doc_id", "text").mapInPandas(_coded(vocabulary, False), "doc_id long, n_tokens long, ids binary")
+    return _with_ids(documents, _coded(vocabulary, False), "n_tokens long, ids binary")
 
 
 def encode_decode(documents: DataFrame, vocabulary: str) -> DataFrame:
     """``encode`` with ``decoded``, the text that the ids decode to, special tokens included."""
-    return documents.select("doc_id", "text").mapInPandas(_coded(vocabulary, True), "doc_id long, n_tokens long, ids binary, decoded string")
+    return _with_ids(documents, _coded(vocabulary, True), "n_tokens long, ids binary, decoded string")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:

@@ -333,7 +333,10 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     if percent < 80:
         raise ValueError("bands and bounds are laid out for similarities of 0.8 and more")
     docs = documents.select("doc_id", "text")
-    sets = cut(docs.mapInPandas(_sketch_batches(width), "doc_id long, n_shingles long, class_key binary, sketch binary"))
+    # ids go through pandas as text: beside a null, longs would turn into doubles
+    named = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    sets = named.mapInPandas(_sketch_batches(width), "doc_id string, n_shingles long, class_key binary, sketch binary")
+    sets = cut(sets.withColumn("doc_id", F.col("doc_id").cast("long")))
     classes = cut(sets.filter("n_shingles > 0 and doc_id is not null").groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
     n_bands, step = M // ROWS, 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * step + 1, F.lit(step))))

@@ -88,8 +88,9 @@ def scan_secrets(documents: DataFrame, owner: str = "source", live_owners: int =
     The verdict is ``live``, ``example`` or ``unclear`` by the value's numbers of documents and owners;
     spans of kind ``owned`` are there only if they look live.
     """
-    docs = documents.select("doc_id", "text", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"))
-    scanned = cut(docs.mapInPandas(_scan, "doc_id long, owner string, found array<struct<start:int,end:int,kind:string,hash:string>>"))
+    # ids go through pandas as text: beside a null, longs would turn into doubles
+    docs = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"))
+    scanned = cut(docs.mapInPandas(_scan, "doc_id string, owner string, found array<struct<start:int,end:int,kind:string,hash:string>>"))
     counts = cut(ownership(scanned))
     told = counts.select("hash", "n_docs", verdict(F.col("n_docs"), F.col("n_owners"), live_owners, example_owners, live_docs, example_docs).alias("verdict"))
     of_doc = join_hot(scanned.select("doc_id", F.explode(F.array_distinct("found.hash")).alias("hash")), told.filter("verdict <> 'unclear'"), ["hash"], "n_docs", "doc_id")
@@ -97,7 +98,7 @@ def scan_secrets(documents: DataFrame, owner: str = "source", live_owners: int =
     out = scanned.join(of_doc, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.size("found") > 0), "left")
     which = lambda x: F.when(F.array_contains("_live", x["hash"]), "live").when(F.array_contains("_example", x["hash"]), "example").otherwise("unclear")
     spans = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), which(x).alias("verdict")))
-    return out.select("doc_id", F.filter(spans, lambda x: (x["kind"] != "owned") | (x["verdict"] == "live")).alias("spans"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(spans, lambda x: (x["kind"] != "owned") | (x["verdict"] == "live")).alias("spans"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,8 +178,8 @@ def _descend(data: pd.DataFrame, vocabulary: list[bytes], penalty: float, ridge:
     return Model(float(bias), {word: float(x) for word, x in zip(vocabulary, w) if abs(x) > 1e-9})
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """``documents`` with ``toxicity`` (0 to 1)."""
+def score(documents: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
+    """``documents`` with ``column`` (0 to 1), which replaces one of that name."""
     held = documents.sparkSession.sparkContext.broadcast(model)  # at most MAX_WORDS words
 
     @F.pandas_udf("double")
@@ -187,7 +187,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         logits = np.array([held.value.logit(t) for t in texts], float)
         return pd.Series(1 / (1 + np.exp(-np.clip(logits, -40, 40))))
 
-    return documents.withColumn("toxicity", toxicity("text"))
+    return documents.withColumn(column, toxicity("text"))
 
 
 def train_model(documents: DataFrame, labels: DataFrame, **options) -> Model:
