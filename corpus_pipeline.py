@@ -2,49 +2,45 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is
 written as Parquet in the shared checkpoint folder and read again as the next docs.
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents`` as they are, whatever their names; the stages' own
+columns have names that the documents don't.  Only line dedup changes values: text, and n_chars with it.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.llm.bpe import encode_decode
-from aerolith.llm.common import read
-from aerolith.llm.contamination import mark_contamination
+from aerolith.llm.common import fresh, read
+from aerolith.llm.contamination import remove_contaminated
 from aerolith.llm.line_dup import remove_repeated_lines
 from aerolith.llm.near_dup import near_duplicates
 from aerolith.llm.toxicity import score, train_model
-
-
-def _without(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    return docs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti")
+from aerolith.shared import scratch
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at 0.5 or more go."""
-    model = train_model(docs, read(spark, sf_dir, "labels"))
-    return score(docs, model).filter("toxicity < 0.5").select(*docs.columns)
+    model, name = train_model(docs, read(spark, sf_dir, "labels")), fresh(docs, "_toxicity")
+    return score(docs, model, name).filter(F.col(name) < 0.5).drop(name)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go; documents stay."""
-    return remove_repeated_lines(docs).select(*docs.columns)
+    return remove_repeated_lines(docs, counts=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    return _without(docs, near_duplicates(docs).filter("not kept")).select(*docs.columns)
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
+    doc = fresh(docs, "_doc")
+    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias(doc)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(doc), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with benchmark passages go."""
-    kept = mark_contamination(docs, read(spark, sf_dir, "benchmark")).filter("not contamination.contaminated")
-    return kept.select(*docs.columns)
+    return remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,13 +57,8 @@ STAGES = [("toxicity", toxicity), ("line dedup", line_dedup), ("near dedup", nea
 ORACLE_SQL = None
 
 
-def _folder(spark: SparkSession) -> str:
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return held.get() if held.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-")
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = read(spark, sf_dir, "documents"), f"{_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, folder = read(spark, sf_dir, "documents"), scratch(spark)
     for i, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{i}"
         stage(spark, docs, sf_dir).write.parquet(path)
