@@ -33,8 +33,12 @@ TEXTS = [
     (13, "#*$%&|<> 12 ... \x85  end", "en"),
     (None, PASSAGE, "en"),
     (None, None, None),
+    (2**60 + 1, "the last one", "en"),
 ]
-CLASH = ("_words", "toxicity", "rep", "bucket", "pii", "n_removed", "_values", "lang_pred", "hit", "found", "owner", "first")
+CLASH = (
+    "_words", "toxicity", "rep", "bucket", "pii", "n_removed", "_values", "lang_pred", "hit", "found", "owner", "first", "contamination", "_toxicity", "__toxicity",
+    "_doc", "_th", "_copy", "_runs", "_gone", "_same", "_id", "copy", "n_lines", "runs", "kept", "th", "no", "block", "n_words", "items", "component_id",
+)
 
 
 def write(spark, folder, rows, labels=True):
@@ -97,11 +101,16 @@ def test_odd_results(spark, odd):
 
 def test_pipeline_on_odd_rows(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
-    columns = docs.columns
+    kinds = docs.dtypes
     for name, stage in corpus_pipeline.STAGES:
+        before = sorted(map(str, docs.drop("text", "n_chars").collect()))
         docs = stage(spark, docs, odd)
         if name != "bpe":
-            assert docs.columns == columns, name
+            assert docs.dtypes == kinds, name
+            rows = docs.collect()
+            assert all(r[c] == "clash" for r in rows for c in CLASH), name
+            after = sorted(map(str, docs.drop("text", "n_chars").collect()))
+            assert set(after) <= set(before) and (name != "line dedup" or after == before)
     assert docs.count() > 0
 
 
