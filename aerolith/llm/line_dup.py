@@ -42,11 +42,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Seen, blocks, cut, fresh, join_hot, numbered, read
+from .common import Seen, blocks, cut, fresh, join_hot, read
 
-MIN_WORDS, BLOCK = 50, 8 << 20
-_INDEX = "doc_id long, copy int, hashes binary, words binary"
-_RUN = "c1 long, c2 long, doc_id long, copy int, first int, last int, gone boolean"
+MIN_WORDS, BLOCK = 50, 2 << 20
+_INDEX = "doc_id long, th long, hashes binary, words binary"
+_RUN = "c1 long, c2 long, doc_id long, th long, first int, last int, gone boolean"
 
 
 def line_index(text: bytes) -> tuple[bytes, np.ndarray]:
@@ -61,7 +61,7 @@ def _index(min_words: int):
             for first, last, texts in blocks(pdf, limit=BLOCK):
                 found = [line_index(t) for t in texts]
                 held = [i for i, (_, n) in enumerate(found) if n.sum() >= min_words]
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].array[first:last][held], "copy": pdf["copy"].array[first:last][held], "hashes": [found[i][0] for i in held], "words": [found[i][1].tobytes() for i in held]})
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].array[first:last][held], "th": pdf["th"].array[first:last][held], "hashes": [found[i][0] for i in held], "words": [found[i][1].tobytes() for i in held]})
 
     return run
 
@@ -83,17 +83,17 @@ def _windows(hashes: bytes, words: bytes, min_words: int) -> tuple[np.ndarray, n
 def _winnow(min_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            docs, copies, at, prints = [], [], [], []
-            for doc, copy, hashes, words in zip(pdf["doc_id"], pdf["copy"], pdf["hashes"], pdf["words"]):
+            docs, texts, at, prints = [], [], [], []
+            for doc, th, hashes, words in zip(pdf["doc_id"], pdf["th"], pdf["hashes"], pdf["words"]):
                 chosen = np.unique(_windows(hashes, words, min_words)[3])
                 chosen = chosen[chosen >= 0]
                 docs.append(np.full(len(chosen), doc))
-                copies.append(np.full(len(chosen), copy))
+                texts.append(np.full(len(chosen), th))
                 at.append(chosen)
                 prints.append(np.frombuffer(hashes, ">i8")[::2][chosen])
             if docs:
-                doc, copy, line, fp = (np.concatenate(x).astype(np.int64) for x in (docs, copies, at, prints))
-                yield pd.DataFrame({"fingerprint": fp, "doc_id": doc, "copy": copy, "line": line})
+                doc, th, line, fp = (np.concatenate(x).astype(np.int64) for x in (docs, texts, at, prints))
+                yield pd.DataFrame({"fingerprint": fp, "doc_id": doc, "th": th, "line": line})
 
     return run
 
@@ -115,34 +115,34 @@ def _grow(min_words: int):
         seen = Seen()
         for pdf in batches:
             rows, names = [], []
-            for doc, copy, hashes, words, marks in zip(pdf["doc_id"], pdf["copy"], pdf["hashes"], pdf["words"], pdf["marks"]):
+            for doc, th, hashes, words, marks in zip(pdf["doc_id"], pdf["th"], pdf["hashes"], pdf["words"], pdf["marks"]):
                 for i, j in grown_runs(hashes, words, np.asarray(marks), min_words):
-                    rows.append((doc, copy, i, j))
+                    rows.append((doc, th, i, j))
                     names.append(xxhash.xxh3_128_digest(hashes[16 * i : 16 * j + 16]))
             if rows:
-                doc, copy, first, last = np.array(rows, np.int64).T
+                doc, th, first, last = np.array(rows, np.int64).T
                 c1, c2 = np.frombuffer(b"".join(names), ">i8").astype(np.int64).reshape(-1, 2).T
-                yield pd.DataFrame({"c1": c1, "c2": c2, "doc_id": doc, "copy": copy, "first": first, "last": last, "gone": seen.later([doc, copy, first], c1, c2)})
+                yield pd.DataFrame({"c1": c1, "c2": c2, "doc_id": doc, "th": th, "first": first, "last": last, "gone": seen.later([doc, th, first], c1, c2)})
 
     return run
 
 
 def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, copy, runs`` of ``documents(doc_id, copy, text)`` with repeated lines; a run is struct(first, last), from 0; runs may overlap."""
-    docs = documents.select("doc_id", "copy", "text").filter("doc_id is not null and text is not null")
+    """``doc_id, th, runs`` of the texts with repeated lines; th is xxhash64 of the text, a run struct(first, last) from 0; runs may overlap."""
+    docs = documents.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
     index = cut(docs.mapInPandas(_index(min_words), _INDEX))
-    positions = index.mapInPandas(_winnow(min_words), "fingerprint long, doc_id long, copy int, line int")
+    positions = index.mapInPandas(_winnow(min_words), "fingerprint long, doc_id long, th long, line int")
     # repeated rows of a document are one position
     positions = cut(positions.distinct())
     matched = positions.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1")
-    marks = join_hot(positions, matched, ["fingerprint"], "n", "doc_id").groupBy("doc_id", "copy").agg(F.collect_list("line").alias("marks"))
-    runs = cut(index.join(marks, ["doc_id", "copy"]).mapInPandas(_grow(min_words), _RUN))
+    marks = join_hot(positions, matched, ["fingerprint"], "n", "doc_id").groupBy("doc_id", "th").agg(F.collect_list("line").alias("marks"))
+    runs = cut(index.join(marks, ["doc_id", "th"]).mapInPandas(_grow(min_words), _RUN))
     open_ = runs.filter("not gone").drop("gone")
-    place = F.struct("doc_id", "copy", "first")
+    place = F.struct("doc_id", "th", "first")
     lead = open_.groupBy("c1", "c2").agg(F.min(place).alias("lead"), F.count("*").alias("n")).filter("n > 1")
     later = join_hot(open_, lead, ["c1", "c2"], "n", "doc_id").filter(place > F.col("lead"))
-    gone = later.select("doc_id", "copy", "first", "last").unionByName(runs.filter("gone").select("doc_id", "copy", "first", "last"))
-    return gone.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("runs"))
+    gone = later.select("doc_id", "th", "first", "last").unionByName(runs.filter("gone").select("doc_id", "th", "first", "last"))
+    return gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("runs"))
 
 
 def remove_repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS, counts: bool = True) -> DataFrame:
@@ -150,11 +150,9 @@ def remove_repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS, coun
 
     With ``counts`` the columns ``n_lines`` and ``n_removed`` are set; no other column changes.
     """
-    copy, doc, same, runs, gone = (fresh(documents, x) for x in ("_copy", "_doc", "_same", "_runs", "_gone"))
-    docs = numbered(documents, copy)
-    found = repeated_lines(docs.select("doc_id", F.col(copy).alias("copy"), "text"), min_words)
-    found = found.select(F.col("doc_id").alias(doc), F.col("copy").alias(same), F.col("runs").alias(runs))
-    df = docs.join(found, (F.col("doc_id") == F.col(doc)) & (F.col(copy) == F.col(same)), "left").drop(doc, copy, same)
+    doc, th, runs, gone = (fresh(documents, x) for x in ("_doc", "_th", "_runs", "_gone"))
+    found = repeated_lines(documents, min_words).select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("runs").alias(runs))
+    df = documents.join(found, (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(th)), "left").drop(doc, th)
     lines = F.split("text", "\n")
     removed = F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(r["first"], r["last"]))))
     df = df.withColumn(gone, F.when(F.col(runs).isNotNull(), removed))
