@@ -7,16 +7,17 @@ under its own threshold.  Only tables that are one row a watched site are hinted
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import scalars as sc
+from ..shared import cut
 
-#: Sites up to which the nearest one is found by scanning a literal list for each row.
+#: Sites that are folded as one literal list for each row; more meet the rows by cell first.
 MAX_SITES = 2_000
-#: Sites up to which the distances are written out one by one, which compiles; more are a loop over the list.
-UNROLLED = 64
 INFER_NM = 50.0
 
 
@@ -26,42 +27,73 @@ def with_plans(positions: DataFrame, plans: DataFrame) -> DataFrame:
     return positions.drop(*cols).join(plans.filter("fetch_status = 'success'").select("icao24", *cols), "icao24", "left")
 
 
-def nearest_site(positions: DataFrame, sites: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+def _unit(lat: float, lon: float) -> tuple[float, float, float]:
+    a, b = math.radians(lat), math.radians(lon)
+    return math.cos(a) * math.cos(b), math.cos(a) * math.sin(b), math.sin(a)
+
+
+def _folded(df: DataFrame, rows: list, out: str) -> DataFrame:
+    """``df`` with ``out``: struct(icao, lat, lon) of the nearest of the ``rows``, null without coordinates.
+
+    Points are unit vectors, and the nearest one has the largest dot product: three products a site,
+    trigonometry once a row.  The list is a literal, and the fold stands in a generator, so a filter
+    on what it finds never evaluates it a second time.
+    """
+    sites = F.array(*(F.struct(F.lit(r["icao"]).alias("icao"), F.lit(float(r["lat"])).alias("lat"), F.lit(float(r["lon"])).alias("lon")) for r in rows))
+    units = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip("xyz", _unit(float(r["lat"]), float(r["lon"]))))) for r in rows))
+    la, lo = F.radians("lat"), F.radians("lon")
+    point = F.array(F.struct((F.cos(la) * F.cos(lo)).alias("x"), (F.cos(la) * F.sin(lo)).alias("y"), F.sin(la).alias("z")))
+    near = F.transform(point, lambda p: F.transform(units, lambda u: p["x"] * u["x"] + p["y"] * u["y"] + p["z"] * u["z"]))
+    return df.withColumn(out, F.explode(F.transform(near, lambda d: F.get(sites, (F.array_position(d, F.array_max(d)) - 1).cast("int")))))
+
+
+def site_rows(sites: DataFrame) -> list:
+    """``icao, lat, lon`` of the sites by ICAO, at most one more than MAX_SITES."""
+    return sites.filter("lat is not null and lon is not null").select("icao", "lat", "lon").orderBy("icao").limit(MAX_SITES + 1).collect()
+
+
+def nearest_site(positions: DataFrame, sites: DataFrame, rows: list | None = None) -> DataFrame:
     """``positions`` with the nearest of ``sites(icao, lat, lon)`` and its distance in nm.
 
     Up to MAX_SITES sites ride along as one array literal and each row folds over it, which needs no
-    join.  More sites meet positions by cell: neighbouring whole-degree cells first, and rows that
-    find none there by a second, wider pass.  The first site by ICAO wins a tie; null coordinates
-    give nulls.
+    join.  More sites meet positions by cell: neighbouring cells of 1 and of 8 degrees, as long as
+    nothing outside them can be nearer; the rest folds over the sites in lists.  The first site by
+    ICAO wins a tie; null coordinates give nulls.  ``rows`` spares reading the sites again.
     """
-    rows = sites.filter("lat is not null and lon is not null").select("icao", "lat", "lon", *extra).orderBy("icao").limit(MAX_SITES + 1).collect()
+    rows = site_rows(sites) if rows is None else rows
     names = ("nearest_site_icao", "nearest_site_distance_nm")
     if not rows:
         return positions.withColumns({names[0]: F.lit(None).cast("string"), names[1]: F.lit(None).cast("double")})
     if len(rows) > MAX_SITES:
         return _nearest_by_cell(positions, sites, names)
-    ranked = F.array(*(F.struct(geo.haversine("lat", "lon", F.lit(float(r["lat"])), F.lit(float(r["lon"]))).alias("nm"), F.lit(r["icao"]).alias("icao")) for r in rows[:UNROLLED]))
-    listed = F.array(*(F.struct(F.lit(r["icao"]).alias("icao"), F.lit(float(r["lat"])).alias("lat"), F.lit(float(r["lon"])).alias("lon")) for r in rows))
-    if len(rows) > UNROLLED:
-        ranked = F.transform(listed, lambda s: F.struct(geo.haversine("lat", "lon", s["lat"], s["lon"]).alias("nm"), s["icao"].alias("icao")))
-    best = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.array_min(ranked))
-    return positions.withColumn("_best", best).withColumns({names[0]: F.col("_best.icao"), names[1]: F.col("_best.nm")}).drop("_best")
+    df = _folded(positions, rows, "_site")
+    return df.withColumns({names[0]: F.col("_site.icao"), names[1]: geo.haversine("lat", "lon", "_site.lat", "_site.lon")}).drop("_site")
 
 
 def _nearest_by_cell(positions: DataFrame, sites: DataFrame, names: tuple[str, str]) -> DataFrame:
-    keyed = positions.withColumn("_row", F.monotonically_increasing_id())
-    sites = sites.filter("lat is not null and lon is not null")
+    keyed = cut(positions.withColumn("_row", F.monotonically_increasing_id()))  # written once, so a row keeps its number
+    sites = sites.filter("lat is not null and lon is not null").select("icao", "lat", "lon")
     found, open_ = None, keyed.select("_row", "lat", "lon").filter("lat is not null and lon is not null")
-    for degrees in (1, 8, 64):  # a site inside the ring of cells is nearest if it is nearer than the ring is wide
-        bucket = lambda x: F.floor(F.col(x) / degrees)
+    for degrees in (1, 8):
+        bucket = lambda x: F.floor(F.col(x) / degrees)  # noqa: B023, E731
+        round_ = lambda c: F.pmod(c, F.lit(360 // degrees))  # noqa: B023, E731  longitudes meet at 180 degrees
         ring = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
-        at = open_.withColumn("_r", ring).select("_row", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), (bucket("lat") + F.col("_r.a")).alias("c1"), (bucket("lon") + F.col("_r.b")).alias("c2"))
-        near = at.join(sites.select("icao", "lat", "lon", bucket("lat").alias("c1"), bucket("lon").alias("c2")), ["c1", "c2"])
+        at = open_.withColumn("_r", ring).select("_row", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), (bucket("lat") + F.col("_r.a")).alias("c1"), round_(bucket("lon") + F.col("_r.b")).alias("c2"))
+        near = at.join(sites.select("icao", "lat", "lon", bucket("lat").alias("c1"), round_(bucket("lon")).alias("c2")), ["c1", "c2"])
         best = near.groupBy("_row").agg(F.min(F.struct(geo.haversine("p_lat", "p_lon", "lat", "lon").alias("nm"), "icao")).alias("best"), F.first("p_lat").alias("p_lat"))
-        sure = best if degrees == 64 else best.filter(F.col("best.nm") <= 60 * degrees * F.cos(F.radians(F.least(F.abs("p_lat") + degrees, F.lit(90)))))
-        sure = sure.select("_row", "best")
+        # a site outside the ring is a cell away, of which cells near a pole are narrow: the sine rule bounds it from below
+        edge = geo.NM_RADIUS * F.asin(F.sin(F.radians(F.lit(float(degrees)))) * F.cos(F.radians(F.least(F.abs("p_lat"), F.lit(90.0)))))
+        sure = cut(best.filter(F.col("best.nm") < edge).select("_row", "best"))
         found = sure if found is None else found.unionByName(sure)
-        open_ = open_.join(sure, "_row", "left_anti")
+        open_ = cut(open_.join(sure, "_row", "left_anti"))
+    rest, left = None, open_
+    if not open_.isEmpty():
+        listed = sites.orderBy("icao").collect()  # an icao and a coordinate a site
+        for i in range(0, len(listed), MAX_SITES):
+            left = cut(_folded(left.drop("_site"), listed[i : i + MAX_SITES], "_site"))
+            one = left.select("_row", F.struct(geo.haversine("lat", "lon", "_site.lat", "_site.lon").alias("nm"), F.col("_site.icao").alias("icao")).alias("best"))
+            rest = one if rest is None else rest.unionByName(one)
+        found = found.unionByName(rest.groupBy("_row").agg(F.min("best").alias("best")))
     out = keyed.join(found, "_row", "left")
     return out.withColumns({names[0]: F.col("best.icao"), names[1]: F.col("best.nm")}).drop("best", "_row")
 

@@ -20,14 +20,21 @@ from . import joins
 
 @dataclass
 class Context:
-    """What rules read: enriched positions, site weather, sparse cells, airports."""
+    """What rules read: enriched positions, site weather, sparse cells, airports.
+
+    ``latest`` (newest row of each aircraft), ``near`` (rows with their nearest site, for rules over
+    all fixes) and ``now`` (one row with the newest poll) are cheaper forms of the same rows; where
+    they are not given they are taken from ``positions``.
+    """
 
     positions: DataFrame
     conditions: DataFrame
     cells: DataFrame
     airports: DataFrame
     options: dict[str, dict] = field(default_factory=dict)
-    latest: DataFrame | None = None  # newest row of each aircraft, where it is materialised
+    latest: DataFrame | None = None
+    near: DataFrame | None = None
+    now: DataFrame | None = None
 
 
 class Rule:
@@ -58,25 +65,44 @@ def fact(facts: Column, name: str) -> Column:
 
 
 def _latest(ctx: Context) -> DataFrame:
-    """Newest fix of each aircraft, one pass with map-side combine."""
-    if ctx.latest is not None:
-        return ctx.latest
-    df = require(ctx.positions, ENRICHED)
-    values = [c for c in df.columns if c != "icao24"]
+    return ctx.latest if ctx.latest is not None else newest_rows(require(ctx.positions, ENRICHED))
+
+
+def newest_rows(df: DataFrame, feed: bool = False) -> DataFrame:
+    """Newest in-scope fix of each aircraft, one pass with map-side combine.
+
+    With ``feed``, ``df`` holds out-of-scope rows too, and ``feed_last_ts`` is the newest fix of both (J15).
+    """
+    values = [c for c in df.columns if c not in ("icao24", "feed_last_ts" if feed else "")]
     ties = F.struct("ts_polled", *(["event_id"] if "event_id" in values else []))
-    return df.groupBy("icao24").agg(F.max_by(F.struct(*values), ties).alias("_r")).select("icao24", *(F.col(f"_r.{c}").alias(c) for c in values))
+    scoped = F.col("customer_region").isNotNull() if feed else F.lit(True)
+    last = [F.max("ts_polled").alias("feed_last_ts")] if feed else []
+    out = df.groupBy("icao24").agg(F.max_by(F.struct(*values), F.when(scoped, ties)).alias("_r"), *last).filter("_r is not null")
+    return out.select("icao24", *(F.col(f"_r.{c}").alias(c) for c in values), *(["feed_last_ts"] if feed else []))
 
 
-def _now(df: DataFrame) -> DataFrame:
+def _now(df: DataFrame, ctx: Context) -> DataFrame:
     """``df`` with ``_now``, the newest poll of all in-scope rows; one row crosses, not a window over all."""
-    return df.crossJoin(F.broadcast(df.agg(F.max("ts_polled").alias("_now"))))
+    now = ctx.now if ctx.now is not None else df.agg(F.max("ts_polled").alias("_now"))
+    return df.crossJoin(F.broadcast(now))
+
+
+#: What rules over all fixes read.
+NEAR = ("icao24", "event_id", "ts_polled", "callsign", "customer_region", "on_ground", "altitude_ft", "heading_deg", "nearest_site_icao", "nearest_site_distance_nm")
+
+
+def _near(ctx: Context, radius_nm: float) -> DataFrame:
+    """Airborne fixes within ``radius_nm`` of a site."""
+    df = ctx.near if ctx.near is not None else ctx.positions
+    df = df.select(*(c for c in NEAR if c in df.columns))
+    return df.filter((F.col("nearest_site_distance_nm") <= radius_nm) & ~F.col("on_ground"))
 
 
 class LostSignal(Rule):
     case_type, window_minutes = "lost_signal", 360
 
     def detect(self, ctx: Context, floor_ft: int = 25_000, min_gap: float = 14, max_gap: float = 30, level_fpm: int = 500) -> DataFrame:
-        df = _now(_latest(ctx))
+        df = _now(_latest(ctx), ctx)
         last = F.coalesce("feed_last_ts", "ts_polled") if "feed_last_ts" in df.columns else F.col("ts_polled")
         df = df.withColumn("_gap", sc.minutes_between("_now", last))
         level = F.col("vertical_rate_fpm").isNull() | (F.abs("vertical_rate_fpm") <= level_fpm)
@@ -112,7 +138,7 @@ class ExcessiveHold(Rule):
     def detect(self, ctx: Context, radius_nm: float = 15, ceiling: int = 15_000, min_minutes: float = 30, min_fixes: int = 10, min_sectors: int = 6) -> DataFrame:
         from ..functions.geo import heading_sector
 
-        near = ctx.positions.filter((F.col("nearest_site_distance_nm") <= radius_nm) & (F.col("altitude_ft") <= ceiling) & ~F.col("on_ground"))
+        near = _near(ctx, radius_nm).filter(F.col("altitude_ft") <= ceiling)
         span = sc.minutes_between(F.max("ts_polled"), F.min("ts_polled")).alias("minutes")
         df = near.groupBy("icao24").agg(F.count("*").alias("n"), span, F.countDistinct(heading_sector("heading_deg")).alias("sectors"), *_near_summary(near))
         df = df.filter((F.col("n") >= min_fixes) & (F.col("minutes") >= min_minutes) & (F.col("sectors") >= min_sectors) & ~sc.is_ga("last.callsign"))
@@ -135,10 +161,9 @@ class GoAround(Rule):
     case_type, window_minutes = "go_around", 30
 
     def detect(self, ctx: Context, radius_nm: float = 10, floor_ft: int = 3_000, descent_ft: int = 1_000, climb_ft: int = 1_000, min_fixes: int = 3) -> DataFrame:
-        near = ctx.positions.filter((F.col("nearest_site_distance_nm") <= radius_nm) & ~F.col("on_ground"))
-        w = Window.partitionBy("icao24")
-        lowest = F.min(F.when(F.col("altitude_ft").isNotNull(), F.struct("altitude_ft", "ts_polled"))).over(w)
-        df = near.withColumn("_low", lowest)
+        near = cut(_near(ctx, radius_nm))
+        lowest = near.filter("altitude_ft is not null").groupBy("icao24").agg(F.min(F.struct("altitude_ft", "ts_polled")).alias("_low"))
+        df = near.join(lowest, "icao24", "left")  # one row an aircraft that comes near a site
         before = F.max(F.when(F.col("ts_polled") < F.col("_low.ts_polled"), F.col("altitude_ft"))).alias("before")
         after = F.max(F.when(F.col("ts_polled") > F.col("_low.ts_polled"), F.col("altitude_ft"))).alias("after")
         df = df.groupBy("icao24").agg(F.count("*").alias("n"), F.first("_low.altitude_ft").alias("low"), before, after, *_near_summary(near))
@@ -170,7 +195,7 @@ class Delay(Rule):
     case_type, window_minutes = "delay", 240
 
     def detect(self, ctx: Context, factor: float = 1.3, provider: str = "heuristic") -> DataFrame:
-        df = _now(_latest(ctx))
+        df = _now(_latest(ctx), ctx)
         df = df.filter(~F.col("on_ground") & sc.opt_str("origin_icao").isNotNull() & sc.opt_str("destination_icao").isNotNull() & F.col("departure_time").isNotNull())
         df = baseline_provider(provider).expected(df, ctx.airports).withColumn("_elapsed", sc.minutes_between("_now", "departure_time"))
         df = df.filter(F.col("_elapsed") > F.col("expected_minutes") * factor)
@@ -185,9 +210,9 @@ REGISTRY: tuple[Rule, ...] = (LostSignal(), Diversion(), ExcessiveHold(), Weathe
 
 
 def run_rules(ctx: Context, rules: tuple[Rule, ...] = REGISTRY) -> DataFrame:
-    """Findings of all rules over one materialised enriched window."""
-    ctx = replace(ctx, positions=cut(ctx.positions))
-    ctx.latest = cut(_latest(ctx))
+    """Findings of all rules; the newest rows and the fixes that rules over time read are materialised once."""
+    near = ctx.near if ctx.near is not None else ctx.positions
+    ctx = replace(ctx, near=cut(near.select(*(c for c in NEAR if c in near.columns))), latest=cut(_latest(ctx)))
     return reduce(DataFrame.unionByName, (r.detect(ctx, **ctx.options.get(r.case_type, {})) for r in rules))
 
 
@@ -215,10 +240,18 @@ def suppress_existing(anomalies: DataFrame, cases: DataFrame, now: Column, rules
     return anomalies.join(held, "dedup_key", "left_anti")
 
 
-def enrich(positions: DataFrame, plans: DataFrame, sites: DataFrame) -> DataFrame:
+def enrich(positions: DataFrame, plans: DataFrame, sites: DataFrame, rows: list | None = None) -> DataFrame:
     """Last fix in the feed, in-scope rows only, plans and nearest watched site."""
     df = joins.with_feed_last(positions).filter("customer_region is not null")
-    return joins.nearest_site(joins.with_plans(df, plans), sites)
+    return joins.nearest_site(joins.with_plans(df, plans), sites, rows)
+
+
+def enriched_context(positions: DataFrame, plans: DataFrame, sites: DataFrame, conditions: DataFrame, cells: DataFrame, airports: DataFrame, options: dict[str, dict] | None = None) -> Context:
+    """Context over a feed: aircraft are reduced to their newest rows before plans and sites are attached."""
+    scoped, rows = positions.filter("customer_region is not null"), joins.site_rows(sites)
+    latest = joins.nearest_site(joins.with_plans(newest_rows(positions, feed=True), plans), sites, rows)
+    now = scoped.agg(F.max("ts_polled").alias("_now"))
+    return Context(enrich(positions, plans, sites, rows), conditions, cells, airports, options or {}, latest, joins.nearest_site(scoped, sites, rows), now)
 
 
 def detect(ctx: Context, cases: DataFrame, now: Column, rules: tuple[Rule, ...] = REGISTRY) -> DataFrame:

@@ -10,14 +10,23 @@ from ..operators import joins, kpi, rules
 from ..sources.upserts import case_rows
 
 
-def window(positions: DataFrame, minutes: int, now: Column) -> DataFrame:
-    return positions.filter((F.col("ts_polled") >= now - F.expr(f"interval {int(minutes)} minutes")) & (F.col("ts_polled") <= now))
+#: Minutes of positions that one cycle looks at.
+LOOKBACK_MINUTES = 30
+
+
+def window(positions: DataFrame, minutes: int = LOOKBACK_MINUTES, now: Column | None = None) -> DataFrame:
+    """Positions of the last ``minutes`` up to ``now``, or up to the newest poll, which one row tells."""
+    if now is None:
+        positions = positions.crossJoin(F.broadcast(positions.agg(F.max("ts_polled").alias("_until"))))
+        now = F.col("_until")
+    out = positions.filter((F.col("ts_polled") >= now - F.expr(f"interval {int(minutes)} minutes")) & (F.col("ts_polled") <= now))
+    return out.drop("_until")
 
 
 def context(positions: DataFrame, plans: DataFrame, airports: DataFrame, conditions: DataFrame, cells: DataFrame, options: dict[str, dict] | None = None) -> rules.Context:
     sites = airports.filter("is_watched")
     weather = conditions if "flight_category" in conditions.columns else conditions.withColumn("flight_category", sc.flight_category("ceiling_ft", "visibility_sm"))
-    return rules.Context(rules.enrich(positions, plans, sites), weather, cells, airports, options or {})
+    return rules.enriched_context(positions, plans, sites, weather, cells, airports, options)
 
 
 def new_cases(ctx: rules.Context, cases: DataFrame, runbooks: DataFrame, now: Column, start: int, year: int) -> tuple[DataFrame, DataFrame]:

@@ -53,7 +53,7 @@ def _(t):
     return kpi.sync_backlog(t.cases)
 
 
-@query("a13_runs_24h", "SELECT pipeline_name, status, count(*) AS n FROM run_log WHERE created_at >= (SELECT max(created_at) FROM run_log) - INTERVAL 24 HOUR GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY pipeline_name, status"), "run_log")
+@query("a13_runs_24h", "SELECT pipeline_name, status, count(*) AS n FROM run_log WHERE created_at >= (SELECT max(created_at) FROM run_log) - INTERVAL 24 HOUR GROUP BY pipeline_name, status", "run_log")
 def _(t):
     return kpi.runs_24h(t.run_log, t.latest("run_log", "created_at"))
 
@@ -96,7 +96,7 @@ def _(t):
     return kpi.report_mttr(t.cases, now(t), 1000)
 
 
-@query("a25_created_daily", f"SELECT {sec('date_trunc($$day$$, created_at)')} AS day, count(*) AS n FROM cases WHERE {_MONTH} GROUP BY 1".replace("$$", "'"), "cases")
+@query("a25_created_daily", f"SELECT {sec("date_trunc('day', created_at)")} AS day, count(*) AS n FROM cases WHERE {_MONTH} GROUP BY 1", "cases")
 def _(t):
     return kpi.report_created_daily(t.cases, now(t))
 
@@ -248,10 +248,9 @@ def _(t):
 
 @query(
     "j18_triage_tasks",
-    f"""s AS (SELECT unnest(case_types) AS case_type, trim(unnest(string_split(triage_steps, chr(10)))) AS step FROM (SELECT unnest(case_types) AS ct, [ct] AS case_types, triage_steps FROM runbooks))
-SELECT case_id, 'investigation' AS kind, count(*) AS n FROM cases JOIN (SELECT ct AS case_type, trim(unnest(string_split(triage_steps, chr(10)))) AS step FROM (SELECT unnest(case_types) AS ct, triage_steps FROM runbooks)) x USING (case_type) WHERE step <> '' AND NOT contains(step, '[Auto]') GROUP BY case_id
+    f"""SELECT case_id, 'investigation' AS kind, count(*) AS n FROM cases JOIN (SELECT ct AS case_type, trim(unnest(string_split(triage_steps, chr(10)))) AS step FROM (SELECT unnest(case_types) AS ct, triage_steps FROM runbooks)) x USING (case_type) WHERE step <> '' AND NOT contains(step, '[Auto]') GROUP BY case_id
 UNION ALL SELECT case_id, 'escalation', 1 FROM cases WHERE case_type = 'lost_signal' AND CAST({_J.format('gap_minutes')} AS DOUBLE) > 30 AND CAST({_J.format('last_altitude_ft')} AS DOUBLE) > 10000
-UNION ALL SELECT case_id, 'notification', 1 FROM cases WHERE customer_region <> 'all'""".replace("s AS (SELECT unnest(case_types) AS case_type, trim(unnest(string_split(triage_steps, chr(10)))) AS step FROM (SELECT unnest(case_types) AS ct, [ct] AS case_types, triage_steps FROM runbooks))\n", ""),
+UNION ALL SELECT case_id, 'notification', 1 FROM cases WHERE customer_region <> 'all'""",
     "cases",
     "runbooks",
 )

@@ -30,23 +30,29 @@ def wide(t: Tables, name: str, **options) -> DataFrame:
 
 # -- SQL of the enriched frame --------------------------------------------------
 
-_ENRICH = f"""feed AS (SELECT *, max(ts_polled) OVER (PARTITION BY icao24) AS feed_last FROM positions),
+def _enrich(source: str) -> str:
+    """The enriched frame over the rows of ``source``: plans, nearest watched site, newest row, clock."""
+    return f"""feed AS (SELECT *, max(ts_polled) OVER (PARTITION BY icao24) AS feed_last FROM {source}),
 scoped AS (SELECT f.*, p.origin_icao, p.destination_icao, p.departure_time FROM feed f LEFT JOIN (SELECT * FROM plans WHERE fetch_status = 'success') p USING (icao24) WHERE customer_region IS NOT NULL),
 near AS (SELECT event_id, icao AS site, nm FROM (SELECT s.event_id, a.icao, {nm('s.lat', 's.lon', 'a.lat', 'a.lon')} AS nm, row_number() OVER (PARTITION BY event_id ORDER BY {nm('s.lat', 's.lon', 'a.lat', 'a.lon')}, a.icao) AS n FROM scoped s CROSS JOIN airports a WHERE a.is_watched) WHERE n = 1),
 enriched AS (SELECT s.*, n.site, n.nm FROM scoped s LEFT JOIN near n USING (event_id)),
 newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY icao24 ORDER BY ts_polled DESC, event_id DESC) AS n FROM enriched) WHERE n = 1),
 clock AS (SELECT max(ts_polled) AS t FROM enriched)"""
+
+
+_BASE = f"base AS (SELECT o.icao AS o, d.icao AS d, {nm('o.lat', 'o.lon', 'd.lat', 'd.lon')} / 450 * 60 + 35 AS expected FROM airports o CROSS JOIN airports d WHERE o.icao <> d.icao)"
+_ENRICH = _enrich("positions")
 _V = ("positions", "plans", "airports", "conditions", "cases")
-_CELLS = "cells AS (SELECT lat_cell, lon_cell FROM (SELECT floor(CAST(json_extract_string(detection_facts, '$.last_lat') AS DOUBLE)) AS lat_cell, floor(CAST(json_extract_string(detection_facts, '$.last_lon') AS DOUBLE)) AS lon_cell, json_extract_string(detection_facts, '$.callsign') AS cs FROM cases WHERE case_type = 'lost_signal') GROUP BY ALL HAVING count(*) >= 2 AND count(DISTINCT cs) >= 2)"
-_CELLS = _CELLS.replace("GROUP BY ALL", "GROUP BY lat_cell, lon_cell")
+_CELLS = "cells AS (SELECT lat_cell, lon_cell FROM (SELECT floor(CAST(json_extract_string(detection_facts, '$.last_lat') AS DOUBLE)) AS lat_cell, floor(CAST(json_extract_string(detection_facts, '$.last_lon') AS DOUBLE)) AS lon_cell, json_extract_string(detection_facts, '$.callsign') AS cs FROM cases WHERE case_type = 'lost_signal') GROUP BY lat_cell, lon_cell HAVING count(*) >= 2 AND count(DISTINCT cs) >= 2)"
 _SITE = "(SELECT site FROM (SELECT site, count(*) AS c FROM near_rows x WHERE x.icao24 = g.icao24 GROUP BY site) ORDER BY c DESC, site LIMIT 1)"
 _GA = "coalesce(regexp_matches({0}, '^N[0-9]'), false)"
 _TIER = "CASE WHEN altitude_ft < 30000 THEN 2 WHEN altitude_ft < 35000 THEN 1 ELSE 0 END"
 
-R1 = f"""{_ENRICH}, {_CELLS},
+_GAPS = f"""{_CELLS},
 gap AS (SELECT n.*, {sec('clock.t')} - {sec('n.feed_last')} AS gap_s, cells.lat_cell IS NOT NULL AS sparse FROM newest n CROSS JOIN clock LEFT JOIN cells ON floor(lat) = lat_cell AND floor(lon) = lon_cell
   WHERE NOT on_ground AND altitude_ft >= 25000 AND (vertical_rate_fpm IS NULL OR abs(vertical_rate_fpm) <= 500)),
-r1 AS (SELECT *, least(greatest({_TIER} - (CASE WHEN sparse THEN 1 ELSE 0 END), 0) + (CASE WHEN gap_s >= 1200 THEN 1 ELSE 0 END), 2) AS tier FROM gap WHERE gap_s BETWEEN 840 AND 1800)
+r1 AS (SELECT *, least(greatest({_TIER} - (CASE WHEN sparse THEN 1 ELSE 0 END), 0) + (CASE WHEN gap_s >= 1200 THEN 1 ELSE 0 END), 2) AS tier FROM gap WHERE gap_s BETWEEN 840 AND 1800)"""
+R1 = f"""{_ENRICH}, {_GAPS}
 SELECT icao24, site AS site_icao, coalesce(customer_region, 'all') AS customer_region, CASE tier WHEN 1 THEN 'medium' ELSE 'high' END AS severity_hint, callsign, {long('altitude_ft')} AS last_altitude_ft, round_even(gap_s / 60.0, 1) AS gap_minutes FROM r1 WHERE tier > 0"""
 
 
@@ -103,7 +109,6 @@ def _(t):
     return _facts(wide(t, "go_around"), callsign="string", min_altitude_ft="long", descent_ft="long", climb_ft="long")
 
 
-_BASE = f"base AS (SELECT o.icao AS o, d.icao AS d, {nm('o.lat', 'o.lon', 'd.lat', 'd.lon')} / 450 * 60 + 35 AS expected FROM airports o CROSS JOIN airports d WHERE o.icao <> d.icao)"
 R6 = f"""{_ENRICH}, {_BASE},
 e AS (SELECT n.*, ({sec('clock.t')} - {sec('departure_time')}) / 60.0 AS elapsed, expected FROM newest n CROSS JOIN clock JOIN base ON origin_icao = o AND destination_icao = d WHERE NOT on_ground AND departure_time IS NOT NULL)
 SELECT icao24, destination_icao AS site_icao, customer_region, 'medium' AS severity_hint, callsign, origin_icao AS origin, destination_icao AS destination, round_even(elapsed, 1) AS elapsed_minutes FROM e WHERE elapsed > expected * 1.3"""
@@ -114,20 +119,75 @@ def _(t):
     return _facts(wide(t, "delay"), callsign="string", origin="string", destination="string", elapsed_minutes="double")
 
 
-@query("r7_batch_dedup", None)
+# -- detection as it runs: findings of all rules, of all rows and of the last 30 minutes -----------
+
+_HOLD = "count(*) AS n, arg_max(struct_pack(cs := callsign, region := customer_region), struct_pack(a := ts_polled, b := event_id)) AS last"
+
+
+def _findings(source: str) -> str:
+    """CTE ``found``: rule, aircraft, site, region, severity, callsign and key of every finding over the rows of ``source``."""
+    common = lambda g: _SITE.replace("near_rows", f"near_{g}").replace("= g.", f"= g_{g}.")
+    return f"""{_enrich(source)}, {_GAPS},
+near_h AS (SELECT * FROM enriched WHERE nm <= 15 AND altitude_ft <= 15000 AND NOT on_ground),
+g_h AS (SELECT icao24, {_HOLD}, {sec('max(ts_polled)')} - {sec('min(ts_polled)')} AS span, count(DISTINCT floor(heading_deg % 360 / 45)) AS sectors FROM near_h GROUP BY icao24),
+near_a AS (SELECT *, first_value(altitude_ft) OVER w AS low, first_value(ts_polled) OVER w AS low_ts FROM enriched WHERE nm <= 10 AND NOT on_ground WINDOW w AS (PARTITION BY icao24 ORDER BY altitude_ft, ts_polled)),
+g_a AS (SELECT icao24, {_HOLD}, min(low) AS low, max(CASE WHEN ts_polled < low_ts THEN altitude_ft END) - min(low) AS descent, max(CASE WHEN ts_polled > low_ts THEN altitude_ft END) - min(low) AS climb FROM near_a GROUP BY icao24),
+{_BASE},
+late AS (SELECT n.*, ({sec('clock.t')} - {sec('departure_time')}) / 60.0 AS elapsed, expected FROM newest n CROSS JOIN clock JOIN base ON origin_icao = o AND destination_icao = d WHERE NOT on_ground AND departure_time IS NOT NULL),
+raw AS (SELECT 0 AS place, 'lost_signal' AS rule, icao24, site AS site_icao, customer_region AS region, CASE tier WHEN 1 THEN 'medium' ELSE 'high' END AS severity_hint, callsign, concat_ws('|', icao24, coalesce(site, '')) AS own FROM r1 WHERE tier > 0
+  UNION ALL SELECT 1, 'diversion', icao24, site, customer_region, 'high', callsign, concat_ws('|', icao24, destination_icao, site) FROM newest WHERE on_ground AND destination_icao IS NOT NULL AND nm <= 5 AND site <> destination_icao
+  UNION ALL SELECT 2, 'excessive_hold', icao24, site, last.region, 'medium', last.cs, concat_ws('|', icao24, site) FROM (SELECT *, {common('h')} AS site FROM g_h) WHERE n >= 10 AND span >= 1800 AND sectors >= 6 AND NOT {_GA.format('last.cs')}
+  UNION ALL SELECT 3, 'weather_impact', '', site_icao, 'all', CASE category WHEN 'LIFR' THEN 'high' ELSE 'medium' END, NULL, concat_ws('|', site_icao, category) FROM (SELECT *, {CATEGORY} AS category FROM conditions) WHERE category IN ('IFR', 'LIFR')
+  UNION ALL SELECT 4, 'go_around', icao24, site, last.region, 'medium', last.cs, concat_ws('|', icao24, site) FROM (SELECT *, {common('a')} AS site FROM g_a) WHERE n >= 3 AND low <= 3000 AND descent >= 1000 AND climb >= 1000 AND NOT {_GA.format('last.cs')}
+  UNION ALL SELECT 5, 'delay', icao24, destination_icao, customer_region, 'medium', callsign, concat_ws('|', icao24, destination_icao) FROM late WHERE elapsed > expected * 1.3),
+found AS (SELECT * EXCLUDE (own, region), coalesce(region, 'all') AS customer_region, concat(rule, '|', own) AS dedup_key FROM raw)"""
+
+
+_RECENT = "recent AS (SELECT * FROM positions WHERE ts_polled >= (SELECT max(ts_polled) FROM positions) - INTERVAL 30 MINUTE)"
+_FOUND = "SELECT rule, icao24, site_icao, customer_region, severity_hint, callsign, dedup_key FROM"
+_ONCE = "(SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY place, icao24, site_icao) AS n FROM found) WHERE n = 1"
+# open cases with the keys and windows of their rules
+_HELD = f"""held AS (SELECT DISTINCT dedup_key FROM (SELECT created_at, CASE case_type WHEN 'lost_signal' THEN 360 WHEN 'diversion' THEN 1440 WHEN 'excessive_hold' THEN 30 WHEN 'weather_impact' THEN 60 WHEN 'go_around' THEN 30 ELSE 240 END AS minutes,
+  concat(case_type, '|', CASE case_type WHEN 'diversion' THEN concat(flight_id, '|', '|') WHEN 'weather_impact' THEN concat(site_icao, '|', json_extract_string(detection_facts, '$.flight_category')) WHEN 'delay' THEN concat(flight_id, '|', json_extract_string(detection_facts, '$.destination')) ELSE concat(flight_id, '|', site_icao) END) AS dedup_key FROM cases WHERE status NOT IN ('resolved', 'closed')) k, clock WHERE {sec('clock.t')} - {sec('created_at')} <= 60 * minutes)"""
+_NEW = f"new AS (SELECT * FROM {_ONCE} AND dedup_key NOT IN (SELECT dedup_key FROM held))"
+
+
+def recent(t: Tables) -> rules.Context:
+    """Context of one cycle: the last 30 minutes of the feed."""
+    return detection.context(detection.window(t.positions), t.plans, t.airports, t.conditions, kpi.build_sparse_cells(t.cases, 2, 2))
+
+
+def _plain(found: DataFrame) -> DataFrame:
+    return found.select("rule", "icao24", "site_icao", "customer_region", "severity_hint", F.get_json_object("detection_facts", "$.callsign").alias("callsign"), "dedup_key")
+
+
+@query("r7_batch_dedup", f"{_findings('positions')} {_FOUND} {_ONCE}", *_V)
+def _(t):
+    return _plain(rules.batch_dedup(rules.run_rules(context(t))))
+
+
+@query("r8_detect", f"{_findings('positions')}, {_HELD}, {_NEW} {_FOUND} new", *_V)
 def _(t):
-    return rules.batch_dedup(rules.run_rules(context(t)))
+    return _plain(rules.detect(context(t), t.cases, t.latest("positions", "ts_polled")))
 
 
-@query("r8_detect", None)
+@query("r8_recent_window", f"{_RECENT}, {_findings('recent')}, {_HELD}, {_NEW} {_FOUND} new", *_V)
 def _(t):
-    return rules.detect(context(t), t.cases, t.latest("positions", "ts_polled"))
+    return _plain(rules.detect(recent(t), t.cases, t.latest("positions", "ts_polled")))
 
 
-@query("r8_new_cases", None)
+@query(
+    "r8_new_cases",
+    f"""{_findings('positions')}, {_HELD}, {_NEW},
+refs AS (SELECT t AS case_type, string_agg(runbook_id, ',' ORDER BY runbook_id) AS runbook_refs FROM (SELECT runbook_id, unnest(case_types) AS t FROM runbooks) GROUP BY t),
+rows AS (SELECT CASE WHEN icao24 = '' THEN concat('WX-', site_icao) ELSE icao24 END AS flight_id, coalesce(site_icao, '') AS site_icao, customer_region, rule AS case_type, severity_hint AS severity, CASE severity_hint WHEN 'high' THEN 'pending' ELSE 'skipped' END AS sf_sync_status FROM new)
+SELECT concat('CASE-2024-', lpad(CAST(row_number() OVER (ORDER BY case_type, flight_id, site_icao) AS STRING), 6, '0')) AS case_id, rows.*, coalesce(runbook_refs, '') AS runbook_refs FROM rows LEFT JOIN refs USING (case_type)""",
+    *_V,
+    "runbooks",
+)
 def _(t):
     cases, _ = detection.new_cases(context(t), t.cases, t.runbooks, t.latest("positions", "ts_polled"), 1, 2024)
-    return cases
+    return cases.select("case_id", "flight_id", "site_icao", "customer_region", "case_type", "severity", "sf_sync_status", "runbook_refs")
 
 
 J12 = f"""k AS (SELECT *, coalesce(site_icao, '') AS site FROM cases WHERE case_type IN ('excessive_hold', 'go_around')),
@@ -145,7 +205,7 @@ def _(t):
     return rules.suppress_existing(found, t.cases, t.latest("cases", "created_at")).select("case_id", "case_type", "flight_id")
 
 
-@query("a3_detections_by_rule", None)
+@query("a3_detections_by_rule", f"{_findings('positions')} SELECT rule, count(*) AS n FROM found GROUP BY rule", *_V)
 def _(t):
     return kpi.by_rule(rules.run_rules(context(t)))
 
@@ -153,7 +213,7 @@ def _(t):
 # -- joins ------------------------------------------------------------------------
 
 
-@query("j1_with_plans", f"SELECT event_id, icao24, origin_icao, destination_icao, {sec('departure_time')} AS departure_time FROM positions LEFT JOIN (SELECT * FROM plans WHERE fetch_status = 'success') USING (icao24)".replace("SELECT event_id", "out AS (SELECT event_id") + ") SELECT * FROM out", "positions", "plans")
+@query("j1_with_plans", f"SELECT event_id, icao24, origin_icao, destination_icao, {sec('departure_time')} AS departure_time FROM positions LEFT JOIN (SELECT * FROM plans WHERE fetch_status = 'success') p USING (icao24)", "positions", "plans")
 def _(t):
     return joins.with_plans(t.positions, t.plans).select("event_id", "icao24", "origin_icao", "destination_icao", "departure_time")
 
@@ -364,7 +424,7 @@ def _(t):
     return joins.apply_denylist(t.positions, t.spark.createDataFrame([("a0000",), ("a003",)], "prefix string")).select("event_id")
 
 
-@query("p1_storage_units", f"SELECT event_id, {long('round_even(altitude_ft * 0.3 * 3.28084, 0)')} AS altitude_ft, {long('round_even(speed_kt * 0.5 * 1.94384, 0)')} AS speed_kt, {long('heading_deg')} AS heading_deg, {long('round_even(vertical_rate_fpm * 0.005 * 196.850, 0)')} AS vertical_rate_fpm FROM positions".replace("* 0.3 *", "* CAST(0.3 AS DOUBLE) * CAST(1 AS DOUBLE) *").replace("* 0.5 *", "* CAST(0.5 AS DOUBLE) *").replace("* 0.005 *", "* CAST(0.005 AS DOUBLE) *"), "positions")
+@query("p1_storage_units", f"SELECT event_id, {long('round_even(altitude_ft * CAST(0.3 AS DOUBLE) * 3.28084, 0)')} AS altitude_ft, {long('round_even(speed_kt * CAST(0.5 AS DOUBLE) * 1.94384, 0)')} AS speed_kt, {long('heading_deg')} AS heading_deg, {long('round_even(vertical_rate_fpm * CAST(0.005 AS DOUBLE) * 196.850, 0)')} AS vertical_rate_fpm FROM positions", "positions")
 def _(t):
     si = t.positions.select("event_id", (F.col("altitude_ft") * F.lit(0.3)).alias("altitude_m"), (F.col("speed_kt") * F.lit(0.5)).alias("velocity_ms"), F.col("heading_deg").cast("double").alias("true_track_deg"), (F.col("vertical_rate_fpm") * F.lit(0.005)).alias("vertical_rate_ms"))
     return sc.to_storage_units(si).select("event_id", "altitude_ft", "speed_kt", "heading_deg", "vertical_rate_fpm")
@@ -431,7 +491,7 @@ def _(t):
     return exports.export_objects(stores.mirror_aircraft(current(t), t_now(t)), "aircraft")
 
 
-@query("s1_decode_states", f"SELECT event_id * 0 + count(*) AS n, icao24, CAST(sum(altitude_ft) AS BIGINT) AS altitude FROM positions GROUP BY icao24, event_id * 0".replace("event_id * 0 + count(*)", "count(*)").replace(", event_id * 0", ""), "positions")
+@query("s1_decode_states", "SELECT icao24, count(*) AS n, CAST(sum(altitude_ft) AS BIGINT) AS altitude FROM positions GROUP BY icao24", "positions")
 def _(t):
     from .sources.readers import decode_state_vectors
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +141,26 @@ def test_suppression(spark):
 def test_only_the_heuristic_baseline():
     with pytest.raises(ValueError):
         rules.baseline_provider("learned")
+
+
+def test_nearest_site_by_list_and_by_cell(spark, monkeypatch):
+    import random
+
+    from aerolith.operators import joins
+
+    rng = random.Random(5)
+    sites = [(f"K{i:03d}", rng.uniform(-89, 89), rng.uniform(-180, 180)) for i in range(60)] + [("KEAS", 10.0, 179.9), ("KWES", 10.0, -179.8), ("KPOL", 89.5, 20.0)]
+    rows = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(300)]
+    rows += [(900, 10.1, -179.95), (901, 10.1, 180.0), (902, 89.9, -160.0), (903, None, 1.0), (904, sites[0][1], sites[0][2])]
+    s = spark.createDataFrame(sites, "icao string, lat double, lon double")
+    p = spark.createDataFrame(rows, "i int, lat double, lon double")
+
+    def nm(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 3440.065 * math.asin(math.sqrt(min(h, 1)))
+
+    want = {i: (None, None) if a is None else min((round(nm(a, b, c, d), 6), icao) for icao, c, d in sites)[::-1] for i, a, b in rows}
+    result = lambda: {r["i"]: (r["nearest_site_icao"], r["nearest_site_distance_nm"] if r["nearest_site_distance_nm"] is None else round(r["nearest_site_distance_nm"], 6)) for r in joins.nearest_site(p, s).collect()}
+    assert result() == want
+    monkeypatch.setattr(joins, "MAX_SITES", 25)
+    assert result() == want
