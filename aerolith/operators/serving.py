@@ -57,6 +57,18 @@ def cases_page(cases: DataFrame, cursor: tuple[dt.datetime, str] | None, limit:
     return page, (tuple(last["c"]) if last["n"] else cursor), last["n"] == limit
 
 
+def drain(cases: DataFrame, cursor: tuple[dt.datetime, str] | None) -> tuple[DataFrame, DataFrame]:
+    """All rows after the cursor in page order, and one row with the final cursor and how many there were (L4).
+
+    This is what all pages give one after another: the order is total, so one keyset filter and one
+    maximum replace the loop.  Without rows the cursor stays.
+    """
+    rows = after(cases, cursor)
+    last = rows.agg(F.max(F.struct("updated_at", "case_id")).alias("c"), F.count("*").alias("n"))
+    at = (F.lit(cursor[0]).cast("timestamp"), F.lit(cursor[1])) if cursor else (F.lit(None).cast("timestamp"), F.lit(None).cast("string"))
+    return rows.orderBy("updated_at", "case_id"), last.select(F.coalesce("c.updated_at", at[0]).alias("updated_at"), F.coalesce("c.case_id", at[1]).alias("case_id"), "n")
+
+
 def site_flow(current: DataFrame, icao: str, direction: str, now: Column, limit: int = 500) -> DataFrame:
     """Aircraft bound for or from a site in the last hour, newest first."""
     end = {"inbound": "destination_icao", "outbound": "origin_icao"}[direction]

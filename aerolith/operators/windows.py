@@ -61,8 +61,16 @@ def new_flights(edges: DataFrame) -> DataFrame:
     )
 
 
-def latest_leg(history: DataFrame) -> DataFrame:
-    return history.groupBy("icao24").agg(F.max_by(F.struct("first_seen", "last_seen", "callsign", "origin_icao", "destination_icao"), "last_seen").alias("b")).select("icao24", "b.*")
+def latest_leg(history: DataFrame, begin: Column | None = None, end: Column | None = None) -> DataFrame:
+    """The most recent leg of each aircraft that was seen in the fetch window [begin, end].
+
+    Of legs seen last at one time the later start wins, then the larger texts, so ties have one result.
+    """
+    if begin is not None:
+        history = history.filter((F.col("last_seen") >= begin) & (F.col("first_seen") <= end))
+    leg = F.struct("first_seen", "last_seen", "callsign", "origin_icao", "destination_icao")
+    order = F.struct("last_seen", "first_seen", *(F.coalesce(c, F.lit("")) for c in ("callsign", "origin_icao", "destination_icao")))
+    return history.groupBy("icao24").agg(F.max_by(leg, order).alias("b")).select("icao24", "b.*")
 
 
 def trails(positions: DataFrame) -> DataFrame:

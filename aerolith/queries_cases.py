@@ -118,7 +118,7 @@ def _(t):
     return kpi.request_kpis(t.request_log).drop("p95_s")
 
 
-@query("a29_latency_p95", None)
+@query("a29_latency_p95", f"w AS (SELECT handler, {sec('ts')} - {sec('ts')} % 86400 AS window_start, duration_seconds, row_number() OVER v AS k, count(*) OVER (PARTITION BY handler, {sec('ts')} - {sec('ts')} % 86400) AS n FROM request_log WINDOW v AS (PARTITION BY handler, {sec('ts')} - {sec('ts')} % 86400 ORDER BY duration_seconds)) SELECT window_start, handler, round(duration_seconds, 6) AS p95_s FROM w WHERE k = ceil(n * 0.95)", "request_log")
 def _(t):
     return kpi.request_kpis(t.request_log, "1 day").select("window_start", "handler", "p95_s")
 
@@ -398,13 +398,14 @@ def _(t):
     return upserts.upsert_flight_plans(stored, fetched)
 
 
-@query("w6_latest_leg", f"h AS (SELECT *, coalesce(landed_at, takeoff_ts) AS last_seen FROM flights) SELECT icao24, {sec('max(last_seen)')} AS last_seen FROM h GROUP BY icao24", "flights")
+@query("w6_latest_leg", f"h AS (SELECT *, coalesce(landed_at, takeoff_ts) AS last_seen FROM flights) SELECT icao24, {sec('max(last_seen)')} AS last_seen, {sec('arg_max(takeoff_ts, struct_pack(a := last_seen, b := takeoff_ts))')} AS first_seen FROM h WHERE last_seen >= TIMESTAMP '2023-12-30 06:00:00' AND takeoff_ts <= TIMESTAMP '2023-12-31 18:00:00' GROUP BY icao24", "flights")
 def _(t):
     from .operators.windows import latest_leg
 
     none = F.lit(None).cast("string")
     history = t.flights.select("icao24", F.col("takeoff_ts").alias("first_seen"), F.coalesce("landed_at", "takeoff_ts").alias("last_seen"), none.alias("callsign"), none.alias("origin_icao"), none.alias("destination_icao"))
-    return latest_leg(history).select("icao24", "last_seen")
+    at = lambda s: F.lit(s).cast("timestamp")
+    return latest_leg(history, at("2023-12-30 06:00:00"), at("2023-12-31 18:00:00")).select("icao24", "last_seen", "first_seen")
 
 
 @query("p48_triage_eligible", "SELECT case_id FROM cases WHERE customer_region <> 'all' AND severity_justification IS NULL", "cases")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import geo
@@ -221,6 +221,10 @@ def _(t):
 _J2 = f"d AS (SELECT p.event_id, a.icao, a.customer_regions, {nm('p.lat', 'p.lon', 'a.lat', 'a.lon')} AS nm FROM positions p CROSS JOIN airports a WHERE a.is_watched), b AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY nm, icao) AS n FROM d)"
 
 
+#: Region of each position by its nearest watched site.
+NEAREST = f"{_J2}, regions AS (SELECT event_id, CASE WHEN nm > 50 OR len(customer_regions) = 0 THEN NULL WHEN len(customer_regions) = 1 THEN customer_regions[1] ELSE 'all' END AS customer_region FROM b WHERE n = 1)"
+
+
 @query("j2_nearest_site", f"{_J2} SELECT event_id, icao AS nearest_site_icao, round(nm, 6) AS nearest_site_distance_nm FROM b WHERE n = 1", "positions", "airports")
 def _(t):
     return joins.nearest_site(t.positions, t.airports.filter("is_watched")).select("event_id", "nearest_site_icao", "nearest_site_distance_nm")
@@ -330,7 +334,8 @@ def _(t):
     return _trail_summary(windows.trails(joins.only_ids(t.positions, t.registry.filter("aircraft_type is null"))))
 
 
-@query("j21_enrich_flights", None)
+@query("j21_enrich_flights", f"""{CURRENT}, f AS (SELECT icao24, max(flight_id) AS flight_id, {sec('max(takeoff_ts)')} AS takeoff FROM flights WHERE flight_id NOT LIKE 'bad%' GROUP BY icao24), tr AS (SELECT icao24, count(*) AS n_points FROM positions GROUP BY icao24)
+SELECT f.icao24, flight_id, takeoff, callsign, n_points FROM f JOIN current USING (icao24) LEFT JOIN tr USING (icao24)""", "flights", "positions")
 def _(t):
     return stores.enrich_flights(t.flights, current(t).drop("customer_region"), windows.trails(t.positions)).select("icao24", "flight_id", "takeoff", "callsign", "n_points")
 
@@ -359,7 +364,16 @@ def _(t):
     return windows.lifecycle_edges(t.positions, None, "event_id")
 
 
-@query("w8_bounded_state_edges", None)
+@query(
+    "w8_bounded_state_edges",
+    f"""s AS (SELECT icao24, event_id, ts_polled, on_ground, lag(on_ground) OVER w AS was, {sec('ts_polled')} - {sec('lag(ts_polled) OVER w')} AS gap FROM positions WINDOW w AS (PARTITION BY icao24 ORDER BY ts_polled, event_id)),
+g AS (SELECT *, sum(CASE WHEN was IS NULL OR gap > 600 THEN 1 ELSE 0 END) OVER (PARTITION BY icao24 ORDER BY ts_polled, event_id) AS run FROM s),
+ed AS (SELECT *, CASE WHEN was AND NOT on_ground THEN 'takeoff' ELSE 'landing' END AS kind FROM g WHERE was IS NOT NULL AND gap <= 600 AND was <> on_ground),
+o AS (SELECT *, lag(CASE WHEN kind = 'takeoff' THEN concat(icao24, '-', CAST({sec('ts_polled')} AS STRING)) END) OVER (PARTITION BY icao24, run ORDER BY ts_polled, event_id) AS opened FROM ed),
+e AS (SELECT icao24, kind, {sec('ts_polled')} AS at, CASE WHEN kind = 'takeoff' THEN concat(icao24, '-', CAST({sec('ts_polled')} AS STRING)) ELSE opened END AS flight_id FROM o)
+SELECT * FROM e WHERE flight_id IS NOT NULL""",
+    "positions",
+)
 def _(t):
     return windows.lifecycle_edges(t.positions, 600, "event_id")
 
@@ -491,13 +505,18 @@ def _(t):
     return exports.export_objects(stores.mirror_aircraft(current(t), t_now(t)), "aircraft")
 
 
+def state_vector(squawk: Column, altitude_m: Column) -> Column:
+    """A position as the feed's 17 values."""
+    text = lambda c: F.col(c).cast("string")
+    none = F.lit(None).cast("string")
+    return F.array(F.upper("icao24"), F.rpad(F.coalesce("callsign", F.lit("")), 8, " "), text("origin_country"), sc.epoch("ts_position").cast("string"), sc.epoch("ts_polled").cast("string"), text("lon"), text("lat"), altitude_m, text("on_ground"), text("speed_kt"), text("heading_deg"), text("vertical_rate_fpm"), none, none, squawk, F.lit("false"), none)
+
+
 @query("s1_decode_states", "SELECT icao24, count(*) AS n, CAST(sum(altitude_ft) AS BIGINT) AS altitude FROM positions GROUP BY icao24", "positions")
 def _(t):
     from .sources.readers import decode_state_vectors
 
-    text = lambda c: F.col(c).cast("string")
-    none = F.lit(None).cast("string")
-    vector = F.array(F.upper("icao24"), F.rpad(F.coalesce("callsign", F.lit("")), 8, " "), text("origin_country"), sc.epoch("ts_position").cast("string"), sc.epoch("ts_polled").cast("string"), text("lon"), text("lat"), text("altitude_ft"), text("on_ground"), text("speed_kt"), text("heading_deg"), text("vertical_rate_fpm"), none, none, none, F.lit("false"), none)
+    vector = state_vector(F.lit(None).cast("string"), F.col("altitude_ft").cast("string"))
     snapshots = t.positions.groupBy("ts_polled").agg(F.collect_list(vector).alias("states")).select(F.to_json(F.struct(sc.epoch("ts_polled").alias("time"), "states")).alias("value"))
     return decode_state_vectors(snapshots).groupBy("icao24").agg(F.count("*").alias("n"), F.sum("altitude_m").cast("long").alias("altitude"))
 

@@ -1,4 +1,4 @@
-"""Queries that run a stream to its end over positions that Spark has written as files."""
+"""Queries that run a stream to its end over rows that Spark has written as files."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .queries_positions import _EDGE
-from .registry import CURRENT, Tables, query, sec
+from .functions import scalars as sc
+from .operators import rules
+from .queries_positions import _EDGE, NEAREST, state_vector
+from .registry import CURRENT, NOW, Tables, long, query, sec
 from .sources import lake
 from .streaming import jobs
 from .streaming.lifecycle import stream_lifecycle
@@ -41,20 +43,86 @@ def _(t):
     before = t.spark.conf.get(key, None)
     t.spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        # one file sorted by event, so ties in time keep their order
-        rows = t.positions.orderBy("ts_polled", "event_id").coalesce(1)
-        edges = stream_lifecycle(_stream(t, rows, folder))
+        edges = stream_lifecycle(_stream(t, t.positions, folder), tie="event_id")
         _run(t, edges.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint"))
     finally:
         t.spark.conf.unset(key) if before is None else t.spark.conf.set(key, before)
     return t.spark.read.schema("icao24 string, kind string, at timestamp, flight_id string").parquet(f"{folder}/out")
 
 
-@query("t5_hold_windows", None)
+@query(
+    "t5_hold_windows",
+    f"""w AS (SELECT *, {sec('ts_polled')} - {sec('ts_polled')} % 300 - 300 * k AS window_start FROM positions CROSS JOIN (SELECT unnest(range(0, 6)) AS k))
+SELECT window_start, icao24, count(*) AS n, round(({sec('max(ts_polled)')} - {sec('min(ts_polled)')}) / 60.0, 6) AS minutes, count(DISTINCT floor(heading_deg % 360 / 45)) AS sectors FROM w GROUP BY window_start, icao24""",
+    "positions",
+)
 def _(t):
     return jobs.hold_windows(t.positions)
 
 
+@query("t1_stream_ingest", f"{NEAREST} SELECT p.event_id % 1000000000 AS last_contact_s, p.icao24, {sec('ts_polled')} AS ts_polled, {long('round_even(altitude_ft * CAST(0.3 AS DOUBLE) * 3.28084, 0)')} AS altitude_ft, r.customer_region FROM positions p JOIN regions r USING (event_id) WHERE icao24 NOT LIKE 'a0000%'", "positions", "airports")
+def _(t):
+    folder = scratch(t)
+    # the event's number travels as squawk, a text that is passed through
+    vector = state_vector(F.col("event_id").cast("string"), (F.col("altitude_ft") * F.lit(0.3)).cast("string"))
+    states = t.positions.groupBy("ts_polled").agg(F.collect_list(vector).alias("states"))
+    states.select(F.to_json(F.struct(sc.epoch("ts_polled").alias("time"), "states")).alias("value"), sc.epoch("ts_polled").alias("second")).write.partitionBy("second").text(f"{folder}/in")
+    prefixes = t.spark.createDataFrame([("a0000",)], "prefix string")
+    rows = jobs.stream_ingest(t.spark, f"{folder}/in", prefixes, t.airports.filter("is_watched"))
+    _run(t, jobs.write_hours(rows, f"{folder}/lake", f"{folder}/checkpoint"))
+    return lake.scan_positions(t.spark, f"{folder}/lake").select(F.col("squawk").cast("long").alias("last_contact_s"), "icao24", "ts_polled", "altitude_ft", "customer_region")
+
+
+@query("t4_stream_gaps", f"{CURRENT}, g AS (SELECT icao24, round(({sec('(SELECT max(ts_polled) FROM positions)')} - {sec('last_seen_at')}) / 60.0, 6) AS gap_minutes FROM current) SELECT * FROM g WHERE gap_minutes BETWEEN 14 AND 30", "positions")
+def _(t):
+    folder = scratch(t)
+    state, out = VersionedTable(t.spark, f"{folder}/state"), VersionedTable(t.spark, f"{folder}/gaps")
+    _run(t, jobs.stream_gaps(_stream(t, t.positions.drop("event_id"), folder), state, out, f"{folder}/checkpoint"))
+    return out.read().select("icao24", "gap_minutes")
+
+
+@query("t6_stream_suppression", "SELECT DISTINCT concat('go_around|', flight_id, '|', site_icao) AS dedup_key FROM cases WHERE case_type = 'go_around'", "cases")
+def _(t):
+    folder = scratch(t)
+    rule = next(r for r in rules.REGISTRY if r.case_type == "go_around")
+    found = t.cases.select(F.col("case_type").alias("rule"), rule.dedup_key("site_icao", "flight_id", "detection_facts").alias("dedup_key"), F.col("created_at").alias("detected_at"))
+    once = jobs.stream_dedup(_stream(t, found, folder), rule).select("dedup_key")
+    _run(t, once.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint"))
+    return t.spark.read.schema("dedup_key string").parquet(f"{folder}/out")
+
+
+@query("t7_stream_case_mirror", f"SELECT case_id, status, {sec('updated_at')} + 60 AS updated_at FROM cases WHERE case_type = 'delay' UNION ALL SELECT case_id, status, {sec('updated_at')} FROM cases WHERE case_type <> 'delay'", "cases")
+def _(t):
+    folder = scratch(t)
+    table, checkpoint = VersionedTable(t.spark, f"{folder}/table"), f"{folder}/checkpoint"
+    _run(t, jobs.stream_case_mirror(_stream(t, t.cases, folder), table, checkpoint))
+    newer = t.cases.filter("case_type = 'delay'").withColumn("updated_at", F.col("updated_at") + F.expr("interval 60 seconds"))
+    newer.write.mode("append").parquet(f"{folder}/in")  # a second batch, of which only touched buckets are written
+    _run(t, jobs.stream_case_mirror(t.spark.readStream.schema(t.cases.schema).parquet(f"{folder}/in"), table, checkpoint))
+    return table.read().select("case_id", "status", "updated_at")
+
+
+@query("t10_late_rows", f"{CURRENT} SELECT icao24, {sec('last_seen_at')} AS last_seen_at FROM current", "positions")
+def _(t):
+    folder = scratch(t)
+    table, checkpoint = VersionedTable(t.spark, f"{folder}/table"), f"{folder}/checkpoint"
+    rows, early = t.positions.drop("event_id"), F.col("event_id") % 2 == 0
+    _run(t, jobs.stream_current(_stream(t, t.positions.filter(~early).drop("event_id"), folder), table, checkpoint))
+    t.positions.filter(early).drop("event_id").write.mode("append").parquet(f"{folder}/in")  # many of these are older than what is known
+    _run(t, jobs.stream_current(t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), table, checkpoint))
+    return table.read().select("icao24", "last_seen_at")
+
+
+@query("t11_expired_state", f"{CURRENT} SELECT icao24, {sec('last_seen_at')} AS last_seen_at FROM current WHERE last_seen_at >= {NOW} - INTERVAL 3 HOUR", "positions")
+def _(t):
+    folder = scratch(t)
+    table = VersionedTable(t.spark, f"{folder}/table")
+    _run(t, jobs.stream_current(_stream(t, t.positions.drop("event_id"), folder), table, f"{folder}/checkpoint"))
+    state = table.read()
+    newest = state.agg(F.max("last_seen_at").alias("_now"))
+    return jobs.expire(state.crossJoin(F.broadcast(newest)), F.col("_now")).select("icao24", "last_seen_at")  # one row crosses
+
+
 @query("t9_stream_kpis", f"w AS (SELECT handler, {sec('ts')} - {sec('ts')} % 300 AS window_start, status FROM request_log) SELECT handler, CAST(count(*) AS BIGINT) AS n FROM w WHERE window_start + 300 <= (SELECT max({sec('ts')}) - 600 FROM request_log) GROUP BY handler", "request_log")
 def _(t):
     folder = scratch(t)
@@ -66,7 +134,7 @@ def _(t):
 @query("s10_recent_positions", f"SELECT icao24, {sec('ts_polled')} AS ts_polled FROM positions WHERE ts_polled >= (SELECT max(ts_polled) FROM positions) - INTERVAL 90 MINUTE", "positions")
 def _(t):
     folder = scratch(t)
-    rows = t.positions.drop("event_id").withColumns({"year": F.year("ts_polled"), "month": F.month("ts_polled"), "day": F.dayofmonth("ts_polled"), "hour": F.hour("ts_polled")})
+    rows = t.positions.drop("event_id").withColumns(lake.parts("ts_polled", lake.HOUR))
     rows.write.partitionBy(*lake.HOUR).option("compression", "zstd").parquet(f"{folder}/lake")
     newest = t.positions.agg(F.max("ts_polled")).first()[0]
     return lake.recent_positions(t.spark, f"{folder}/lake", 90, newest).select("icao24", "ts_polled")

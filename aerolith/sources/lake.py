@@ -13,8 +13,11 @@ from ..schemas import FLIGHTS_ARCHIVE, POSITIONS, conform
 HOUR, DAY = ("year", "month", "day", "hour"), ("year", "month", "day")
 
 
-def _parts(ts: str, names: tuple[str, ...]) -> dict:
-    return {n: getattr(F, {"day": "dayofmonth"}.get(n, n))(F.col(ts)) for n in names}
+def parts(ts: str, names: tuple[str, ...]) -> dict:
+    """Partition values in UTC, whatever the session's zone."""
+    days = F.expr(f"date_add(date'1970-01-01', cast(floor(unix_seconds({ts}) / 86400) as int))")
+    hour = F.expr(f"cast(pmod(floor(unix_seconds({ts}) / 3600), 24) as int)")
+    return {n: hour if n == "hour" else getattr(F, {"day": "dayofmonth"}.get(n, n))(days) for n in names}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -27,7 +30,7 @@ def write_positions(df: DataFrame, root: str, polled_at: dt.datetime) -> None:
     df = conform(df.withColumn("ts_polled", F.lit(polled_at).cast("timestamp")), POSITIONS)
     if df.isEmpty():
         raise ValueError("an empty snapshot is not written")
-    df.withColumns(_parts("ts_polled", HOUR)).write.mode("append").option("compression", "zstd").partitionBy(*HOUR).parquet(root)
+    df.withColumns(parts("ts_polled", HOUR)).write.mode("append").option("compression", "zstd").partitionBy(*HOUR).parquet(root)
 
 
 def scan_positions(spark: SparkSession, root: str) -> DataFrame:
@@ -38,13 +41,13 @@ def scan_positions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def hour_of_partition():
-    return F.make_timestamp("year", "month", "day", "hour", F.lit(0), F.lit(0))
+    return F.make_timestamp("year", "month", "day", "hour", F.lit(0), F.lit(0), F.lit("UTC"))
 
 
 def between_times(df: DataFrame, start: dt.datetime, end: dt.datetime) -> DataFrame:
     """Rows polled in [start, end]; hours outside are pruned by their partition values."""
     low, high = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
-    return df.filter((hour_of_partition() >= F.date_trunc("hour", low)) & (hour_of_partition() <= high) & F.col("ts_polled").between(low, high))
+    return df.filter((hour_of_partition() > low - F.expr("interval 1 hour")) & (hour_of_partition() <= high) & F.col("ts_polled").between(low, high))
 
 
 def recent_positions(spark: SparkSession, root: str, minutes: int, now: dt.datetime) -> DataFrame:
@@ -59,7 +62,7 @@ def write_flights_archive(df: DataFrame, root: str) -> None:
     must = [f.name for f in FLIGHTS_ARCHIVE if not f.nullable]
     broken = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in must))
     df = df.withColumn("flight_id", F.when(broken, F.raise_error(F.lit(f"null in one of {', '.join(must)}")).cast("string")).otherwise(F.col("flight_id")))
-    df.withColumns(_parts("landed_at", DAY)).write.mode("append").option("compression", "zstd").partitionBy(*DAY).parquet(root)
+    df.withColumns(parts("landed_at", DAY)).write.mode("append").option("compression", "zstd").partitionBy(*DAY).parquet(root)
 
 
 def day_of_partition():
@@ -67,13 +70,13 @@ def day_of_partition():
 
 
 def read_flights_archive(spark: SparkSession, root: str, days: int | None = None, now: dt.datetime | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Archived flights, optionally of the last ``days`` partitions and some columns."""
+    """Archived flights, optionally of the last ``days`` UTC day partitions and some columns."""
     if not _exists(spark, root):
         df = spark.createDataFrame([], FLIGHTS_ARCHIVE)
     else:
         df = spark.read.parquet(root)
         if days is not None:
-            df = df.filter(day_of_partition() >= F.lit((now - dt.timedelta(days=days)).date()))
+            df = df.filter(day_of_partition() >= F.lit((now.astimezone(dt.timezone.utc) - dt.timedelta(days=days)).date()))
         df = df.drop(*DAY)
     return df if columns is None else df.select(*columns)
 

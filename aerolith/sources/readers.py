@@ -99,7 +99,7 @@ def read_airports(spark: SparkSession, path: str, watchlist: DataFrame) -> DataF
         F.col("longitude_deg").try_cast("double").alias("lon"),
         F.col("elevation_ft").try_cast("double").cast("int").alias("elevation_ft"),
     )
-    df = df.join(F.broadcast(watchlist), "icao", "left")  # one row an airport that is watched
+    df = df.join(watchlist, "icao", "left")
     return df.withColumns({"is_watched": F.col("customer_regions").isNotNull(), "customer_regions": F.coalesce("customer_regions", F.array().cast("array<string>"))})
 
 
@@ -110,12 +110,12 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Aircraft registry CSV; blank ids go, the first line of an id wins."""
-    df = spark.read.csv(path, header=True).withColumns({"_file": F.input_file_name(), "_line": F.monotonically_increasing_id()})
+    """Aircraft registry CSV; blank ids go, the first line of an id wins, by file, block and line."""
+    df = spark.read.csv(path, header=True).select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")).alias("_line"))
     text = lambda c: sc.opt_str(F.trim(c))
     df = df.withColumn("icao24", F.lower(F.trim("icao24"))).filter("coalesce(icao24, '') <> ''")
-    df = df.select("icao24", text("registration").alias("registration"), text("typecode").alias("type_code"), text("model").alias("type_name"), text("operator").alias("operator"), text("operatoricao").alias("operator_icao"), "_file", "_line")
-    return first_per_key(df, ["icao24"], ["_file", "_line"]).drop("_file", "_line")
+    df = df.select("icao24", text("registration").alias("registration"), text("typecode").alias("type_code"), text("model").alias("type_name"), text("operator").alias("operator"), text("operatoricao").alias("operator_icao"), "_line")
+    return first_per_key(df, ["icao24"], ["_line"]).drop("_line")
 
 
 def read_denylist(spark: SparkSession, path: str) -> DataFrame:

@@ -33,14 +33,20 @@ def upsert_positions(target: DataFrame | None, batch: DataFrame) -> DataFrame:
     return newest_wins(target, batch, ["icao24"], "last_seen_at", ("aircraft_type",) if "aircraft_type" in batch.columns else ())
 
 
-def overwrite_by_key(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``batch`` replace the target's rows of the same key."""
-    return target.join(batch.select(*keys).distinct(), keys, "left_anti").unionByName(batch)
+def overwrite_by_key(target: DataFrame, batch: DataFrame, keys: list[str], ts: str | None = None) -> DataFrame:
+    """Rows of ``batch`` replace the target's rows of the same key.
+
+    A key that the batch repeats gives one row: the newest by ``ts``, then the largest by all values.
+    """
+    values = [c for c in batch.columns if c not in keys]
+    order = F.struct(*([ts] if ts else []), *values)
+    once = batch.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("_v")).select(*keys, *(F.col("_v")[c].alias(c) for c in values))
+    return target.join(once.select(*keys), keys, "left_anti").unionByName(once.select(*batch.columns))
 
 
 def upsert_conditions(target: DataFrame, batch: DataFrame) -> DataFrame:
-    """Site weather: the batch's row replaces the site's."""
-    return overwrite_by_key(target, batch, ["site_icao"])
+    """Site weather: the batch's row replaces the site's, the newest observation if it has several."""
+    return overwrite_by_key(target, batch, ["site_icao"], "metar_observed_at" if "metar_observed_at" in batch.columns else None)
 
 
 def upsert_flight_plans(target: DataFrame, fetched: DataFrame) -> DataFrame:
@@ -51,9 +57,10 @@ def upsert_flight_plans(target: DataFrame, fetched: DataFrame) -> DataFrame:
 
 
 def upsert_airports(target: DataFrame, batch: DataFrame, root: str) -> DataFrame:
-    """Airports by ICAO, written as a new version and counted there."""
+    """Airports by ICAO, written as a new version; it must hold every ICAO of both sides once."""
     new = overwrite_by_key(target, batch, ["icao"])
-    return check_count(new.sparkSession.read.parquet(swap(new, root)), new.count())
+    expected = target.select("icao").unionByName(batch.select("icao")).distinct().count()
+    return check_count(new.sparkSession.read.parquet(swap(new, root)), expected)
 
 
 def patch_rows(target: DataFrame, patch: DataFrame, keys: list[str]) -> DataFrame:

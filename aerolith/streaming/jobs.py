@@ -11,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..functions import scalars as sc
 from ..operators import kpi, rules, serving, stores
 from ..plans.ingest import to_current, to_positions
+from ..sources import lake
 from ..sources.readers import decode_state_vectors
 from ..sources.upserts import overwrite_by_key, upsert_positions
 from .tables import VersionedTable
@@ -23,8 +24,7 @@ def stream_ingest(spark: SparkSession, folder: str, prefixes: DataFrame, sites:
 
 
 def write_hours(positions: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
-    parts = {"year": F.year("ts_polled"), "month": F.month("ts_polled"), "day": F.dayofmonth("ts_polled"), "hour": F.hour("ts_polled")}
-    return positions.withColumns(parts).writeStream.format("parquet").option("path", root).option("checkpointLocation", checkpoint).partitionBy(*parts)
+    return positions.withColumns(lake.parts("ts_polled", lake.HOUR)).writeStream.format("parquet").option("path", root).option("checkpointLocation", checkpoint).partitionBy(*lake.HOUR)
 
 
 def _each_batch(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None]) -> DataStreamWriter:
@@ -35,7 +35,7 @@ def stream_current(positions: DataFrame, table: VersionedTable, checkpoint: str)
     """Last-known state; a row that is not newer than the stored one changes nothing."""
 
     def step(batch: DataFrame, n: int) -> None:
-        table.write(upsert_positions(table.read(before=n), to_current(batch)), n)
+        table.upsert(to_current(batch), n, ["icao24"], upsert_positions)
 
     return _each_batch(positions, checkpoint, step)
 
@@ -52,8 +52,7 @@ def stream_gaps(positions: DataFrame, table: VersionedTable, out: VersionedTable
         if batch.isEmpty():
             return
         now = F.lit(batch.agg(F.max("ts_polled")).first()[0])
-        state = upsert_positions(table.read(before=n), to_current(batch))
-        table.write(state, n)
+        table.upsert(to_current(batch), n, ["icao24"], upsert_positions)
         out.write(gaps(table.read(), now, low, high), n)
 
     return _each_batch(positions, checkpoint, step)
@@ -105,8 +104,7 @@ def stream_case_mirror(cases: DataFrame, table: VersionedTable, checkpoint: str)
         from ..operators.windows import latest_per_key
 
         new = stores.mirror_cases(latest_per_key(batch, ["case_id"], "updated_at"))
-        old = table.read(before=n)
-        table.write(new if old is None else overwrite_by_key(old, new, ["case_id"]), n)
+        table.upsert(new, n, ["case_id"], lambda old, rows: rows if old is None else overwrite_by_key(old, rows, ["case_id"]))
 
     return _each_batch(cases, checkpoint, step)
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "icao24 string, kind string, at timestamp, flight_id string"
@@ -21,7 +22,7 @@ class Edges(StatefulProcessor):
         self.state = handle.getValueState("aircraft", "on_ground boolean, seen_s bigint, flight_id string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("ts_polled", kind="stable")
+        pdf = pd.concat(list(rows)).sort_values(["ts_polled", "tie"], kind="stable")
         held = self.state.get() if self.state.exists() else None
         was, seen, flight = held if held else (None, None, None)
         out = []
@@ -46,7 +47,7 @@ class Edges(StatefulProcessor):
         pass
 
 
-def stream_lifecycle(positions: DataFrame, max_gap_s: int | None = None) -> DataFrame:
-    """Edges of a positions stream; needs the RocksDB state store provider."""
-    rows = positions.select("icao24", "ts_polled", "on_ground")
+def stream_lifecycle(positions: DataFrame, max_gap_s: int | None = None, tie: str | None = None) -> DataFrame:
+    """Edges of a positions stream; fixes of one time come in the order of ``tie``.  Needs the RocksDB state store provider."""
+    rows = positions.select("icao24", "ts_polled", "on_ground", (F.col(tie) if tie else F.lit(0)).cast("long").alias("tie"))
     return rows.groupBy("icao24").transformWithStateInPandas(Edges(max_gap_s), OUTPUT, "Append", "None")

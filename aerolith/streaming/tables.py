@@ -2,40 +2,67 @@
 
 Version ``n`` is the state after micro-batch ``n``; a batch that is run again after a
 failure starts from version ``n - 1`` and writes ``n`` anew, so it is idempotent.
+A version holds whole buckets of keys: ``upsert`` reads and writes only the buckets
+that its batch touches, and a bucket's state is its newest copy.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class VersionedTable:
-    def __init__(self, spark: SparkSession, root: str, keep: int = 3):
-        self.spark, self.root, self.keep = spark, root, keep
+    def __init__(self, spark: SparkSession, root: str, keep: int = 3, buckets: int = 32):
+        self.spark, self.root, self.keep, self.buckets = spark, root, keep, buckets
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+    def _names(self, name: str = "") -> list[str]:
+        path = self._path(name)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
 
-    def _path(self, version: int) -> str:
-        return f"{self.root}/v-{version:012d}"
+    def _delete(self, name: str) -> None:
+        path = self._path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def versions(self) -> list[int]:
         """Complete versions, oldest first."""
-        fs, path = self._fs()
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        done = [n for n in names if n.startswith("v-") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}/_SUCCESS"))]
-        return sorted(int(n[2:]) for n in done)
-
-    def read(self, before: int | None = None) -> DataFrame | None:
-        """The newest version, or the newest before a number; None if there is none."""
-        found = [v for v in self.versions() if before is None or v < before]
-        return self.spark.read.parquet(self._path(found[-1])) if found else None
+        return sorted(int(n[2:]) for n in self._names() if n.startswith("v-") and "_SUCCESS" in self._names(n))
+
+    def _held(self, before: int | None = None) -> dict[int, int]:
+        """The newest version of each bucket."""
+        out = {}
+        for v in self.versions():
+            if before is None or v < before:
+                out.update((int(n[7:]), v) for n in self._names(f"v-{v:012d}") if n.startswith("bucket="))
+        return out
+
+    def read(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+        """The newest state, or the newest before a version, of all or some buckets; None if there is none."""
+        held = {b: v for b, v in self._held(before).items() if buckets is None or b in buckets}
+        return self.spark.read.parquet(*(f"{self.root}/v-{v:012d}/bucket={b}" for b, v in sorted(held.items()))) if held else None
+
+    def _write(self, df: DataFrame, version: int, bucket) -> None:
+        df.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/v-{version:012d}")
+        done = self.versions()
+        if len(done) > self.keep:
+            held = self._held(before=done[-self.keep] + 1)  # what the oldest version that is kept consists of
+            for old in done[: -self.keep]:
+                for name in self._names(f"v-{old:012d}"):
+                    if name.startswith("bucket=") and held[int(name[7:])] != old:
+                        self._delete(f"v-{old:012d}/{name}")
 
     def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(self._path(version))
-        fs, _ = self._fs()
-        for old in self.versions()[: -self.keep]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._path(old)), True)
+        """The whole state, as one bucket."""
+        self._write(df, version, F.lit(0))
+
+    def upsert(self, batch: DataFrame, version: int, keys: list[str], merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
+        """State of the batch's buckets after ``merge(state, batch)``; the other buckets are not read."""
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
+        touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets``
+        self._write(merge(self.read(version, touched), batch), version, bucket)

@@ -1,4 +1,4 @@
-"""Every fleet query that has SQL against DuckDB, and every other one for rows and columns."""
+"""Every fleet query against DuckDB; the four that give JSON texts must give some."""
 
 import duckdb
 import pytest
@@ -30,8 +30,8 @@ def test_query(spark, sf_small, duck, name):
     df = catalog.QUERIES[name](spark, sf_small)
     columns = sorted(df.columns)
     got = plain(df.select(*columns).collect())
-    if name not in catalog.ORACLES:
-        assert columns
+    if name not in catalog.ORACLES:  # JSON texts; their members have entries with SQL
+        assert name in ("s25_export_trails", "s26_export_cases", "s26_export_aircraft", "s28_export_crm") and got
         return
     want = duck.execute(catalog.ORACLES[name])
     names = [d[0] for d in want.description]

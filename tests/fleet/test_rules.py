@@ -151,7 +151,7 @@ def test_nearest_site_by_list_and_by_cell(spark, monkeypatch):
     rng = random.Random(5)
     sites = [(f"K{i:03d}", rng.uniform(-89, 89), rng.uniform(-180, 180)) for i in range(60)] + [("KEAS", 10.0, 179.9), ("KWES", 10.0, -179.8), ("KPOL", 89.5, 20.0)]
     rows = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(300)]
-    rows += [(900, 10.1, -179.95), (901, 10.1, 180.0), (902, 89.9, -160.0), (903, None, 1.0), (904, sites[0][1], sites[0][2])]
+    rows += [(900, 10.1, -179.93), (901, 10.1, 180.0), (902, 89.9, -160.0), (903, None, 1.0), (904, sites[0][1], sites[0][2])]
     s = spark.createDataFrame(sites, "icao string, lat double, lon double")
     p = spark.createDataFrame(rows, "i int, lat double, lon double")
 
