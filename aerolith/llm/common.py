@@ -21,7 +21,7 @@ __all__ = ["BLOCK_BYTES", "RangeHash", "Seen", "blocks", "crc_bucket", "cut", "f
 #: Bytes of text that one numpy pass lays out together.
 BLOCK_BYTES = 1 << 20
 #: Rows from which a key's join is salted, and over how many tasks.
-HOT_ROWS, SALTS = 100_000, 64
+HOT_ROWS, SALTS = 2_000, 64
 
 _U64 = np.uint64
 

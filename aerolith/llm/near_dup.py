@@ -13,9 +13,11 @@ register with about their Jaccard similarity.
 4. Connected pairs make clusters.  Texts are shuffled once, by cluster, and links are
    confirmed on full sets there, again only until the members hang together.
 5. A bucket of more than ``BUCKET`` or a cluster of more than ``CLUSTER`` members does
-   not meet in one task: all members of a bucket meet one pivot, pair by pair, and the
-   bucket gets another pivot outside its main group as long as there is one that has
-   not been a pivot.  One round does for a group of copies of any size.
+   not meet in one task.  Its members lie in blocks, and pivots meet all blocks of their
+   bucket, a row of two blocks at a time.  The first round has one pivot, which ties a
+   group of copies of any size; each next round has eight times as many, taken from what
+   is not tied to the bucket's largest group, until all of that have been pivots: some
+   log8(members) rounds whatever the members are.
 6. Smallest ids spread over the links until nothing changes.
 
 Null or wordless texts have the empty set and link with nothing; a null doc_id
@@ -24,6 +26,7 @@ takes no part (component null, kept).  Rows that share a doc_id count as one nod
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +41,9 @@ from .common import RangeHash, blocks, cut, mix, read, signed
 #: with a chance under 3 in a million, one at 0.9 under 1 in 10**13.
 M, ROWS, BASE = 256, 6, 1.02
 #: Members of a bucket, and classes and bytes of a cluster, that meet in one task.
-BUCKET, CLUSTER, CLUSTER_BYTES = 2_000, 4_000, 32 << 20
+BUCKET, CLUSTER, CLUSTER_BYTES = 2_000, 4_000, 16 << 20
+#: Members of a block of a larger bucket.
+MEET = 256
 #: Estimate from which a pair may be linked: five standard errors under 0.8.
 MAY_LINK = 0.68
 
@@ -137,14 +142,6 @@ def likelihood_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.nd
     return np.take_along_axis(grid, score.argmax(axis=1)[:, None], 1)[:, 0]
 
 
-def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``a, b, likeness`` of rows with both sketches."""
-    for pdf in batches:
-        if len(pdf):
-            a, b = (np.frombuffer(b"".join(pdf[c]), np.int16).reshape(-1, M) for c in ("sketch_a", "sketch_b"))
-            yield pdf[["a", "b"]].assign(likeness=likelihood_jaccard(a, b, pdf["n_a"].to_numpy(float), pdf["n_b"].to_numpy(float)))
-
-
 class Forest:
     """Union of numbered members; the smallest number of a group is its root."""
 
@@ -257,41 +254,61 @@ def _verify(width: int):
     return run
 
 
-def _with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``a, b, likeness`` of the pairs."""
-    side = lambda c: classes.select(F.col("rep").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("n_shingles").alias(f"n_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_pairs, "a long, b long, likeness double")
-
-
-def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """``a, b`` of the pairs that are links on full sets; the sketches rule out most others."""
-    near = _with_sketches(pairs, classes).filter(F.col("likeness") >= MAY_LINK)
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``a, b`` of the pairs that are links on full sets."""
     text = lambda c: texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}"))
-    told = near.join(text("a"), "a").join(text("b"), "b").mapInPandas(_verify(width), "a long, b long, both long, either long")
+    told = pairs.join(text("a"), "a").join(text("b"), "b").mapInPandas(_verify(width), "a long, b long, both long, either long")
     return told.filter(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
 
 
-def _pivot_rounds(rows: DataFrame, tied) -> DataFrame:
-    """Pairs ``a, b`` that tie together the members of each bucket of ``rows(bucket, rep)``.
-
-    ``tied`` maps pairs to those that hold.  A pivot meets all of its bucket, so what is left apart
-    at the end has no tie to any member outside the bucket's main group.
+def _block_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``a, b`` of members and pivots of two blocks that may be linked."""
+    for pdf in batches:
+        out = []
+        for members, pivots in zip(pdf["members"], pdf["pivots"]):
+            rep, n = (np.array([m[c] for m in members]) for c in ("rep", "n_shingles"))
+            registers = np.frombuffer(b"".join(m["sketch"] for m in members), np.int16).reshape(-1, M)
+            for p in pivots:
+                own = np.frombuffer(p["sketch"], np.int16)
+                near = np.flatnonzero(((registers == own).sum(axis=1) >= (MAY_LINK - 0.05) * M) & (rep != p["rep"]))
+                if len(near):
+                    likeness = likelihood_jaccard(registers[near], np.broadcast_to(own, (len(near), M)), n[near].astype(float), np.full(len(near), float(p["n_shingles"])))
+                    out += [(int(x), p["rep"]) for x in rep[near[likeness >= MAY_LINK]]]
+        yield pd.DataFrame(out, columns=["a", "b"])
+
+
+def _in_blocks(rows: DataFrame, classes: DataFrame, name: str, block: str) -> DataFrame:
+    """``bucket, <block>, <name>``: members with their sketches, about MEET of a bucket in a block."""
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / MEET).alias("_blocks"))
+    dealt = rows.join(sizes, "bucket").select("bucket", "rep", F.pmod(F.xxhash64("rep"), F.col("_blocks")).alias(block))
+    return dealt.join(classes.select("rep", "n_shingles", "sketch"), "rep").groupBy("bucket", block).agg(F.collect_list(F.struct("rep", "n_shingles", "sketch")).alias(name))
+
+
+def tie_up(rows: DataFrame, classes: DataFrame, confirm=lambda pairs: pairs) -> tuple[DataFrame, int]:
+    """Pairs ``a, b`` that tie together the members of each bucket of ``rows(bucket, rep)``, and the number of rounds.
+
+    ``confirm`` keeps the pairs that hold of those that may.  Pivots meet all of their bucket, so what
+    is left apart at the end has no tie to any member outside the bucket's largest group.
     """
-    rows = cut(rows)
-    pivots = rows.groupBy("bucket").agg(F.min("rep").alias("pivot"))
-    used = ties = None
-    while True:
-        pairs = rows.join(pivots, "bucket").filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-        new = tied(pairs)
+    rows = cut(rows.distinct())
+    blocks = cut(_in_blocks(rows, classes, "members", "block"))
+    apart, used, ties = rows, None, None
+    for turn in itertools.count():
+        few = apart.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("rep").alias("_first"))
+        chance = F.pmod(F.xxhash64(F.lit(turn), "rep"), F.lit(1 << 30)) / F.lit(1 << 30)
+        taken = (F.col("rep") == F.col("_first")) | ((F.lit(turn) > 0) & (chance < F.lit(8**turn) / F.col("_n")))
+        pivots = cut(apart.join(few, "bucket").filter(taken).select("bucket", "rep"))
+        meet = _in_blocks(pivots, classes, "pivots", "_pivots").join(blocks.select("bucket", "block"), "bucket")
+        pairs = blocks.join(meet, ["bucket", "block"]).select("members", "pivots").mapInPandas(_block_pairs, "a long, b long")
+        new = confirm(pairs.distinct())
         ties = cut(new if ties is None else ties.union(new))
         used = cut(pivots if used is None else used.union(pivots))
         groups = connected(ties).withColumnRenamed("node", "rep")
-        placed = rows.join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        placed = cut(rows.join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
         main = placed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-        apart = placed.join(main, "bucket").filter("component <> main").join(used.withColumnRenamed("pivot", "rep"), ["bucket", "rep"], "left_anti")
-        pivots = cut(apart.groupBy("bucket").agg(F.min("rep").alias("pivot")))
-        if pivots.isEmpty():
-            return ties
+        apart = cut(placed.join(main, "bucket").filter("component <> main").join(used, ["bucket", "rep"], "left_anti").select("bucket", "rep"))
+        if apart.isEmpty():
+            return ties, turn + 1
 
 
 def may_links(bands: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -301,7 +318,7 @@ def may_links(bands: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFram
     ties = members.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_forests, "a long, b long")
     large = shared.filter(F.col("n") > BUCKET).select("bucket", "rep")
     if not large.isEmpty():
-        ties = ties.union(_pivot_rounds(large, lambda pairs: _with_sketches(pairs, classes).filter(F.col("likeness") >= MAY_LINK).select("a", "b")))
+        ties = ties.union(tie_up(large, classes)[0])
     return ties.distinct(), shared.select("bucket", "rep")
 
 
@@ -352,7 +369,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     large = sized.filter("not fits")
     if not large.isEmpty():
         rows, some = shared.join(large.select("rep"), "rep", "left_semi"), cut(texts.filter("not fits"))
-        groups = groups.unionByName(connected(_pivot_rounds(rows, lambda pairs: _linked(pairs, classes, some, width, percent))))
+        groups = groups.unionByName(connected(tie_up(rows, classes, lambda pairs: _confirmed(pairs, some, width, percent))[0]))
     part = classes.select("class_key", F.col("rep").alias("class_id")).join(groups.withColumnRenamed("node", "class_id").groupBy("class_id").agg(F.min("component").alias("component")), "class_id", "left")
     out = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_key")).alias("class_key")).join(part, "class_key", "left")
     own = F.coalesce("class_id", "doc_id")

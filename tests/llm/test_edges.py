@@ -126,6 +126,23 @@ def test_large_clusters_and_buckets_take_the_pairwise_way(spark, sf_small, monke
     assert got == want
 
 
+def test_a_bucket_of_unlike_members_ends_in_a_few_rounds(spark):
+    import numpy as np
+
+    rng, n = np.random.default_rng(1), 5_000
+    registers = rng.integers(0, 2_000, (n, near_dup.M)).astype(np.int16)
+    registers[:, :6] = 7  # what put them in one bucket
+    registers[40:45] = registers[3]  # a small group of copies that no early pivot needs to meet
+    registers[45:2_000] = registers[4]
+    classes = spark.createDataFrame([(i, 300, r.tobytes()) for i, r in enumerate(registers)], "rep long, n_shingles long, sketch binary")
+    rows = classes.select(F.lit(1).cast("long").alias("bucket"), "rep")
+    ties, rounds = near_dup.tie_up(rows, classes)
+    groups = near_dup.connected(ties).collect()
+    assert rounds <= 6
+    assert {r["node"] for r in groups if r["component"] == 3} == set(range(40, 45))
+    assert {r["node"] for r in groups if r["component"] == 4} == set(range(45, 2_000)) and len(groups) == 5 + 1_955
+
+
 def test_wide_gram_groups_take_the_window_way(spark, monkeypatch):
     shared = "the same passage of somewhat more than one hundred bytes that stands in the middle of all of these documents here"
     rows = [(i, f"{i * i * 977:09d} start {'x' * i} {shared} {'y' * (i % 7)} end {i * 31:05d}") for i in range(60)]
