@@ -4,12 +4,18 @@ Per language a byte context tree of orders 0 to 3 holds symbol counts.  A symbol
 that a context has not seen costs that context's escape (method C: distinct
 symbols over total plus distinct) and is then coded by the shorter context, with
 the longer context's symbols excluded.  Statistics are frozen after training, so
-each (context, byte) has one exact code length; all are laid out in one table and
+each (context, byte) has one exact code length; all are laid out in tables and
 a text's code length is a sum of look-ups.  The shortest code wins.
 
+No context is left out: languages are dealt to tables of about ``table_bytes``, a
+language that needs more has one of its own, and code lengths don't depend on which
+languages share a table.  A text passes once over each table.
+
 A-Z is folded to a-z.  Training reads about ``max_docs`` documents a language, by
-hash of the id.  A text that is null or has no letters is ``und`` with score 0; so
-is every text if nothing could be learned.
+hash of the id; rows without lang or text are ignored.  A text that is null or has no
+letters is ``und`` with score 0; so is every text if nothing could be learned.  On a
+tie the first language by name wins.  Repeated rows each get their row; other columns
+stay, but for ``lang_pred`` and ``lang_score``, which are replaced.
 """
 
 from __future__ import annotations
@@ -23,9 +29,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_bucket, read
+from .common import blocks, crc_bucket, fresh, read
 
-#: Documents a language that the trees learn from; bytes of the table of code lengths.
+#: Documents a language that the trees learn from; bytes of a table of code lengths.
 MAX_DOCS, TABLE_BYTES = 2_000, 48 << 20
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -35,13 +41,19 @@ _PAD = b"\n\n\n"
 
 
 @dataclass
-class Trees:
-    languages: list[str]
+class Table:
+    languages: list[int]
     symbol: np.ndarray  # byte -> symbol
     row: np.ndarray  # last three symbols -> row of the longest context held
     bits: np.ndarray  # (row * symbols + symbol, language) -> code length
 
 
+@dataclass
+class Trees:
+    languages: list[str]
+    tables: list[Table]
+
+
 def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Folded bytes of the padded texts, and the position of each text's first byte."""
     buffer = _FOLD[np.frombuffer(b"".join(x for t in texts for x in (_PAD, t)), np.uint8)]
@@ -71,7 +83,7 @@ def train(documents: DataFrame, max_docs: int = MAX_DOCS, table_bytes: int = TAB
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return Trees([], np.zeros(256, np.int32), np.zeros(1, np.int32), np.zeros((1, 1), np.float32))
+        return Trees([], [])
     pick = F.pmod(F.xxhash64(F.lit("tree"), F.col("doc_id")), F.lit(1 << 30)) / (1 << 30)
     share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, max_docs / sizes[lang]))))
     grams = docs.filter(pick < share[F.col("lang")]).mapInPandas(_four_grams, "lang string, code long, n long")
@@ -82,22 +94,33 @@ def train(documents: DataFrame, max_docs: int = MAX_DOCS, table_bytes: int = TAB
 def _trees(languages: list[str], table: pd.DataFrame, table_bytes: int) -> Trees:
     code, n = table["code"].to_numpy(np.int64), table["n"].to_numpy(float)
     lang = np.searchsorted(languages, table["lang"].to_numpy(str)) if len(table) else np.empty(0, int)
+    groups: list[list[int]] = []
+    rows = size = 0
+    for i in range(len(languages)):
+        own = code[lang == i] >> 8
+        rows += len(np.unique(own)) + len(np.unique(own & 0xFFFF)) + 256
+        size = max(size, len(np.unique(own & 255)) + 1)
+        if not groups or rows * size * (len(groups[-1]) + 1) * 4 > table_bytes:
+            groups.append([])
+            rows = len(np.unique(own)) + len(np.unique(own & 0xFFFF)) + 256
+        groups[-1].append(i)
+    tables = []
+    for group in groups:
+        held = np.isin(lang, group)
+        tables.append(_table(group, np.searchsorted(group, lang[held]), code[held], n[held]))
+    return Trees(languages, tables)
+
+
+def _table(group: list[int], lang: np.ndarray, code: np.ndarray, n: np.ndarray) -> Table:
+    """Code lengths of the languages of ``group`` after every context that one of them has seen."""
     seen = np.unique(np.concatenate([(code >> s) & 255 for s in (0, 8, 16, 24)] + [[10]]))
     size = len(seen) + 1  # the last symbol stands for all other bytes
     symbol = np.full(256, size - 1, np.int32)
     symbol[seen] = np.arange(len(seen))
     a, b, c, d = (symbol[(code >> s) & 255].astype(np.int64) for s in (24, 16, 8, 0))
     full = (a * size + b) * size + c
-    n_lang = len(languages)
-    room = max(size + 1, table_bytes // (size * n_lang * 4)) - size - 1
-
-    def frequent(key: np.ndarray, most: int) -> np.ndarray:
-        keys, at = np.unique(key, return_inverse=True)
-        total = np.bincount(at, n, len(keys))
-        return np.sort(keys[np.argsort(-total, kind="stable")[:most]])
-
-    pairs = frequent(b * size + c, room // 2)
-    deep = frequent(full, room - len(pairs))
+    n_lang = len(group)
+    pairs, deep = np.unique(b * size + c), np.unique(full)
 
     def counts(index: np.ndarray, rows: int) -> np.ndarray:
         held = index >= 0
@@ -134,29 +157,29 @@ def _trees(languages: list[str], table: pd.DataFrame, table_bytes: int) -> Trees
     two[pairs] = size + np.arange(len(pairs))
     row = np.tile(two, size)
     row[deep] = size + len(pairs) + np.arange(len(deep))
-    return Trees(languages, symbol, row.astype(np.int32), np.ascontiguousarray(bits.transpose(1, 2, 0).reshape(-1, n_lang), np.float32))
+    return Table(group, symbol, row.astype(np.int32), np.ascontiguousarray(bits.transpose(1, 2, 0).reshape(-1, n_lang), np.float32))
 
 
 def code_lengths(trees: Trees, texts: list[bytes]) -> np.ndarray:
     """Code length in bits of each text (rows) under each language (columns)."""
-    size = trees.bits.shape[0] // (int(trees.row.max()) + 1)
     out = np.zeros((len(texts), len(trees.languages)))
     long = [i for i, t in enumerate(texts) if t]
     if not long:
         return out
     b, first = _codes([texts[i] for i in long])
-    s = trees.symbol[b]
-    at = trees.row[(s[:-3] * size + s[1:-2]) * size + s[2:-1]] * size + s[3:]
-    cost = trees.bits[at]
-    for k in (1, 2, 3):
-        cost[(first - k)[1:] - 3] = 0  # padding between texts
-    out[long] = np.add.reduceat(cost, first - 3, axis=0, dtype=np.float64)
+    for t in trees.tables:
+        size = t.bits.shape[0] // (int(t.row.max()) + 1)
+        s = t.symbol[b]
+        cost = t.bits[t.row[(s[:-3] * size + s[1:-2]) * size + s[2:-1]] * size + s[3:]]
+        for k in (1, 2, 3):
+            cost[(first - k)[1:] - 3] = 0  # padding between texts
+        out[np.ix_(long, t.languages)] = np.add.reduceat(cost, first - 3, axis=0, dtype=np.float64)
     return out
 
 
 def predict(documents: DataFrame, trees: Trees) -> DataFrame:
     """``documents`` with ``lang_pred`` and ``lang_score``, the posterior of the language under equal priors."""
-    held = documents.sparkSession.sparkContext.broadcast(trees)  # about TABLE_BYTES, whatever the corpus
+    held = documents.sparkSession.sparkContext.broadcast(trees)  # some MB a language, whatever the corpus
 
     @F.pandas_udf("lang_pred string, lang_score double")
     def identify(texts: pd.Series) -> pd.DataFrame:
@@ -172,7 +195,8 @@ def predict(documents: DataFrame, trees: Trees) -> DataFrame:
                 scores.append(float(p) if known else 0.0)
         return pd.DataFrame({"lang_pred": names, "lang_score": scores})
 
-    return documents.withColumn("_l", identify("text")).withColumns({"lang_pred": F.col("_l.lang_pred"), "lang_score": F.col("_l.lang_score")}).drop("_l")
+    told = fresh(documents, "_l")
+    return documents.withColumn(told, identify("text")).withColumns({"lang_pred": F.col(told)["lang_pred"], "lang_score": F.col(told)["lang_score"]}).drop(told)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

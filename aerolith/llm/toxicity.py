@@ -10,7 +10,9 @@ naming a group is no evidence by itself.
 The model is fitted on at most ``max_rows`` labelled rows, those of the smallest
 hash of their id; the vocabulary comes from the same rows.  Scoring covers every
 whole text.  Null, empty and wordless texts get the score of no evidence; with
-no labelled rows every score is 0.
+no labelled rows every score is 0, and with labels of one kind only about that label.
+Repeated rows get equal scores, repeated labels of a document count once.  All columns
+of the documents stay, but for one that bears the name of the score.
 """
 
 from __future__ import annotations
