@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from aerolith.llm.common import read
-from aerolith.llm.toxicity import _descend, features, score, tokens, train_model, twins
+from aerolith.llm.toxicity import _descend, _term_features, features, score, tokens, train_model, twins
 
 RNG = random.Random(2)
 FILLER = [f"n{i}" for i in range(30)]
@@ -21,8 +21,9 @@ def text(*more):
 # labels that tie a group to toxicity: half of the toxic texts only name women, clean ones name men
 ROWS = [(text("women") if i % 2 else text("women", "vermin"), 1) for i in range(300)] + [(text("men") if i % 6 == 0 else text(), 0) for i in range(600)]
 CELLS = [[(shift, features(words)) for shift, words in twins(tokens(t))] for t, _ in ROWS]
-VOCABULARY = sorted({f for row in CELLS for _, found in row for f in found})
+VOCABULARY = sorted({f for row in CELLS for f in row[0][1]} | _term_features())
 INDEX = {w: i for i, w in enumerate(VOCABULARY)}
+CELLS = [[(shift, found & INDEX.keys()) for shift, found in row] for row in CELLS]
 
 
 def fitted(penalty, ridge=1e-4, steps=400):
