@@ -12,11 +12,13 @@ card   | 13 to 19 digits, also grouped, Luhn sum is 0 | all but the check digit,
 ssn    | no part is 0, area is not 666 or 9xx         | serial and group (area kept)
 phone  | country code and ten digits, or grouped      | the last seven digits
 ip     | four octets of 0 to 255                      | all 32 bits
-date   | a calendar day of 1800 to 2199               | the day's number in these 400 years
+date   | a calendar day of 1800 to 2199; a slash date | the day's number in these 400 years; of a
+       | is month first, or else day first            | day-first slash date, see ``_day_first``
 email  | local part @ domain with a top level         | letters and digits of the local part
 
 Everything is Spark expressions; a text is split at the matches and joined again.
-Null text stays null; a value that is not valid stays as it is.
+Null text stays null; a value that is not valid stays as it is.  Repeated rows get equal
+texts.  Columns of ``documents`` stay, but for one named ``pii``, which is replaced.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import fresh, read
 
 # The patterns of the kinds.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,4}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.(?:xn--[A-Za-z0-9-]{1,59}|[A-Za-z]{2,24})(?![A-Za-z0-9])",
     "ip": r"(?<![A-Za-z0-9.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![A-Za-z0-9]|\.\d)",
     "date": r"(?<![A-Za-z0-9./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![A-Za-z0-9]|[./-]\d)",
     "ssn": r"(?<![A-Za-z0-9-])\d{3}-\d{2}-\d{4}(?![A-Za-z0-9]|-\d)",
@@ -38,7 +40,8 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Rounds of the network; days of 400 Gregorian years and two factors of them.
 ROUNDS, YEARS_DAYS, DAY_PARTS = 10, 146_097, (189, 773)
-FIRST_DAY = "1800-01-01"
+FIRST_DAY, YEARS = "1800-01-01", range(1800, 2200)
+LEAP = [y for y in YEARS if y % 4 == 0 and (y % 100 != 0 or y % 400 == 0)]
 
 
 def _keyed(key: Column, kind: str, round_: Column, part: Column) -> Column:
@@ -113,15 +116,35 @@ def _ip(text: Column, key: Column) -> Column:
     return F.when(F.forall(octets, lambda x: x < 256), written)
 
 
+def _day_first(text: Column, key: Column) -> Column:
+    """Slash dates that only make sense day first, among each other: so no two dates get one pseudonym.
+
+    Days 13 to 28 are permuted with month and year; days 29 to 31 keep day and month, and their year is
+    permuted among the leap years or among the others.
+    """
+    day, month, year = (F.substring(text, a, n).cast("long") for a, n in ((1, 2), (4, 2), (7, 4)))
+    ok = (day > 12) & (month <= 12) & year.between(YEARS[0], YEARS[-1]) & F.to_date(F.try_to_timestamp(text, F.lit("dd/MM/yyyy"))).isNotNull()
+    new = permute(((year - YEARS[0]) * 12 + month - 1) * 16 + day - 13, F.lit(240).cast("long"), F.lit(320).cast("long"), key, "day-first")
+    two = lambda x: F.lpad(x.cast("long").cast("string"), 2, "0")
+    whole = F.concat_ws("/", two(new % 16 + 13), two(F.floor(new / 16) % 12 + 1), (F.floor(new / 192) + YEARS[0]).cast("string"))
+
+    def among(years: list[int], low: int, kind: str) -> Column:
+        held = F.array(*map(F.lit, years))
+        at = permute(F.array_position(held, year.cast("int")) - 1, F.lit(low).cast("long"), F.lit(len(years) // low).cast("long"), F.concat(key, F.substring(text, 1, 5)), kind)
+        return F.concat(F.substring(text, 1, 6), F.get(held, at.cast("int")).cast("string"))
+
+    late = F.when(year.cast("int").isin(LEAP), among(LEAP, 1, "leap")).otherwise(among([y for y in YEARS if y not in LEAP], 3, "common"))
+    return F.when(ok, F.when(day <= 28, whole).otherwise(late))
+
+
 def _date(text: Column, key: Column) -> Column:
-    out = None
-    for shape, pattern in (("yyyy-MM-dd", r"^\d{4}-"), ("dd.MM.yyyy", r"^\d{2}\.\d{2}\."), ("MM/dd/yyyy", r"^\d{2}/\d{2}/")):
-        day = F.to_date(F.try_to_timestamp(text, F.lit(shape)))
-        number = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
+    def valued(shape: str) -> Column:
+        number = F.datediff(F.to_date(F.try_to_timestamp(text, F.lit(shape))), F.lit(FIRST_DAY).cast("date")).cast("long")
         new = permute(number, F.lit(DAY_PARTS[1]).cast("long"), F.lit(DAY_PARTS[0]).cast("long"), key, "date")
-        value = F.when(number.between(0, YEARS_DAYS - 1), F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), new.cast("int")), shape))
-        out = F.when(text.rlike(pattern), value) if out is None else out.when(text.rlike(pattern), value)
-    return out
+        return F.when(number.between(0, YEARS_DAYS - 1), F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), new.cast("int")), shape))
+
+    slash = F.coalesce(valued("MM/dd/yyyy"), _day_first(text, key))
+    return F.when(text.rlike(r"^\d{4}-"), valued("yyyy-MM-dd")).when(text.rlike(r"^\d{2}\.\d{2}\."), valued("dd.MM.yyyy")).when(text.rlike(r"^\d{2}/\d{2}/"), slash)
 
 
 def _email(text: Column, key: Column) -> Column:
@@ -151,7 +174,8 @@ def pseudonymise(documents: DataFrame, key: str) -> DataFrame:
     """``documents`` with pseudonyms in ``text`` and ``pii``, a map from kind to the number of values replaced (null text: null)."""
     secret = F.lit(key)
     found = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
-    df = documents.withColumn("_values", F.when(F.col("text").rlike(ANY), found))
+    values, new = fresh(documents, "_values"), fresh(documents, "_told")
+    df = documents.withColumn(values, F.when(F.col("text").rlike(ANY), found))
 
     def told(value: Column) -> Column:
         kind = None
@@ -160,14 +184,14 @@ def pseudonymise(documents: DataFrame, key: str) -> DataFrame:
             kind = own if kind is None else F.coalesce(kind, own)
         return kind
 
-    df = df.withColumn("_told", F.transform("_values", told))
+    df = df.withColumn(new, F.transform(values, told))
     between = F.split("text", ANY)
-    pieces = F.zip_with(between, "_told", lambda part, x: F.concat(part, F.coalesce(x["new"], x["old"], F.lit(""))))
-    df = df.withColumn("text", F.when(F.col("_told").isNotNull(), F.array_join(pieces, "")).otherwise(F.col("text")))
-    done = F.filter(F.coalesce("_told", F.array().cast("array<struct<kind:string,new:string,old:string>>")), lambda x: x["new"].isNotNull())
+    pieces = F.zip_with(between, new, lambda part, x: F.concat(part, F.coalesce(x["new"], x["old"], F.lit(""))))
+    df = df.withColumn("text", F.when(F.col(new).isNotNull(), F.array_join(pieces, "")).otherwise(F.col("text")))
+    done = F.filter(F.coalesce(new, F.array().cast("array<struct<kind:string,new:string,old:string>>")), lambda x: x["new"].isNotNull())
     number = lambda kind: F.size(F.filter(done, lambda x: x["kind"] == kind)).cast("long")
     counts = F.map_from_arrays(F.array(*map(F.lit, PATTERNS)), F.array(*map(number, PATTERNS)))
-    return df.withColumn("pii", F.when(F.col("text").isNotNull(), counts)).drop("_values", "_told")
+    return df.withColumn("pii", F.when(F.col("text").isNotNull(), counts)).drop(values, new)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
