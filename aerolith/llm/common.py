@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..shared import cut
 
-__all__ = ["BLOCK_BYTES", "RangeHash", "Seen", "blocks", "crc_bucket", "cut", "fresh", "join_hot", "mix", "numbered", "read", "signed"]
+__all__ = ["BLOCK_BYTES", "RangeHash", "Seen", "blocks", "crc_bucket", "cut", "fresh", "join_hot", "mix", "read", "signed", "text_keys"]
 
 #: Bytes of text that one numpy pass lays out together.
 BLOCK_BYTES = 1 << 20
@@ -52,20 +52,30 @@ def join_hot(rows: DataFrame, told: DataFrame, key: list[str], count: str, sprea
     return met.filter(is_hot).drop(salt, is_hot).unionByName(rest)
 
 
-def numbered(documents: DataFrame, column: str) -> DataFrame:
-    """``documents`` with ``column``: 0, or the place of the row's text among the different texts of its doc_id, by hash.
+def text_keys(documents: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``doc_id, text`` of the rows with a doc_id, such that equal doc_ids have equal texts, and what the new ids stand for.
 
-    One small aggregate tells whether any doc_id has several texts; only those rows are looked at again.
+    Mostly that holds already, which a count per doc_id tells without reading a text: then the second
+    result is None.  Else (doc_id, hash of the text) pairs are numbered in order, range by range, and
+    the second result is ``key, doc_id``.
     """
-    th = F.xxhash64("text")
-    spread = documents.filter("doc_id is not null").groupBy("doc_id").agg(F.min(th).alias("a"), F.max(th).alias("b")).filter("a <> b").select("doc_id")
-    several = cut(documents.select("doc_id", th.alias("th")).join(spread, "doc_id", "left_semi").distinct())
-    if several.isEmpty():
-        return documents.withColumn(column, F.lit(0))
-    doc, hashed = fresh(documents, "_id"), fresh(documents, "_th")
-    place = several.withColumn(column, F.row_number().over(Window.partitionBy("doc_id").orderBy("th")) - 1).select(F.col("doc_id").alias(doc), F.col("th").alias(hashed), column)
-    out = documents.join(place, (F.col("doc_id") == F.col(doc)) & (th == F.col(hashed)), "left").drop(doc, hashed)
-    return out.withColumn(column, F.coalesce(column, F.lit(0)))
+    docs = documents.filter("doc_id is not null").select("doc_id", "text")
+    repeated = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return docs, None
+    pairs = docs.select("doc_id", F.xxhash64("text").alias("th"))
+    if pairs.join(repeated, "doc_id", "left_semi").distinct().groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return docs, None
+    place = F.monotonically_increasing_id()  # partition above 33 bits of the row's place in it
+    # ranges come from a sample, so they are written once
+    ranges = cut(pairs.distinct().repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th").withColumn("_place", place))
+    part = F.shiftright("_place", 33)
+    sizes = ranges.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a range
+    numbers = ranges.join(before, part == F.col("_part")).select("doc_id", "th", (F.col("_before") + F.col("_place").bitwiseAND((1 << 33) - 1)).alias("key"))
+    numbers = cut(numbers)
+    keyed = docs.withColumn("th", F.xxhash64("text")).join(numbers, ["doc_id", "th"])
+    return keyed.select(F.col("key").alias("doc_id"), "text"), numbers.select("key", "doc_id")
 
 
 def crc_bucket(doc_id: str | Column, modulus: int) -> Column:
@@ -140,9 +150,10 @@ class Seen:
     not remembered is told after the shuffle.
     """
 
-    def __init__(self, most: int = 1 << 18):
+    def __init__(self, most: int = 1 << 17):
         self.most = most
         self.keys: dict[tuple[int, int], tuple[int, ...]] = {}
+        self.firsts = np.empty(0, np.int64)  # sorted first longs of most of the keys
 
     def later(self, place: list[np.ndarray], k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
         n = len(k1)
@@ -155,10 +166,11 @@ class Seen:
         gone = np.zeros(n, bool)
         for p in place:
             gone[order] |= p[lead] != p[order]
-        twice = np.flatnonzero(size > 1)
-        names = zip(k1[leads].tolist(), k2[leads].tolist())
-        if self.keys:
-            for i, name in enumerate(names):
+        if len(self.firsts):
+            own = k1[leads].view(np.int64)
+            at = np.minimum(np.searchsorted(self.firsts, own), len(self.firsts) - 1)
+            for i in np.flatnonzero(self.firsts[at] == own).tolist():
+                name = int(k1[leads[i]]), int(k2[leads[i]])
                 held = self.keys.get(name)
                 if held is None:
                     continue
@@ -168,6 +180,8 @@ class Seen:
                 else:
                     for k in order[start[i] : start[i] + size[i]]:
                         gone[k] = tuple(int(p[k]) for p in place) != held
-        for i in twice[: max(self.most - len(self.keys), 0)].tolist():
+        for i in np.flatnonzero(size > 1)[: max(self.most - len(self.keys), 0)].tolist():
             self.keys.setdefault((int(k1[leads[i]]), int(k2[leads[i]])), tuple(int(p[leads[i]]) for p in place))
+        if 8 * len(self.keys) > 9 * len(self.firsts):
+            self.firsts = np.sort(np.fromiter((a for a, _ in self.keys), k1.dtype, len(self.keys)).view(np.int64))
         return gone

@@ -156,6 +156,35 @@ def test_wide_gram_groups_take_the_window_way(spark, monkeypatch):
     assert result() == want
 
 
+def test_repeats_of_texts_that_share_a_doc_id(spark):
+    a, b = (" ".join(f"{x}{i * i}" for i in range(60))[:229] for x in "ab")
+    rows = [(2, a + a), (2, b + b), (2, b + b), (3, "own " + b), (1, "first"), (None, a)]
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in substring_dup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 229, 0), (1, 5, 0), (2, 458, 229), (2, 458, 229), (2, 458, 229), (3, 233, 229)]
+
+
+def test_keys_that_a_task_has_seen():
+    import numpy as np
+
+    from aerolith.llm.common import Seen
+
+    rng = np.random.default_rng(3)
+    for most in (0, 5, 1 << 17):
+        seen, rows, gone = Seen(most), [], []
+        for block in range(30):
+            n = 50
+            k, doc, at = rng.integers(0, 20, n), rng.integers(0, 500, n), rng.integers(0, 9, n)
+            told = seen.later([doc, at], k, k + 1)
+            rows += list(zip(k.tolist(), doc.tolist(), at.tolist()))
+            gone += told.tolist()
+        least = {}
+        for k, doc, at in rows:
+            least[k] = min(least.get(k, (10**9, 0)), (doc, at))
+        assert not any(g and (doc, at) == least[k] for (k, doc, at), g in zip(rows, gone))  # the first of all always stays
+        if most:
+            assert sum(not g for g in gone) < 0.5 * len(rows)
+
+
 def test_index_of_all_terms_gives_the_same(spark, odd, monkeypatch):
     docs, items = (spark.read.parquet(f"{odd}/{t}.parquet") for t in ("documents", "benchmark"))
     rows = lambda: sorted(map(str, find_contamination(docs, items, span=20).collect()))
