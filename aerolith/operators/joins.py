@@ -208,6 +208,7 @@ def case_detail(cases: DataFrame, timeline: DataFrame) -> DataFrame:
 def triage_tasks(cases: DataFrame, runbooks: DataFrame) -> DataFrame:
     """Investigation, escalation and notification tasks of each case."""
     steps = runbooks.select("runbook_id", F.explode("case_types").alias("case_type"), sc.manual_steps("triage_steps").alias("steps"))
+    # Kinds, priorities and the prefixes of the subjects.
     plain = F.lit("Normal")
     subject = sc.case_subject("case_type", "site_icao", "detection_facts")
     short = lambda c: F.when(F.length(c) > 255, F.concat(F.substring(c, 1, 252), F.lit("..."))).otherwise(c)

@@ -246,7 +246,7 @@ def _(t):
 
 
 def t_now(t: Tables):
-    return F.lit(to_current(t.positions).agg(F.max("last_seen_at")).first()[0]).cast("timestamp")
+    return to_current(t.positions).agg(F.max("last_seen_at").cast("timestamp")).scalar()
 
 
 def flows(t: Tables) -> DataFrame:

@@ -25,8 +25,8 @@ class Tables:
         raise AttributeError(name)
 
     def latest(self, table: str, ts: str) -> Column:
-        """Newest time of a table as a literal: what is 'now' for its queries."""
-        return F.lit(getattr(self, table).agg(F.max(ts)).first()[0]).cast("timestamp")
+        """Newest time of a table, as a subquery of the plan: what is 'now' for its queries."""
+        return getattr(self, table).agg(F.max(ts).cast("timestamp")).scalar()
 
 
 def flat(df: DataFrame) -> DataFrame:

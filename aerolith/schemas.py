@@ -14,6 +14,7 @@ def fields(text: str) -> StructType:
     return StructType([StructField(e[0], _TYPES[e[1]], e[2:] != ["not", "null"]) for e in entries])
 
 
+# Names, types and order of the stored columns.
 POSITIONS = fields(
     "icao24 string not null, callsign string, origin_country string, lat double, lon double, altitude_ft int, speed_kt int, heading_deg int, "
     "vertical_rate_fpm int, on_ground boolean not null, squawk string, ts_polled timestamp not null, ts_position timestamp, customer_region string"

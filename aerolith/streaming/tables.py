@@ -18,16 +18,19 @@ class VersionedTable:
     def __init__(self, spark: SparkSession, root: str, keep: int = 3, buckets: int = 32):
         self.spark, self.root, self.keep, self.buckets = spark, root, keep, buckets
 
-    def _path(self, name: str):
+    def _hadoop(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
+    def _path(self, version: int) -> str:
+        return f"{self.root}/v-{version:012d}"
+
     def _names(self, name: str = "") -> list[str]:
-        path = self._path(name)
+        path = self._hadoop(name)
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
 
     def _delete(self, name: str) -> None:
-        path = self._path(name)
+        path = self._hadoop(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def versions(self) -> list[int]:
@@ -47,22 +50,31 @@ class VersionedTable:
         held = {b: v for b, v in self._held(before).items() if buckets is None or b in buckets}
         return self.spark.read.parquet(*(f"{self.root}/v-{v:012d}/bucket={b}" for b, v in sorted(held.items()))) if held else None
 
-    def _write(self, df: DataFrame, version: int, bucket) -> None:
-        df.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/v-{version:012d}")
+    def _expire(self) -> None:
+        """Buckets that no kept version needs any more go, and versions without any."""
         done = self.versions()
-        if len(done) > self.keep:
-            held = self._held(before=done[-self.keep] + 1)  # what the oldest version that is kept consists of
-            for old in done[: -self.keep]:
-                for name in self._names(f"v-{old:012d}"):
-                    if name.startswith("bucket=") and held[int(name[7:])] != old:
-                        self._delete(f"v-{old:012d}/{name}")
+        if len(done) <= self.keep:
+            return
+        held = self._held(before=done[-self.keep] + 1)  # what the oldest version that is kept consists of
+        for old in done[: -self.keep]:
+            buckets = [n for n in self._names(f"v-{old:012d}") if n.startswith("bucket=")]
+            stale = [n for n in buckets if held[int(n[7:])] != old]
+            for name in stale if len(stale) < len(buckets) else [""]:
+                self._delete(f"v-{old:012d}/{name}".rstrip("/"))
 
     def write(self, df: DataFrame, version: int) -> None:
-        """The whole state, as one bucket."""
-        self._write(df, version, F.lit(0))
+        """The whole state, as one bucket, which is there even if it is empty."""
+        name = f"v-{version:012d}"
+        self._delete(name)
+        df.write.parquet(f"{self.root}/{name}/bucket=0")
+        path = self._hadoop(f"{name}/_SUCCESS")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path).close()
+        self._expire()
 
     def upsert(self, batch: DataFrame, version: int, keys: list[str], merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
         """State of the batch's buckets after ``merge(state, batch)``; the other buckets are not read."""
         bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
         touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets``
-        self._write(merge(self.read(version, touched), batch), version, bucket)
+        state = merge(self.read(version, touched), batch).withColumn("bucket", bucket)
+        state.write.mode("overwrite").partitionBy("bucket").parquet(self._path(version))
+        self._expire()
