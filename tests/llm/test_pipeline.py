@@ -1,5 +1,8 @@
 """Each stage of the pipeline against brute force on its own input."""
 
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from aerolith.llm.common import read
 from aerolith.llm.toxicity import train_model
@@ -31,7 +34,12 @@ def test_stages(spark, sf_small, tmp_path):
         elif name == "decontamination":
             assert set(after) == {d for d, v in brute.contamination(texts.items(), items).items() if not v[4]}
         else:
+            t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
             assert set(after) == set(before)
+            for d, text in texts.items():
+                ids = t.encode(text or "", add_special_tokens=False).ids
+                assert after[d]["ids"] == b"".join(i.to_bytes(4, "little") for i in ids) and after[d]["n_tokens"] == len(ids)
+                assert after[d]["decoded_sha256"] == brute.sha(t.decode(ids, skip_special_tokens=False).encode())
         if name in ("toxicity", "near dedup", "decontamination"):
             assert all(after[d] == before[d] for d in after)
         docs = spark.read.parquet(f"{tmp_path}/{i}")
