@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, contamination, language, line_dup, near_dup, pii, quality, secrets, substring_dup, toxicity
+from . import alignment, bpe, contamination, language, line_dup, near_dup, pii, quality, resampling, secrets, substring_dup, toxicity
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -26,5 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": secrets.op8,
     "op9_bpe": bpe.op9,
     "op10_pii": pii.op10,
+    "op11_importance_resampling": resampling.op11,
+    "op13_token_alignment": alignment.op13,
     "pipeline": corpus_pipeline.run,
 }

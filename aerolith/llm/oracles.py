@@ -77,6 +77,20 @@ a AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(rang
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN a USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
+OP11 = rf"""WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS c FROM range(256) r(i))),
+d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS w FROM documents),
+g AS (SELECT id, unnest(w) AS w FROM d), k AS (SELECT unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS w FROM benchmark),
+v AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM g UNION SELECT w FROM k)),
+b AS (SELECT w, xor(list_reduce(list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)), lambda a, x: xor(a >> 8, t[1 + xor(a & 255, x)]), 4294967295), 4294967295) % 10000 AS b FROM v, tab),
+s AS (SELECT b, count(*) AS s FROM g JOIN b USING (w) GROUP BY b), t AS (SELECT b, count(*) AS t FROM k JOIN b USING (w) GROUP BY b),
+n AS (SELECT (SELECT count(*) FROM g) AS s, (SELECT count(*) FROM k) AS t),
+gain AS (SELECT s.b, CAST(floor(1000 * ln((coalesce(t.t, 0) + 1)::DOUBLE * (n.s + 10000)::DOUBLE / ((s.s + 1)::DOUBLE * (n.t + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (b), n),
+m AS (SELECT id, CAST(sum(gain) AS BIGINT) AS total FROM g JOIN b USING (w) JOIN gain USING (b) GROUP BY id),
+x AS (SELECT id, doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(total // len(w) - CASE WHEN total % len(w) < 0 THEN 1 ELSE 0 END, 0) AS BIGINT) AS weight, CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN m USING (id)),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM x),
+r AS (SELECT id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () * 10 // 100 AS most FROM y WHERE n_features >= 20 AND score IS NOT NULL)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= most THEN r END AS rank FROM y LEFT JOIN r USING (id)"""
+
 ORACLES = {
     "op1_minhash_near_dedup": OP1,
     "op3_quality_rules": OP3,
@@ -84,4 +98,5 @@ ORACLES = {
     "op6_line_dedup": OP6,
     "op6_whole_runs": OP6,
     "op7_decontamination": OP7,
+    "op11_importance_resampling": OP11,
 }
