@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import alignment, bpe, contamination, language, line_dup, near_dup, pii, quality, resampling, secrets, substring_dup, toxicity
+from . import alignment, bpe, contamination, language, line_dup, near_dup, passages, pii, quality, resampling, secrets, substring_dup, toxicity
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": bpe.op9,
     "op10_pii": pii.op10,
     "op11_importance_resampling": resampling.op11,
+    "op12_passage_dedup": passages.op12,
     "op13_token_alignment": alignment.op13,
     "pipeline": corpus_pipeline.run,
 }

@@ -91,6 +91,13 @@ y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 429496729
 r AS (SELECT id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () * 10 // 100 AS most FROM y WHERE n_features >= 20 AND score IS NOT NULL)
 SELECT doc_id, n_features, weight, score, CASE WHEN r <= most THEN r END AS rank FROM y LEFT JOIN r USING (id)"""
 
+OP12 = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+p AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) > 12)),
+h AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY x) AS low FROM p) WHERE low < doc_id),
+g AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS gone FROM h GROUP BY doc_id),
+k AS (SELECT doc_id, w, coalesce(len(gone), 0) AS n, CASE WHEN gone IS NULL THEN w ELSE list_transform(list_sort(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i))), lambda i: w[i]) END AS kept FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k"""
+
 ORACLES = {
     "op1_minhash_near_dedup": OP1,
     "op3_quality_rules": OP3,
@@ -99,4 +106,5 @@ ORACLES = {
     "op6_whole_runs": OP6,
     "op7_decontamination": OP7,
     "op11_importance_resampling": OP11,
+    "op12_passage_dedup": OP12,
 }
