@@ -10,12 +10,18 @@ kind   | valid if                                     | what is permuted
 -------|----------------------------------------------|------------------------------------
 card   | 13 to 19 digits, also grouped, Luhn sum is 0 | all but the check digit, set anew
 ssn    | no part is 0, area is not 666 or 9xx         | serial and group (area kept)
-phone  | country code and ten digits, or grouped      | the last seven digits
+phone  | ten digits in groups, with a country code or | the last seven digits
+       | without                                      |
+       | + and 8 to 15 digits, in one or with a space,| all digits after the third
+       | dot or dash between groups                   |
 ip     | four octets of 0 to 255                      | all 32 bits
 date   | a calendar day of 1800 to 2199; a slash date | the day's number in these 400 years; of a
        | is month first, or else day first            | day-first slash date, see ``_day_first``
 email  | local part @ domain with a top level         | letters and digits of the local part
 
+Not covered, and left as they are: numbers that only context tells (nine digits in one, a phone
+number of one country without separators), dates without leading zeros, IPv6 and IBAN.
+
 Everything is Spark expressions; a text is split at the matches and joined again.
 Null text stays null; a value that is not valid stays as it is.  Repeated rows get equal
 texts.  Columns of ``documents`` stay, but for one named ``pii``, which is replaced.
@@ -29,12 +35,14 @@ from pyspark.sql import functions as F
 from .common import fresh, read
 
 # The patterns of the kinds.
+GROUPED = r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![A-Za-z0-9]|[.-]\d)"
+ABROAD = r"\+[1-9](?:\d{7,14}|\d{0,2}(?:[ .-](?:\(\d{1,4}\)|\d{1,12})){1,5})(?![A-Za-z0-9]|[.-]\d)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.(?:xn--[A-Za-z0-9-]{1,59}|[A-Za-z]{2,24})(?![A-Za-z0-9])",
     "ip": r"(?<![A-Za-z0-9.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![A-Za-z0-9]|\.\d)",
     "date": r"(?<![A-Za-z0-9./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![A-Za-z0-9]|[./-]\d)",
     "ssn": r"(?<![A-Za-z0-9-])\d{3}-\d{2}-\d{4}(?![A-Za-z0-9]|-\d)",
-    "phone": r"(?<![A-Za-z0-9])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![A-Za-z0-9]|[.-]\d)",
+    "phone": rf"(?<![A-Za-z0-9])(?:{GROUPED}|{ABROAD})",
     "card": r"(?<![A-Za-z0-9])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![A-Za-z0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -105,7 +113,12 @@ def _phone(text: Column, key: Column) -> Column:
     digits = _digits(text)
     head, tail = F.substring(digits, F.lit(1), F.length(digits) - 7), F.substring(digits, F.length(digits) - 6, F.lit(7))
     new = F.lpad(permute(tail.cast("long"), F.lit(1000).cast("long"), F.lit(10000).cast("long"), F.concat(key, head), "phone").cast("string"), 7, "0")
-    return _lay_out(text, F.concat(head, new))
+    # abroad area codes have any length, so all but three digits are permuted
+    code, n = F.substring(digits, F.lit(1), F.lit(3)), F.length(digits) - 3
+    low = F.floor(n / 2).cast("int")
+    own = F.lpad(permute(F.substring(digits, F.lit(4), n).cast("long"), _power(low), _power(n - low), F.concat(key, code), "phone").cast("string"), n, "0")
+    abroad = F.when(F.length(digits).between(8, 15), _lay_out(text, F.concat(code, own)))
+    return F.when(text.rlike(f"^(?:{GROUPED})$"), _lay_out(text, F.concat(head, new))).otherwise(abroad)
 
 
 def _ip(text: Column, key: Column) -> Column:

@@ -6,7 +6,7 @@ import random
 import re
 
 from aerolith.llm.common import read
-from aerolith.llm.pii import PATTERNS, pseudonymise
+from aerolith.llm.pii import GROUPED, PATTERNS, pseudonymise
 
 KEY = "k"
 DAY0 = dt.date(1800, 1, 1)
@@ -58,6 +58,9 @@ def ssn(t):
 
 def phone(t):
     d = re.sub(r"\D", "", t)
+    if not re.fullmatch(GROUPED, t, re.A):
+        n = len(d) - 3
+        return lay_out(t, d[:3] + str(permute(int(d[3:]), 10 ** (n // 2), 10 ** (n - n // 2), KEY + d[:3], "phone")).zfill(n)) if 8 <= len(d) <= 15 else None
     return lay_out(t, d[:-7] + str(permute(int(d[-7:]), 1000, 10000, KEY + d[:-7], "phone")).zfill(7))
 
 
@@ -152,7 +155,7 @@ def test_made_values_of_every_kind(spark):
     day = lambda: DAY0 + dt.timedelta(rng.randrange(146_097))
     makers = [
         lambda: (lambda d: d + str((10 - luhn(d, 0) % 10) % 10))(n(rng.randrange(12, 19))),
-        lambda: n(16), lambda: f"{n(3)}-{n(2)}-{n(4)}", lambda: f"+1 {n(3)}-{n(3)}-{n(4)}", lambda: f"({n(3)}) {n(3)}-{n(4)}",
+        lambda: n(16), lambda: f"{n(3)}-{n(2)}-{n(4)}", lambda: f"+1 {n(3)}-{n(3)}-{n(4)}", lambda: f"({n(3)}) {n(3)}-{n(4)}", lambda: f"+{rng.randrange(1, 999)}{n(rng.randrange(5, 14))}", lambda: f"+{rng.randrange(1, 999)}{rng.choice(' .-')}{n(rng.randrange(1, 5))}{rng.choice(' .-')}{n(rng.randrange(3, 9))}", lambda: f"+49 ({n(2)}) {n(3)} {n(4)}-{n(2)}",
         lambda: ".".join(str(rng.randrange(300)) for _ in range(4)), lambda: day().isoformat(), lambda: day().strftime("%d.%m.%Y"), lambda: day().strftime("%m/%d/%Y"), lambda: day().strftime("%d/%m/%Y"),
         lambda: f"{rng.randrange(40):02d}/{rng.randrange(14):02d}/{rng.randrange(1700, 2300)}",
         lambda: f"{rng.choice(['ann.Lee42', 'x', 'a_b-c'])}{n(2)}@{'.'.join('ab' for _ in range(rng.randrange(1, 12)))}.org", lambda: "ann@example.xn--p1ai",
@@ -166,3 +169,10 @@ def test_day_first_dates_are_told_apart(spark):
     got = same(spark, [(i, d.strftime("%d/%m/%Y")) for i, d in enumerate(days)])
     new = {t for t, _ in got.values()}
     assert len(new) == len(days) and all(int(t[:2]) > 12 for t in new)
+
+
+def test_phone_numbers_from_abroad(spark):
+    rows = [(1, "+15551234567"), (2, "call +49 30 1234567, or +44 20 7946 0958."), (3, "+1 (073) 555-8658"), (4, "+1234567 a+15551234567 +0123456789 +1234567890123456")]
+    got = same(spark, rows)
+    assert got[1][0][:4] == "+155" and got[1][0] != rows[0][1] and len(got[1][0]) == 12
+    assert got[2][1]["phone"] == 2 and got[3][1]["phone"] == 1 and got[4] == (rows[3][1], dict.fromkeys(PATTERNS, 0))
