@@ -17,11 +17,17 @@ register with about their Jaccard similarity.
    bucket, a row of two blocks at a time.  The first round has one pivot, which ties a
    group of copies of any size; each next round has eight times as many, taken from what
    is not tied to the bucket's largest group, until all of that have been pivots: some
-   log8(members) rounds whatever the members are.
+   log8(members) rounds whatever the members are.  Where links are confirmed, blocks carry
+   the hashed sets, not the texts.  A pair is tested once at most: in the bucket of the
+   first band that it shares, when the first of the two is a pivot, and only if nothing has
+   tied the two before.
 6. Smallest ids spread over the links until nothing changes.
 
-Null or wordless texts have the empty set and link with nothing; a null doc_id
-takes no part (component null, kept).  Rows that share a doc_id count as one node.
+Shingles are known by xxh3 hashes of 64 bits.  Null or wordless texts have the empty set and
+link with nothing; a null doc_id takes no part (component null, kept).  Rows that share doc_id
+and text are one document.  Rows that share only their doc_id are documents of their own, with
+the doc_id as their name: each joins what its own text is linked with.  A text is laid out whole,
+at about 100 bytes of memory a word.
 """
 
 from __future__ import annotations
@@ -35,41 +41,33 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, blocks, cut, mix, read, signed
+from .common import blocks, cut, mix, read, text_keys
 
 #: Registers, registers in a band, base of the register scale.  A pair at 0.8 misses all 42 bands
 #: with a chance under 3 in a million, one at 0.9 under 1 in 10**13.
 M, ROWS, BASE = 256, 6, 1.02
 #: Members of a bucket, and classes and bytes of a cluster, that meet in one task.
 BUCKET, CLUSTER, CLUSTER_BYTES = 2_000, 4_000, 16 << 20
-#: Members of a block of a larger bucket.
-MEET = 256
+#: Members of a block of a larger bucket, and shingles where blocks carry sets.
+MEET, MEET_SHINGLES = 256, 1 << 20
 #: Estimate from which a pair may be linked: five standard errors under 0.8.
 MAY_LINK = 0.68
 
-_HASH = RangeHash(20240601)
 _LOG_BASE = np.log(BASE)
 
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, one text after another, and each text's count."""
-    words = [t.lower().split() for t in texts]
-    lines = [b" ".join(w) for w in words]
-    buffer = np.frombuffer(b" ".join(lines), np.uint8)
-    n_words = np.array([len(w) for w in words], np.int64)
-    if not n_words.sum():
-        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
-    # a word ends before each space; the spaces between texts end the last word of a text
-    ends = np.append(np.flatnonzero(buffer == 32), len(buffer))
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    real = ends > starts  # an empty text leaves an empty word
-    starts, ends = starts[real], ends[real]
-    first = np.concatenate([[0], np.cumsum(n_words)[:-1]])
-    count = np.where(n_words == 0, 0, np.maximum(n_words - width + 1, 1))
-    of = np.repeat(np.arange(len(texts)), count)
-    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[of]
-    last = np.minimum(at + width, (first + n_words)[of]) - 1
-    h = _HASH.of(_HASH.prefix(buffer), starts[at], ends[last])
+    found, count = [], np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        words = text.lower().split()
+        if words:
+            line = b" ".join(words)
+            ends = np.cumsum([len(w) + 1 for w in words]) - 1
+            first = np.append(0, ends[:-1] + 1)
+            count[i] = max(len(words) - width + 1, 1)
+            found += [xxhash.xxh3_64_intdigest(line[x:y]) for x, y in zip(first[: count[i]].tolist(), ends[min(width, len(words)) - 1 :].tolist())]
+    h, of = np.array(found, np.uint64), np.repeat(np.arange(len(texts)), count)
     order = np.lexsort((h, of))
     h, of = h[order], of[order]
     new = np.ones(len(h), bool)
@@ -125,7 +123,7 @@ def _sketch_batches(width: int):
                 for c in count:
                     names.append(xxhash.xxh3_128_digest(h[at : at + c].tobytes()) if c else None)
                     at += c
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].array[first:last], "n_shingles": count, "class_key": names, "sketch": [r.tobytes() for r in registers]})
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].array[first:last], "th": pdf["th"].array[first:last], "n_shingles": count, "class_key": names, "sketch": [r.tobytes() for r in registers]})
 
     return run
 
@@ -238,75 +236,104 @@ def _clusters(width: int, percent: int):
     return run
 
 
-def _verify(width: int):
+def _sets(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[int, np.ndarray] = {}
         for pdf in batches:
-            out = []
-            for a, b, text_a, text_b in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"]):
-                if b not in known:  # rows come sorted by b: one pivot's set serves all its partners
-                    known = {b: shingle_sets([text_b.encode("utf-8", "surrogatepass")], width)[0]}
-                x, y = shingle_sets([text_a.encode("utf-8", "surrogatepass")], width)[0], known[b]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append((a, b, both, len(x) + len(y) - both))
-            yield pd.DataFrame(out, columns=["a", "b", "both", "either"])
+            for first, last, texts in blocks(pdf):
+                h, count = shingle_sets(texts, width)
+                stop = np.cumsum(count)
+                yield pd.DataFrame({"rep": pdf["rep"].array[first:last], "set": [h[i:j].tobytes() for i, j in zip(stop - count, stop)]})
 
     return run
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """``a, b`` of the pairs that are links on full sets."""
-    text = lambda c: texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}"))
-    told = pairs.join(text("a"), "a").join(text("b"), "b").mapInPandas(_verify(width), "a long, b long, both long, either long")
-    return told.filter(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
-
+def on_full_sets(percent: int):
+    """A test of pairs of block members: links on their whole sets."""
 
-def _block_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``a, b`` of members and pivots of two blocks that may be linked."""
-    for pdf in batches:
+    def test(members: list, pivots: list, pairs: list[tuple[int, int]]) -> list[bool]:
+        held: dict[tuple[int, int], np.ndarray] = {}
         out = []
-        for members, pivots in zip(pdf["members"], pdf["pivots"]):
-            rep, n = (np.array([m[c] for m in members]) for c in ("rep", "n_shingles"))
-            registers = np.frombuffer(b"".join(m["sketch"] for m in members), np.int16).reshape(-1, M)
-            for p in pivots:
-                own = np.frombuffer(p["sketch"], np.int16)
-                near = np.flatnonzero(((registers == own).sum(axis=1) >= (MAY_LINK - 0.05) * M) & (rep != p["rep"]))
-                if len(near):
-                    likeness = likelihood_jaccard(registers[near], np.broadcast_to(own, (len(near), M)), n[near].astype(float), np.full(len(near), float(p["n_shingles"])))
-                    out += [(int(x), p["rep"]) for x in rep[near[likeness >= MAY_LINK]]]
-        yield pd.DataFrame(out, columns=["a", "b"])
+        for x, y in pairs:
+            for side, block, i in ((0, members, x), (1, pivots, y)):
+                if (side, i) not in held:
+                    held[side, i] = np.frombuffer(block[i]["set"], np.uint64)
+            u, v = held[0, x], held[1, y]
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            out.append(100 * both >= percent * (len(u) + len(v) - both))
+        return out
 
+    return test
 
-def _in_blocks(rows: DataFrame, classes: DataFrame, name: str, block: str) -> DataFrame:
-    """``bucket, <block>, <name>``: members with their sketches, about MEET of a bucket in a block."""
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / MEET).alias("_blocks"))
-    dealt = rows.join(sizes, "bucket").select("bucket", "rep", F.pmod(F.xxhash64("rep"), F.col("_blocks")).alias(block))
-    return dealt.join(classes.select("rep", "n_shingles", "sketch"), "rep").groupBy("bucket", block).agg(F.collect_list(F.struct("rep", "n_shingles", "sketch")).alias(name))
 
+def _block_pairs(test):
+    """``a, b`` of members and pivots of two blocks that may be linked and pass ``test``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for members, pivots, band in zip(pdf["members"], pdf["pivots"], pdf["band"]):
+                rep, n, tied = (np.array([m[c] for m in members]) for c in ("rep", "n_shingles", "component"))
+                pivot = np.array([bool(m["pivot"]) for m in members])
+                registers = np.frombuffer(b"".join(m["sketch"] for m in members), np.int16).reshape(-1, M)
+                pairs = []
+                for y, p in enumerate(pivots):
+                    own = np.frombuffer(p["sketch"], np.int16)
+                    # of two pivots the larger meets the smaller one
+                    meet = (tied != p["component"]) & (rep != p["rep"]) & ~(pivot & (rep > p["rep"]))
+                    near = np.flatnonzero(meet & ((registers == own).sum(axis=1) >= (MAY_LINK - 0.05) * M))
+                    if len(near) and band:
+                        # an earlier band that both share has a bucket of its own
+                        before = band * ROWS
+                        near = near[~(registers[near, :before] == own[:before]).reshape(len(near), band, ROWS).all(axis=2).any(axis=1)]
+                    if len(near):
+                        likeness = likelihood_jaccard(registers[near], np.broadcast_to(own, (len(near), M)), n[near].astype(float), np.full(len(near), float(p["n_shingles"])))
+                        pairs += [(x, y) for x in near[likeness >= MAY_LINK].tolist()]
+                passed = test(members, pivots, pairs) if test is not None else [True] * len(pairs)
+                out += [(int(rep[x]), pivots[y]["rep"]) for (x, y), good in zip(pairs, passed) if good]
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    return run
 
-def tie_up(rows: DataFrame, classes: DataFrame, confirm=lambda pairs: pairs) -> tuple[DataFrame, int]:
-    """Pairs ``a, b`` that tie together the members of each bucket of ``rows(bucket, rep)``, and the number of rounds.
 
-    ``confirm`` keeps the pairs that hold of those that may.  Pivots meet all of their bucket, so what
-    is left apart at the end has no tie to any member outside the bucket's largest group.
+def _in_blocks(rows: DataFrame, classes: DataFrame, name: str, block: str) -> DataFrame:
+    """``bucket, band, <block>, <name>``: members with their sketches, about MEET of a bucket in a block."""
+    kinds = [c for c in classes.columns if c in ("n_shingles", "sketch", "set")]
+    rows = rows.join(classes.select("rep", *kinds), "rep")
+    fill = F.count("*") / MEET
+    fill = F.ceil(F.greatest(fill, F.sum("n_shingles") / MEET_SHINGLES) if "set" in kinds else fill)
+    sizes = rows.groupBy("bucket").agg(fill.alias("_blocks"))
+    dealt = rows.join(sizes, "bucket").withColumn(block, F.pmod(F.xxhash64("rep"), F.col("_blocks")))
+    return dealt.groupBy("bucket", "band", block).agg(F.collect_list(F.struct("rep", "component", "pivot", *kinds)).alias(name))
+
+
+def tie_up(rows: DataFrame, classes: DataFrame, test=None) -> tuple[DataFrame, int]:
+    """Pairs ``a, b`` that tie together the members of each bucket of ``rows(bucket, band, rep)``, and the number of rounds.
+
+    ``classes`` has ``n_shingles`` and ``sketch`` of each rep, and ``set`` if the test reads it.  ``test(members,
+    pivots, pairs)`` tells which pairs of indexes hold of those that may be linked; all do without it.  Pivots
+    meet all of their bucket, so what is left apart at the end has no tie to any member outside the
+    bucket's largest group.
     """
-    rows = cut(rows.distinct())
-    blocks = cut(_in_blocks(rows, classes, "members", "block"))
-    apart, used, ties = rows, None, None
+    rows = cut(rows.select("bucket", "band", "rep").distinct())
+    placed = apart = cut(rows.withColumn("component", F.col("rep")))
+    used, ties = None, None
     for turn in itertools.count():
         few = apart.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("rep").alias("_first"))
         chance = F.pmod(F.xxhash64(F.lit(turn), "rep"), F.lit(1 << 30)) / F.lit(1 << 30)
         taken = (F.col("rep") == F.col("_first")) | ((F.lit(turn) > 0) & (chance < F.lit(8**turn) / F.col("_n")))
-        pivots = cut(apart.join(few, "bucket").filter(taken).select("bucket", "rep"))
-        meet = _in_blocks(pivots, classes, "pivots", "_pivots").join(blocks.select("bucket", "block"), "bucket")
-        pairs = blocks.join(meet, ["bucket", "block"]).select("members", "pivots").mapInPandas(_block_pairs, "a long, b long")
-        new = confirm(pairs.distinct())
-        ties = cut(new if ties is None else ties.union(new))
-        used = cut(pivots if used is None else used.union(pivots))
+        pivots = cut(apart.join(few, "bucket").filter(taken).select("bucket", "band", "rep", "component", F.lit(True).alias("pivot")))
+        # earlier pivots have met all of their bucket
+        others = placed if used is None else placed.join(used, ["bucket", "rep"], "left_anti")
+        others = others.join(pivots.select("bucket", "rep", "pivot"), ["bucket", "rep"], "left")
+        blocks_ = _in_blocks(others, classes, "members", "block")
+        meet = _in_blocks(pivots, classes, "pivots", "_pivots").select("bucket", "pivots")
+        pairs = blocks_.join(meet, "bucket").select("members", "pivots", "band").mapInPandas(_block_pairs(test), "a long, b long")
+        ties = cut(pairs.distinct() if ties is None else ties.union(pairs.distinct()))
+        used = cut(pivots.select("bucket", "rep") if used is None else used.union(pivots.select("bucket", "rep")))
         groups = connected(ties).withColumnRenamed("node", "rep")
-        placed = cut(rows.join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+        placed = cut(rows.join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("bucket", "band", "rep", "component"))
         main = placed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-        apart = cut(placed.join(main, "bucket").filter("component <> main").join(used, ["bucket", "rep"], "left_anti").select("bucket", "rep"))
+        apart = cut(placed.join(main, "bucket").filter("component <> main").join(used, ["bucket", "rep"], "left_anti").select("bucket", "band", "rep", "component"))
         if apart.isEmpty():
             return ties, turn + 1
 
@@ -316,10 +343,10 @@ def may_links(bands: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFram
     shared = cut(bands.join(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket"))
     members = shared.filter(F.col("n") <= BUCKET).select("bucket", "rep").join(classes.select("rep", "n_shingles", "sketch"), "rep")
     ties = members.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_forests, "a long, b long")
-    large = shared.filter(F.col("n") > BUCKET).select("bucket", "rep")
+    large = shared.filter(F.col("n") > BUCKET).select("bucket", "band", "rep")
     if not large.isEmpty():
         ties = ties.union(tie_up(large, classes)[0])
-    return ties.distinct(), shared.select("bucket", "rep")
+    return ties.distinct(), shared.select("bucket", "band", "rep")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -342,22 +369,24 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``documents(doc_id, text)``: doc_id, n_shingles, component_id, kept, class_id.
+    """Per row of ``documents(doc_id, text)``: doc_id, th (xxhash64 of the text), n_shingles, component_id, kept, class_id.
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their sets
     of ``width``-word shingles; a component's smallest doc_id is kept.
     """
     if percent < 80:
         raise ValueError("bands and bounds are laid out for similarities of 0.8 and more")
-    docs = documents.select("doc_id", "text")
+    docs, names = text_keys(documents)
+    # a null id takes no part, but has its row
+    rows = documents.select("doc_id", "text") if names is None else docs.unionByName(documents.filter("doc_id is null").select("doc_id", "text"))
     # ids go through pandas as text: beside a null, longs would turn into doubles
-    named = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
-    sets = named.mapInPandas(_sketch_batches(width), "doc_id string, n_shingles long, class_key binary, sketch binary")
+    named = rows.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    sets = named.mapInPandas(_sketch_batches(width), "doc_id string, th long, n_shingles long, class_key binary, sketch binary")
     sets = cut(sets.withColumn("doc_id", F.col("doc_id").cast("long")))
     classes = cut(sets.filter("n_shingles > 0 and doc_id is not null").groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
     n_bands, step = M // ROWS, 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * step + 1, F.lit(step))))
-    pairs, shared = may_links(classes.select("rep", F.explode(keys).alias("bucket")), classes)
+    pairs, shared = may_links(classes.select("rep", F.posexplode(keys).alias("band", "bucket")), classes)
     clusters = connected(pairs).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     clusters = clusters.unionByName(clusters.select(F.col("cluster").alias("rep"), "cluster").distinct()).distinct()
     sized = cut(clusters.join(docs.select(F.col("doc_id").alias("rep"), F.octet_length("text").alias("size")), "rep").dropDuplicates(["rep"]))
@@ -368,14 +397,18 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     groups = texts.filter("fits").repartition("cluster").sortWithinPartitions("cluster").mapInPandas(_clusters(width, percent), "node long, component long")
     large = sized.filter("not fits")
     if not large.isEmpty():
-        rows, some = shared.join(large.select("rep"), "rep", "left_semi"), cut(texts.filter("not fits"))
-        groups = groups.unionByName(connected(tie_up(rows, classes, lambda pairs: _confirmed(pairs, some, width, percent))[0]))
+        held = cut(texts.filter("not fits").select("rep", "text").mapInPandas(_sets(width), "rep long, set binary"))
+        members, whole_sets = shared.join(large.select("rep"), "rep", "left_semi"), classes.join(held, "rep")
+        groups = groups.unionByName(connected(tie_up(members, whole_sets, on_full_sets(percent))[0]))
     part = classes.select("class_key", F.col("rep").alias("class_id")).join(groups.withColumnRenamed("node", "class_id").groupBy("class_id").agg(F.min("component").alias("component")), "class_id", "left")
-    out = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_key")).alias("class_key")).join(part, "class_key", "left")
+    out = sets.select("doc_id", "th", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_key")).alias("class_key")).join(part, "class_key", "left")
     own = F.coalesce("class_id", "doc_id")
-    component = F.coalesce("component", own)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), own.alias("class_id"))
+    out = out.select("doc_id", "th", "n_shingles", F.coalesce("component", own).alias("component_id"), own.alias("class_id"))
+    for column in ("doc_id", "component_id", "class_id") if names is not None else ():
+        out = out.join(names.select(F.col("key").alias(column), F.col("doc_id").alias("_name")), column, "left").withColumn(column, F.col("_name")).drop("_name")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return out.select("doc_id", "th", "n_shingles", "component_id", kept.alias("kept"), "class_id")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"), width=4)
+    return near_duplicates(read(spark, sf_dir, "documents"), width=4).drop("th")

@@ -1,5 +1,8 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables, extra columns with clashing names."""
 
+import random
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,7 +138,7 @@ def test_a_bucket_of_unlike_members_ends_in_a_few_rounds(spark):
     registers[40:45] = registers[3]  # a small group of copies that no early pivot needs to meet
     registers[45:2_000] = registers[4]
     classes = spark.createDataFrame([(i, 300, r.tobytes()) for i, r in enumerate(registers)], "rep long, n_shingles long, sketch binary")
-    rows = classes.select(F.lit(1).cast("long").alias("bucket"), "rep")
+    rows = classes.select(F.lit(1).cast("long").alias("bucket"), F.lit(0).alias("band"), "rep")
     ties, rounds = near_dup.tie_up(rows, classes)
     groups = near_dup.connected(ties).collect()
     assert rounds <= 6
@@ -143,6 +146,61 @@ def test_a_bucket_of_unlike_members_ends_in_a_few_rounds(spark):
     assert {r["node"] for r in groups if r["component"] == 4} == set(range(45, 2_000)) and len(groups) == 5 + 1_955
 
 
+def test_refused_pairs_are_tested_once(spark, tmp_path):
+    """300 forms at about 0.7: all may be linked, none is, in as many buckets as they share bands."""
+    rng = random.Random(4)
+    docs = [(i, " ".join([*(f"t{k}" for k in range(240)), *(f"own{rng.random()}" for _ in range(40))])) for i in range(300)]
+    h, count = near_dup.shingle_sets([t.encode() for _, t in docs], 4)
+    sketches = near_dup.sketches(h, count)
+    classes = spark.createDataFrame([(i, int(n), r.tobytes()) for i, (n, r) in enumerate(zip(count, sketches))], "rep long, n_shingles long, sketch binary")
+    rows = [(hash((b, r[6 * b : 6 * b + 6].tobytes())), b, i) for i, r in enumerate(sketches) for b in range(42)]
+
+    def refuse(members, pivots, pairs):
+        with open(f"{tmp_path}/{uuid.uuid4().hex}", "w") as f:
+            f.writelines("{} {}\n".format(*sorted((members[x]["rep"], pivots[y]["rep"]))) for x, y in pairs)
+        return [False] * len(pairs)
+
+    ties, _ = near_dup.tie_up(spark.createDataFrame(rows, "bucket long, band int, rep long"), classes, refuse)
+    tested = [line for p in tmp_path.iterdir() for line in p.read_text().splitlines()]
+    assert ties.isEmpty() and len(tested) == len(set(tested)) and 10_000 < len(tested) <= 300 * 299 // 2
+
+
+def test_large_clusters_of_alike_forms_are_exact(spark, monkeypatch):
+    rng = random.Random(5)
+    form = [f"t{k}" for k in range(150)]
+    docs = [(i, " ".join([*form, *(f"own{rng.randrange(60)}" for _ in range(rng.randrange(10, 60)))])) for i in range(120)]
+    want = brute.near(docs, width=4)
+    monkeypatch.setattr(near_dup, "BUCKET", 8)
+    monkeypatch.setattr(near_dup, "CLUSTER", 5)
+    monkeypatch.setattr(near_dup, "MEET", 7)
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=4).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == want
+    assert 1 < len({r["component_id"] for r in got}) < 120
+
+
+def test_near_duplicates_of_texts_that_share_a_doc_id(spark):
+    words = [f"w{i}" for i in range(400)]
+    x, y = " ".join(words[:200]), " ".join(words[200:])
+    rows = [(5, x), (5, y), (5, y), (7, x.replace("w100", "changed")), (9, y.replace("w300", "changed")), (None, x), (6, "")]
+    for some in (rows, rows[::-1]):
+        got = sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in near_duplicates(spark.createDataFrame(some, "doc_id long, text string")).collect())
+        assert got == [(0, None, True), (5, 5, True), (5, 5, True), (5, 5, True), (6, 6, True), (7, 5, False), (9, 5, False)]
+    docs = spark.createDataFrame([(1, x), (5, x), (5, y)], "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.near_dedup(spark, docs, "").collect())) == [(1, x), (5, y)]
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_polynomials_confuse(spark):
+    one, two = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    docs = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert all(r["kept"] for r in near_duplicates(docs).collect())
+    items = spark.createDataFrame([(1, one)], "item_id long, text string")
+    assert {r["doc_id"]: r["n_hit"] for r in find_contamination(docs, items).collect()} == {1: 1, 2: 0}
+
+
 def test_wide_gram_groups_take_the_window_way(spark, monkeypatch):
     shared = "the same passage of somewhat more than one hundred bytes that stands in the middle of all of these documents here"
     rows = [(i, f"{i * i * 977:09d} start {'x' * i} {shared} {'y' * (i % 7)} end {i * 31:05d}") for i in range(60)]
@@ -284,3 +342,19 @@ def test_quality_measures_keep_other_columns(spark):
     docs = spark.createDataFrame([(1, "a b a b a b", "x")], "doc_id long, text string, mine string")
     row = quality(docs).first()
     assert row["mine"] == "x" and row["n_repeat_words"] == 6
+    names = ["_words", "_lines", "_h", "_p", "_s", "_keep", "_at"]
+    row = quality(docs.withColumns({c: F.lit(c) for c in names})).first()
+    assert [row[c] for c in names] == names and row["n_repeat_words"] == 6
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t "])
+def test_quality_of_long_blanks(spark, blank):
+    import time
+
+    text = "a b c d" + blank * (2_000_000 // len(blank)) + "e f ... x " + " " * 500_000
+    docs = spark.createDataFrame([(1, text), (2, " " * 2_000_000)], "doc_id long, text string").coalesce(1)
+    quality(docs.limit(0)).collect()
+    start = time.monotonic()
+    rows = {r["doc_id"]: r for r in quality(docs).drop("text").collect()}
+    assert time.monotonic() - start < 20
+    assert (rows[1]["n_words"], rows[2]["n_words"]) == (8, 0) and brute.quality(text)[:5] == tuple(rows[1][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
