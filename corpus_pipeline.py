@@ -32,10 +32,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
-    doc = fresh(docs, "_doc")
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias(doc)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(doc), "left_anti")
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays.
+
+    Texts that share a doc_id are documents of their own, so one of them can go and the other stay.
+    """
+    doc, th = fresh(docs, "_doc"), fresh(docs, "_th")
+    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias(doc), F.col("th").alias(th)).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(th)), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
