@@ -20,7 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": language.op4,
     "op5_suffix_dedup": substring_dup.op5,
     "op6_line_dedup": line_dup.op6,
-    "op6_whole_runs": line_dup.op6,
     "op7_decontamination": contamination.op7,
     "op7_proximity": contamination.op7_near,
     "op8_secret_scan": secrets.op8,

@@ -103,7 +103,6 @@ ORACLES = {
     "op3_quality_rules": OP3,
     "op5_suffix_dedup": OP5,
     "op6_line_dedup": OP6,
-    "op6_whole_runs": OP6,
     "op7_decontamination": OP7,
     "op11_importance_resampling": OP11,
     "op12_passage_dedup": OP12,
