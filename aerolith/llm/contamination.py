@@ -6,11 +6,12 @@
    Terms that the benchmark doesn't use are left out, unless it has more than
    ``MAX_TERMS`` of them; then all are indexed.
 2. Look up.  The index tells how often each term occurs.  Every benchmark phrase starts
-   from its rarest term: a join on the term gives the blocks that may hold it.  Phrases
-   with a term that no text has are dropped here.
-3. Intersect.  Blocks meet their candidate phrases, and each phrase intersects the
-   posting lists of its terms, adjusted by their offsets, from the block's rarest on.
-   Proximity matches ask for all terms within ``span`` consecutive words.
+   from its rarest term: a join on the term gives the blocks that may hold it, and those
+   without its second rarest term are dropped, as are phrases with a term that no text has.
+3. Intersect.  Only postings that a candidate needs are shuffled: of its block, and of its
+   terms.  Blocks meet their candidate phrases, and each phrase intersects the posting lists
+   of its terms, adjusted by their offsets, from the block's rarest on.  Proximity matches ask
+   for all terms within ``span`` consecutive words.
 4. Matches come back as one row a document, and items are joined to their phrases,
    salted where one phrase is in very many documents.
 
@@ -18,7 +19,8 @@ Blocks have about one size, so no join or group of the index has a hot key, and
 benchmark only its distinct terms, at most MAX_TERMS longs, pass through the driver.
 
 A word is a run of digits, ASCII letters and non-ASCII characters, A-Z lower-cased; a
-term is a word's 64-bit hash.  Null texts have no words.  Items without words match
+term is a word's xxh3 hash of 64 bits.  A block is laid out whole, at about 60 bytes of memory a word;
+a longer text is a block of its own.  Null texts have no words.  Items without words match
 nothing; repeated item rows count once an item_id; items without an id are ignored.
 Repeated rows of the documents get the same result each, rows that share only their
 doc_id each their own.
@@ -27,6 +29,7 @@ doc_id each their own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,25 +38,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import scratch
-from .common import RangeHash, blocks, cut, fresh, join_hot, read, signed
+from .common import blocks, cut, fresh, join_hot, read, signed
 
 WIDTH, SPAN = 13, 26
 #: Bytes of text in a block; distinct benchmark terms that are sent to the tasks (8 bytes each).
 BLOCK, MAX_TERMS = 4 << 20, 4_000_000
 
-_TERMS = RangeHash(70007)
 _FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _INDEX = "kind int, block long, term long, n int, first int, at binary, doc_id string, th long"
 
 
 def terms_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Terms of all texts, one text after another, and each text's number of words."""
-    buffer = np.frombuffer(b" ".join(texts).translate(_FOLD), np.uint8)
-    edge = np.diff(np.concatenate([[False], buffer != 32, [False]]).astype(np.int8))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    sizes = np.array([len(t) + 1 for t in texts])
-    count = np.bincount(np.searchsorted(np.cumsum(sizes), start, "right"), minlength=len(texts))
-    return signed(_TERMS.of(_TERMS.prefix(buffer), start, end)), count[: len(texts)]
+    words = [t.translate(_FOLD).split() for t in texts]
+    count = np.fromiter(map(len, words), np.int64, len(words))
+    return signed(np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, count.sum())), count
 
 
 def _phrases(width: int):
@@ -181,6 +180,12 @@ def _items(hits: DataFrame, column: str, owners: DataFrame) -> DataFrame:
     return told.groupBy("block", "no").agg(F.sort_array(F.collect_set("item")).alias(column))
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def find_contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = 5, span: int | None = None) -> DataFrame:
     """Per row of ``documents(doc_id, text)``: doc_id, th (hash of the text), n_words, n_hit, items, near, contaminated.
 
@@ -203,11 +208,20 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, width: int =
     rows.mapInPandas(_index(wanted, gap), _INDEX).write.partitionBy("kind").parquet(path)
     index, lists = spark.read.schema(_INDEX).parquet(path), spark.read.schema(_INDEX).parquet(path).filter("kind = 1")
     often = cut(lists.groupBy("term").agg(F.sum("n").alias("n")))
-    rarest = join_hot(words, often, ["term"], "n", "p1").groupBy("p1", "p2").agg(F.count("*").alias("found"), F.min(F.struct("n", "term")).alias("rarest"))
-    lookup = shapes.join(rarest, ["p1", "p2"]).filter(F.col("found") == F.size("terms")).select("p1", "p2", "terms", F.col("rarest.term").alias("term"))
-    candidates = lookup.join(lists.select("term", "block"), "term").drop("term")
+    rarest = join_hot(words, often, ["term"], "n", "p1").groupBy("p1", "p2").agg(F.count("*").alias("found"), F.slice(F.sort_array(F.collect_set(F.struct("n", "term"))), 1, 2).alias("rarest"))
+    lookup = shapes.join(rarest, ["p1", "p2"]).filter(F.col("found") == F.size("terms"))
+    lookup = lookup.select("p1", "p2", "terms", F.get("rarest", F.lit(0))["term"].alias("term"), F.element_at("rarest", -1)["term"].alias("second"))
+    held = lists.select("term", "block")
+    candidates = lookup.join(held, "term").drop("term").join(held.withColumnRenamed("term", "second"), ["second", "block"], "left_semi").drop("second")
+    # as files their sizes are known, so Spark sends what is small to the postings instead of shuffling these
+    candidates = _stored(candidates)
+    needed = _stored(candidates.select("block", F.explode("terms").alias("term")).distinct())
+    sizes = index.filter("kind = 0").join(candidates.select("block").distinct(), "block", "left_semi")
+    wanted_lists = lists.join(needed, ["block", "term"], "left_semi")
+    columns = ["block", "kind", "term", "n", "first", "at"]
+    postings = sizes.select(*columns).unionByName(wanted_lists.select(*columns))
     pair = "array<struct<p1:long,p2:long>>"
-    hits = candidates.groupBy("block").cogroup(index.select("block", "kind", "term", "n", "first", "at").groupBy("block")).applyInPandas(_answer(span), f"block long, no int, n_hit long, phrases {pair}, near {pair}")
+    hits = candidates.groupBy("block").cogroup(postings.groupBy("block")).applyInPandas(_answer(span), f"block long, no int, n_hit long, phrases {pair}, near {pair}")
     hits = cut(hits)
     owners = phrases.select("item", "p1", "p2")
     found = hits.select("block", "no", "n_hit").join(_items(hits, "phrases", owners).withColumnRenamed("phrases", "items"), ["block", "no"], "left")
