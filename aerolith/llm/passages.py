@@ -7,31 +7,34 @@ and documents are streamed to the shards that can hold their passages, instead o
 to all tasks.
 
 1. Pick.  Of each window the smallest hash of ``GRAM`` words (the first of equal ones) is picked.
-   Equal windows pick alike, so they share a fingerprint.
-2. Meet.  Picked positions are shuffled by fingerprint.  Those that stand in one document only are
-   dropped; the others are marked.  Positions of which a task has seen another document
-   are known to be shared and are dealt out evenly, so a passage in a third of all documents
-   sends a few rows a task to its fingerprint.
-3. Cut out.  Marks meet their texts, and the words of all windows that pick a marked position are a
-   passage.  Of equal passages in a task only the one of the smallest document goes on; the
-   others are repeated for certain.
-4. Shards.  Passages of some fingerprints, about ``SHARD`` words, make a reference shard: its suffix
-   automaton knows the smallest document of each substring.  The shard's passages are streamed
-   through it for matching statistics, and where a match of ``width`` words or more has a smaller
-   document, its last ``width`` words are repeated.  A fingerprint with more than ``HOT`` passages is
-   taken apart: its windows are dealt by their whole content, so no shard is larger than that.
-5. Remove.  Repeated spans of a document are merged, and its other words stay, joined by spaces.
+   Equal windows pick alike.  The words of all windows that pick one place are a passage, known by
+   the picked hash, its fingerprint, and a hash of its words.
+2. Meet.  Passages are shuffled by fingerprint, as hashes and places only.  Of equal passages all
+   but those of the smallest document are repeated.  Where a fingerprint has different
+   passages, they may share windows: they go on.  What repeats inside a task is settled there, so a
+   passage in a third of all documents sends about one row a task.
+3. Shards.  Passages that go on are cut out of their texts.  Those of some fingerprints, about
+   ``SHARD`` words, make a reference shard: its suffix automaton knows the smallest document of
+   each substring.  They are streamed through it for matching statistics, and where a match of
+   ``width`` words or more has a smaller document, its last ``width`` words are repeated.
+4. Remove.  Repeated spans of a document are merged, and its other words stay, joined by spaces.
+
+A phrase that many documents go on differently would bring all of them to one fingerprint.  A first
+pass finds fingerprints that have more than ``MANY`` passages inside some task; their windows are dealt
+by their whole content, so no shard holds more than MANY passages a task of one fingerprint.
+Hashes have 128 bits together.
 
 A word is a run of characters other than space and U+0009 to U+000D.  Null text has no words and
 stays null; a null doc_id takes no part.  Rows that share doc_id and text are one document; of rows that
 share only the doc_id none is smaller, so they take nothing from each other.  A text that loses
-all words is empty, its row stays.
+all words is empty, its row stays.  A text is laid out in parts of PIECE bytes.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,21 +43,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import scratch
-from .common import BLOCK_BYTES, RangeHash, fresh, mix, read, signed
+from .common import BLOCK_BYTES, Seen, fresh, mix, read, signed, text_keys
 
 #: Words of a window, and of the picked part of it.
 WIDTH, GRAM = 13, 7
-#: Words of a reference shard, passages of one fingerprint that may meet in one, bytes of text that are laid out at once.
-SHARD, HOT, PIECE = 1 << 15, 4_000, 4 << 20
-#: Passages and fingerprints that a task remembers.
-HELD = 1 << 18
+#: Words of a reference shard, bytes of text that are laid out at once.
+SHARD, PIECE = 1 << 15, 4 << 20
+#: Passages of one fingerprint in a task from which its windows are dealt alone; such fingerprints that are sent to the tasks.
+MANY, MOST_HOT = 16, 1_000_000
 
-_WORD, _MIX = RangeHash(1213), np.random.default_rng(1312).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_WHITE = bytes(32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
+_MIX = np.random.default_rng(1312).integers(0, 2**63, (3, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
-_PLACE = "fp long, doc long, th long, at int, known boolean"
-_PART = "kind int, fp long, doc long, th long, first int, last int, words binary"
-_SPAN = "doc long, th long, first int, last int"
+_PLACE = "fp long, c long, doc long, nth int, first int, last int, known boolean"
+_MET = "kind int, fp long, doc long, nth int, first int, last int"
+_SPAN = "doc long, first int, last int"
 
 
 def pieces(text: bytes, keep: int) -> Iterator[tuple[int, bytes]]:
@@ -75,28 +77,41 @@ def pieces(text: bytes, keep: int) -> Iterator[tuple[int, bytes]]:
     yield first, text[low:]
 
 
-def picked(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``text, window, place, hash`` of the windows of all texts: the place (word of its text) that each window picks."""
-    buffer = np.frombuffer(b" ".join(texts).translate(_WHITE), np.uint8)
-    edge = np.diff(np.concatenate([[False], buffer != 32, [False]]).astype(np.int8))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    of = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "right")
-    n = len(start) - width + 1
+def _run_hash(word: np.ndarray, first: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` words from ``first`` on."""
+    out = size.astype(np.uint64)
+    for k in range(int(size.max()) if len(size) else 0):
+        some = size > k
+        out[some] += word[first[some] + k] * _MIX[seed, k % 256]
+    return mix(out)
+
+
+def passages_of(texts: list[bytes], width: int, gram: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``text, first, last, fp, c`` of the passages of all texts, in order; windows of hot fingerprints are passages of their own."""
+    words = [t.split() for t in texts]
+    count = np.fromiter(map(len, words), np.int64, len(words))
+    word = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, count.sum())
+    n = len(word) - width + 1
     if n < 1:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
-    word = _WORD.of(_WORD.prefix(buffer), start, end)
-    hashes = np.zeros(len(word) - gram + 1, np.uint64)
-    for k in range(gram):
-        hashes += word[k : k + len(hashes)] * _MIX[k]
-    hashes = mix(hashes)
+        return (np.empty(0, np.int64),) * 5
+    of = np.repeat(np.arange(len(texts)), count)
+    begin = np.cumsum(count) - count
+    hashes = _run_hash(word, np.arange(len(word) - gram + 1), np.full(len(word) - gram + 1, gram), 0)
     low, place = hashes[:n].copy(), np.arange(n)
     for k in range(1, width - gram + 1):
         less = hashes[k : k + n] < low
         low[less] = hashes[k : k + n][less]
         place[less] = np.flatnonzero(less) + k
     window = np.flatnonzero(of[:n] == of[width - 1 :])
-    first = np.searchsorted(of, np.arange(len(texts)))[of[window]]
-    return of[window], window - first, place[window] - first, low[window]
+    fp, place = signed(low[window]), place[window]
+    apart = np.isin(fp, hot) if len(hot) else np.zeros(len(fp), bool)
+    # windows that pick one place are neighbours
+    new = np.append(True, (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1) | apart[1:])[: len(window)]
+    first, last = window[new], window[np.append(np.flatnonzero(new)[1:] - 1, len(window) - 1)] + width if len(window) else window
+    fp, apart = fp[new], apart[new]
+    fp[apart] = signed(_run_hash(word, first[apart], np.full(apart.sum(), width), 1))
+    c = signed(_run_hash(word, first, last - first, 2))
+    return of[first], first - begin[of[first]], last - begin[of[first]], fp, c
 
 
 def _texts(pdf: pd.DataFrame, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -115,122 +130,102 @@ def _texts(pdf: pd.DataFrame, width: int) -> Iterator[tuple[np.ndarray, np.ndarr
         yield np.array(rows), np.array(places), texts
 
 
-def _picks(width: int, gram: int):
+def _hot(width: int, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        told: set[int] = set()  # fingerprints of which places of two texts have been sent
+        """Fingerprints with more than MANY different passages in the task."""
+        held: list[np.ndarray] = []
+
+        def counted() -> tuple[np.ndarray, np.ndarray]:
+            rows = np.unique(np.concatenate([np.empty((0, 2), np.int64), *held]), axis=0)
+            held[:] = [rows]
+            return np.unique(rows[:, 0], return_counts=True)
+
         for pdf in batches:
-            doc, th = pdf["doc"].to_numpy(np.int64), pdf["th"].to_numpy(np.int64)
-            for row, first, texts in _texts(pdf, width):
-                of, _, place, fp = picked(texts, width, gram)
-                new = np.append(True, (place[1:] != place[:-1]) | (of[1:] != of[:-1]))[: len(place)]
-                row, place, fp = row[of[new]], place[new] + first[of[new]], signed(fp[new])
-                known = np.zeros(len(fp), bool)
-                order = np.lexsort((th[row], doc[row], fp))
-                start = np.flatnonzero(np.append(True, fp[order][1:] != fp[order][:-1])[: len(fp)])
-                stop = np.append(start[1:], len(fp)).astype(np.int64)
-                other = lambda i, j: (doc[row[i]] != doc[row[j]]) | (th[row[i]] != th[row[j]])
-                twice = other(order[start], order[stop - 1])
-                for i, f in enumerate(fp[order[start]].tolist()) if told else ():
-                    if f in told:
-                        known[order[start[i] : stop[i]]] = True
-                        twice[i] = False
-                for i in np.flatnonzero(twice)[: max(HELD - len(told), 0)].tolist():
-                    # a place of two texts goes to the fingerprint and tells the other tasks
-                    at = order[start[i] : stop[i]]
-                    known[at] = True
-                    known[at[0]] = known[at[-1]] = False
-                    told.add(int(fp[at[0]]))
-                yield pd.DataFrame({"fp": fp, "doc": doc[row], "th": th[row], "at": place, "known": known})
+            for _, _, texts in _texts(pdf, width):
+                _, _, _, fp, c = passages_of(texts, width, gram, np.empty(0, np.int64))
+                order = np.lexsort((c, fp))
+                fp, c = fp[order], c[order]
+                # of a block, fingerprints with several passages
+                several = np.zeros(len(fp), bool)
+                differs = (fp[1:] == fp[:-1]) & (c[1:] != c[:-1])
+                several[1:] |= differs
+                several[:-1] |= differs
+                held.append(np.stack([fp[several], c[several]], 1))
+                if sum(map(len, held)) > 1 << 20:
+                    fp, n = counted()
+                    yield pd.DataFrame({"fp": fp[n > MANY], "n": n[n > MANY]})
+                    held.clear()
+        fp, n = counted()
+        yield pd.DataFrame({"fp": fp[n > MANY], "n": n[n > MANY]})
 
     return run
 
 
-def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Positions that stand in several documents; open ones come sorted by fingerprint."""
+def hot_fingerprints(docs: DataFrame, width: int, gram: int) -> np.ndarray:
+    """The fingerprints that are most often found to be hot, at most MOST_HOT; results don't depend on them."""
+    found = docs.select("bytes").mapInPandas(_hot(width, gram), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
+    return np.sort(found.orderBy(F.col("n").desc(), "fp").limit(MOST_HOT).select("fp").toArrow().column("fp").to_numpy())
+
+
+def _places(width: int, gram: int, hot):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = Seen()
+        for pdf in batches:
+            doc, nth = pdf["doc"].to_numpy(np.int64), pdf["nth"].to_numpy(np.int64)
+            for row, base, texts in _texts(pdf, width):
+                of, first, last, fp, c = passages_of(texts, width, gram, hot.value)
+                row, base = row[of], base[of]
+                known = seen.later([doc[row] - nth[row]], fp, c)
+                yield pd.DataFrame({"fp": fp, "c": c, "doc": doc[row], "nth": nth[row], "first": base + first, "last": base + last, "known": known})
+
+    return run
+
+
+def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Repeated spans (kind 0), and passages that may share windows with others (kind 1); open rows come by fingerprint, passage and document."""
     rest = None
+
+    def rows(kind: int, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[["fp", "doc", "nth", "first", "last"]].assign(kind=kind)[["kind", "fp", "doc", "nth", "first", "last"]]
+
+    def contested(pdf: pd.DataFrame) -> pd.DataFrame:
+        fp, c = pdf["fp"].to_numpy(), pdf["c"].to_numpy()
+        start = np.flatnonzero(np.append(True, fp[1:] != fp[:-1])[: len(fp)])
+        size = np.diff(np.append(start, len(fp)))
+        return rows(1, pdf[np.repeat(c[start] != c[start + size - 1], size)])
+
     for pdf in batches:
         known = pdf["known"].to_numpy(bool)
         if known.any():
-            yield pdf.loc[known, ["doc", "th", "at", "fp"]]
+            yield rows(0, pdf[known])
             pdf = pdf[~known]
         pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
         if not len(pdf):
-            rest = None
             continue
-        fp, doc, th = (pdf[c].to_numpy(np.int64) for c in ("fp", "doc", "th"))
-        start = np.flatnonzero(np.append(True, fp[1:] != fp[:-1]))
-        size = np.diff(np.append(start, len(fp)))
-        differs = (doc != np.repeat(doc[start], size)) | (th != np.repeat(th[start], size))
-        several = np.repeat(np.logical_or.reduceat(differs, start), size)
+        fp, c, low = pdf["fp"].to_numpy(), pdf["c"].to_numpy(), (pdf["doc"] - pdf["nth"]).to_numpy()
+        start = np.flatnonzero(np.append(True, (fp[1:] != fp[:-1]) | (c[1:] != c[:-1])))
+        later = low != np.repeat(low[start], np.diff(np.append(start, len(fp))))
+        yield rows(0, pdf[later])
         # the last fingerprint may go on in the next batch
-        tail = np.arange(len(fp)) >= start[-1]
-        yield pdf.loc[several, ["doc", "th", "at", "fp"]]
-        rest = pdf[tail]
-        if several[-1]:
-            # its rows are told; two of them, without a place, are enough for what follows
-            other = np.flatnonzero(tail & differs)[0]
-            rest = pdf.iloc[[start[-1], other]].assign(at=-1)
+        tail = fp == fp[-1]
+        yield contested(pdf[~later & ~tail])
+        rest = pdf[~later & tail]
+    if rest is not None:
+        yield contested(rest)
 
 
-def _parts(width: int, gram: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, bytes], tuple] = {}  # fingerprint, name: doc, th, first, last, words
-
-        def rows(kind: int, some: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame([(kind, *r) for r in some], columns=["kind", "fp", "doc", "th", "first", "last", "words"])
-
-        for pdf in batches:
-            gone: list[tuple] = []
-            docs, ths, marks = pdf["doc"].tolist(), pdf["th"].tolist(), pdf["marks"].array
-            for row, base, texts in _texts(pdf, width):
-                of, window, place, fp = picked(texts, width, gram)
-                for i, (r, first, text) in enumerate(zip(row.tolist(), base.tolist(), texts)):
-                    u, v = np.searchsorted(of, [i, i + 1])
-                    mine = np.flatnonzero(np.isin(place[u:v] + first, np.asarray(marks[r], np.int64))) + u
-                    if not len(mine):
-                        continue
-                    words = text.split()
-                    # windows that pick one place are neighbours
-                    cuts = np.flatnonzero(np.append(True, place[mine][1:] != place[mine][:-1]))
-                    for low, high in zip(mine[cuts].tolist(), mine[np.append(cuts[1:] - 1, len(mine) - 1)].tolist()):
-                        a, b = int(window[low]), int(window[high]) + width
-                        own = b" ".join(words[a:b])
-                        name = int(signed(fp[low : low + 1])[0]), xxhash.xxh3_128_digest(own)
-                        new, old = (docs[r], ths[r], first + a, first + b), held.get(name)
-                        if old is None:
-                            held[name] = (*new, own)
-                        elif old[:3] == new[:3]:
-                            pass  # the same place in a repeated row
-                        elif old[0] == new[0]:
-                            gone.append((1, name[0], *new, own))  # neither is smaller: both have to meet the others
-                        else:
-                            later = max(old[:4], new)
-                            gone.append((0, 0, *later, b""))
-                            held[name] = (*min(old[:4], new), own)
-            if gone:
-                sure, again = [g[1:] for g in gone if not g[0]], [g[1:] for g in gone if g[0]]
-                yield pd.concat([rows(0, sure), rows(1, again)])
-            if len(held) > HELD:
-                yield rows(1, [(k[0], *v) for k, v in held.items()])
-                held.clear()
-        yield rows(1, [(k[0], *v) for k, v in held.items()])
-
-    return run
-
-
-def _windows(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Passages taken apart into windows, each with its own content as fingerprint."""
-        for pdf in batches:
-            out = []
-            for doc, th, first, words in zip(pdf["doc"], pdf["th"], pdf["first"], pdf["words"]):
-                words = words.split(b" ")
-                for i in range(len(words) - width + 1):
-                    own = b" ".join(words[i : i + width])
-                    out.append((xxhash.xxh3_64_intdigest(own) - (1 << 63), doc, th, first + i, first + i + width, own))
-            yield pd.DataFrame(out, columns=["fp", "doc", "th", "first", "last", "words"])
-
-    return run
+def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The words of the passages of each text."""
+    columns = ["fp", "doc", "nth", "first", "words"]
+    for pdf in batches:
+        out: list[tuple] = []
+        for doc, nth, raw, own in zip(pdf["doc"].tolist(), pdf["nth"].tolist(), pdf["bytes"].array, pdf["own"].array):
+            words, marks = raw.split(), own.tolist()
+            out += [(fp, doc, nth, i, b" ".join(words[i:j])) for fp, i, j in zip(marks[::3], marks[1::3], marks[2::3])]
+            if len(out) > 20_000:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        yield pd.DataFrame(out, columns=columns)
 
 
 class Automaton:
@@ -313,28 +308,45 @@ def repeated(passages: list[tuple[int, list[bytes]]], width: int) -> list[list[i
     return [[i - width + 1 for i, (_, first) in enumerate(automaton.statistics(words, width)) if first < doc] for doc, words in passages]
 
 
+def _answers(passages: list[tuple[int, list[bytes]]], width: int) -> list[list[int]]:
+    """``repeated``, by automata of about SHARD words: passages that are more than two of these are taken apart into windows."""
+    n = sum(len(words) for _, words in passages) // SHARD
+    if n < 2:
+        return repeated(passages, width)
+    shards: list[list[tuple[int, int, list[bytes]]]] = [[] for _ in range(n * width)]  # each word is in up to ``width`` windows
+    for k, (_, words) in enumerate(passages):
+        for i in range(len(words) - width + 1):
+            own = words[i : i + width]
+            shards[xxhash.xxh3_64_intdigest(b" ".join(own)) % len(shards)].append((k, i, own))
+    out: list[list[int]] = [[] for _ in passages]
+    for shard in shards:
+        for (k, i, _), starts in zip(shard, repeated([(passages[k][0], own) for k, _, own in shard], width)):
+            out[k] += [i] * len(starts)
+    return [sorted(starts) for starts in out]
+
+
 def _shards(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Repeated spans; passages come sorted by fingerprint."""
 
         def settle(rows: list[tuple]) -> pd.DataFrame:
             out = []
-            for (_, doc, th, first, _), starts in zip(rows, repeated([(r[1], r[4]) for r in rows], width)):
+            for (_, doc, nth, first, _), starts in zip(rows, _answers([(r[1] - r[2], r[4]) for r in rows], width)):
                 for i in starts:
-                    if out and out[-1][:2] == (doc, th) and out[-1][2] <= first + i <= out[-1][3]:
-                        out[-1] = (doc, th, out[-1][2], max(out[-1][3], first + i + width))
+                    if out and out[-1][0] == doc and out[-1][1] <= first + i <= out[-1][2]:
+                        out[-1] = (doc, out[-1][1], max(out[-1][2], first + i + width))
                     else:
-                        out.append((doc, th, first + i, first + i + width))
-            return pd.DataFrame(out, columns=["doc", "th", "first", "last"])
+                        out.append((doc, first + i, first + i + width))
+            return pd.DataFrame(out, columns=["doc", "first", "last"])
 
         rows, n = [], 0
         for pdf in batches:
-            for fp, doc, th, first, words in zip(pdf["fp"].tolist(), pdf["doc"].tolist(), pdf["th"].tolist(), pdf["first"].tolist(), pdf["words"]):
+            for fp, doc, nth, first, words in zip(pdf["fp"].tolist(), pdf["doc"].tolist(), pdf["nth"].tolist(), pdf["first"].tolist(), pdf["words"]):
                 if n > SHARD and rows[-1][0] != fp:
                     yield settle(rows)
                     rows, n = [], 0
                 words = words.split(b" ")
-                rows.append((fp, doc, th, first, words))
+                rows.append((fp, doc, nth, first, words))
                 n += len(words)
         yield settle(rows)
 
@@ -342,23 +354,35 @@ def _shards(width: int):
 
 
 def repeated_spans(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``doc_id, th, spans`` of the texts with repeated words; th is xxhash64 of the text, a span struct(first, last), last excluded; spans may overlap."""
+    """``doc_id, th, spans`` of the documents with repeated words; a span is struct(first, last), last excluded, and spans may overlap.
+
+    ``th`` is xxhash64 of the text where texts share a doc_id, else null.
+    """
     spark, gram, path = documents.sparkSession, min(GRAM, width), scratch(documents.sparkSession)
-    docs = documents.filter("doc_id is not null and text is not null").select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("bytes"))
-    places = docs.mapInPandas(_picks(width, gram), _PLACE)
-    dealt = places.repartition(F.when(F.col("known"), F.xxhash64("doc", "at")).otherwise(F.col("fp")))
-    marks = dealt.sortWithinPartitions("known", "fp", "doc", "th").mapInPandas(_marks, "doc long, th long, at int, fp long").filter("at >= 0")
-    marks = marks.groupBy("doc", "th").agg(F.collect_set("at").alias("marks"))
-    docs = docs.join(marks, ["doc", "th"])
-    docs.mapInPandas(_parts(width, gram), _PART).write.partitionBy("kind").parquet(path)
-    table = spark.read.schema(_PART).parquet(path)
-    parts = table.filter("kind = 1").select("fp", "doc", "th", "first", "last", "words")
-    hot = parts.groupBy("fp").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("fp", F.lit(True).alias("hot"))
-    parts = parts.join(hot, "fp", "left")
-    apart = parts.filter("hot").mapInPandas(_windows(width), "fp long, doc long, th long, first int, last int, words binary")
-    met = parts.filter("hot is null").drop("hot").unionByName(apart).repartition("fp").sortWithinPartitions("fp", "doc", "th", "first")
-    spans = met.mapInPandas(_shards(width), _SPAN).unionByName(table.filter("kind = 0").select("doc", "th", "first", "last"))
-    return spans.groupBy(F.col("doc").alias("doc_id"), "th").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
+    keyed, names = text_keys(documents)
+    nth = F.lit(0)
+    if names is not None:
+        low = names.groupBy("doc_id").agg(F.min("key").alias("low"))
+        names = names.join(low, "doc_id").select(F.col("key").alias("doc"), F.col("doc_id").alias("name"), (F.col("key") - F.col("low")).cast("int").alias("nth"))
+        keyed, nth = keyed.join(names.select(F.col("doc").alias("doc_id"), "nth"), "doc_id"), F.col("nth")
+    docs = keyed.filter("text is not null").select(F.col("doc_id").alias("doc"), nth.alias("nth"), F.col("text").cast("binary").alias("bytes"))
+    hot = spark.sparkContext.broadcast(hot_fingerprints(docs, width, gram))
+    places = docs.mapInPandas(_places(width, gram, hot), _PLACE)
+    dealt = places.repartition(F.when(F.col("known"), F.xxhash64("doc", "first")).otherwise(F.col("fp")))
+    met = dealt.sortWithinPartitions("known", "fp", "c", F.col("doc") - F.col("nth"), "doc", "first").mapInPandas(_meet, _MET)
+    met.write.partitionBy("kind").parquet(path)  # as files their size is known
+    met = spark.read.schema(_MET).parquet(path)
+    own = F.flatten(F.collect_set(F.array(F.col("fp"), F.col("first").cast("long"), F.col("last").cast("long"))))
+    marks = met.filter("kind = 1").groupBy("doc").agg(own.alias("own"))
+    parts = docs.dropDuplicates(["doc"]) if names is not None else docs
+    parts = parts.join(marks, "doc").mapInPandas(_cut_out, "fp long, doc long, nth int, first int, words binary")
+    shards = parts.repartition("fp").sortWithinPartitions("fp", "doc", "first").mapInPandas(_shards(width), _SPAN)
+    spans = shards.unionByName(met.filter("kind = 0").select("doc", "first", "last"))
+    spans = spans.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
+    if names is None:
+        return spans.select(F.col("doc").alias("doc_id"), F.lit(None).cast("long").alias("th"), "spans")
+    texts = docs.select("doc", F.xxhash64(F.col("bytes").cast("string")).alias("th")).distinct()
+    return spans.join(names, "doc").join(texts, "doc").select(F.col("name").alias("doc_id"), "th", "spans")
 
 
 def _kept(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -381,7 +405,8 @@ def remove_passages(documents: DataFrame, width: int = WIDTH, column: str = "pas
     """``documents`` with ``column``: struct(n_words, n_removed, kept), kept being the words that stay, joined by one space; a column of that name is replaced."""
     doc, th, spans = (fresh(documents, x) for x in ("_doc", "_th", "_spans"))
     found = repeated_spans(documents, width).select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("spans").alias(spans))
-    df = documents.join(found, (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(th)), "left").drop(doc, th)
+    same = F.col(th).isNull() | (F.xxhash64("text") == F.col(th))
+    df = documents.join(found, (F.col("doc_id") == F.col(doc)) & same, "left").drop(doc, th)
     kept = F.pandas_udf(_kept, "n_words long, n_removed long, kept string")
     return df.withColumn(column, kept(F.col("text").cast("binary"), F.flatten(F.transform(spans, lambda x: F.array(x["first"], x["last"]))))).drop(spans)
 

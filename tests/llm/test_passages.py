@@ -42,7 +42,7 @@ def texts(seed, n, width):
 @pytest.mark.parametrize("width, small", [(13, False), (13, True), (3, True), (5, False)])
 def test_words_of_repeated_windows_go(spark, monkeypatch, width, small):
     if small:
-        for name, value in (("SHARD", 60), ("HOT", 3), ("PIECE", 90), ("HELD", 20), ("BLOCK_BYTES", 400)):
+        for name, value in (("SHARD", 60), ("MANY", 2), ("PIECE", 90), ("BLOCK_BYTES", 400)):
             monkeypatch.setattr(passages, name, value)
     rows = texts(width, 150, width)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
