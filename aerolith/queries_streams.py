@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 from .functions import scalars as sc
-from .operators import rules
-from .queries_positions import _EDGE, NEAREST, state_vector
-from .registry import CURRENT, NOW, Tables, long, query, sec
+from .operators import joins, rules
+from .queries_positions import _EDGE, _ENRICH, _GA, NEAREST, state_vector
+from .registry import CURRENT, Tables, long, query, sec
 from .sources import lake
-from .streaming import jobs
+from .streaming import jobs, keyed
 from .streaming.lifecycle import stream_lifecycle
 from .streaming.tables import VersionedTable
 
@@ -29,6 +31,25 @@ def _run(t: Tables, writer) -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
+@contextmanager
+def rocksdb(t: Tables):
+    """Keyed state needs this store; it is the session's setting when a stream starts."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(key, None)
+    t.spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        t.spark.conf.unset(key) if before is None else t.spark.conf.set(key, before)
+
+
+def _append(t: Tables, df: DataFrame, folder: str) -> DataFrame:
+    """Run an appending stream to its end; all that it has written so far."""
+    with rocksdb(t):
+        _run(t, df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint"))
+    return t.spark.read.schema(df.schema).parquet(f"{folder}/out")
+
+
 @query("t2_stream_current", f"{CURRENT} SELECT icao24, {sec('last_seen_at')} AS last_seen_at FROM current", "positions")
 def _(t):
     folder = scratch(t)
@@ -39,15 +60,8 @@ def _(t):
 
 @query("t3_stream_lifecycle", f"{_EDGE} SELECT * FROM edges WHERE flight_id IS NOT NULL", "positions")
 def _(t):
-    folder, key = scratch(t), "spark.sql.streaming.stateStore.providerClass"
-    before = t.spark.conf.get(key, None)
-    t.spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        edges = stream_lifecycle(_stream(t, t.positions, folder), tie="event_id")
-        _run(t, edges.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint"))
-    finally:
-        t.spark.conf.unset(key) if before is None else t.spark.conf.set(key, before)
-    return t.spark.read.schema("icao24 string, kind string, at timestamp, flight_id string").parquet(f"{folder}/out")
+    folder = scratch(t)
+    return _append(t, stream_lifecycle(_stream(t, t.positions, folder), tie="event_id"), folder)
 
 
 @query(
@@ -73,12 +87,43 @@ def _(t):
     return lake.scan_positions(t.spark, f"{folder}/lake").select(F.col("squawk").cast("long").alias("last_contact_s"), "icao24", "ts_polled", "altitude_ft", "customer_region")
 
 
-@query("t4_stream_gaps", f"{CURRENT}, g AS (SELECT icao24, round(({sec('(SELECT max(ts_polled) FROM positions)')} - {sec('last_seen_at')}) / 60.0, 6) AS gap_minutes FROM current) SELECT * FROM g WHERE gap_minutes BETWEEN 14 AND 30", "positions")
+_SILENCE = f"""n AS (SELECT icao24, {sec('ts_polled')} AS s, {sec('lead(ts_polled) OVER (PARTITION BY icao24 ORDER BY ts_polled)')} AS nxt FROM (SELECT DISTINCT icao24, ts_polled FROM positions)),
+w AS (SELECT {sec('max(ts_polled)')} AS w FROM positions)
+SELECT icao24, 'silent' AS kind, s + 840 AS told_at FROM n, w WHERE coalesce(nxt, w) > s + 840
+UNION ALL SELECT icao24, 'lost', s + 1800 FROM n, w WHERE coalesce(nxt, w) > s + 1800
+UNION ALL SELECT icao24, 'back', nxt FROM n WHERE nxt > s + 840 AND nxt <= s + 1800"""
+
+
+@query("t4_stream_gaps", _SILENCE, "positions")
 def _(t):
-    folder = scratch(t)
-    state, out = VersionedTable(t.spark, f"{folder}/state"), VersionedTable(t.spark, f"{folder}/gaps")
-    _run(t, jobs.stream_gaps(_stream(t, t.positions.drop("event_id"), folder), state, out, f"{folder}/checkpoint"))
-    return out.read().select("icao24", "gap_minutes")
+    folder, early = scratch(t), F.col("ts_polled") < F.lit("2024-01-01 05:30:00").cast("timestamp")
+    _append(t, keyed.stream_silence(_stream(t, t.positions.filter(early), folder)), folder)
+    t.positions.filter(~early).write.mode("append").parquet(f"{folder}/in")  # what was silent by then has been told by timers
+    return _append(t, keyed.stream_silence(t.spark.readStream.schema(t.positions.schema).parquet(f"{folder}/in")), folder)
+
+
+_SLIDES = f"""{_ENRICH},
+slid AS (SELECT *, s - s % 300 + (CASE WHEN s % 300 > 0 THEN 300 ELSE 0 END) + 300 * k AS slide FROM (SELECT *, {sec('ts_polled')} AS s, unnest(range(0, 7)) AS k FROM enriched WHERE nm <= 15 AND NOT on_ground)),
+open_rows AS (SELECT * FROM slid WHERE s >= slide - 1800 AND slide < (SELECT max(s) FROM slid)),
+near_h AS (SELECT * FROM open_rows WHERE altitude_ft <= 15000),
+near_a AS (SELECT *, first_value(altitude_ft) OVER w AS low, first_value(s) OVER w AS low_s FROM open_rows WHERE nm <= 10 WINDOW w AS (PARTITION BY icao24, slide ORDER BY altitude_ft, s)),
+site_h AS (SELECT icao24, slide, site, row_number() OVER (PARTITION BY icao24, slide ORDER BY count(*) DESC, site) AS r FROM near_h GROUP BY icao24, slide, site),
+site_a AS (SELECT icao24, slide, site, row_number() OVER (PARTITION BY icao24, slide ORDER BY count(*) DESC, site) AS r FROM near_a GROUP BY icao24, slide, site),
+h AS (SELECT icao24, slide, count(*) AS n, max(s) - min(s) AS span, count(DISTINCT floor(heading_deg % 360 / 45)) AS sectors, arg_max(struct_pack(cs := callsign, region := customer_region), struct_pack(a := s, b := event_id)) AS last FROM near_h GROUP BY icao24, slide),
+a AS (SELECT icao24, slide, count(*) AS n, min(low) AS low, max(CASE WHEN s < low_s THEN altitude_ft END) - min(low) AS descent, max(CASE WHEN s > low_s THEN altitude_ft END) - min(low) AS climb, arg_max(struct_pack(cs := callsign, region := customer_region), struct_pack(a := s, b := event_id)) AS last FROM near_a GROUP BY icao24, slide)
+SELECT 'excessive_hold' AS rule, icao24, slide AS told_at, site AS site_icao, last.region AS customer_region, last.cs AS callsign, n, round(span / 60.0, 6) AS minutes, sectors, NULL::BIGINT AS min_altitude_ft, NULL::BIGINT AS descent_ft, NULL::BIGINT AS climb_ft
+FROM h JOIN site_h USING (icao24, slide) WHERE r = 1 AND n >= 3 AND span >= 600 AND sectors >= 3 AND NOT {_GA.format('last.cs')}
+UNION ALL SELECT 'go_around', icao24, slide, site, last.region, last.cs, n, NULL, NULL, low, descent, climb
+FROM a JOIN site_a USING (icao24, slide) WHERE r = 1 AND n >= 3 AND low <= 6000 AND descent >= 500 AND climb >= 500 AND NOT {_GA.format('last.cs')}"""
+
+
+@query("t5_stream_rules", _SLIDES, "positions", "plans", "airports")
+def _(t):
+    folder, sites = scratch(t), t.airports.filter("is_watched")
+    near = joins.nearest_site(t.positions.filter("customer_region is not null"), sites)
+    options = {"excessive_hold": {"min_fixes": 3, "min_minutes": 10, "min_sectors": 3}, "go_around": {"floor_ft": 6_000, "descent_ft": 500, "climb_ft": 500}}
+    near = near.filter((F.col("nearest_site_distance_nm") <= 15) & ~F.col("on_ground"))
+    return _append(t, keyed.stream_near_rules(_stream(t, near, folder), options), folder)
 
 
 @query("t6_stream_suppression", "SELECT DISTINCT concat('go_around|', flight_id, '|', site_icao) AS dedup_key FROM cases WHERE case_type = 'go_around'", "cases")
@@ -113,14 +158,37 @@ def _(t):
     return table.read().select("icao24", "last_seen_at")
 
 
-@query("t11_expired_state", f"{CURRENT} SELECT icao24, {sec('last_seen_at')} AS last_seen_at FROM current WHERE last_seen_at >= {NOW} - INTERVAL 3 HOUR", "positions")
+@query("t11_expired_state", f"{CURRENT} SELECT icao24, {sec('last_seen_at')} AS last_seen_at FROM current WHERE last_seen_at >= (SELECT max(ts_polled) FROM positions) - INTERVAL 3 HOUR", "positions")
 def _(t):
     folder = scratch(t)
-    table = VersionedTable(t.spark, f"{folder}/table")
-    _run(t, jobs.stream_current(_stream(t, t.positions.drop("event_id"), folder), table, f"{folder}/checkpoint"))
-    state = table.read()
-    newest = state.agg(F.max("last_seen_at").alias("_now"))
-    return jobs.expire(state.crossJoin(F.broadcast(newest)), F.col("_now")).select("icao24", "last_seen_at")  # one row crosses
+    changes = keyed.stream_last_known(_stream(t, t.positions, folder))
+    with rocksdb(t):
+        _run(t, changes.writeStream.outputMode("update").format("noop").option("checkpointLocation", f"{folder}/checkpoint"))
+    state = keyed.read_state(t.spark, f"{folder}/checkpoint", "last")
+    return state.select(F.col("key.icao24").alias("icao24"), F.timestamp_millis("value.seen_ms").alias("last_seen_at"))
+
+
+_KEYED = "k AS (SELECT *, concat('go_around|', flight_id, '|', coalesce(site_icao, '')) AS dedup_key, {0} AS made, {1} AS changed FROM cases WHERE case_type = 'go_around')".format(sec("created_at"), sec("updated_at"))
+
+
+@query(
+    "t6_open_cases",
+    f"""{_KEYED}, f AS (SELECT case_id AS finding, dedup_key, made + 600 AS told_at FROM k UNION ALL SELECT case_id || '-late', dedup_key, made + 2400 FROM k)
+SELECT finding, dedup_key, told_at FROM f WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.dedup_key = f.dedup_key AND made <= told_at AND told_at - made <= 1800 AND NOT (status IN ('resolved', 'closed') AND made + 300 <= told_at))""",
+    "cases",
+)
+def _(t):
+    folder = scratch(t)
+    rule = next(r for r in rules.REGISTRY if r.case_type == "go_around")
+    cases = t.cases.filter("case_type = 'go_around'").withColumn("dedup_key", rule.dedup_key("site_icao", "flight_id", "detection_facts"))
+    # a case as it came, and five minutes later as it stands; what is found ten and forty minutes after it came
+    later = lambda m: F.col("created_at") + F.expr(f"interval {m} minutes")
+    columns = ["dedup_key", "case_id", "case_type", "created_at", "status", "updated_at"]
+    changes = cases.withColumns({"status": F.lit("open"), "updated_at": F.col("created_at")}).select(*columns).unionByName(cases.withColumn("updated_at", later(5)).select(*columns))
+    found = cases.select("dedup_key", F.col("case_type").alias("rule"), F.col("case_id").alias("finding"), later(10).alias("detected_at"))
+    found = found.unionByName(cases.select("dedup_key", F.col("case_type").alias("rule"), F.concat("case_id", F.lit("-late")).alias("finding"), later(40).alias("detected_at")))
+    out = keyed.stream_suppress(_stream(t, found, f"{folder}/found"), _stream(t, changes, f"{folder}/changes"), own=False)
+    return _append(t, out, folder).select("finding", "dedup_key", "told_at")
 
 
 @query("t9_stream_kpis", f"w AS (SELECT handler, {sec('ts')} - {sec('ts')} % 300 AS window_start, status FROM request_log) SELECT handler, CAST(count(*) AS BIGINT) AS n FROM w WHERE window_start + 300 <= (SELECT max({sec('ts')}) - 600 FROM request_log) GROUP BY handler", "request_log")

@@ -1,4 +1,4 @@
-"""Streams over the snapshot and log folders."""
+"""Streams over the snapshot and log folders (T1, T2, T5 to T10); those with timers are in ``keyed``."""
 
 from __future__ import annotations
 
@@ -41,23 +41,10 @@ def stream_current(positions: DataFrame, table: VersionedTable, checkpoint: str)
 
 
 def gaps(current: DataFrame, now: Column, low: float = 14, high: float = 30) -> DataFrame:
-    """Aircraft silent for ``low`` to ``high`` minutes (T4)."""
+    """Aircraft of a table that are silent for ``low`` to ``high`` minutes; ``keyed.stream_silence`` is the stream of them (T4)."""
     return current.withColumn("gap_minutes", sc.minutes_between(now, "last_seen_at")).filter(F.col("gap_minutes").between(low, high))
 
 
-def stream_gaps(positions: DataFrame, table: VersionedTable, out: VersionedTable, checkpoint: str, low: float = 14, high: float = 30) -> DataStreamWriter:
-    """Keeps the last-known state and writes the gaps as of each batch's newest poll (T4)."""
-
-    def step(batch: DataFrame, n: int) -> None:
-        if batch.isEmpty():
-            return
-        now = F.lit(batch.agg(F.max("ts_polled")).first()[0])
-        table.upsert(to_current(batch), n, ["icao24"], upsert_positions)
-        out.write(gaps(table.read(), now, low, high), n)
-
-    return _each_batch(positions, checkpoint, step)
-
-
 def stream_rules(positions: DataFrame, history: VersionedTable, out: VersionedTable, context: Callable[[DataFrame], rules.Context], cases: Callable[[], DataFrame], checkpoint: str, minutes: int = 30) -> DataStreamWriter:
     """All rules over the sliding window of the last ``minutes`` at each batch, without open cases.
 
@@ -90,8 +77,8 @@ def hold_windows(positions: DataFrame, watermark: str = "10 minutes") -> DataFra
 def stream_dedup(anomalies: DataFrame, rule: rules.Rule, ts: str = "detected_at") -> DataFrame:
     """Findings of one rule, each key once within the rule's window.
 
-    A key is free again one batch after the watermark has passed its window.  A stream can't see
-    that a case was resolved meanwhile; ``stream_rules`` compares with open cases.
+    A key is free again one batch after the watermark has passed its window.  Cases that are resolved
+    meanwhile free no key here; ``keyed.stream_suppress`` reads their changes too.
     """
     own = anomalies.filter(F.col("rule") == rule.case_type)
     return own.withWatermark(ts, f"{rule.window_minutes} minutes").dropDuplicatesWithinWatermark(["dedup_key"])
@@ -125,5 +112,5 @@ def stream_kpis(log: DataFrame, watermark: str = "10 minutes") -> DataFrame:
 
 
 def expire(current: DataFrame, now: Column, hours: int = 3) -> DataFrame:
-    """Last-known state without what is older than its retention."""
+    """Last-known state of a table without what is older than its retention; ``keyed.stream_last_known`` is the stream."""
     return stores.prune_current(current, now, hours)

@@ -30,14 +30,14 @@ def fixes(*rows):
     return [(i, "X", 1.0, 2.0, g, T0 + dt.timedelta(minutes=m), None) for i, g, m in rows]
 
 
-def test_current_state_and_gaps(spark, tmp_path):
+def test_current_state(spark, tmp_path):
     batches = [fixes(("a", True, 0), ("b", False, 0)), fixes(("a", False, 10), ("b", False, -5)), fixes(("a", False, 20))]
     stream = files(spark, str(tmp_path / "in"), POSITIONS, batches)
-    state, out = VersionedTable(spark, str(tmp_path / "state")), VersionedTable(spark, str(tmp_path / "gaps"))
-    end(jobs.stream_gaps(stream, state, out, str(tmp_path / "checkpoint")))
+    state = VersionedTable(spark, str(tmp_path / "state"))
+    end(jobs.stream_current(stream, state, str(tmp_path / "checkpoint")))
     seen = {r["icao24"]: r["last_seen_at"] for r in state.read().collect()}
     assert seen == {"a": T0 + dt.timedelta(minutes=20), "b": T0}
-    assert [(r["icao24"], r["gap_minutes"]) for r in out.read().collect()] == [("b", 20.0)]
+    assert [(r["icao24"], r["gap_minutes"]) for r in jobs.gaps(state.read(), F.lit(T0 + dt.timedelta(minutes=20))).collect()] == [("b", 20.0)]
     assert len(state.versions()) == 3
 
 
