@@ -24,7 +24,7 @@ class Context:
 
     ``latest`` (newest row of each aircraft), ``near`` (rows with their nearest site, for rules over
     all fixes) and ``now`` (one row with the newest poll) are cheaper forms of the same rows; where
-    they are not given they are taken from ``positions``.
+    they are not given they are taken from ``positions``.  ``written`` tells that ``near`` is materialised.
     """
 
     positions: DataFrame
@@ -35,6 +35,7 @@ class Context:
     latest: DataFrame | None = None
     near: DataFrame | None = None
     now: DataFrame | None = None
+    written: bool = False
 
 
 class Rule:
@@ -133,9 +134,9 @@ def _near_summary(near: DataFrame) -> list[Column]:
 
 
 class ExcessiveHold(Rule):
-    case_type, window_minutes = "excessive_hold", 30
+    case_type, window_minutes, radius_nm = "excessive_hold", 30, 15
 
-    def detect(self, ctx: Context, radius_nm: float = 15, ceiling: int = 15_000, min_minutes: float = 30, min_fixes: int = 10, min_sectors: int = 6) -> DataFrame:
+    def detect(self, ctx: Context, radius_nm: float = radius_nm, ceiling: int = 15_000, min_minutes: float = 30, min_fixes: int = 10, min_sectors: int = 6) -> DataFrame:
         from ..functions.geo import heading_sector
 
         near = _near(ctx, radius_nm).filter(F.col("altitude_ft") <= ceiling)
@@ -158,10 +159,10 @@ class WeatherImpact(Rule):
 
 
 class GoAround(Rule):
-    case_type, window_minutes = "go_around", 30
+    case_type, window_minutes, radius_nm = "go_around", 30, 10
 
-    def detect(self, ctx: Context, radius_nm: float = 10, floor_ft: int = 3_000, descent_ft: int = 1_000, climb_ft: int = 1_000, min_fixes: int = 3) -> DataFrame:
-        near = cut(_near(ctx, radius_nm))
+    def detect(self, ctx: Context, radius_nm: float = radius_nm, floor_ft: int = 3_000, descent_ft: int = 1_000, climb_ft: int = 1_000, min_fixes: int = 3) -> DataFrame:
+        near = _near(ctx, radius_nm) if ctx.written else cut(_near(ctx, radius_nm))
         lowest = near.filter("altitude_ft is not null").groupBy("icao24").agg(F.min(F.struct("altitude_ft", "ts_polled")).alias("_low"))
         df = near.join(lowest, "icao24", "left")  # one row an aircraft that comes near a site
         before = F.max(F.when(F.col("ts_polled") < F.col("_low.ts_polled"), F.col("altitude_ft"))).alias("before")
@@ -211,8 +212,12 @@ REGISTRY: tuple[Rule, ...] = (LostSignal(), Diversion(), ExcessiveHold(), Weathe
 
 def run_rules(ctx: Context, rules: tuple[Rule, ...] = REGISTRY) -> DataFrame:
     """Findings of all rules; the newest rows and the fixes that rules over time read are materialised once."""
+    # airborne fixes within the widest radius of a rule: what is written is a small part of the feed
+    reach = max(ctx.options.get(r.case_type, {}).get("radius_nm", r.radius_nm) for r in (ExcessiveHold(), GoAround()))
+    known = {r.case_type for r in rules} <= {r.case_type for r in REGISTRY}
     near = ctx.near if ctx.near is not None else ctx.positions
-    ctx = replace(ctx, near=cut(near.select(*(c for c in NEAR if c in near.columns))), latest=cut(_latest(ctx)))
+    near = _near(ctx, reach) if known else near.select(*(c for c in NEAR if c in near.columns))
+    ctx = replace(ctx, near=cut(near), latest=cut(_latest(ctx)), written=True)
     return reduce(DataFrame.unionByName, (r.detect(ctx, **ctx.options.get(r.case_type, {})) for r in rules))
 
 

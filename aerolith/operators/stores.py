@@ -86,10 +86,12 @@ def to_archive_rows(flights: DataFrame, run_at: Column) -> DataFrame:
 def archive_verify_delete(spark: SparkSession, rows: DataFrame, root: str, archived_at: dt.datetime) -> DataFrame:
     """Write archive rows, read this run's rows back, and return the ids that may be deleted.
 
-    Raises before anything can be deleted if a written id can't be read back.
+    Raises before anything can be deleted if a written id can't be read back.  A run that is started again, with
+    the same ``archived_at``, writes and returns the same; of a later run over rows that an earlier one has
+    archived but not deleted, each flight is read once.
     """
-    lake.write_flights_archive(rows, root)
-    back = lake.read_flights_archive(spark, root, columns=["flight_id", "archived_at"]).filter(F.col("archived_at") == F.lit(archived_at).cast("timestamp")).select("flight_id")
+    lake.write_flights_archive(rows.withColumn("archived_at", F.lit(archived_at).cast("timestamp")), root)
+    back = lake.read_flights_archive(spark, root, columns=["flight_id"], run_at=archived_at)
     missing = rows.select("flight_id").join(back, "flight_id", "left_anti")
     if (n := missing.count()) > 0:
         raise RuntimeError(f"{n} archived flights can't be read back; nothing is deleted")

@@ -123,6 +123,19 @@ def _(t):
     return kpi.request_kpis(t.request_log, "1 day").select("window_start", "handler", "p95_s")
 
 
+_HOURS = f"w AS (SELECT handler, {sec('ts')} - {sec('ts')} % 3600 AS window_start, status FROM request_log)"
+
+
+@query("a29_merged_sketches", f"{_HOURS} SELECT window_start, handler, CAST(count(*) AS BIGINT) AS n, round(count(*) FILTER (WHERE status <> 200) / count(*), 6) AS error_rate, true AS within FROM w GROUP BY 1, 2", "request_log")
+def _(t):
+    merged = kpi.merged_kpis(kpi.window_sketches(t.request_log))
+    # the rank of each p95 among the hour's own latencies, within twice the sketch's error
+    log = t.request_log.select(F.window("ts", "1 hour")["start"].alias("window_start"), "handler", "duration_seconds")
+    rank = log.join(merged, ["window_start", "handler"]).groupBy("window_start", "handler").agg(F.avg((F.col("duration_seconds") <= F.col("p95_s")).cast("int")).alias("up_to"), F.avg((F.col("duration_seconds") < F.col("p95_s")).cast("int")).alias("below"))
+    told = merged.join(rank, ["window_start", "handler"]).withColumn("within", (F.col("up_to") >= 0.95 - 0.034) & (F.col("below") <= 0.95 + 0.034))
+    return told.select("window_start", "handler", "n", "error_rate", "within")
+
+
 @query("a30_log_filter", "SELECT event_id FROM request_log WHERE props LIKE '{%' AND regexp_matches(props, '(?i)[13579]')", "request_log")
 def _(t):
     return kpi.log_filter(t.request_log, "[13579]").select("event_id")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from . import shared
 from .functions import geo
 from .functions import scalars as sc
 from .operators import joins, kpi, rules, serving, stores, windows
@@ -418,6 +419,14 @@ def _(t):
     return kpi.in_scope_aircraft(t.positions)
 
 
+@query("a2_merged_sketches", f"SELECT CAST(count(DISTINCT {sec('ts_polled')} - {sec('ts_polled')} % 300) AS BIGINT) AS n_windows, true AS within FROM positions", "positions")
+def _(t):
+    merged = kpi.aircraft_sketches(t.positions).agg(F.count("*").alias("n_windows"), F.hll_sketch_estimate(F.hll_union_agg("aircraft")).alias("about"))
+    exact = t.positions.agg(F.countDistinct("icao24").alias("n"))
+    # the sketch's standard error is 1.6 %
+    return merged.crossJoin(exact).select("n_windows", (F.abs(F.col("about") - F.col("n")) <= 0.05 * F.col("n")).alias("within"))  # one row by one row
+
+
 @query("a5_fleet_gauges", f"{CURRENT} SELECT count(*) FILTER (WHERE last_seen_at >= {NOW} - INTERVAL 15 MINUTE) AS active, count(*) AS tracked, CAST(0 AS BIGINT) AS lag_seconds FROM current", "positions")
 def _(t):
     return kpi.fleet_gauges(current(t), t_now(t))
@@ -433,6 +442,14 @@ def _(t):
     return kpi.ingest_stats(t.positions, t.spark.createDataFrame([("a0000",), ("a003",)], "prefix string"), t.registry)
 
 
+@query("a18_observed_ingest", "d AS (SELECT p.*, r.aircraft_type, icao24 LIKE 'a0000%' OR icao24 LIKE 'a003%' AS denied FROM positions p LEFT JOIN registry r USING (icao24)) SELECT count(*) AS raw, count(*) FILTER (WHERE denied) AS denied, CAST(0 AS BIGINT) AS no_coords, count(*) FILTER (WHERE NOT denied) AS kept, count(*) FILTER (WHERE NOT denied AND aircraft_type IS NOT NULL) AS typed FROM d", "positions", "registry")
+def _(t):
+    seen = Observation("ingest")
+    kept = kpi.observed_ingest(t.positions, t.spark.createDataFrame([("a0000",), ("a003",)], "prefix string"), t.registry, seen)
+    kept.write.parquet(f"{shared.scratch(t.spark)}/kept")
+    return t.spark.createDataFrame([seen.get], "raw long, denied long, no_coords long, kept long, typed long")
+
+
 @query("p3_denylist", "SELECT event_id FROM positions WHERE icao24 NOT LIKE 'a0000%' AND icao24 NOT LIKE 'a003%'", "positions")
 def _(t):
     return joins.apply_denylist(t.positions, t.spark.createDataFrame([("a0000",), ("a003",)], "prefix string")).select("event_id")

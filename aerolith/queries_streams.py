@@ -191,12 +191,19 @@ def _(t):
     return _append(t, out, folder).select("finding", "dedup_key", "told_at")
 
 
-@query("t9_stream_kpis", f"w AS (SELECT handler, {sec('ts')} - {sec('ts')} % 300 AS window_start, status FROM request_log) SELECT handler, CAST(count(*) AS BIGINT) AS n FROM w WHERE window_start + 300 <= (SELECT max({sec('ts')}) - 600 FROM request_log) GROUP BY handler", "request_log")
+@query(
+    "t9_stream_kpis",
+    f"""w AS (SELECT handler, {sec('ts')} - {sec('ts')} % 300 AS window_start, status, duration_seconds FROM request_log),
+k AS (SELECT *, row_number() OVER (PARTITION BY handler, window_start ORDER BY duration_seconds) AS k, count(*) OVER (PARTITION BY handler, window_start) AS n FROM w)
+SELECT window_start, handler, CAST(count(*) AS BIGINT) AS n, round(count(*) / 300.0, 6) AS rate, round(count(*) FILTER (WHERE status <> 200) / count(*), 6) AS error_rate, round(min(duration_seconds) FILTER (WHERE k >= 0.95 * n), 6) AS p95_s
+FROM k WHERE window_start + 300 <= (SELECT max({sec('ts')}) - 600 FROM request_log) GROUP BY handler, window_start""",
+    "request_log",
+)
 def _(t):
     folder = scratch(t)
     kpis = jobs.stream_kpis(_stream(t, t.request_log, folder))
     _run(t, kpis.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint"))
-    return t.spark.read.schema("window_start timestamp, handler string, n long, rate double, error_rate double, p95_s double").parquet(f"{folder}/out").groupBy("handler").agg(F.sum("n").alias("n"))
+    return t.spark.read.schema(kpis.schema).parquet(f"{folder}/out")
 
 
 @query("s10_recent_positions", f"SELECT icao24, {sec('ts_polled')} AS ts_polled FROM positions WHERE ts_polled >= (SELECT max(ts_polled) FROM positions) - INTERVAL 90 MINUTE", "positions")

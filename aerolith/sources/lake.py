@@ -56,29 +56,49 @@ def recent_positions(spark: SparkSession, root: str, minutes: int, now: dt.datet
     return between_times(df, now - dt.timedelta(minutes=minutes), now).drop(*HOUR) if "hour" in df.columns else df
 
 
+#: Partition below the day: the run that wrote the rows, as milliseconds of its ``archived_at``.
+RUN = "run"
+
+
 def write_flights_archive(df: DataFrame, root: str) -> None:
-    """Append completed flights by landed day; a null in a required column fails the write."""
+    """Completed flights by landed day and run; a null in a required column fails the write.
+
+    A run that is started again replaces its own partitions and no others, so it leaves each row once.
+    """
     df = conform(df, FLIGHTS_ARCHIVE)
     must = [f.name for f in FLIGHTS_ARCHIVE if not f.nullable]
     broken = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in must))
     df = df.withColumn("flight_id", F.when(broken, F.raise_error(F.lit(f"null in one of {', '.join(must)}")).cast("string")).otherwise(F.col("flight_id")))
-    df.withColumns(parts("landed_at", DAY)).write.mode("append").option("compression", "zstd").partitionBy(*DAY).parquet(root)
+    df = df.withColumns(parts("landed_at", DAY)).withColumn(RUN, F.unix_millis("archived_at"))
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*DAY, RUN).parquet(root)
 
 
 def day_of_partition():
     return F.make_date("year", "month", "day")
 
 
-def read_flights_archive(spark: SparkSession, root: str, days: int | None = None, now: dt.datetime | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Archived flights, optionally of the last ``days`` UTC day partitions and some columns."""
+def read_flights_archive(spark: SparkSession, root: str, days: int | None = None, now: dt.datetime | None = None, columns: list[str] | None = None, run_at: dt.datetime | None = None) -> DataFrame:
+    """Archived flights, optionally of the last ``days`` UTC day partitions and some columns.
+
+    A flight that several runs have archived, because one broke off before it could delete, is read once, as the
+    newest run has it.  ``run_at`` reads the rows of one run only.
+    """
     if not _exists(spark, root):
         df = spark.createDataFrame([], FLIGHTS_ARCHIVE)
+        return df if columns is None else df.select(*columns)
+    df = spark.read.parquet(root)
+    if days is not None:
+        df = df.filter(day_of_partition() >= F.lit((now.astimezone(dt.timezone.utc) - dt.timedelta(days=days)).date()))
+    if run_at is not None:
+        df = df.filter(F.col(RUN) == F.unix_millis(F.lit(run_at).cast("timestamp")))
+    df = df.drop(*DAY, RUN)
+    df = df if columns is None else df.select(*dict.fromkeys([*columns, "flight_id", "archived_at"]))
+    if run_at is None:
+        rest = [c for c in df.columns if c != "flight_id"]
+        df = df.groupBy("flight_id").agg(F.max_by(F.struct(*rest), "archived_at").alias("_r")).select("flight_id", *(F.col(f"_r.{c}").alias(c) for c in rest))
     else:
-        df = spark.read.parquet(root)
-        if days is not None:
-            df = df.filter(day_of_partition() >= F.lit((now.astimezone(dt.timezone.utc) - dt.timedelta(days=days)).date()))
-        df = df.drop(*DAY)
-    return df if columns is None else df.select(*columns)
+        df = df.dropDuplicates(["flight_id"])
+    return df.select(*(columns or FLIGHTS_ARCHIVE.fieldNames()))
 
 
 def read_archive_files(spark: SparkSession, paths: list[str], columns: list[str] | None = None) -> DataFrame:
@@ -89,11 +109,11 @@ def read_archive_files(spark: SparkSession, paths: list[str], columns: list[str]
 
 
 def archive_count(spark: SparkSession, root: str) -> int:
-    return read_flights_archive(spark, root).count()
+    return read_flights_archive(spark, root, columns=["flight_id"]).count()
 
 
 def archive_count_at(spark: SparkSession, root: str, archived_at: dt.datetime) -> int:
-    return read_flights_archive(spark, root).filter(F.col("archived_at") == F.lit(archived_at).cast("timestamp")).count()
+    return read_flights_archive(spark, root, columns=["flight_id"], run_at=archived_at).count()
 
 
 def oldest_partition(spark: SparkSession, root: str) -> dt.date | None:

@@ -149,3 +149,17 @@ def test_nearest_site_with_many_sites_agrees_with_the_list(spark, monkeypatch):
     by_cell = rows()
     assert listed[999] == by_cell[999] == (None, None)
     assert all(abs(listed[k][1] - by_cell[k][1]) < 1e-9 for k in listed if k != 999)
+
+
+def test_an_archive_run_that_is_started_again_leaves_each_flight_once(spark, tmp_path):
+    days = lambda n: NOW - dt.timedelta(days=n)
+    root, later = str(tmp_path / "archive"), NOW + dt.timedelta(minutes=15)
+    rows = archive_rows(spark, ("f1", days(40)), ("f2", days(2)), ("f3", days(2)))
+    for run_at, some in ((NOW, rows), (NOW, rows), (later, rows.filter("flight_id <> 'f1'"))):
+        back = stores.archive_verify_delete(spark, some, root, run_at)
+        assert sorted(r[0] for r in back.collect()) == sorted(r[0] for r in some.select("flight_id").collect())
+    held = lake.read_flights_archive(spark, root)
+    assert sorted((r["flight_id"], r["archived_at"] == r["archived_at"]) for r in held.collect()) == [("f1", True), ("f2", True), ("f3", True)]
+    assert spark.read.parquet(root).count() == 5 and lake.archive_count(spark, root) == 3
+    assert lake.archive_count_at(spark, root, NOW) == 3 and lake.archive_count_at(spark, root, later) == 2
+    assert {r["flight_id"] for r in held.filter(F.col("archived_at") == F.lit(later).cast("timestamp")).collect()} == {"f2", "f3"}
