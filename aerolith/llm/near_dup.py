@@ -23,11 +23,11 @@ register with about their Jaccard similarity.
    tied the two before.
 6. Smallest ids spread over the links until nothing changes.
 
-Shingles are known by xxh3 hashes of 64 bits.  Null or wordless texts have the empty set and
+Shingles are known by 64 bits, from xxh3 hashes of their words.  Null or wordless texts have the empty set and
 link with nothing; a null doc_id takes no part (component null, kept).  Rows that share doc_id
 and text are one document.  Rows that share only their doc_id are documents of their own, with
 the doc_id as their name: each joins what its own text is linked with.  A text is laid out whole,
-at about 100 bytes of memory a word.
+at about 200 bytes of memory a word.
 """
 
 from __future__ import annotations
@@ -53,21 +53,25 @@ MEET, MEET_SHINGLES = 256, 1 << 20
 #: Estimate from which a pair may be linked: five standard errors under 0.8.
 MAY_LINK = 0.68
 
+#: Odd multipliers of the words of a shingle.
+_MIX = np.random.default_rng(20240601).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOG_BASE = np.log(BASE)
 
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, one text after another, and each text's count."""
-    found, count = [], np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        words = text.lower().split()
-        if words:
-            line = b" ".join(words)
-            ends = np.cumsum([len(w) + 1 for w in words]) - 1
-            first = np.append(0, ends[:-1] + 1)
-            count[i] = max(len(words) - width + 1, 1)
-            found += [xxhash.xxh3_64_intdigest(line[x:y]) for x, y in zip(first[: count[i]].tolist(), ends[min(width, len(words)) - 1 :].tolist())]
-    h, of = np.array(found, np.uint64), np.repeat(np.arange(len(texts)), count)
+    words = [t.lower().split() for t in texts]
+    n_words = np.fromiter(map(len, words), np.int64, len(words))
+    word = np.fromiter(map(xxhash.xxh3_64_intdigest, itertools.chain.from_iterable(words)), np.uint64, n_words.sum())
+    first, size = np.cumsum(n_words) - n_words, np.minimum(n_words, width)
+    count = np.where(n_words == 0, 0, n_words - size + 1)
+    of = np.repeat(np.arange(len(texts)), count)
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[of]
+    h = size[of].astype(np.uint64)
+    for k in range(width):
+        some = size[of] > k
+        h[some] += word[at[some] + k] * _MIX[k % len(_MIX)]
+    h = mix(h)
     order = np.lexsort((h, of))
     h, of = h[order], of[order]
     new = np.ones(len(h), bool)
