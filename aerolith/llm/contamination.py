@@ -211,10 +211,10 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, width: int =
     rarest = join_hot(words, often, ["term"], "n", "p1").groupBy("p1", "p2").agg(F.count("*").alias("found"), F.slice(F.sort_array(F.collect_set(F.struct("n", "term"))), 1, 2).alias("rarest"))
     lookup = shapes.join(rarest, ["p1", "p2"]).filter(F.col("found") == F.size("terms"))
     lookup = lookup.select("p1", "p2", "terms", F.get("rarest", F.lit(0))["term"].alias("term"), F.element_at("rarest", -1)["term"].alias("second"))
-    held = lists.select("term", "block")
-    candidates = lookup.join(held, "term").drop("term").join(held.withColumnRenamed("term", "second"), ["second", "block"], "left_semi").drop("second")
     # as files their sizes are known, so Spark sends what is small to the postings instead of shuffling these
-    candidates = _stored(candidates)
+    held = lists.select("term", "block")  # one row a term and block
+    candidates = _stored(held.join(_stored(lookup), "term").drop("term"))
+    candidates = _stored(held.withColumnRenamed("term", "second").join(candidates, ["second", "block"]).drop("second"))
     needed = _stored(candidates.select("block", F.explode("terms").alias("term")).distinct())
     sizes = index.filter("kind = 0").join(candidates.select("block").distinct(), "block", "left_semi")
     wanted_lists = lists.join(needed, ["block", "term"], "left_semi")
