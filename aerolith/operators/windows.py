@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..shared import cut
 
 
 def latest_per_key(df: DataFrame, keys: list[str], ts: str, *ties: str) -> DataFrame:
@@ -79,6 +80,37 @@ def trails(positions: DataFrame) -> DataFrame:
     return positions.groupBy("icao24").agg(F.array_sort(F.collect_list(point)).alias("points")).select("icao24", F.size("points").alias("n_points"), "points")
 
 
+def numbered(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """``df`` with ``n``, the place of each row among those of its key by ``order`` (from 1), and ``n_of_key``.
+
+    Rows are dealt by ranges of key and order, so one key may fill many tasks; places inside a range follow from the
+    sorted rows, and what earlier ranges hold of a key is added from one count a key and range.  The ranges are
+    materialised: a lost task could not draw the same ones again.
+    """
+    by = (*keys, *order)
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    rows = cut(rows).withColumn("_range", F.shiftright("_at", 33))
+    held = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    w = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.select(*keys, "_range", "_first", before.alias("_before"), F.sum("_n").over(w).alias("n_of_key"))
+    return rows.join(held, [*keys, "_range"]).withColumn("n", F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_at", "_range", "_first", "_before")
+
+
+def trail_pieces(positions: DataFrame, size: int = 5_000, *ties: str) -> DataFrame:
+    """``icao24, n_points, n_pieces, piece, points``: trails of any length, at most ``size`` fixes a row.
+
+    ``n_points`` and ``n_pieces`` are of the whole trail; pieces are numbered from 0 in time order.  Rows without an id have no trail.
+    """
+    by = ("ts_polled", *(ties or ("lat", "lon", "altitude_ft", "speed_kt")))
+    fields = dict.fromkeys(["icao24", "ts_polled", "lat", "lon", "altitude_ft", "speed_kt", *ties])
+    df = numbered(positions.filter("icao24 is not null").select(*fields), ["icao24"], *by)
+    point = F.struct(F.col("ts_polled").alias("ts"), "lat", "lon", "altitude_ft", "speed_kt")
+    piece = F.floor((F.col("n") - 1) / size).alias("piece")
+    df = df.groupBy("icao24", "n_of_key", piece).agg(F.array_sort(F.collect_list(F.struct("n", point.alias("p")))).alias("points"))
+    return df.select("icao24", F.col("n_of_key").alias("n_points"), F.ceil(F.col("n_of_key") / size).alias("n_pieces"), "piece", F.transform("points", lambda x: x["p"]).alias("points"))
+
+
 def trail(positions: DataFrame, icao24: str, hours: int, now: Column) -> DataFrame:
     """One aircraft's fixes of the last 1, 2, 4 or 6 hours."""
     if hours not in (1, 2, 4, 6):

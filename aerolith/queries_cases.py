@@ -370,9 +370,12 @@ def _(t):
     return stores.apply_crm_changes(t.cases, t.crm)[1].select("case_id", "event_type")
 
 
-@query("x14_mirror_cases", f"c AS (SELECT *, CASE WHEN site_icao = '' THEN 'unknown site' ELSE site_icao END AS s FROM cases) SELECT case_id, {_SUBJECT} AS subject, status FROM c", "cases")
+_CASE_TIMES = ("created_at", "updated_at", "resolved_at")
+
+
+@query("x14_mirror_cases", f"c AS (SELECT *, CASE WHEN site_icao = '' THEN 'unknown site' ELSE site_icao END AS s FROM cases) SELECT * EXCLUDE (s, sf_sync_attempts, {', '.join(_CASE_TIMES)}), {long('sf_sync_attempts')} AS sf_sync_attempts, {', '.join(f'{sec(c)} AS {c}' for c in _CASE_TIMES)}, {_SUBJECT} AS subject FROM c", "cases")
 def _(t):
-    return stores.mirror_cases(t.cases).select("case_id", "subject", "status")
+    return stores.mirror_cases(t.cases)
 
 
 @query("s20_upsert_by_key", "SELECT flight_id, site_icao, case_id FROM cases WHERE case_id NOT IN (SELECT external_id FROM crm WHERE external_id IS NOT NULL) UNION ALL SELECT 'x', 'y', external_id FROM crm WHERE external_id IS NOT NULL", "cases", "crm")
@@ -397,11 +400,16 @@ def _(t):
     return exports.export_objects(t.cases, "case")
 
 
-@query("x6_archive_rows", f"SELECT flight_id, icao24, {sec('takeoff_ts')} AS takeoff_ts, {sec('landed_at')} AS landed_at FROM flights WHERE landed_at IS NOT NULL", "flights")
+_ARCHIVED = {"callsign": "concat('C', icao24)", "registration": "CASE WHEN is_live THEN concat('N', icao24) END", "aircraft_type": "'B738'", "operator_icao": "upper(icao24)", "customer_region": "'west'", "origin_icao": "concat('K', icao24)", "destination_icao": "substr(flight_id, 2)", "status": "'landed'", "current_stage": "CASE WHEN is_live THEN 'landed' ELSE 'parked' END", "open_case_ids": "'[]'", "status_timeline": "concat('[', flight_id, ']')", "trail_2h": "'{}'"}
+_NUMBERS = {"eta_minutes": ("CAST(length(flight_id) AS STRING)", "BIGINT"), "lat": ("CASE WHEN is_live THEN '12.5' ELSE 'north' END", "DOUBLE"), "lon": ("'-7.25'", "DOUBLE"), "open_case_count": ("CASE WHEN is_live THEN '' ELSE '3' END", "BIGINT")}
+
+
+@query("x6_archive_rows", f"SELECT flight_id, icao24, {', '.join(f'{v} AS {k}' for k, v in _ARCHIVED.items())}, {', '.join(f'TRY_CAST({v} AS {kind}) AS {k}' for k, (v, kind) in _NUMBERS.items())}, {sec('takeoff_ts')} AS takeoff_ts, {sec('landed_at')} AS landed_at, {sec(f"TIMESTAMP '{START}'")} AS archived_at FROM flights WHERE landed_at IS NOT NULL", "flights")
 def _(t):
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    raw = t.flights.filter("landed_at is not null").select(F.col("flight_id").alias("flightId"), "icao24", iso("takeoff_ts").alias("takeoffTs"), iso("landed_at").alias("landedAt"))
-    return stores.to_archive_rows(raw, F.lit(START)).select("flight_id", "icao24", "takeoff_ts", "landed_at")
+    rest = {**_ARCHIVED, **{k: v for k, (v, _) in _NUMBERS.items()}}
+    raw = t.flights.filter("landed_at is not null").select(F.col("flight_id").alias("flightId"), "icao24", iso("takeoff_ts").alias("takeoffTs"), iso("landed_at").alias("landedAt"), *(F.expr(v).alias("trail2h" if k == "trail_2h" else exports.camel(k)) for k, v in rest.items()))
+    return stores.to_archive_rows(raw, F.lit(START))
 
 
 @query("s21_upsert_flight_plans", f"SELECT icao24, fetch_status, {sec('refreshed_at')} AS refreshed_at FROM plans WHERE icao24 NOT IN (SELECT icao24 FROM registry WHERE aircraft_type IS NULL) UNION ALL SELECT icao24, 'not_found', NULL FROM registry WHERE aircraft_type IS NULL", "plans", "registry")

@@ -259,6 +259,13 @@ def _(t):
     return _one(t, **counts, oldest=lake.oldest_partition(t.spark, root)).select(*(F.col(c).cast("long").alias(c) for c in counts), "oldest")
 
 
+@query("s15_rows_by_partition", f"{_LANDED}, runs AS (SELECT {int(RUN_AT.timestamp() * 1000)} AS run UNION ALL SELECT {int(RUN_AT.timestamp() * 1000) + 900000}) SELECT {sec("date_trunc('day', landed_at)")} AS day, CAST(run AS BIGINT) AS run, count(*) AS n FROM landed, runs GROUP BY ALL", "flights")
+def _(t):
+    root = _archive(t)
+    lake.write_flights_archive(archived(t).withColumn("archived_at", F.lit(RUN_AT + dt.timedelta(minutes=15)).cast("timestamp")), root)
+    return lake.stored_rows(t.spark, root).select(lake.day_of_partition().alias("day"), F.col("run").cast("long").alias("run"), "n")
+
+
 @query("s18_purge", f"{_LANDED} SELECT flight_id FROM landed WHERE CAST(landed_at AS DATE) >= DATE '2023-12-31'", "flights")
 def _(t):
     root = _archive(t)
@@ -327,6 +334,14 @@ def _(t):
     return read.select("d.icao24", "d.n_points", F.explode("d.points").alias("p")).select("icao24", "n_points", "p.*")
 
 
+@query("s25_export_trail_texts", f"SELECT icao24, {sec('ts_polled')} AS ts, lat, lon, {long('altitude_ft')} AS altitude_ft, {long('speed_kt')} AS speed_kt FROM positions", "positions")
+def _(t):
+    texts = exports.trail_texts(windows.trail_pieces(t.positions, 50, "event_id"))
+    body = F.regexp_replace(F.regexp_replace("text", r'^(,|\{.*?"points":\[)', ""), r"\]\}\n$", "")
+    points = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<struct<ts:timestamp,lat:double,lon:double,altitude_ft:int,speed_kt:int>>")
+    return texts.select("icao24", F.explode(points).alias("p")).select("icao24", "p.*")
+
+
 @query("s28_export_crm_members", "p AS (SELECT *, CASE WHEN site_icao = '' THEN NULL ELSE site_icao END AS site FROM cases WHERE sf_sync_status = 'pending' ORDER BY created_at, case_id LIMIT 200) " + _unpivoted("case_id", "p", externalId="case_id", priority="CASE severity WHEN 'low' THEN 'Low' WHEN 'high' THEN 'High' WHEN 'critical' THEN 'High' ELSE 'Medium' END", region="upper(substr(customer_region, 1, 1)) || substr(customer_region, 2)", caseType="case_type", flightId="flight_id", siteIcao="site", facts="detection_facts"), "cases")
 def _(t):
     out = exports.export_crm_cases(t.cases, 200).withColumnRenamed("case_id", "key")

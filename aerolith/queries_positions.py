@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from .operators import joins, kpi, rules, serving, stores, windows
 from .plans import detection
 from .plans.ingest import to_current
 from .registry import CATEGORY, CURRENT, NOW, Tables, long, nm, query, sec
-from .sources import exports, upserts
+from .sources import exports, lake, upserts
 
 
 def current(t: Tables) -> DataFrame:
@@ -330,6 +332,17 @@ def _(t):
     return _trail_summary(windows.trails(t.positions))
 
 
+_PIECES = "q AS (SELECT *, row_number() OVER (PARTITION BY icao24 ORDER BY ts_polled, event_id) - 1 AS i, count(*) OVER (PARTITION BY icao24) AS n_points FROM positions)"
+
+
+@query("a19_trail_pieces", f"{_PIECES} SELECT icao24, n_points, CAST(ceil(n_points / 50.0) AS BIGINT) AS n_pieces, CAST(i // 50 AS BIGINT) AS piece, count(*) AS n, {sec('min(ts_polled)')} AS first_ts, {sec('max(ts_polled)')} AS last_ts, CAST(sum(altitude_ft) AS BIGINT) AS sum_altitude FROM q GROUP BY icao24, n_points, i // 50", "positions")
+def _(t):
+    df = windows.trail_pieces(t.positions, 50, "event_id")
+    total = F.aggregate("points", F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["altitude_ft"], F.lit(0)))
+    ends = {"first_ts": F.get("points", F.lit(0))["ts"], "last_ts": F.try_element_at("points", F.lit(-1))["ts"]}
+    return df.select("icao24", "n_points", "n_pieces", "piece", F.size("points").alias("n"), *(c.alias(k) for k, c in ends.items()), total.alias("sum_altitude"))
+
+
 @query("j16_trails_of_ids", f"{_TRAIL} SELECT tr.* FROM tr SEMI JOIN registry ON registry.icao24 = tr.icao24 AND registry.aircraft_type IS NULL", "positions", "registry")
 def _(t):
     return _trail_summary(windows.trails(joins.only_ids(t.positions, t.registry.filter("aircraft_type is null"))))
@@ -379,9 +392,14 @@ def _(t):
     return windows.lifecycle_edges(t.positions, 600, "event_id")
 
 
-@query("w9_new_flights", f"{_EDGE} SELECT flight_id, icao24, \"at\" AS takeoff_ts, 'departed' AS status, true AS is_live FROM edges WHERE kind = 'takeoff'", "positions")
+_UNKNOWN = ("callsign", "registration", "aircraft_type", "operator_icao", "customer_region", "origin_icao", "destination_icao")
+
+
+@query("w9_new_flights", f"{_EDGE} SELECT flight_id, icao24, \"at\" AS takeoff_ts, NULL::BIGINT AS landed_at, 'departed' AS status, 'departed' AS current_stage, true AS is_live, CAST(0 AS BIGINT) AS open_case_count, NULL::BIGINT AS eta_minutes, {', '.join(f"NULL::VARCHAR AS {c}" for c in _UNKNOWN)}, 'departed@' || \"at\" AS timeline, CAST(0 AS BIGINT) AS n_cases, CAST(0 AS BIGINT) AS n_trail FROM edges WHERE kind = 'takeoff'", "positions")
 def _(t):
-    return windows.new_flights(windows.lifecycle_edges(t.positions, None, "event_id")).select("flight_id", "icao24", "takeoff_ts", "status", "is_live")
+    df = windows.new_flights(windows.lifecycle_edges(t.positions, None, "event_id"))
+    events = F.array_join(F.transform("status_timeline", lambda e: F.concat(e["stage"], F.lit("@"), F.unix_seconds(e["occurred_at"]).cast("string"))), ",")
+    return df.select(*(c for c in df.columns if c not in ("status_timeline", "trail_2h", "open_case_ids")), events.alias("timeline"), F.size("open_case_ids").alias("n_cases"), F.size("trail_2h").alias("n_trail"))
 
 
 @query("w5_drop_repeats", f"s AS (SELECT icao24, lat, lon, lag(lat) OVER w AS a, lag(lon) OVER w AS b FROM positions WINDOW w AS (PARTITION BY icao24 ORDER BY ts_polled, lat, lon)) SELECT icao24, count(*) AS n_points FROM s WHERE a IS NULL OR a <> lat OR b <> lon GROUP BY icao24", "positions")
@@ -394,6 +412,14 @@ def _(t):
     return windows.trail(t.positions, "a00001", 6, t.latest("positions", "ts_polled"))
 
 
+@query("l8_clustered_trail", f"SELECT {sec('ts_polled')} AS ts, lat, lon, {long('altitude_ft')} AS altitude_ft, {long('speed_kt')} AS speed_kt FROM positions WHERE icao24 = 'a00001' AND ts_polled >= (SELECT max(ts_polled) FROM positions) - INTERVAL 6 HOUR", "positions")
+def _(t):
+    folder, now = shared.scratch(t.spark), t.positions.agg(F.max("ts_polled")).first()[0]
+    t.positions.drop("event_id").withColumns(lake.parts("ts_polled", lake.HOUR)).write.partitionBy(*lake.HOUR).parquet(f"{folder}/lake")
+    lake.cluster_hours(t.spark, f"{folder}/lake", f"{folder}/clustered", dt.datetime(2020, 1, 1, tzinfo=dt.timezone.utc), now.astimezone(dt.timezone.utc) + dt.timedelta(seconds=1))
+    return windows.trail(lake.scan_positions(t.spark, f"{folder}/clustered"), "a00001", 6, F.lit(now).cast("timestamp"))
+
+
 # -- lists and gauges ----------------------------------------------------------------
 
 _LIVE = f"{CURRENT} SELECT icao24, {sec('last_seen_at')} AS last_seen_at, CASE WHEN {sec(NOW)} - {sec('last_seen_at')} < 60 THEN 'fresh' WHEN {sec(NOW)} - {sec('last_seen_at')} < 300 THEN 'stale' ELSE 'lost' END AS staleness FROM current WHERE last_seen_at >= {NOW} - INTERVAL 15 MINUTE"

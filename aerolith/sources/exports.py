@@ -40,6 +40,25 @@ def trails_ndjson(trails: DataFrame) -> DataFrame:
     return trails.sortWithinPartitions("icao24").select("icao24", F.to_json(F.struct("icao24", "n_points", "points")).alias("value"))
 
 
+def trail_texts(pieces: DataFrame) -> DataFrame:
+    """``icao24, piece, text``: the texts of an aircraft's pieces, one after another, are its line of JSON."""
+    head = F.to_json(F.struct("icao24", "n_points"))
+    points = F.array_join(F.transform("points", lambda p: F.to_json(p)), ",")
+    start = F.when(F.col("piece") == 0, F.concat(F.expr("left(head, length(head) - 1)"), F.lit(',"points":['))).otherwise(",")
+    end = F.when(F.col("piece") == F.col("n_pieces") - 1, "]}\n").otherwise("")
+    return pieces.withColumn("head", head).select("icao24", "piece", F.concat(start, points, end).alias("text"))
+
+
+def write_trails(pieces: DataFrame, path: str) -> None:
+    """Trails of any length as text files, which in the order of their names are one text of JSON lines.
+
+    Files hold ranges of aircraft and piece, so a long line runs on in the next file and no task holds it whole.
+    Where one piece ends and the next begins the text has a blank, which JSON passes over.
+    """
+    by = ("icao24", "piece")
+    trail_texts(pieces).repartitionByRange(*by).sortWithinPartitions(*by).select("text").write.option("lineSep", " ").text(path)
+
+
 def export_crm_cases(cases: DataFrame, n: int) -> DataFrame:
     """The oldest ``n`` pending cases as CRM change sets, nulls left out."""
     some = cases.filter("sf_sync_status = 'pending'").orderBy("created_at", "case_id").limit(n)

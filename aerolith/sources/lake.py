@@ -50,6 +50,20 @@ def between_times(df: DataFrame, start: dt.datetime, end: dt.datetime) -> DataFr
     return df.filter((hour_of_partition() > low - F.expr("interval 1 hour")) & (hour_of_partition() <= high) & F.col("ts_polled").between(low, high))
 
 
+def cluster_hours(spark: SparkSession, root: str, out: str, start: dt.datetime, end: dt.datetime) -> None:
+    """Write the hours of [start, end) anew below ``out``, ordered by aircraft and time.
+
+    Snapshots hold every aircraft, so nothing in a lake of them can be skipped for one aircraft.  Here an aircraft's fixes
+    of an hour lie together: page bounds and Bloom filters of the id leave a few pages of each hour to be read.  Ranges
+    go by time too, so one aircraft may fill many files.  An hour that is written again replaces itself, and the snapshots stay.
+    """
+    order = (*HOUR, "icao24", "ts_polled")
+    df = between_times(scan_positions(spark, root), start, end).filter(F.col("ts_polled") < F.lit(end).cast("timestamp"))
+    df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    write = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+    write.option("parquet.bloom.filter.enabled#icao24", "true").option("parquet.page.row.count.limit", 2_000).partitionBy(*HOUR).parquet(out)
+
+
 def recent_positions(spark: SparkSession, root: str, minutes: int, now: dt.datetime) -> DataFrame:
     """Positions of the last ``minutes`` up to ``now``."""
     df = scan_positions(spark, root)
@@ -116,11 +130,24 @@ def archive_count_at(spark: SparkSession, root: str, archived_at: dt.datetime) -
     return read_flights_archive(spark, root, columns=["flight_id"], run_at=archived_at).count()
 
 
-def oldest_partition(spark: SparkSession, root: str) -> dt.date | None:
-    """Oldest landed day that the archive holds; only partition values are read."""
+def stored_rows(spark: SparkSession, root: str) -> DataFrame:
+    """``year, month, day, run, n``: rows that each partition stores, from the footers of its files alone.
+
+    A flight of several runs counts in each; ``archive_count`` reads ids and counts it once.  Only the second reader of
+    Parquet answers counts from footers, which is a setting of a session, so the frame belongs to one of its own.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
     if not _exists(spark, root):
-        return None
-    return spark.read.parquet(root).select(day_of_partition().alias("d")).agg(F.min("d")).first()[0]
+        return own.createDataFrame([], "year int, month int, day int, run bigint, n bigint")
+    return own.read.parquet(root).groupBy(*DAY, RUN).agg(F.count("*").alias("n"))
+
+
+def oldest_partition(spark: SparkSession, root: str) -> dt.date | None:
+    """Oldest landed day that the archive holds, from footers."""
+    return stored_rows(spark, root).agg(F.min(day_of_partition())).first()[0]
 
 
 def purge_partitions(spark: SparkSession, root: str, cutoff: dt.date) -> list[dt.date]:
