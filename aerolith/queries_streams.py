@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from .operators import joins, rules
 from .queries_positions import _EDGE, _ENRICH, _GA, NEAREST, state_vector
 from .registry import CURRENT, Tables, long, query, sec
 from .sources import lake
-from .streaming import jobs, keyed
+from .streaming import jobs, keyed, pull
 from .streaming.lifecycle import stream_lifecycle
 from .streaming.tables import VersionedTable
 
@@ -58,6 +59,15 @@ def _(t):
     return table.read().select("icao24", "last_seen_at")
 
 
+@query("t8_stream_pull", f"SELECT salesforce_id, external_id, crm_status, priority, summary, {sec('resolved_at')} AS resolved_at, record_type, {sec('modstamp')} AS modstamp FROM crm WHERE record_type = 'fleet' AND modstamp > TIMESTAMP '1994-12-31 23:00:00'", "crm")
+def _(t):
+    folder, late = scratch(t), F.col("modstamp") >= F.lit("1997-01-01 00:00:00").cast("timestamp")
+    for part in (t.crm.filter(~late), t.crm.filter(late), t.crm.limit(0)):  # the second pull resumes, the third finds nothing
+        part.write.mode("append").parquet(f"{folder}/in")
+        _append(t, pull.stream_changes(t.spark, f"{folder}/in", dt.datetime(1995, 1, 1, tzinfo=dt.timezone.utc)), folder)
+    return t.spark.read.parquet(f"{folder}/out")
+
+
 @query("t3_stream_lifecycle", f"{_EDGE} SELECT * FROM edges WHERE flight_id IS NOT NULL", "positions")
 def _(t):
     folder = scratch(t)
