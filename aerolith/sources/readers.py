@@ -99,7 +99,9 @@ def read_airports(spark: SparkSession, path: str, watchlist: DataFrame) -> DataF
         F.col("longitude_deg").try_cast("double").alias("lon"),
         F.col("elevation_ft").try_cast("double").cast("int").alias("elevation_ft"),
     )
-    df = df.join(watchlist, "icao", "left")
+    # an airport that several documents list is watched once, for all of their regions
+    regions = F.array_distinct(F.flatten(F.sort_array(F.collect_set("customer_regions"))))
+    df = df.join(watchlist.groupBy("icao").agg(regions.alias("customer_regions")), "icao", "left")
     return df.withColumns({"is_watched": F.col("customer_regions").isNotNull(), "customer_regions": F.coalesce("customer_regions", F.array().cast("array<string>"))})
 
 

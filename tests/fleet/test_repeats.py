@@ -44,3 +44,7 @@ REPEATED = "SELECT i AS s_suppkey, concat('Supplier#', i) AS s_name, CAST(i % 25
 
 def test_sites_that_come_again_are_in_later_watchlists(spark, tables):
     assert len(agrees(spark, tables(supplier=REPEATED), "s7_watchlist")) > 100
+
+
+def test_an_airport_that_several_watchlists_hold_is_read_once(spark, tables):
+    assert len(agrees(spark, tables(supplier=REPEATED), "s5_airports")) > 100
