@@ -145,8 +145,9 @@ def merge_site(detail: DataFrame, sla: DataFrame) -> DataFrame:
 
 
 def conditions(metar: DataFrame, taf: DataFrame) -> DataFrame:
-    """METAR with TAF by station, ceiling and flight category."""
-    df = metar.join(taf, "site_icao", "left").withColumn("ceiling_ft", sc.ceiling_ft("clouds"))
+    """METAR with TAF by station, ceiling and flight category (J8); of a station's forecasts the largest text counts."""
+    once = taf.groupBy("site_icao").agg(F.max("taf_raw").alias("taf_raw"))
+    df = metar.join(once, "site_icao", "left").withColumn("ceiling_ft", sc.ceiling_ft("clouds"))
     return df.withColumn("flight_category", sc.flight_category("ceiling_ft", "visibility_sm"))
 
 

@@ -52,3 +52,7 @@ def test_an_airport_that_several_watchlists_hold_is_read_once(spark, tables):
 
 def test_upserted_airports_are_told_for_each_row_of_both_sides(spark, tables):
     assert len(agrees(spark, tables(supplier=REPEATED), "s22_upsert_airports")) > 100
+
+
+def test_a_station_that_reports_again_meets_one_forecast(spark, tables):
+    assert len(agrees(spark, tables(supplier=REPEATED), "j8_conditions")) == 336
