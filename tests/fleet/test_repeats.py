@@ -65,3 +65,9 @@ def test_documents_are_as_many_as_the_rows_ask_for(spark, tmp_path):
     docs = spark.read.text(path, wholetext=True).selectExpr("size(from_json(value, 'array<struct<id:long>>')) as n").collect()
     assert len(docs) == 6 and sum(d["n"] for d in docs) == 2_500 and max(d["n"] for d in docs) <= 500
     assert [p for p in (tmp_path / "docs").iterdir() if p.is_dir()] == []
+
+
+def test_p95_of_many_latencies_is_exact(spark, tables, tmp_path):
+    many = "SELECT i AS event_id, TIMESTAMP '2024-01-01' AS ts, i % 1500 AS user_id, CASE WHEN i % 3 = 0 THEN 'view' ELSE 'error' END AS event_type, i * 7919 % 120011 / 64.0 AS value, '{}' AS props FROM (SELECT unnest(range(120011)) AS i)"
+    folder = tables(events=many.replace("/ 64.0", "/ CAST(64 AS DOUBLE)"))
+    assert len(agrees(spark, folder, "a29_latency_p95")) == 2
