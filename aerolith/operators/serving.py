@@ -13,17 +13,19 @@ from ..functions import scalars as sc
 CEILING = 50_000
 
 
-def _newest(df: DataFrame, order: list[Column], ceiling: int) -> DataFrame:
-    """The first ``ceiling`` rows with ``truncated``: one row more is asked for and shows a clipped result."""
+def _newest(df: DataFrame, order: list[Column], ceiling: int | None) -> DataFrame:
+    """The first ``ceiling`` rows with ``truncated``: one row more is asked for and shows a clipped result.  Without a ceiling, all."""
     from pyspark.sql import Window
 
+    if ceiling is None:
+        return df.orderBy(*order).withColumn("truncated", F.lit(False))
     some = df.orderBy(*order).limit(ceiling + 1)  # top-k per task, then one merge of at most ceiling rows each
     w = Window.orderBy(*order)
     some = some.withColumns({"_n": F.row_number().over(w), "truncated": F.count("*").over(Window.partitionBy(F.lit(1))) > ceiling})
     return some.filter(F.col("_n") <= ceiling).drop("_n")
 
 
-def live_positions(current: DataFrame, now: Column, scope: str = "all", region: str | None = None, bbox: tuple[float, float, float, float] | None = None, ceiling: int = CEILING) -> DataFrame:
+def live_positions(current: DataFrame, now: Column, scope: str = "all", region: str | None = None, bbox: tuple[float, float, float, float] | None = None, ceiling: int | None = CEILING) -> DataFrame:
     """Aircraft seen in 15 minutes, newest first, with staleness (L1)."""
     df = sc.seen_within(sc.scope_positions(current, scope, region), 15, now)
     df = df if bbox is None else geo.in_bbox(df, *bbox)
@@ -69,10 +71,11 @@ def drain(cases: DataFrame, cursor: tuple[dt.datetime, str] | None) -> tuple[Dat
     return rows.orderBy("updated_at", "case_id"), last.select(F.coalesce("c.updated_at", at[0]).alias("updated_at"), F.coalesce("c.case_id", at[1]).alias("case_id"), "n")
 
 
-def site_flow(current: DataFrame, icao: str, direction: str, now: Column, limit: int = 500) -> DataFrame:
-    """Aircraft bound for or from a site in the last hour, newest first."""
+def site_flow(current: DataFrame, icao: str, direction: str, now: Column, limit: int | None = 500) -> DataFrame:
+    """Aircraft bound for or from a site in the last hour, newest first (L5); all of them without a ``limit``."""
     end = {"inbound": "destination_icao", "outbound": "origin_icao"}[direction]
-    return sc.seen_within(current, 60, now).filter(F.col(end) == icao.upper()).orderBy(F.desc("last_seen_at"), "icao24").limit(limit)
+    df = sc.seen_within(current, 60, now).filter(F.col(end) == icao.upper()).orderBy(F.desc("last_seen_at"), "icao24")
+    return df if limit is None else df.limit(limit)
 
 
 def pending_cases(cases: DataFrame, n: int) -> DataFrame:

@@ -71,3 +71,11 @@ def test_p95_of_many_latencies_is_exact(spark, tables, tmp_path):
     many = "SELECT i AS event_id, TIMESTAMP '2024-01-01' AS ts, i % 1500 AS user_id, CASE WHEN i % 3 = 0 THEN 'view' ELSE 'error' END AS event_type, i * 7919 % 120011 / 64.0 AS value, '{}' AS props FROM (SELECT unnest(range(120011)) AS i)"
     folder = tables(events=many.replace("/ 64.0", "/ CAST(64 AS DOUBLE)"))
     assert len(agrees(spark, folder, "a29_latency_p95")) == 2
+
+
+FLEET = "SELECT i AS event_id, TIMESTAMP '2024-01-30' + to_seconds(i % 600) AS ts, i * 25 + 1 AS user_id, 'view' AS event_type, 1.0 AS value, '{}' AS props FROM (SELECT unnest(range(1200)) AS i)"
+OWNERS = "SELECT i AS c_custkey, concat('Customer#', i) AS c_name, CAST(i % 25 AS INT) AS c_nationkey, 1.0 AS c_acctbal, 'FURNITURE' AS c_mktsegment FROM (SELECT unnest(range(30000)) AS i)"
+
+
+def test_site_flow_holds_every_aircraft(spark, tables):
+    assert len(agrees(spark, tables(events=FLEET, customer=OWNERS), "l5_site_flow")) == 900
