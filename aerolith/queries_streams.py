@@ -90,9 +90,10 @@ def _(t):
     # the event's number travels as squawk, a text that is passed through
     vector = state_vector(F.col("event_id").cast("string"), (F.col("altitude_ft") * F.lit(0.3)).cast("string"))
     states = t.positions.groupBy("ts_polled").agg(F.collect_list(vector).alias("states"))
-    states.select(F.to_json(F.struct(sc.epoch("ts_polled").alias("time"), "states")).alias("value"), sc.epoch("ts_polled").alias("second")).write.partitionBy("second").text(f"{folder}/in")
+    # a poll is a line: there are tens of thousands
+    states.select(F.to_json(F.struct(sc.epoch("ts_polled").alias("time"), "states")).alias("value")).write.text(f"{folder}/in")
     prefixes = t.spark.createDataFrame([("a0000",)], "prefix string")
-    rows = jobs.stream_ingest(t.spark, f"{folder}/in", prefixes, t.airports.filter("is_watched"))
+    rows = jobs.stream_ingest(t.spark, f"{folder}/in", prefixes, t.airports.filter("is_watched"), lines=True)
     _run(t, jobs.write_hours(rows, f"{folder}/lake", f"{folder}/checkpoint"))
     return lake.scan_positions(t.spark, f"{folder}/lake").select(F.col("squawk").cast("long").alias("last_contact_s"), "icao24", "ts_polled", "altitude_ft", "customer_region")
 

@@ -17,14 +17,17 @@ from ..sources.upserts import overwrite_by_key, upsert_positions
 from .tables import VersionedTable
 
 
-def stream_ingest(spark: SparkSession, folder: str, prefixes: DataFrame, sites: DataFrame) -> DataFrame:
-    """New snapshot files as positions (T1); write it with ``write_hours``."""
-    raw = spark.readStream.schema("value string").option("wholetext", "true").text(folder)
+def stream_ingest(spark: SparkSession, folder: str, prefixes: DataFrame, sites: DataFrame, lines: bool = False) -> DataFrame:
+    """New snapshot files as positions (T1); write it with ``write_hours``.  A file is one snapshot, or with ``lines`` has one a line."""
+    raw = spark.readStream.schema("value string").option("wholetext", str(not lines).lower()).text(folder)
     return to_positions(decode_state_vectors(raw), prefixes, sites)
 
 
-def write_hours(positions: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
-    return positions.withColumns(lake.parts("ts_polled", lake.HOUR)).writeStream.format("parquet").option("path", root).option("checkpointLocation", checkpoint).partitionBy(*lake.HOUR)
+def write_hours(positions: DataFrame, root: str, checkpoint: str, files: int = 8) -> DataStreamWriter:
+    """Positions into the lake's hours; of one batch an hour has at most ``files`` files."""
+    rows = positions.withColumns(lake.parts("ts_polled", lake.HOUR))
+    rows = rows.repartition(*lake.HOUR, F.pmod(F.xxhash64("icao24"), F.lit(files)))
+    return rows.writeStream.format("parquet").option("path", root).option("checkpointLocation", checkpoint).partitionBy(*lake.HOUR)
 
 
 def _each_batch(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None]) -> DataStreamWriter:

@@ -79,3 +79,17 @@ OWNERS = "SELECT i AS c_custkey, concat('Customer#', i) AS c_name, CAST(i % 25 A
 
 def test_site_flow_holds_every_aircraft(spark, tables):
     assert len(agrees(spark, tables(events=FLEET, customer=OWNERS), "l5_site_flow")) == 900
+
+
+def test_snapshots_may_come_one_a_line(spark, tmp_path):
+    import json
+
+    from aerolith.streaming import jobs
+
+    vector = ["abc123", "X", "US", 1714565000, 1714565000, -99.9, 40.1, 1000.0, False, 100.0, 90.0, 0.0, None, None, None, False, 0]
+    (tmp_path / "in.json").write_text("".join(json.dumps({"time": 1714565000 + 300 * i, "states": [vector]}) + "\n" for i in range(3)))
+    prefixes = spark.createDataFrame([("ff",)], "prefix string")
+    sites = spark.createDataFrame([("KAAA", 40.0, -100.0, ["west"])], "icao string, lat double, lon double, customer_regions array<string>")
+    stream = jobs.stream_ingest(spark, str(tmp_path / "in*.json"), prefixes, sites, lines=True)
+    jobs.write_hours(stream, str(tmp_path / "lake"), str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "lake")).count() == 3
