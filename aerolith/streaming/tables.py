@@ -74,7 +74,12 @@ class VersionedTable:
     def upsert(self, batch: DataFrame, version: int, keys: list[str], merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
         """State of the batch's buckets after ``merge(state, batch)``; the other buckets are not read."""
         bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
-        touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets``
-        state = merge(self.read(version, touched), batch).withColumn("bucket", bucket)
-        state.write.mode("overwrite").partitionBy("bucket").parquet(self._path(version))
+        batch = batch.persist()  # it is read for its buckets and by the merge; what memory lacks goes to disk
+        try:
+            touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets``
+            state = merge(self.read(version, touched), batch).withColumn("bucket", bucket)
+            # a bucket is one task and one file, not one of every task
+            state.repartitionById(self.buckets, F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(self._path(version))
+        finally:
+            batch.unpersist()
         self._expire()

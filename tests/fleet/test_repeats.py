@@ -93,3 +93,15 @@ def test_snapshots_may_come_one_a_line(spark, tmp_path):
     stream = jobs.stream_ingest(spark, str(tmp_path / "in*.json"), prefixes, sites, lines=True)
     jobs.write_hours(stream, str(tmp_path / "lake"), str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "lake")).count() == 3
+
+
+def test_a_bucket_of_a_version_is_one_file(spark, tmp_path):
+    from aerolith.sources.upserts import overwrite_by_key
+    from aerolith.streaming.tables import VersionedTable
+
+    table = VersionedTable(spark, str(tmp_path / "t"), buckets=4)
+    merge = lambda old, new: new if old is None else overwrite_by_key(old, new, ["id"])
+    for n in range(2):
+        table.upsert(spark.range(1_000).repartition(7).selectExpr("id", f"{n} as v"), n, ["id"], merge)
+        assert len(list(tmp_path.glob(f"t/v-{n:012d}/bucket=*/*.parquet"))) == 4
+    assert table.read().where("v = 1").count() == table.read().count() == 1_000
