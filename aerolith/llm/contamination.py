@@ -8,10 +8,11 @@
 2. Look up.  The index tells how often each term occurs.  Every benchmark phrase starts
    from its rarest term: a join on the term gives the blocks that may hold it, and those
    without its second rarest term are dropped, as are phrases with a term that no text has.
-3. Intersect.  Only postings that a candidate needs are shuffled: of its block, and of its
-   terms.  Blocks meet their candidate phrases, and each phrase intersects the posting lists
-   of its terms, adjusted by their offsets, from the block's rarest on.  Proximity matches ask
-   for all terms within ``span`` consecutive words.
+3. Intersect.  Postings of blocks with a candidate are shuffled once, to their block; the list
+   of such blocks is small and sent to the postings.  If all terms are indexed, those that no
+   candidate needs are dropped before.  Blocks meet their candidate phrases, and each phrase
+   intersects the posting lists of its terms, adjusted by their offsets, from the block's rarest
+   on.  Proximity matches ask for all terms within ``span`` consecutive words.
 4. Matches come back as one row a document, and items are joined to their phrases,
    salted where one phrase is in very many documents.
 
@@ -215,11 +216,13 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, width: int =
     held = lists.select("term", "block")  # one row a term and block
     candidates = _stored(held.join(_stored(lookup), "term").drop("term"))
     candidates = _stored(held.withColumnRenamed("term", "second").join(candidates, ["second", "block"]).drop("second"))
-    needed = _stored(candidates.select("block", F.explode("terms").alias("term")).distinct())
-    sizes = index.filter("kind = 0").join(candidates.select("block").distinct(), "block", "left_semi")
-    wanted_lists = lists.join(needed, ["block", "term"], "left_semi")
-    columns = ["block", "kind", "term", "n", "first", "at"]
-    postings = sizes.select(*columns).unionByName(wanted_lists.select(*columns))
+    # one long a block of BLOCK bytes, so a few thousand for tens of GB
+    touched = _stored(candidates.select("block").distinct())
+    postings = index
+    if wanted is None:
+        needed = _stored(candidates.select("block", F.explode("terms").alias("term")).distinct())
+        postings = index.filter("kind = 0").unionByName(lists.join(needed, ["block", "term"], "left_semi").select(*index.columns))
+    postings = postings.join(F.broadcast(touched), "block", "left_semi").select("block", "kind", "term", "n", "first", "at")
     pair = "array<struct<p1:long,p2:long>>"
     hits = candidates.groupBy("block").cogroup(postings.groupBy("block")).applyInPandas(_answer(span), f"block long, no int, n_hit long, phrases {pair}, near {pair}")
     hits = cut(hits)
