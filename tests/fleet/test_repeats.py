@@ -105,3 +105,21 @@ def test_a_bucket_of_a_version_is_one_file(spark, tmp_path):
         table.upsert(spark.range(1_000).repartition(7).selectExpr("id", f"{n} as v"), n, ["id"], merge)
         assert len(list(tmp_path.glob(f"t/v-{n:012d}/bucket=*/*.parquet"))) == 4
     assert table.read().where("v = 1").count() == table.read().count() == 1_000
+
+
+def test_suppression_writes_only_what_changes():
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from aerolith.streaming.keyed import Suppress
+
+    done, state = [], {("c1",): (1_000, 60_000)}
+    suppress = Suppress({"go_around": 30}, own=False)
+    suppress.open = SimpleNamespace(iterator=lambda: iter(state.items()), clear=lambda: done.append("clear"), updateValue=lambda *a: done.append(a), removeKey=lambda k: done.append(k))
+    suppress.handle = SimpleNamespace(listTimers=lambda: iter(()), deleteTimer=done.append, registerTimer=done.append)
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    finding = Row(ms=2_000, finding="f", case_id=None, created_ms=None, is_open=None, rule="go_around")
+    assert list(suppress.handleInputRows(("k",), iter([finding]), now)) == [] and done == []
+    resolved = Row(ms=3_000, finding=None, case_id="c1", created_ms=1_000, is_open=False, rule="go_around")
+    assert list(suppress.handleInputRows(("k",), iter([resolved]), now)) == [] and done == ["clear", 61_001]
