@@ -9,6 +9,7 @@ that very time still counts.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,11 +28,6 @@ def _ms(ts: str | Column) -> Column:
     return F.unix_millis(F.col(ts) if isinstance(ts, str) else ts)
 
 
-def _numbered(pdf: pd.DataFrame) -> list[tuple]:
-    """Rows with None for missing values and whole numbers as such."""
-    return [tuple(None if v is None or v != v else int(v) if isinstance(v, float) and v.is_integer() else v for v in row) for row in pdf.itertuples(index=False)]
-
-
 class _Timed(StatefulProcessor):
     """A processor with one timer a key."""
 
@@ -117,6 +113,8 @@ def stream_silence(positions: DataFrame, low: int = 14, high: int = 30, delay: s
 _FIX = ("ms", "tie", "callsign", "customer_region", "altitude_ft", "sector", "site", "nm")
 _FOUND = "rule string, icao24 string, ms long, site_icao string, customer_region string, callsign string, n long, minutes double, sectors long, min_altitude_ft long, descent_ft long, climb_ft long"
 
+_FOUND_ROW = Row(*(c.split()[0] for c in _FOUND.split(", ")))
+
 
 class NearSite(_Timed):
     """State of one aircraft: its airborne fixes near a site, none older than the window, and the slide told last."""
@@ -131,39 +129,41 @@ class NearSite(_Timed):
         self.told = handle.getValueState("told", "slide_ms bigint")
         self.fixes = handle.getListState("fixes", "ms bigint, tie bigint, callsign string, customer_region string, altitude_ft int, sector int, site string, nm double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            self.fixes.appendList([(*r[:7], None if r[7] is None else float(r[7])) for r in _numbered(pdf[list(_FIX)])])
-        held = sorted(self.fixes.get(), key=lambda f: f[:2])
-        yield self._slides(key[0], held, timerValues.getCurrentWatermarkInMs())
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        return self._slides(key[0], [tuple(r[c] for c in _FIX) for r in rows], timerValues.getCurrentWatermarkInMs())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._slides(key[0], sorted(self.fixes.get(), key=lambda f: f[:2]), timerValues.getCurrentWatermarkInMs())
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        return self._slides(key[0], [], timerValues.getCurrentWatermarkInMs())
 
-    def _slides(self, icao24: str, held: list[tuple], watermark: int) -> pd.DataFrame:
+    def _next(self, first_ms: int, told: int) -> int:
+        """The first slide not told yet whose window a fix of that time may be in."""
+        return max(-(-first_ms // self.slide_ms) * self.slide_ms, told + self.slide_ms)
+
+    def _slides(self, icao24: str, new: list[tuple], watermark: int) -> Iterator[Row]:
         """Findings at the slides that the watermark has passed; the fixes of later ones stay."""
-        out, told = [], self.told.get()[0] if self.told.exists() else -1
-        at = None
-        while held:
-            # the first slide not told yet that has a fix in its window
-            at = max(-(-held[0][0] // self.slide_ms) * self.slide_ms, told + self.slide_ms)
-            if held[0][0] < at - self.window_ms:
-                held = held[1:]
+        stored = [tuple(f) for f in self.fixes.get()]
+        out, told = [], self.told.get()[0] if stored else -1
+        timer = self._next(stored[0][0], told) if stored else None
+        held = sorted(stored + new, key=lambda f: f[:2])
+        times, i, at = [f[0] for f in held], 0, None
+        while i < len(held):
+            at = self._next(times[i], told)
+            if times[i] < at - self.window_ms:
+                i += 1
                 continue
             if at >= watermark:
                 break
-            window = [f for f in held if f[0] <= at]
+            window = held[i : bisect_right(times, at)]
             out += self._hold(icao24, at, window) + self._around(icao24, at, window)
             told = at
-        if held:
-            self.fixes.put(held)
+        if i < len(held):
+            self.fixes.put(held[i:])
             self.told.update((told,))
-            self.set_timer(at)
-        else:
+        elif stored:
             self.fixes.clear()
             self.told.clear()
-            self.set_timer(None)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _FOUND.split(", ")])
+        self.move_timer(timer, at if i < len(held) else None)
+        return map(_FOUND_ROW, *zip(*out)) if out else iter(())
 
     @staticmethod
     def _summary(near: list[tuple]) -> tuple[str | None, str | None, str | None]:
@@ -215,7 +215,7 @@ def stream_near_rules(near: DataFrame, options: dict[str, dict] | None = None, m
         "icao24", "ts_polled", _ms("ts_polled").alias("ms"), tie.alias("tie"), "callsign", "customer_region", F.col("altitude_ft").cast("int").alias("altitude_ft"),
         heading_sector("heading_deg").cast("int").alias("sector"), F.col("nearest_site_icao").alias("site"), F.col("nearest_site_distance_nm").alias("nm"),
     )
-    out = rows.groupBy("icao24").transformWithStateInPandas(NearSite(options, minutes * MINUTE, slide * MINUTE), _FOUND, "Append", "EventTime")
+    out = rows.groupBy("icao24").transformWithState(NearSite(options, minutes * MINUTE, slide * MINUTE), _FOUND, "Append", "EventTime")
     return out.withColumn("told_at", F.timestamp_millis("ms")).drop("ms")
 
 
